@@ -39,8 +39,7 @@ def _split(text: Column, limit: int = -1) -> Column:
 
 def tokens(text: Column) -> Column:
     """Whitespace-separated tokens; a blank line has none."""
-    bare = strip(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(_split(bare))
+    return F.array_remove(_split(strip(text)), "")
 
 
 def first_token(text: Column) -> Column:

@@ -13,18 +13,27 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
 
 
-def _cells(label: Column, pred: Column) -> list[Column]:
+def count_where(condition: Column, weight: str | None = None) -> Column:
+    """Rows that meet the condition, each counted ``weight`` times."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
+def _cells(label: Column, pred: Column, weight: str | None = None) -> list[Column]:
     pairs = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
     return [
-        F.count_if((label == y) & (pred == p)).alias(name) for name, (y, p) in pairs.items()
+        count_where((label == y) & (pred == p), weight).alias(name)
+        for name, (y, p) in pairs.items()
     ]
 
 
 def confusion_matrix(
-    df: DataFrame, label: str = "label", pred: str = "prediction", by: tuple[str, ...] = ()
+    df: DataFrame, label: str = "label", pred: str = "prediction",
+    by: tuple[str, ...] = (), weight: str | None = None,
 ) -> DataFrame:
     """tn, fp, fn, tp over labels and predictions 0 and 1."""
-    return df.groupBy(*by).agg(*_cells(F.col(label), F.col(pred)))
+    return df.groupBy(*by).agg(*_cells(F.col(label), F.col(pred), weight))
 
 
 def _scores(c: dict[str, Column]) -> dict[str, Column]:
@@ -49,9 +58,10 @@ def from_counts(counts: DataFrame) -> DataFrame:
 
 
 def binary_metrics(
-    df: DataFrame, label: str = "label", pred: str = "prediction", by: tuple[str, ...] = ()
+    df: DataFrame, label: str = "label", pred: str = "prediction",
+    by: tuple[str, ...] = (), weight: str | None = None,
 ) -> DataFrame:
-    return from_counts(confusion_matrix(df, label, pred, by))
+    return from_counts(confusion_matrix(df, label, pred, by, weight))
 
 
 def hard_label_auc(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -152,11 +162,11 @@ def latency_summary(df: DataFrame, ms: str, by: tuple[str, ...] = ()) -> DataFra
 
 
 def method_comparison(
-    predictions: DataFrame, timings: dict[str, float] | None = None
+    predictions: DataFrame, timings: dict[str, float] | None = None, weight: str | None = None
 ) -> DataFrame:
     """One row of metrics per method over (method, label, prediction) rows;
     measured stage times, where given, become constant columns."""
-    out = binary_metrics(predictions, by=("method",))
+    out = binary_metrics(predictions, by=("method",), weight=weight)
     times = timings or {}
     out = out.withColumns({f"{k}_s": F.lit(float(v)) for k, v in times.items()})
     if times:

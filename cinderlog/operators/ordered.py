@@ -23,8 +23,11 @@ def _with_part(df: DataFrame, key: str) -> DataFrame:
     bounds = sample.agg(F.array_sort(F.collect_list(key)).alias("s")).select(
         F.filter("s", lambda _, i: i % STEP == STEP - 1).alias("bounds")
     )
+    # not nullable: a join on a nullable part would add a null check, which
+    # Catalyst pushes through the aggregate down to the rows it came from
+    part = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
     return df.withColumn("_bounds", bounds.scalar()).withColumn(
-        "_part", F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
+        "_part", F.coalesce(part, F.lit(0))
     ).drop("_bounds")
 
 

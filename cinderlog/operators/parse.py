@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from cinderlog.functions import masks
 from cinderlog.functions import text as tx
 
-# fixed values: field positions of a log line (from 0), and columns to drop
+# fixed values: field positions of a log line (from 0), the tag of a normal line
+# and of any other, and columns to drop
 MIN_TOKENS = 10
+NORMAL_TAG = rf"^-(?:{tx.ANY_SPACE}|\z)"
+ALERT_TAG = rf"^(?!-(?:{tx.ANY_SPACE}|\z)){tx.ANY_SPACE.replace('[', '[^', 1)}+"
 LEADING_TOKENS = {"bgl": 3, "thunderbird": 3, "hdfs": 1}
 
 
@@ -82,7 +85,8 @@ def preprocess(
 
     Adds ``ts`` (null for hdfs), ``session_id`` (hdfs only), ``sentence``,
     ``label`` (when ``labelled``) and ``reject``: null for a usable line, else
-    why it is not ("blank", "no_timestamp", "no_block_id"). Header lines go.
+    why it is not ("blank", "no_timestamp", "no_block_id"); its label and sentence
+    then mean nothing. Header lines go.
     The masks run once per line, in one pass without a shuffle.
     """
     text = F.col("_text")
@@ -103,28 +107,19 @@ def preprocess(
         found, lack = F.col("ts"), "no_timestamp"
     df = df.withColumn(
         "reject", F.when(text == "", "blank").when(found.isNull(), lack)
-    ).withColumn("_masked", F.when(F.col("reject").isNull(), mask(text)))
+    ).withColumn("_masked", tx.strip(mask(text)))
     if labelled:
-        df = df.withColumn("_masked", tx.strip(F.col("_masked"))).withColumn(
-            "_tag", tx.first_token(F.col("_masked"))
-        )
+        # each step names its input once: Catalyst may write steps into each other
         df = df.withColumn(
-            "label", F.when(F.col("_tag") == "-", 0).when(F.col("_tag").isNotNull(), 1)
+            "label", 1 - F.rlike(F.col("_masked"), F.lit(NORMAL_TAG)).cast("int")
         )
         if dataset != "hdfs":
-            df = df.withColumn(
-                "_masked",
-                F.when(
-                    F.col("label") == 1,
-                    F.substr(F.col("_masked"), F.length("_tag") + 1),
-                ).otherwise(F.col("_masked")),
-            )
-    df = df.withColumn("_plain", tx.normalise(F.col("_masked")))
-    # never null ("" when rejected): else a join on it would add a null check,
-    # which Catalyst pushes below and so masks every line twice
-    sentence = tx.drop_leading_words(F.col("_plain"), LEADING_TOKENS[dataset])
+            df = df.withColumn("_masked", F.regexp_replace("_masked", ALERT_TAG, ""))
+    # never null: else a join on it would add a null check, which Catalyst
+    # pushes below and so masks every line twice
+    sentence = tx.drop_leading_words(tx.normalise(F.col("_masked")), LEADING_TOKENS[dataset])
     df = df.withColumn("sentence", F.coalesce(sentence, F.lit("")))
-    return df.drop("_text", "_masked", "_tag", "_plain")
+    return df.drop("_text", "_masked")
 
 
 def usable(records: DataFrame) -> DataFrame:

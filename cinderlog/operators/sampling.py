@@ -47,7 +47,7 @@ def flag_first(
     strata must be small. Rows with a null stratum are never picked.
     """
     keyed = rows.withColumns({"_key": key, "_stratum": stratum}).withColumn(
-        "_head", F.substring("_key", 1, prefix)
+        "_head", F.coalesce(F.substring("_key", 1, prefix), F.lit(""))
     )
     slim = keyed.select("_stratum", "_head", "_key", F.col(id_).alias("_id")).where(
         F.col("_stratum").isNotNull()

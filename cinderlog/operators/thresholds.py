@@ -2,7 +2,8 @@
 
 Rows are first merged per distinct score (combined on the map side); the
 cumulative counts then come from ``ordered.running_totals``, so no step brings
-the whole table to one task.
+the whole table to one task. ``weight`` names a column that says how many
+rows a row stands for.
 """
 
 from __future__ import annotations
@@ -11,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.operators import ordered
+from cinderlog.operators.metrics import count_where
 
 F1_GUARD = 1e-10  # fixed value
 
 
-def _cumulative(rows: DataFrame, score: str, label: str) -> DataFrame:
+def _cumulative(rows: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
     """Per distinct score: pos, neg, tp, fp (score >= it), and all_pos, all_neg."""
     counts = rows.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"),
-        F.count_if(F.col(label) == 0).alias("neg"),
+        count_where(F.col(label) == 1, weight).alias("pos"),
+        count_where(F.col(label) == 0, weight).alias("neg"),
     )
     totals = ordered.running_totals(
         counts, "score", {"pos": "tp", "neg": "fp"}, descending=True
@@ -32,9 +34,11 @@ def _cumulative(rows: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def pr_curve(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def pr_curve(
+    rows: DataFrame, score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """(threshold, tp, fp, precision, recall); recall is 1 when nothing is positive."""
-    c = _cumulative(rows, score, label)
+    c = _cumulative(rows, score, label, weight)
     return c.select(
         F.col("score").alias("threshold"),
         "tp",
@@ -46,12 +50,14 @@ def pr_curve(rows: DataFrame, score: str = "score", label: str = "label") -> Dat
     )
 
 
-def best_f1_threshold(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def best_f1_threshold(
+    rows: DataFrame, score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """One row (threshold, f1, precision, recall); ties go to the lowest score."""
     p, r = F.col("precision"), F.col("recall")
     f1 = F.lit(2.0) * (p * r) / (p + r + F.lit(F1_GUARD))
     return (
-        pr_curve(rows, score, label)
+        pr_curve(rows, score, label, weight)
         .select("threshold", "precision", "recall", f1.alias("f1"))
         .agg(
             F.max_by(
@@ -63,10 +69,12 @@ def best_f1_threshold(rows: DataFrame, score: str = "score", label: str = "label
     )
 
 
-def roc_curve(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_curve(
+    rows: DataFrame, score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """(threshold, fpr, tpr) with the start point (+inf, 0, 0); a rate is null
     when its class has no rows."""
-    points = _cumulative(rows, score, label).select(
+    points = _cumulative(rows, score, label, weight).select(
         F.col("score").cast("double").alias("threshold"),
         F.try_divide("fp", "all_neg").alias("fpr"),
         F.try_divide("tp", "all_pos").alias("tpr"),
@@ -78,10 +86,12 @@ def roc_curve(rows: DataFrame, score: str = "score", label: str = "label") -> Da
     return points.unionByName(start)
 
 
-def youden_threshold(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def youden_threshold(
+    rows: DataFrame, score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """One row (threshold, sensitivity, specificity, j); ties go to the highest
     score, which may be +inf: nothing is flagged."""
-    points = roc_curve(rows, score, label).where(
+    points = roc_curve(rows, score, label, weight).where(
         F.col("tpr").isNotNull() & F.col("fpr").isNotNull()
     )
     return (
@@ -101,9 +111,11 @@ def youden_threshold(rows: DataFrame, score: str = "score", label: str = "label"
     )
 
 
-def score_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def score_auc(
+    rows: DataFrame, score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """One row (auc): area under the ROC curve, ties counted half; null with one class."""
-    c = _cumulative(rows, score, label)
+    c = _cumulative(rows, score, label, weight)
     share = (F.col("neg") / F.col("all_neg")) * (
         (F.col("tp") - F.col("pos") / 2) / F.col("all_pos")
     )

@@ -45,7 +45,7 @@ def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
 def _splits_at_most(df: DataFrame) -> int:
     """Upper bound on input splits: every file, and every full split of bytes."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
@@ -111,12 +111,16 @@ RUN_STATS_SCHEMA = (
 
 
 def read_run_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run file; ``mix`` and ``cap`` come from the file name, as in
-    ``…_2ab2nmt50_stats.json`` (few-shot) or ``…maxToken50_stats.json`` (zero-shot)."""
-    df = spark.read.json(path, schema=RUN_STATS_SCHEMA, multiLine=True, pathGlobFilter="*.json")
-    name = F.col("_metadata.file_name")
-    few = F.regexp_extract(name, r"_([0-9a-z]+?)mt([0-9]+)_stats\.json$", 1)
-    cap = F.regexp_extract(name, r"(?:mt|maxToken)([0-9]+)_stats\.json$", 1)
+    """One row per run; ``mix`` and ``cap`` come from the name of the file, or of
+    the folder a Spark job wrote it to, as in ``…_2ab2nmt50_stats.json`` (few-shot)
+    or ``…maxToken50_stats.json`` (zero-shot)."""
+    df = spark.read.json(
+        path, schema=RUN_STATS_SCHEMA, multiLine=True,
+        pathGlobFilter="*.json", recursiveFileLookup=True,
+    )
+    name = F.col("_metadata.file_path")
+    few = F.regexp_extract(name, r"_([0-9a-z]+?)mt([0-9]+)_stats\b", 1)
+    cap = F.regexp_extract(name, r"(?:mt|maxToken)([0-9]+)_stats\b", 1)
     return df.select(
         F.when(few == "", "zero").otherwise(few).alias("mix"),
         F.nullif(cap, F.lit("")).cast("int").alias("cap"),
