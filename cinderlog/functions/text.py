@@ -31,9 +31,9 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def _split(text: Column, limit: int = -1) -> Column:
-    return F.when(is_ascii(text), F.split(text, ASCII_SPACE + "+", limit)).otherwise(
-        F.split(text, ANY_SPACE + "+", limit)
+def _split(text: Column) -> Column:
+    return F.when(is_ascii(text), F.split(text, ASCII_SPACE + "+")).otherwise(
+        F.split(text, ANY_SPACE + "+")
     )
 
 
@@ -42,11 +42,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(_split(strip(text)), "")
 
 
-def first_token(text: Column) -> Column:
-    """First token, or null for a blank line."""
-    return F.nullif(F.element_at(_split(strip(text), 2), 1), F.lit(""))
-
-
 def drop_leading_tokens(text: Column, k: int) -> Column:
     """The tokens from number k on, joined by single spaces."""
     return F.array_join(F.slice(_split(strip(text)), k + 1, 2**31 - 1 - k), " ")

@@ -36,7 +36,8 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums along ``key``, which must be unique and non-null.
 
-    ``totals`` maps a numeric column to the name of its running sum.
+    ``totals`` maps a numeric column to the name of its running sum; the sum over
+    all rows comes along as ``all_<name>``.
     """
     parts = _with_part(df, key)
     # at most SAMPLE / STEP + 1 rows, whatever the input
@@ -45,12 +46,16 @@ def running_totals(
     )
     order = F.col("_part").desc() if descending else F.col("_part").asc()
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     offsets = per_part.select(
         "_part",
         *(
             F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
             for name in totals.values()
         ),
+        *(F.sum(f"_sum_{name}").over(whole).alias(f"all_{name}") for name in totals.values()),
     )
     inner = Window.partitionBy("_part").orderBy(
         F.col(key).desc() if descending else F.col(key).asc()
@@ -64,6 +69,7 @@ def running_totals(
             (F.col(f"_in_{name}") + F.col(f"_before_{name}")).alias(name)
             for name in totals.values()
         ),
+        *(f"all_{name}" for name in totals.values()),
     )
 
 
@@ -75,12 +81,11 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFram
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, value, {"_n": "_upto"})
-    total = counts.agg(F.sum("_n")).scalar()
     exprs = []
     for name, share in shares.items():
-        at = F.lit(share) * (F.col("_total") - 1)
+        at = F.lit(share) * (F.col("all__upto") - 1)
         low = F.min(F.when(F.col("_upto") > F.floor(at), F.col(value)))
         high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value)))
         weight = F.max(at - F.floor(at))
         exprs.append((low + (high - low) * weight).alias(name))
-    return ranked.withColumn("_total", total).agg(*exprs)
+    return ranked.agg(*exprs)

@@ -18,8 +18,8 @@ LEADING_TOKENS = {"bgl": 3, "thunderbird": 3, "hdfs": 1}
 
 def label_from_first_token(line: Column) -> Column:
     """0 for "-", 1 for anything else, null for a blank line."""
-    tag = tx.first_token(line)
-    return F.when(tag == "-", 0).when(tag.isNotNull(), 1)
+    bare = tx.strip(line)
+    return F.when(bare != "", 1 - F.rlike(bare, F.lit(NORMAL_TAG)).cast("int"))
 
 
 def label_lines(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -18,20 +18,12 @@ F1_GUARD = 1e-10  # fixed value
 
 
 def _cumulative(rows: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
-    """Per distinct score: pos, neg, tp, fp (score >= it), and all_pos, all_neg."""
+    """Per distinct score: pos, neg, tp, fp (score >= it), and all_tp, all_fp."""
     counts = rows.groupBy(F.col(score).alias("score")).agg(
         count_where(F.col(label) == 1, weight).alias("pos"),
         count_where(F.col(label) == 0, weight).alias("neg"),
     )
-    totals = ordered.running_totals(
-        counts, "score", {"pos": "tp", "neg": "fp"}, descending=True
-    )
-    return totals.withColumns(
-        {
-            "all_pos": counts.agg(F.sum("pos")).scalar(),
-            "all_neg": counts.agg(F.sum("neg")).scalar(),
-        }
-    )
+    return ordered.running_totals(counts, "score", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def pr_curve(
@@ -44,7 +36,7 @@ def pr_curve(
         "tp",
         "fp",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos"))
+        F.when(F.col("all_tp") > 0, F.col("tp") / F.col("all_tp"))
         .otherwise(1.0)
         .alias("recall"),
     )
@@ -76,8 +68,8 @@ def roc_curve(
     when its class has no rows."""
     points = _cumulative(rows, score, label, weight).select(
         F.col("score").cast("double").alias("threshold"),
-        F.try_divide("fp", "all_neg").alias("fpr"),
-        F.try_divide("tp", "all_pos").alias("tpr"),
+        F.try_divide("fp", "all_fp").alias("fpr"),
+        F.try_divide("tp", "all_tp").alias("tpr"),
     )
     spark = rows.sparkSession
     start = spark.range(1).select(
@@ -116,11 +108,11 @@ def score_auc(
 ) -> DataFrame:
     """One row (auc): area under the ROC curve, ties counted half; null with one class."""
     c = _cumulative(rows, score, label, weight)
-    share = (F.col("neg") / F.col("all_neg")) * (
-        (F.col("tp") - F.col("pos") / 2) / F.col("all_pos")
+    share = (F.col("neg") / F.col("all_fp")) * (
+        (F.col("tp") - F.col("pos") / 2) / F.col("all_tp")
     )
     return c.agg(
-        F.sum(F.when((F.col("all_neg") > 0) & (F.col("all_pos") > 0), share)).alias("auc")
+        F.sum(F.when((F.col("all_fp") > 0) & (F.col("all_tp") > 0), share)).alias("auc")
     )
 
 

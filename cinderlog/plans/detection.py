@@ -44,14 +44,18 @@ def counted(test: DataFrame) -> DataFrame:
 
 
 def embedded(
-    table: DataFrame, make_embedder: Callable[[], embedding.Embedder] | None, max_tokens: int
+    table: DataFrame,
+    make_embedder: Callable[[], embedding.Embedder] | None,
+    max_tokens: int,
+    name: str,
 ) -> DataFrame:
-    """Templates with ``tokens`` and ``first``; a caller's model runs once."""
+    """Templates with ``tokens`` and ``first``, written once: the lines are masked
+    in one pass, a caller's model runs once, and slot 0 is a column of its own."""
     if make_embedder is None:
         out = embedding.embed_builtin(table, max_tokens)
     else:
-        out = materialise(embedding.embed_templates(table, make_embedder))
-    return embedding.with_first(out)
+        out = embedding.embed_templates(table, make_embedder)
+    return materialise(embedding.with_first(out), name)
 
 
 def template_scores(
@@ -63,19 +67,26 @@ def template_scores(
     methods: tuple[str, ...] = ("knn", "maxsim_max", "maxsim_mean"),
     novel_only: bool = False,
 ) -> DataFrame:
-    """(method, sentence, score): distance of each test template to normal ones."""
-    bank = embedded(templates.templates(train), make_embedder, max_tokens)
-    test = embedded(templates.templates(test_counts), make_embedder, max_tokens)
+    """(method, sentence, score): distance of each test template to normal ones.
+
+    ``test_counts`` should be a written table: it is read more than once.
+    """
+    bank = embedded(templates.templates(train), make_embedder, max_tokens, "bank")
+    test = embedded(templates.templates(test_counts), make_embedder, max_tokens, "test")
     if novel_only:
         test = templates.only_in_test(test, bank)
     if core_set:
         core_set = similarity.core_set_size(bank.count(), core_set)
     near = similarity.nearest(test, bank, int(core_set) or 1)
+    if core_set:
+        near = materialise(near, "neighbours")
     scored = {}
     if "knn" in methods:
         scored["knn"] = near.where("rank = 1").select("test_id", F.col("distance").alias("score"))
     if set(methods) - {"knn"}:
-        sims = similarity.maxsim(test, bank, neighbours=near if core_set else None)
+        sims = materialise(
+            similarity.maxsim(test, bank, neighbours=near if core_set else None), "similarities"
+        )
         for name in set(methods) - {"knn"}:
             scored[name] = thresholds.invert_scores(
                 sims.select("test_id", F.col(name).alias("score"))
@@ -91,7 +102,8 @@ def template_scores(
         ),
     )
     # both sides have one row per template (and method)
-    return long.join(names, "test_id").select("method", "sentence", "score")
+    joined = long.join(names, "test_id").select("method", "sentence", "score")
+    return materialise(joined, "scores")
 
 
 def decide(scored: DataFrame, search: str = "prc", weight: str | None = None) -> DataFrame:
@@ -123,7 +135,7 @@ def nearest_normal_report(
 ) -> DataFrame:
     """Which lines look unlike anything normal, and how good is that? One row."""
     train, test = split_records(lines, test_size)
-    counts = counted(test)
+    counts = materialise(counted(test), "test-counts")
     scores = template_scores(train, counts, methods=("knn",), **options)
     rows = scores.join(counts, "sentence")
     judged = thresholds.apply_threshold(

@@ -389,8 +389,8 @@ DETECT = [
     ("train", "SELECT DISTINCT r.sentence FROM records r JOIN split USING (line_id) WHERE split='train'"),
     ("test", """SELECT r.sentence, r.label, count(*) AS n FROM records r JOIN split USING (line_id)
       WHERE split='test' GROUP BY ALL"""),
-    ("both", "SELECT sentence FROM train UNION SELECT sentence FROM test"),
-    *hash_vectors("both"),
+    ("all_sentences", "SELECT sentence FROM train UNION SELECT sentence FROM test"),
+    *hash_vectors("all_sentences"),
     ("bank", "SELECT DISTINCT first FROM embedded SEMI JOIN train USING (sentence)"),
     ("asked", "SELECT sentence, first FROM embedded SEMI JOIN test USING (sentence)"),
     ("near", """SELECT t.sentence, round(min(list_distance(t.first,b.first)),6) AS score

@@ -15,7 +15,7 @@ from cinderlog.operators import (
 )
 from cinderlog.plans import detection, prompting, views
 from cinderlog.plans import oracles as o
-from cinderlog.session import shared_folder
+from cinderlog.session import materialise, shared_folder
 from cinderlog.sources import logs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,15 +331,14 @@ def templates_of_text(spark, sf):
 @register("template_lookup", o.ctes(*TEMPLATES) + "SELECT line_id, template_id FROM records JOIN templates USING (sentence)")
 def template_lookup(spark, sf):
     rows = records(spark, sf).select("line_id", "sentence")
-    return templates.template_lookup(rows, templates.templates(rows)).select(
-        "line_id", "template_id"
-    )
+    table = materialise(templates.templates(rows), "templates")
+    return templates.template_lookup(rows, table).select("line_id", "template_id")
 
 
 @register("score_rows", o.ctes(*TEMPLATES) + "SELECT line_id, (template_id*37)%101/100.0::DOUBLE AS score FROM records JOIN templates USING (sentence)")
 def score_rows(spark, sf):
     rows = records(spark, sf).select("line_id", "sentence")
-    scores = templates.templates(rows).select(
+    scores = materialise(templates.templates(rows), "templates").select(
         "sentence", ((F.col("template_id") * 37) % 101 / F.lit(100.0)).alias("score")
     )
     return templates.score_rows(rows, scores, "sentence").select("line_id", "score")
@@ -348,8 +347,8 @@ def score_rows(spark, sf):
 @register("only_in_test", o.ctes(*o.DETECT) + "SELECT sentence FROM asked WHERE first NOT IN (SELECT first FROM bank)")
 def only_in_test(spark, sf):
     train, test = detection.split_records(views.log_lines(spark, sf))
-    bank = embedding.with_first(embedding.embed_builtin(templates.templates(train)))
-    asked = embedding.with_first(embedding.embed_builtin(templates.templates(test)))
+    bank = detection.embedded(templates.templates(train), None, 128, "bank")
+    asked = detection.embedded(templates.templates(test), None, 128, "test")
     return templates.only_in_test(asked, bank).select("sentence")
 
 
@@ -525,7 +524,7 @@ def maxsim_core_set(spark, sf):
 @register("invert_scores", o.ctes(*o.VEC_SIDES, SIMS, ("m", "SELECT test_id, max(s) AS s FROM sims GROUP BY ALL")) + "SELECT test_id, round((SELECT max(s) FROM m)-s,6) AS score FROM m")
 def invert_scores(spark, sf):
     test, bank = vec_sides(spark, sf)
-    sims = similarity.maxsim(test, bank, **VEC_IDS)
+    sims = materialise(similarity.maxsim(test, bank, **VEC_IDS), "similarities")
     return rounded(
         thresholds.invert_scores(sims, "maxsim_max").select(
             "test_id", F.col("maxsim_max").alias("score")
@@ -669,7 +668,7 @@ def method_comparison(spark, sf):
     near = similarity.nearest(test, bank, 1, **VEC_IDS).select(
         "test_id", F.col("distance").alias("score")
     )
-    sims = similarity.maxsim(test, bank, **VEC_IDS)
+    sims = materialise(similarity.maxsim(test, bank, **VEC_IDS), "similarities")
     scored = {"knn": near}
     for name in ("maxsim_max", "maxsim_mean"):
         scored[name] = thresholds.invert_scores(
@@ -684,7 +683,8 @@ def method_comparison(spark, sf):
             F.lit(name).alias("method"), "test_id", "label", F.round("score", 6).alias("score")
         )
         rows = one if rows is None else rows.unionByName(one)
-    return rounded(metrics.method_comparison(detection.decide(rows)), *o.RATES)
+    judged = detection.decide(materialise(rows, "scores"))
+    return rounded(metrics.method_comparison(judged), *o.RATES)
 
 
 @register("detect_anomalies", o.ctes(

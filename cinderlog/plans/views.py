@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlog.session import materialise
 from cinderlog.sources.logs import session_labels_of
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """Derived log text as a table, written once per application: the operators
+    then read it as they would a raw log, from a column and not an expression."""
+    key = (df.sparkSession.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        _written[key] = materialise(df, name)
+    return _written[key]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,7 +78,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((kind == "error") | (e % 7 == 0), "FATAL").otherwise("INFO"),
         content,
     )
-    return table(spark, sf_dir, "events").select(e.alias("line_id"), line.alias("line"))
+    lines = table(spark, sf_dir, "events").select(e.alias("line_id"), line.alias("line"))
+    return written(lines, sf_dir, "log-lines")
 
 
 def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +105,8 @@ def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 4 == 2, F.concat(F.lit("mail to bob.x@site.org via lib/a/b"), _text(e % 5)))
         .otherwise(F.concat(F.lit("disk /dev["), _text(e % 8), F.lit("] fault"))),
     )
-    return table(spark, sf_dir, "events").select(e.alias("line_id"), line.alias("line"))
+    lines = table(spark, sf_dir, "events").select(e.alias("line_id"), line.alias("line"))
+    return written(lines, sf_dir, "cluster-lines")
 
 
 def sessions_src(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,13 +42,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that an expensive step
-    (a caller's model) runs once and survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    Cuts the lineage at a step that later ones read several times or that is
+    costly (a caller's model): it runs once, survives the loss of executors, and
+    later steps read only the columns they need.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
