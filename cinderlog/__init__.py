@@ -1 +1,9 @@
 """Log anomaly operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers with the job, so the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

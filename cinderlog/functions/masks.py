@@ -33,11 +33,14 @@ class Classes:
         self.word = f"[{string.ascii_letters}{string.digits}_]" if ascii_only else r"\w"
         self.space = tx.ASCII_SPACE if ascii_only else tx.ANY_SPACE
         self.solid = self.space.replace("[", "[^", 1)
+        self.blank = self.space.replace("\\\n", "", 1)
 
     def fill(self, pattern: str) -> str:
-        """Put the classes in: D digit, W word, S whitespace, N anything else."""
+        """Put the classes in: D digit, W word, S whitespace, N anything else, and
+        B whitespace that ends no line."""
         for name, value in (
-            ("D", self.digit), ("W", self.word), ("S", self.space), ("N", self.solid)
+            ("D", self.digit), ("W", self.word), ("S", self.space), ("N", self.solid),
+            ("B", self.blank),
         ):
             pattern = pattern.replace(f"<{name}>", value)
         return self.flags + pattern
@@ -65,7 +68,7 @@ BGL_STEPS: Steps = [
     (_IP, " IP "),
     (r"<D>{1,4}\.<D>{1,2}\.<D>{1,2}", " TIME "),
     # a token, with the blank before it, that has /x past its start
-    (rf"(?:(?<![^\n])<N>|(?!\n)<S>)<N>+/{_ALNUM}<N>*", " PATH "),
+    (rf"(?m)(?:<B>|^<N>)<N>+/{_ALNUM}<N>*", " PATH "),
     # a token with a colon (hyphen) past its start, when a digit and a letter
     # come later in the line
     (rf"(?<!<N>)<N>+(?=:)(?=.*[0-9])(?=.*{_LETTER})<N>+", " SERVER "),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions import vectors
+from cinderlog.session import parallelism
 
 # A caller's model: made once per worker, it maps sentences to one float matrix
 # (tokens x dims) each.
@@ -51,11 +52,11 @@ def embed_templates(
     """(id, sentence, tokens): a caller's model over distinct templates.
 
     The model is made once per task and fed ``batch`` sentences at a time; a
-    task holds one batch of vectors. ``tasks`` spreads few, costly sentences.
+    task holds one batch of vectors. The few, costly sentences go to ``tasks`` tasks.
     """
-    todo = table.select(id_, sentence)
-    if tasks:
-        todo = todo.repartition(tasks, id_)
+    todo = table.select(id_, sentence).repartition(
+        tasks or parallelism(table.sparkSession), id_
+    )
     id_type = todo.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.operators import joins
+from cinderlog.session import materialise, parallelism
 
 # A caller's model: made once per task, it maps prompts to replies.
 Scorer = Callable[[list[str]], list[str]]
@@ -56,12 +57,14 @@ def batch_score(
     alone keeps its row, with ``error_reply`` and the message.
     """
     unique = table.groupBy(prompt).agg(F.count("*").alias("_n"))
-    todo = unique.select(prompt)
-    if tasks:
-        todo = todo.repartition(tasks, prompt)
-    replies = todo.mapInPandas(
-        _scoring(make_scorer, prompt, batch, error_reply),
-        f"`{prompt}` string, response string, inference_time_ms double, error string",
+    todo = unique.select(prompt).repartition(tasks or parallelism(table.sparkSession), prompt)
+    # written once: the model is costly, and the join reads the replies twice
+    replies = materialise(
+        todo.mapInPandas(
+            _scoring(make_scorer, prompt, batch, error_reply),
+            f"`{prompt}` string, response string, inference_time_ms double, error string",
+        ),
+        "replies",
     )
     return joins.lookup_inner(table, replies, prompt, counts=unique)
 
@@ -70,22 +73,19 @@ def _scoring(make_scorer, prompt: str, batch: int, error_reply: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame[prompt].iloc[at : at + batch].tolist()
+            asked, rows = frame[prompt].tolist(), []
+            for at in range(0, len(asked), batch):
+                part = asked[at : at + batch]
                 began = time.perf_counter()
                 try:
                     results = [(r, None) for r in score(part)]
                 except Exception:
                     results = [_alone(score, p, error_reply) for p in part]
                 each = (time.perf_counter() - began) * 1000 / len(part)
-                yield pd.DataFrame(
-                    {
-                        prompt: part,
-                        "response": [r for r, _ in results],
-                        "inference_time_ms": each,
-                        "error": [e for _, e in results],
-                    }
-                )
+                rows.extend((p, r, each, e) for p, (r, e) in zip(part, results, strict=True))
+            yield pd.DataFrame(
+                rows, columns=[prompt, "response", "inference_time_ms", "error"]
+            )
 
     return run
 

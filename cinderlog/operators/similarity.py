@@ -59,7 +59,7 @@ def _grid(
     spark = test.sparkSession
     tasks = parallelism(spark)
     nb = _blocks(bank, 1, block_floats)
-    nt = _blocks(test, 4 * tasks, block_floats)
+    nt = _blocks(test, tasks, block_floats)
 
     def block_of(id_: Column, n: Column) -> Column:
         return F.pmod(F.xxhash64(id_), n).cast("int")
@@ -83,8 +83,8 @@ def _grid(
         "test_block", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))
     )
     keys = ["test_block", "bank_block"]
-    left = test.drop("_nb", "_nt", "_floats").repartition(4 * tasks, *keys)
-    right = bank.drop("_nb", "_nt", "_floats").repartition(4 * tasks, *keys)
+    left = test.drop("_nb", "_nt", "_floats").repartition(tasks, *keys)
+    right = bank.drop("_nb", "_nt", "_floats").repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 

@@ -43,7 +43,7 @@ def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, pos, line): the lines of every document."""
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).withColumn("pos", F.col("pos").cast("long") + 1)
 
@@ -228,7 +228,7 @@ def mask_hdfs(spark, sf):
 
 @register("normalise_text", f"SELECT doc_id, {o.normalised('text')} AS plain FROM documents")
 def normalise_text(spark, sf):
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", tx.normalise(F.col("text")).alias("plain")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.session import materialise
+from cinderlog.session import materialise, spread
 from cinderlog.sources.logs import session_labels_of
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -16,7 +16,7 @@ def written(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
     then read it as they would a raw log, from a column and not an expression."""
     key = (df.sparkSession.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = materialise(df, name)
+        _written[key] = materialise(spread(df, "line_id"), name)
     return _written[key]
 
 
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
