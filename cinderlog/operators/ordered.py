@@ -3,7 +3,9 @@
 A window without a partition key would bring every row to one task. Here the
 order is cut at boundaries taken from a fixed-size uniform sample (the rows
 with the smallest hash), each part is totalled on its own, and the totals of
-the parts before it are added. Exact for any boundaries.
+the parts before it are added. Exact for any boundaries. The input is read for
+the sample, the totals and the result, so it is written down first: whatever
+made it, a scan of all lines perhaps, runs once.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlog.session import materialise
+
 SAMPLE = 1024
 STEP = 8
 
@@ -39,6 +43,7 @@ def running_totals(
     ``totals`` maps a numeric column to the name of its running sum; the sum over
     all rows comes along as ``all_<name>``.
     """
+    df = materialise(df, "ordered")
     parts = _with_part(df, key)
     # at most SAMPLE / STEP + 1 rows, whatever the input
     per_part = parts.groupBy("_part").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -29,8 +30,6 @@ class KeywordScorer:
     """The same rule through the plug-in door; judges a prompt's last entry line."""
 
     def __init__(self, max_input_tokens: int = 512):
-        import re
-
         self._alarm = re.compile(_ALARM)
         self._cut = max_input_tokens
 

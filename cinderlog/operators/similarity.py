@@ -27,11 +27,17 @@ def _width(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, v: acc + F.size(v))
 
 
-def _blocks(side: DataFrame, at_least: int = 1, block_floats: int = BLOCK_FLOATS) -> DataFrame:
-    """One value: number of blocks, so that a block's vectors stay bounded."""
-    by_size = F.ceil(F.coalesce(F.sum("_floats"), F.lit(0)) / F.lit(block_floats))
-    by_rows = F.least(F.ceil(F.count("*") / F.lit(MIN_TEST_ROWS)), F.lit(at_least))
-    return side.agg(F.greatest(by_size, by_rows, F.lit(1)).cast("int").alias("blocks"))
+def _blocks(side: DataFrame, block_floats: int) -> DataFrame:
+    """One value (by_size, by_rows): blocks needed to keep a block's vectors
+    bounded, and blocks there could be at most for the sake of more tasks."""
+    return side.agg(
+        F.struct(
+            F.greatest(
+                F.ceil(F.coalesce(F.sum("_floats"), F.lit(0)) / F.lit(block_floats)), F.lit(1)
+            ).cast("int").alias("by_size"),
+            F.ceil(F.count("*") / F.lit(MIN_TEST_ROWS)).cast("int").alias("by_rows"),
+        ).alias("blocks")
+    )
 
 
 def _flat(df: DataFrame, id_: str, tokens: Column, prefix: str) -> DataFrame:
@@ -58,13 +64,21 @@ def _grid(
     """
     spark = test.sparkSession
     tasks = parallelism(spark)
-    nb = _blocks(bank, 1, block_floats)
-    nt = _blocks(test, tasks, block_floats)
+    bank_size, test_size = _blocks(bank, block_floats), _blocks(test, block_floats)
+
+    def with_counts(df: DataFrame) -> DataFrame:
+        """Add the number of blocks of either side. The bank is copied once per
+        test block, so there are more of those than size asks for only as long
+        as tasks would be idle."""
+        df = df.withColumn("_b", bank_size.scalar()).withColumn("_t", test_size.scalar())
+        nb = F.col("_b.by_size")
+        idle = F.least(F.col("_t.by_rows"), F.ceil(F.lit(tasks) / nb).cast("int"))
+        return df.withColumns({"_nb": nb, "_nt": F.greatest("_t.by_size", idle)})
 
     def block_of(id_: Column, n: Column) -> Column:
         return F.pmod(F.xxhash64(id_), n).cast("int")
 
-    test = test.withColumn("_nb", nb.scalar()).withColumn("_nt", nt.scalar())
+    test = with_counts(test)
     test = test.withColumn("test_block", block_of(F.col("test_id"), F.col("_nt")))
     if wanted is None:
         test = test.withColumn(
@@ -72,19 +86,19 @@ def _grid(
         ).withColumn("wanted", F.lit(None).cast("array<bigint>"))
     else:
         lists = (
-            wanted.withColumn("_wb", nb.scalar())
-            .withColumn("bank_block", block_of(F.col("bank_id"), F.col("_wb")))
+            with_counts(wanted)
+            .withColumn("bank_block", block_of(F.col("bank_id"), F.col("_nb")))
             .groupBy("test_id", "bank_block")
             .agg(F.collect_list("bank_id").alias("wanted"))
         )
         test = test.join(lists, "test_id")
-    bank = bank.withColumn("_nb", nb.scalar()).withColumn("_nt", nt.scalar())
+    bank = with_counts(bank)
     bank = bank.withColumn("bank_block", block_of(F.col("bank_id"), F.col("_nb"))).withColumn(
         "test_block", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))
     )
     keys = ["test_block", "bank_block"]
-    left = test.drop("_nb", "_nt", "_floats").repartition(tasks, *keys)
-    right = bank.drop("_nb", "_nt", "_floats").repartition(tasks, *keys)
+    left = test.drop("_b", "_t", "_nb", "_nt", "_floats").repartition(tasks, *keys)
+    right = bank.drop("_b", "_t", "_nb", "_nt", "_floats").repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 

@@ -32,9 +32,15 @@ def template_lookup(rows: DataFrame, table: DataFrame, sentence: str = "sentence
     )
 
 
-def score_rows(rows: DataFrame, scores: DataFrame, key: str = "template_id") -> DataFrame:
-    """Give every row the score of its template."""
-    return joins.lookup_inner(rows, scores, key)
+def score_rows(
+    rows: DataFrame,
+    scores: DataFrame,
+    key: str = "template_id",
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Give every row the score of its template. ``counts`` (key, _n) saves a
+    pass over the rows."""
+    return joins.lookup_inner(rows, scores, key, counts=counts)
 
 
 def only_in_test(
@@ -45,6 +51,11 @@ def only_in_test(
     return joins.lookup_missing(test, known, vector)
 
 
-def rows_of(rows: DataFrame, table: DataFrame, key: str = "template_id") -> DataFrame:
+def rows_of(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str = "template_id",
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Rows whose template is in the table."""
-    return joins.lookup_inner(rows, table.select(key).distinct(), key)
+    return joins.lookup_inner(rows, table.select(key).distinct(), key, counts=counts)

@@ -145,8 +145,11 @@ def nearest_normal_report(
 
 
 def predict_lines(
-    test: DataFrame, scores: DataFrame, threshold: DataFrame
+    test: DataFrame, test_counts: DataFrame, scores: DataFrame, threshold: DataFrame
 ) -> DataFrame:
     """Per-line predictions of one method from its template scores."""
-    rows = templates.score_rows(test, scores.select("sentence", "score"), "sentence")
+    counts = test_counts.groupBy("sentence").agg(F.sum("n").alias("_n"))
+    rows = templates.score_rows(
+        test, scores.select("sentence", "score"), "sentence", counts
+    )
     return thresholds.apply_threshold(rows, threshold)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions import answers, prompts
-from cinderlog.operators import metrics, parse, scoring
+from cinderlog.operators import metrics, parse, runstats, scoring
 
 
 def judged(
@@ -45,3 +46,43 @@ def judged(
 def report(predictions: DataFrame) -> DataFrame:
     """One row: metrics of valid answers, counts, and latency."""
     return metrics.valid_only_metrics(predictions, ms="inference_time_ms")
+
+
+def sweep(
+    lines: DataFrame,
+    pool: DataFrame,
+    mixes: dict[str, tuple[int, int]],
+    caps: list[int],
+    make_scorer: Callable[[int], scoring.Scorer],
+    style: str = "rules",
+) -> DataFrame:
+    """Every line under every example mix and token cap, as one job: the rows
+    (line_id, mix, cap, response, label_text, inference_time_ms, error).
+
+    ``lines`` has (line_id, text); ``pool`` the labelled examples (line_id, log,
+    label). A scorer is made per cap. The settings, mixes x caps rows with their
+    folded examples, are written by the caller, not read from data.
+    """
+    blocks = reduce(
+        DataFrame.unionByName,
+        (
+            scoring.folded(scoring.example_mix(pool, a, n), style).withColumn("mix", F.lit(mix))
+            for mix, (a, n) in mixes.items()
+        ),
+    )
+
+    def at(cap: int) -> DataFrame:
+        asked = scoring.experiment_grid(lines, blocks).select(
+            "line_id",
+            "mix",
+            F.lit(cap).alias("cap"),
+            prompts.few_shot_prompt(F.col("text"), F.col("block"), style).alias("prompt"),
+        )
+        return scoring.batch_score(asked, partial(make_scorer, cap)).drop("prompt")
+
+    replied = reduce(DataFrame.unionByName, (at(c) for c in caps))
+    return replied.withColumn("label_text", answers.parse_last(F.col("response")))
+
+
+def sweep_stats(replied: DataFrame) -> DataFrame:
+    return runstats.run_stats(replied, by=("mix", "cap"))

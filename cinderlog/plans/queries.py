@@ -331,17 +331,18 @@ def templates_of_text(spark, sf):
 @register("template_lookup", o.ctes(*TEMPLATES) + "SELECT line_id, template_id FROM records JOIN templates USING (sentence)")
 def template_lookup(spark, sf):
     rows = records(spark, sf).select("line_id", "sentence")
-    table = materialise(templates.templates(rows), "templates")
-    return templates.template_lookup(rows, table).select("line_id", "template_id")
+    return templates.template_lookup(rows, templates.templates(rows)).select("line_id", "template_id")
 
 
 @register("score_rows", o.ctes(*TEMPLATES) + "SELECT line_id, (template_id*37)%101/100.0::DOUBLE AS score FROM records JOIN templates USING (sentence)")
 def score_rows(spark, sf):
     rows = records(spark, sf).select("line_id", "sentence")
-    scores = materialise(templates.templates(rows), "templates").select(
+    table = templates.templates(rows)
+    scores = table.select(
         "sentence", ((F.col("template_id") * 37) % 101 / F.lit(100.0)).alias("score")
     )
-    return templates.score_rows(rows, scores, "sentence").select("line_id", "score")
+    counts = table.select("sentence", F.col("n").alias("_n"))
+    return templates.score_rows(rows, scores, "sentence", counts).select("line_id", "score")
 
 
 @register("only_in_test", o.ctes(*o.DETECT) + "SELECT sentence FROM asked WHERE first NOT IN (SELECT first FROM bank)")
@@ -757,6 +758,24 @@ def batch_score(spark, sf):
     )
 
 
+@register("prompt_sweep", o.ctes(
+    *o.FIELDS, ("m", "SELECT * FROM (VALUES " + ",".join(f"('{m}')" for m in views.MIXES) + ") v(mix)"),
+) + f"""SELECT mix, cap::INT AS cap, count(*) AS total_logs,
+  sum(CASE WHEN regexp_matches(raw_line,'{o.ALARM}') THEN 0 ELSE 1 END)::BIGINT AS normal_count,
+  sum(CASE WHEN regexp_matches(raw_line,'{o.ALARM}') THEN 1 ELSE 0 END)::BIGINT AS abnormal_count
+  FROM fields, m, (VALUES (10),(50)) c(cap) GROUP BY ALL""")
+def prompt_sweep(spark, sf):
+    known = fields(spark, sf)
+    replied = prompting.sweep(
+        known.select("line_id", F.col("raw_line").alias("text")),
+        known.select("line_id", F.col("log_text").alias("log"), "label"),
+        views.MIXES, [10, 50], lambda cap: scoring.KeywordScorer(),
+    )
+    return prompting.sweep_stats(replied).select(
+        "mix", "cap", "total_logs", "normal_count", "abnormal_count"
+    )
+
+
 ANS = ("answers", o.ANSWERS)
 
 
