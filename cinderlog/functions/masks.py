@@ -4,8 +4,8 @@ Text patterns give digits, letters and whitespace their Unicode meaning. On a
 line that is all ASCII the plain classes mean the same and run much faster, so
 every chain exists in both forms and the line picks one.
 
-Long runs are anchored at their start: where a run fails there, it fails at
-every later position too, and the pattern need not try them. Classes list
+Whole tokens are matched from their start: where a token fails there, it fails
+at every later position too, and the pattern need not try them. Classes list
 their characters one by one, which the regex engine turns into a bit set;
 several ranges in a class cost ten times as much per character.
 """
@@ -73,10 +73,10 @@ BGL_STEPS: Steps = [
     # come later in the line
     (rf"(?<!<N>)<N>+(?=:)(?=.*[0-9])(?=.*{_LETTER})<N>+", " SERVER "),
     (rf"(?<!<N>)<N>+(?=-)(?=.*[0-9])(?=.*{_LETTER})<N>+", " SERVER "),
-    (rf"(?:(?<!{_UPPER_DIGIT})|\G){_UPPER_DIGIT}{{28}}", " ECID "),
-    (rf"(?:(?<!{_ALNUM})|\G){_ALNUM}{{48}}", " SERIAL "),
+    (rf"{_UPPER_DIGIT}{{28}}", " ECID "),
+    (rf"{_ALNUM}{{48}}", " SERIAL "),
     (rf"0[xX]{_HEX}<N>+", " MEMORY "),
-    (rf"(?:(?<!{_HEX})|\G){_HEX}{{8}}", " IAR "),
+    (rf"{_HEX}{{8}}", " IAR "),
     (r"<D>+", " NUM "),
 ]
 
@@ -91,7 +91,7 @@ THUNDERBIRD_STEPS: Steps = [
     (rf"{_PATH_CHAR}+/{_PATH_CHAR}+/{_PATH_CHAR}*", " DIR "),
     (rf"/{_PATH_CHAR}+/{_PATH_CHAR}*", " DIR "),
     (_IP, "IP"),
-    (rf"(?:(?<!{_HEX})|\G){_HEX}{{10}}", "IAR"),
+    (rf"{_HEX}{{10}}", "IAR"),
     (r"\[<D>+\]", " NUM "),
 ]
 

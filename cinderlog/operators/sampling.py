@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlog.session import materialise
+
 PREFIX = 4
 
 
@@ -79,7 +81,8 @@ def flag_first(
             F.col("_stratum").alias("_of"), F.struct("_key", F.col("_id")).alias("_cut")
         )
     )
-    # one row per stratum
+    # one row per stratum, found once however often the flagged rows are read
+    cut = materialise(cut, "cut")
     return (
         keyed.join(F.broadcast(cut), F.col("_stratum") == F.col("_of"), "left")
         .withColumn(
