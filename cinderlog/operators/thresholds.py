@@ -18,8 +18,9 @@ F1_GUARD = 1e-10  # fixed value
 
 
 def _cumulative(rows: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
-    """Per distinct score: pos, neg, tp, fp (score >= it), and all_tp, all_fp."""
-    counts = rows.groupBy(F.col(score).alias("score")).agg(
+    """Per distinct score: pos, neg, tp, fp (score >= it), and all_tp, all_fp.
+    Rows without a score take no part."""
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         count_where(F.col(label) == 1, weight).alias("pos"),
         count_where(F.col(label) == 0, weight).alias("neg"),
     )

@@ -63,7 +63,8 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a small input over all tasks, by key, before costly work per row.
+    """Split a small input, read straight from files, over all tasks by key,
+    before costly work per row.
 
     Few, small files give few tasks. An input with at least as many splits as
     there are tasks, as any large one has, stays where it is.

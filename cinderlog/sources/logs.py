@@ -101,6 +101,7 @@ def session_labels_of(df: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: the fields of a run's statistics file
 RUN_STATS_SCHEMA = (
     "mode string, total_logs long, time_taken_seconds double, avg_time_per_log_ms double, "
     "throughput_logs_per_second double, memory_consumed_mb double, peak_cpu_memory_mb double, "
