@@ -111,6 +111,10 @@ RUN_STATS_SCHEMA = (
 )
 
 
+# fixed values: file names that spell a mix of one kind differently
+MIX_SPELLINGS = {"4abn": "4ab", "4nor": "4n"}
+
+
 def read_run_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row per run; ``mix`` and ``cap`` come from the name of the file, or of
     the folder a Spark job wrote it to, as in ``…_2ab2nmt50_stats.json`` (few-shot)
@@ -122,8 +126,11 @@ def read_run_stats(spark: SparkSession, path: str) -> DataFrame:
     name = F.col("_metadata.file_path")
     few = F.regexp_extract(name, r"_([0-9a-z]+?)mt([0-9]+)_stats\b", 1)
     cap = F.regexp_extract(name, r"(?:mt|maxToken)([0-9]+)_stats\b", 1)
+    spelled = F.create_map(*(F.lit(x) for pair in MIX_SPELLINGS.items() for x in pair))
     return df.select(
-        F.when(few == "", "zero").otherwise(few).alias("mix"),
+        F.when(few == "", "zero")
+        .otherwise(F.coalesce(F.try_element_at(spelled, few), few))
+        .alias("mix"),
         F.nullif(cap, F.lit("")).cast("int").alias("cap"),
         "*",
     )

@@ -51,7 +51,7 @@ def test_run_stats_names(spark, tmp_path):
     for name in ("run_2ab2nmt50_stats.json", "run_4normt10_stats.json", "zeroX_maxToken75_stats.json"):
         (tmp_path / name).write_text(json.dumps({"total_logs": 5, "normal_count": 2}, indent=2))
     got = {(r.mix, r.cap, r.total_logs) for r in logs.read_run_stats(spark, str(tmp_path)).collect()}
-    assert got == {("2ab2n", 50, 5), ("4nor", 10, 5), ("zero", 75, 5)}
+    assert got == {("2ab2n", 50, 5), ("4n", 10, 5), ("zero", 75, 5)}
 
 
 def test_write_split_once(spark, tmp_path):
