@@ -43,13 +43,9 @@ def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
 
 
 def _splits_at_most(df: DataFrame) -> int:
-    """Upper bound on input splits: every file, and every full split of bytes."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    return len(df.inputFiles()) + size // split
+    """Upper bound on input splits: a split is a whole file, or a full-size piece
+    of one that fills a partition, or the rest of one."""
+    return len(df.inputFiles()) + df.rdd.getNumPartitions()
 
 
 def read_log_lines(spark: SparkSession, path: str, drop_bad: bool = False) -> DataFrame:
