@@ -30,7 +30,7 @@ from cinderlog.llm.tokens import encoder
 from cinderlog.session import materialise
 
 MAX_TOKENS = 4096
-BUCKET_ROWS = 20_000  # mean rows that one task ranks within a length
+BUCKET_ROWS = 2_000  # mean rows that one task ranks within a length
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -5,10 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import packing
+from cinderlog.llm import language, leaks, lines, packing, quality
 from cinderlog.llm.common import table
 
-REGISTRY: dict = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.dedup(docs).select("doc_id", "text", "n_deleted")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +32,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-REGISTRY["op9_best_fit_packing"] = (op9_best_fit_packing, None)
+REGISTRY = {
+    f.__name__: (f, None)
+    for f in (
+        op3_quality_rules,
+        op5_language_id,
+        op6_line_dedup,
+        op8_benchmark_decontamination,
+        op9_best_fit_packing,
+    )
+}
