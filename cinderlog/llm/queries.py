@@ -5,9 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import language, leaks, lines, packing, quality
+import corpus_pipeline
+from cinderlog.llm import language, leaks, lines, packing, pages, quality, sets, urls
 from cinderlog.llm.common import table
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -23,6 +28,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs).select("doc_id", "text", "n_deleted")
 
 
+URL_RULES = [
+    "allow com/",
+    "block example.com/en/",
+    "allow www.example.com/en/",
+    "block net/es/",
+    "block net/fr/",
+]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,13 +50,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 REGISTRY = {
     f.__name__: (f, None)
     for f in (
+        op2_ngram_jaccard_join,
         op3_quality_rules,
         op5_language_id,
         op6_line_dedup,
+        op7_url_filters,
         op8_benchmark_decontamination,
         op9_best_fit_packing,
+        op10_html_extraction,
     )
 }
+REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
