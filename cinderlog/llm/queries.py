@@ -6,8 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cinderlog.llm import language, leaks, lines, packing, pages, quality, sets, urls
+from cinderlog.llm import language, leaks, lines, packing, pages, quality, secrets, sets, tokenfile, urls
 from cinderlog.llm.common import table
+from cinderlog.session import shared_folder
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-file")
+    tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return tokenfile.digest(spark, folder)
+
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.jaccard_components(table(spark, sf_dir, "documents"))
@@ -18,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -57,8 +68,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     f.__name__: (f, None)
     for f in (
+        op1_token_file,
         op2_ngram_jaccard_join,
         op3_quality_rules,
+        op4_secret_scans,
         op5_language_id,
         op6_line_dedup,
         op7_url_filters,

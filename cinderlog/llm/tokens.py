@@ -11,8 +11,9 @@ only.
 from __future__ import annotations
 
 import re
+import sys
 from array import array
-from functools import lru_cache
+from types import ModuleType
 
 from tokenizers import Tokenizer
 
@@ -89,7 +90,13 @@ class SpacedBytes(Encoder):
     ).findall
 
 
-@lru_cache(maxsize=4)
 def encoder(kind: str, path: str) -> Encoder:
-    """One encoder per Python worker, kept from task to task."""
-    return {"lower": LowerWords, "spaced": SpacedBytes}[kind](path)
+    """One encoder per Python worker, kept from task to task.
+
+    The functions of this package travel with each job, so what shall outlive a task
+    is kept in a module of its own in the worker.
+    """
+    kept = sys.modules.setdefault("_kept_encoders", ModuleType("_kept_encoders")).__dict__
+    if (kind, path) not in kept:
+        kept[kind, path] = {"lower": LowerWords, "spaced": SpacedBytes}[kind](path)
+    return kept[kind, path]
