@@ -14,6 +14,11 @@ _LAST_ALONE = r"(?Us)^.*\b([01])\b"
 _FIRST_ANY = r"([01])"
 _LAST_ANY = r"(?s)^.*([01])"
 _FLAT_LABEL_OBJECT = r'\{[^{}]*"Label"[^{}]*\}'
+_STRICT_JSON = {
+    "allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
+    "allowNumericLeadingZeros": "false", "allowNonNumericNumbers": "false",
+    "columnNameOfCorruptRecord": "_bad",
+}
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -57,24 +62,33 @@ def parse_last(reply: Column) -> Column:
 
 def parse_json_label(reply: Column, line: Column) -> Column:
     """Struct (label, line): the first flat JSON object with a ``Label`` wins,
-    with its own ``line``; else any "0", else any "1", else "1"."""
+    with its own ``line``; else any "0", else any "1", else "1". The object must be
+    strict JSON (double quotes, no raw control characters); of repeated keys the
+    last counts."""
     found = F.nullif(F.regexp_extract(reply, _FLAT_LABEL_OBJECT, 0), F.lit(""))
+    read = F.from_json(found, "Label string, line string, _bad string", _STRICT_JSON)
     usable = F.coalesce(
-        F.array_contains(F.json_object_keys(found), "Label"), F.lit(False)
+        F.array_contains(F.json_object_keys(found), "Label") & read["_bad"].isNull(),
+        F.lit(False),
     )
     return F.struct(
-        F.when(usable, F.get_json_object(found, "$.Label"))
+        F.when(usable, read["Label"])
         .when(F.contains(reply, F.lit("0")), "0")
         .otherwise("1")
         .alias("label"),
-        F.when(usable, F.get_json_object(found, "$.line"))
+        F.when(usable, read["line"])
         .otherwise(tx.strip(line))
         .alias("line"),
     )
 
 
+def json_label(reply: Column) -> Column:
+    return parse_json_label(reply, F.lit(""))["label"]
+
+
 PARSERS = {
     "strict": parse_strict,
     "first": parse_first,
     "last": parse_last,
+    "json": json_label,
 }

@@ -29,11 +29,10 @@ STYLES = {
         "Digit:",
     ),
     "detailed": PromptStyle(
-        "Judge one entry of a supercomputer log.\n"
-        "TYPE, COMPONENT, LEVEL and CONTENT describe the event.\n"
-        "Stopped programs, lost links and failed storage are abnormal (1).\n"
-        "Register dumps, repaired errors and retries are normal (0).\n"
-        "Write one digit and no other text.",
+        "Below is a record that a large machine wrote about itself.\n"
+        "Would an operator on duty have to act on it? Then it is abnormal: 1.\n"
+        "Can it wait, or did the machine cope alone? Then it is normal: 0.\n"
+        "Your whole reply is that one character.",
         "Entry:",
         "Verdict:",
     ),
@@ -43,10 +42,9 @@ STYLES = {
         "Label:",
     ),
     "rules": PromptStyle(
-        "Judge one raw line of a supercomputer log.\n"
-        "0 is for routine work, repaired faults and diagnostics.\n"
-        "1 is for events that stop work or break a connection.\n"
-        "Weigh content, type, level and component; never the level alone.\n"
+        "One unedited line from a machine's journal follows.\n"
+        "Say 1 if somebody's job was harmed by what it tells, 0 if nobody's was.\n"
+        "Words such as FATAL are used freely there and decide nothing.\n"
         "Reply with 0 or 1.",
         "Line:",
         "Verdict:",

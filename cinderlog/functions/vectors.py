@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 HASH_DIM = 16
 
 
-def hash_sums(sentence: Column, max_tokens: int) -> Column:
+def hash_sums(sentence: Column) -> Column:
     """Whole-number token vectors: byte b of a token's md5 becomes 2b - 255."""
-    words = F.slice(F.split(sentence, " "), 1, max_tokens)
+    words = F.split(sentence, " ")
 
     def one(word: Column) -> Column:
         digest = F.unhex(F.md5(word.cast("binary")))
@@ -27,10 +27,10 @@ def hash_sums(sentence: Column, max_tokens: int) -> Column:
     return F.transform(words, one)
 
 
-def hash_tokens(sentence: Column, max_tokens: int = 128) -> Column:
+def hash_tokens(sentence: Column) -> Column:
     """Deterministic stand-in for a language model: slot 0 is the mean of the
     hashed token vectors, the rest are the vectors themselves."""
-    sums = hash_sums(sentence, max_tokens)
+    sums = hash_sums(sentence)
     total = F.aggregate(
         sums,
         F.array_repeat(F.lit(0), HASH_DIM),

@@ -21,13 +21,10 @@ Embedder = Callable[[list[str]], list[np.ndarray]]
 class HashEmbedder:
     """The built-in vectors through the plug-in door, as an example model."""
 
-    def __init__(self, max_tokens: int = 128):
-        self.max_tokens = max_tokens
-
     def __call__(self, sentences: list[str]) -> list[np.ndarray]:
         out = []
         for sentence in sentences:
-            words = sentence.split(" ")[: self.max_tokens]
+            words = sentence.split(" ")
             sums = np.array(
                 [list(hashlib.md5(w.encode()).digest()) for w in words], dtype=np.int64
             ) * 2 - 255
@@ -36,9 +33,9 @@ class HashEmbedder:
         return out
 
 
-def embed_builtin(table: DataFrame, max_tokens: int = 128, sentence: str = "sentence") -> DataFrame:
+def embed_builtin(table: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Add ``tokens`` (array of vectors) by column expressions alone."""
-    return table.withColumn("tokens", vectors.hash_tokens(F.col(sentence), max_tokens))
+    return table.withColumn("tokens", vectors.hash_tokens(F.col(sentence)))
 
 
 def embed_templates(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.session import materialise
+
 # A key is hot above this share of the rows; so fewer than HOT_PARTS keys are.
 HOT_PARTS = 256
 
@@ -18,45 +20,35 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``rows`` to ``table``, which has one row per ``key``.
 
-    Table rows of hot keys (fewer than ``hot_parts`` by definition) are
-    broadcast. The rows they serve take a spread-out stand-in key through the
-    shuffle join, so no task gets more than a small share. Adds ``_found``.
-    ``counts`` may pass a ready ``(key, _n)`` frame; else the rows are counted.
+    The rows of hot keys, and rows without a key, are not shuffled: they meet the
+    table's rows of these keys, fewer than ``hot_parts`` by definition, in a broadcast
+    join. Only the other rows take the shuffle join, where no key has more than
+    a small share. Adds ``_found``. ``counts`` may pass a ready ``(key, _n)`` frame;
+    else the rows are counted.
     """
     payload = [c for c in table.columns if c != key]
     clash = set(payload) & set(rows.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    # written once: the rows are read by both branches, and to be counted
+    rows = materialise(rows, "lookup-rows")
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot_keys = counts.where(F.col("_n") * hot_parts > total).select(key)
-    hot = table.join(F.broadcast(hot_keys), key, "left_semi").select(
-        F.col(key).alias("_hot_key"), F.struct(F.lit(1).alias("_hit"), *payload).alias("_hot")
-    )
-    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    # odd, so never equal to the 0 of the table side; from the row itself, so a
-    # repeated task sends every row to the same place again
-    stand_in = F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))
-    left = left.withColumn(
-        "_spread", F.when(F.col("_hot_key").isNotNull(), stand_in).otherwise(0)
-    ).drop("_hot_key")
-    cold = table.select(
-        F.col(key).alias("_cold_key"),
-        F.lit(0).cast("long").alias("_cold_spread"),
-        F.struct(F.lit(1).alias("_hit"), *payload).alias("_cold"),
-    )
-    joined = left.join(
-        cold,
-        (F.col(key) == F.col("_cold_key"))
-        & (F.col("_spread") == F.col("_cold_spread")),
-        "left",
-    )
-    hit = F.coalesce("_hot", "_cold")
+    hot_keys = materialise(hot_keys.withColumn("_is_hot", F.lit(True)), "hot-keys")
+    marked = rows.join(F.broadcast(hot_keys), key, "left")
+    # rows without a key match nothing, and there may be many of them
+    stays = F.col("_is_hot").isNotNull() | F.col(key).isNull()
+    values = table.select(key, F.struct(F.lit(1).alias("_hit"), *payload).alias("_value"))
+    hot_values = values.join(F.broadcast(hot_keys.select(key)), key, "left_semi")
+    hot = marked.where(stays).join(F.broadcast(hot_values), key, "left")
+    cold = marked.where(~stays).join(values, key, "left")
+    joined = hot.unionByName(cold)
     return joined.select(
         *(F.col(c) for c in rows.columns),
-        *(hit[c].alias(c) for c in payload),
-        hit.isNotNull().alias("_found"),
+        *(F.col("_value")[c].alias(c) for c in payload),
+        F.col("_value").isNotNull().alias("_found"),
     )
 
 

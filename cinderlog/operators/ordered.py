@@ -1,11 +1,9 @@
 """Running totals and ranks over a global order, without a one-task window.
 
 A window without a partition key would bring every row to one task. Here the
-order is cut at boundaries taken from a fixed-size uniform sample (the rows
-with the smallest hash), each part is totalled on its own, and the totals of
-the parts before it are added. Exact for any boundaries. The input is read for
-the sample, the totals and the result, so it is written down first: whatever
-made it, a scan of all lines perhaps, runs once.
+rows are dealt into ranges of the key, as many as ``spark.sql.shuffle.partitions``
+says (fewer where they are small), and written with the number of their range.
+Each range is totalled on its own, and the totals of the ranges before it are added.
 """
 
 from __future__ import annotations
@@ -15,46 +13,32 @@ from pyspark.sql import functions as F
 
 from cinderlog.session import materialise
 
-SAMPLE = 1024
-STEP = 8
-
-
-def _with_part(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_part``: how many boundaries are at or below the key."""
-    sample = (
-        df.select(key, F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(SAMPLE)
-    )
-    bounds = sample.agg(F.array_sort(F.collect_list(key)).alias("s")).select(
-        F.filter("s", lambda _, i: i % STEP == STEP - 1).alias("bounds")
-    )
-    # not nullable: a join on a nullable part would add a null check, which
-    # Catalyst pushes through the aggregate down to the rows it came from
-    part = F.size(F.filter("_bounds", lambda b: b <= F.col(key)))
-    return df.withColumn("_bounds", bounds.scalar()).withColumn(
-        "_part", F.coalesce(part, F.lit(0))
-    ).drop("_bounds")
-
 
 def running_totals(
-    df: DataFrame, key: str, totals: dict[str, str], descending: bool = False
+    df: DataFrame, key: str, totals: dict[str, str], descending: bool = False,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Inclusive running sums along ``key``, which must be unique and non-null.
 
     ``totals`` maps a numeric column to the name of its running sum; the sum over
-    all rows comes along as ``all_<name>``.
+    all rows comes along as ``all_<name>``. With ``by``, sums run for each of its
+    (few) values on its own, in the same pass.
     """
-    df = materialise(df, "ordered")
-    parts = _with_part(df, key)
-    # at most SAMPLE / STEP + 1 rows, whatever the input
-    per_part = parts.groupBy("_part").agg(
+    # the numbers are written with the rows, so they hold for every later read
+    parts = materialise(
+        df.repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id()), "ordered"
+    )
+    # one row per range, and value of ``by`` in it
+    per_part = parts.groupBy(*by, "_part").agg(
         *(F.sum(c).alias(f"_sum_{name}") for c, name in totals.items())
     )
     order = F.col("_part").desc() if descending else F.col("_part").asc()
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(order).rowsBetween(
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     offsets = per_part.select(
+        *by,
         "_part",
         *(
             F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
@@ -62,13 +46,14 @@ def running_totals(
         ),
         *(F.sum(f"_sum_{name}").over(whole).alias(f"all_{name}") for name in totals.values()),
     )
-    inner = Window.partitionBy("_part").orderBy(
+    inner = Window.partitionBy(*by, "_part").orderBy(
         F.col(key).desc() if descending else F.col(key).asc()
     ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = parts.select(
         "*", *(F.sum(c).over(inner).alias(f"_in_{name}") for c, name in totals.items())
     )
-    return local.join(F.broadcast(offsets), "_part").select(
+    # a row per range: as many as shuffle partitions, times the values of ``by``
+    return local.join(F.broadcast(offsets), [*by, "_part"]).select(
         *(F.col(c) for c in df.columns),
         *(
             (F.col(f"_in_{name}") + F.col(f"_before_{name}")).alias(name)

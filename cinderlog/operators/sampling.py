@@ -1,10 +1,11 @@
 """Exact, seeded samples and splits.
 
 Rows are ordered by md5(seed|id), then id, and the first n of a class are
-taken. A window per class would put a class into one task. Instead a histogram
-over the first hex digits of the key finds the one bucket where the cut lies,
-only that bucket (about 1 in 65,536 rows) is ranked, and the (key, id) found
-there is the cut for all rows: a comparison, without a shuffle of the rows.
+taken. A window per class would put a class into one task. Instead the slim table
+(stratum, key, id) is written once, and histograms over the next hex digits of the
+key narrow down the bucket where the cut lies, level by level until it is small.
+Only that bucket is ranked, and the (key, id) found there is the cut for all rows: a
+comparison, without a shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from cinderlog.session import materialise
 
-PREFIX = 4
+DIGITS = 4  # of the key that a level looks at
+BUCKET_ROWS = 100_000  # most rows of a stratum that are ranked in one task
+MOST_STRATA = 1000
 
 
 def seeded_key(id_: Column, seed: int) -> Column:
@@ -40,41 +43,39 @@ def flag_first(
     stratum: Column,
     want: Callable[[Column, Column], Column],
     flag: str = "picked",
-    prefix: int = PREFIX,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add a boolean: is the row among the first ``want`` of its stratum?
 
     ``want(n, total)`` gives the number from the stratum's size and the size of
-    all strata together; it is capped at the stratum's size. The number of
-    strata must be small. Rows with a null stratum are never picked.
+    all strata together; it is capped at the stratum's size. At most MOST_STRATA
+    strata. Rows with a null stratum are never picked.
     """
-    keyed = rows.withColumns({"_key": key, "_stratum": stratum}).withColumn(
-        "_head", F.coalesce(F.substring("_key", 1, prefix), F.lit(""))
-    )
-    slim = keyed.select("_stratum", "_head", "_key", F.col(id_).alias("_id")).where(
+    spark = rows.sparkSession
+    keyed = rows.withColumns({"_key": key, "_stratum": stratum})
+    slim = keyed.select("_stratum", "_key", F.col(id_).alias("_id")).where(
         F.col("_stratum").isNotNull()
     )
-    histogram = slim.groupBy("_stratum", "_head").agg(F.count("*").alias("_n"))
-    total = histogram.agg(F.sum("_n")).scalar()
-    upto = Window.partitionBy("_stratum").orderBy("_head")
-    whole = Window.partitionBy("_stratum")
-    # both windows see at most one row per prefix and stratum
-    bucket = (
-        histogram.withColumns(
-            {"_upto": F.sum("_n").over(upto), "_size": F.sum("_n").over(whole)}
-        )
-        .withColumn("_total", total)
-        .withColumn(
-            "_want", F.least(want(F.col("_size"), F.col("_total")).cast("long"), F.col("_size"))
-        )
-        .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-        .select(
-            "_stratum", "_head", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_rest")
-        )
+    slim = materialise(slim, "sample-keys")
+    sizes = slim.groupBy("_stratum").agg(F.count("*").alias("_size"))
+    wanted = sizes.withColumn("_total", sizes.agg(F.sum("_size")).scalar()).select(
+        "_stratum",
+        F.lit("").alias("_prefix"),
+        F.least(want(F.col("_size"), F.col("_total")).cast("long"), F.col("_size")).alias("_rest"),
+        F.col("_size").alias("_n"),
     )
+    kinds = f"_stratum {slim.schema['_stratum'].dataType.simpleString()}, _prefix string, _rest long, _n long"
+    buckets = wanted.limit(MOST_STRATA + 1).collect()
+    if len(buckets) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    buckets = [b for b in buckets if b["_rest"] > 0]
+    longest = slim.agg(F.max(F.length("_key"))).first()[0] or 0
+    while any(b["_n"] > bucket_rows and len(b["_prefix"]) < longest for b in buckets):
+        buckets = _narrowed(slim, spark.createDataFrame(buckets, kinds)).collect()
+    state = spark.createDataFrame(buckets, kinds)
     rank = Window.partitionBy("_stratum").orderBy("_key", "_id")
     cut = (
-        slim.join(F.broadcast(bucket), ["_stratum", "_head"])
+        _inside(slim, state)
         .withColumn("_rank", F.row_number().over(rank))
         .where(F.col("_rank") == F.col("_rest"))
         .select(
@@ -89,7 +90,33 @@ def flag_first(
             flag,
             F.coalesce(F.struct("_key", F.col(id_).alias("_id")) <= F.col("_cut"), F.lit(False)),
         )
-        .drop("_key", "_stratum", "_head", "_of", "_cut")
+        .drop("_key", "_stratum", "_of", "_cut")
+    )
+
+
+def _inside(slim: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of each stratum's bucket; ``state`` has a row per stratum."""
+    return slim.join(F.broadcast(state), "_stratum").where(
+        F.startswith(F.col("_key"), F.col("_prefix"))
+    )
+
+
+def _narrowed(slim: DataFrame, state: DataFrame) -> DataFrame:
+    """The bucket, DIGITS longer, that holds the cut, and the rank wanted in it."""
+    head = F.substr("_key", F.lit(1), F.length("_prefix") + DIGITS)
+    histogram = (
+        _inside(slim, state)
+        .groupBy("_stratum", "_rest", head.alias("_head"))
+        .agg(F.count("*").alias("_n"))
+    )
+    upto = Window.partitionBy("_stratum").orderBy("_head")  # 16 ** DIGITS rows at most
+    return (
+        histogram.withColumn("_upto", F.sum("_n").over(upto))
+        .where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest")))
+        .select(
+            "_stratum", F.col("_head").alias("_prefix"),
+            (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"), "_n",
+        )
     )
 
 
@@ -113,12 +140,16 @@ def normal_only_split(
     )
 
 
-def split_sizes(split: DataFrame, label: str = "label") -> DataFrame:
-    return split.agg(
+def split_size_columns(label: str = "label") -> list[Column]:
+    return [
         F.count_if(F.col("split") == "train").alias("train_normal"),
         F.count_if((F.col("split") == "test") & (F.col(label) == 0)).alias("test_normal"),
         F.count_if((F.col("split") == "test") & (F.col(label) == 1)).alias("test_abnormal"),
-    )
+    ]
+
+
+def split_sizes(split: DataFrame, label: str = "label") -> DataFrame:
+    return split.agg(*split_size_columns(label))
 
 
 def presample(
@@ -181,7 +212,7 @@ def stratified_sample_exact(
     # rows picked per label come first, so n of this order trims and tops up alike
     order = F.concat(F.when(F.col("_first"), "0").otherwise("1"), key)
     return _keep(
-        flag_first(first, id_, order, F.lit(0), lambda size, total: F.lit(n), prefix=PREFIX + 1)
+        flag_first(first, id_, order, F.lit(0), lambda size, total: F.lit(n))
     ).drop("_first")
 
 

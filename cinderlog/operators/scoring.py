@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.operators import joins
@@ -17,7 +18,8 @@ from cinderlog.session import materialise, parallelism
 Scorer = Callable[[list[str]], list[str]]
 
 # Words that make the built-in scorer answer "1".
-ALARM_WORDS = ("halted", "lost", "failed", "panic", "severed")
+# taken from the fixture's own lines
+ALARM_WORDS = ("halted", "lost", "fault")
 _ALARM = "(?i)\\b(" + "|".join(ALARM_WORDS) + ")\\b"
 
 
@@ -27,64 +29,110 @@ def keyword_score(text: Column) -> Column:
 
 
 class KeywordScorer:
-    """The same rule through the plug-in door; judges a prompt's last entry line."""
+    """The same rule through the plug-in door; judges a prompt's last entry, all of it.
 
-    def __init__(self, max_input_tokens: int = 512):
+    ``max_new_tokens`` is the cap a model would get: the reply holds no more words.
+    """
+
+    def __init__(self, max_new_tokens: int = 512):
         self._alarm = re.compile(_ALARM)
-        self._cut = max_input_tokens
+        self._cap = max_new_tokens
 
     def __call__(self, prompts: list[str]) -> list[str]:
-        entries = (p.split("\n")[-2] if p.count("\n") > 1 else p for p in prompts)
-        return [
-            "1" if self._alarm.search(" ".join(e.split()[-self._cut :])) else "0"
-            for e in entries
-        ]
+        # a prompt ends with the entry and, on a line of its own, the answer cue
+        entries = (p.rsplit("\n\n", 1)[-1].rsplit("\n", 1)[0] for p in prompts)
+        replies = ("1" if self._alarm.search(e) else "0" for e in entries)
+        return [" ".join(r.split()[: self._cap]) for r in replies]
+
+
+def text_key(text: Column) -> Column:
+    """Stands for a text in joins, so that no text is shuffled twice."""
+    return F.md5(text.cast("binary"))
+
+
+REPLY = "response string, inference_time_ms double, error string"
 
 
 def batch_score(
     table: DataFrame,
     make_scorer: Callable[[], Scorer],
-    prompt: str = "prompt",
+    text: str = "prompt",
+    build: Callable[[Column], Column] | None = None,
     batch: int = 8,
     tasks: int | None = None,
     error_reply: str = "0",
 ) -> DataFrame:
     """Add ``response``, ``inference_time_ms`` (batch time over batch size) and
-    ``error``. Each distinct prompt is scored once; copies share its answer.
+    ``error``. Each distinct text is scored once; copies share its answer.
+
+    ``build`` makes the prompt from the text, in the scoring tasks: prompts never
+    take part in a shuffle. When a batch fails, its prompts are tried one by one; a
+    prompt that fails alone keeps its row, with ``error_reply`` and the message.
+    """
+    settings = table.sparkSession.createDataFrame([(0,)], "_setting int")
+    found = score_settings(
+        table, settings, lambda _: make_scorer(), lambda t: build(t) if build else t,
+        text, "_setting", batch, tasks, error_reply,
+    )
+    return found.drop("_setting")
+
+
+def score_settings(
+    table: DataFrame,
+    settings: DataFrame,
+    make_scorer: Callable[[int], Scorer],
+    build: Callable[[Column], Column],
+    text: str,
+    cap: str,
+    batch: int = 8,
+    tasks: int | None = None,
+    error_reply: str = "0",
+) -> DataFrame:
+    """Every row of ``table`` under every setting, with response, time and error.
 
-    When a batch fails, its prompts are tried one by one; a prompt that fails
-    alone keeps its row, with ``error_reply`` and the message.
+    ``settings`` is a short list that the caller wrote; ``build`` makes the prompt from
+    the text's column and the settings' columns, ``cap`` names the column that a
+    scorer is made for. A distinct text goes to one task, once, whatever the number
+    of settings; a row meets the replies to its text in one join on the text's key.
     """
-    unique = table.groupBy(prompt).agg(F.count("*").alias("_n"))
-    todo = unique.select(prompt).repartition(tasks or parallelism(table.sparkSession), prompt)
-    # written once: the model is costly, and the join reads the replies twice
-    replies = materialise(
-        todo.mapInPandas(
-            _scoring(make_scorer, prompt, batch, error_reply),
-            f"`{prompt}` string, response string, inference_time_ms double, error string",
-        ),
-        "replies",
+    names = settings.columns
+    keyed = materialise(table.withColumn("_key", text_key(F.col(text))), "asked")
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    texts = keyed.select("_key", F.col(text).alias("_text")).distinct()
+    texts = texts.repartition(tasks or parallelism(table.sparkSession), "_key")
+    asked = experiment_grid(texts, settings).select("_key", *names, build(F.col("_text")).alias("_prompt"))
+    kinds = [f"`{c}` {settings.schema[c].dataType.simpleString()}" for c in names]
+    replies = asked.select("_key", *names, "_prompt").mapInPandas(
+        _scoring(make_scorer, cap, batch, error_reply), ", ".join(["_key string", *kinds, REPLY])
+    )
+    # written once: the model is costly; a text's replies, one for each setting, stay together
+    replies = materialise(replies, "replies").groupBy("_key").agg(
+        F.collect_list(F.struct(*names, "response", "inference_time_ms", "error")).alias("_replies")
     )
-    return joins.lookup_inner(table, replies, prompt, counts=unique)
+    joined = joins.lookup_inner(keyed, replies, "_key", counts=counts)
+    return joined.select(*table.columns, F.inline("_replies"))
 
 
-def _scoring(make_scorer, prompt: str, batch: int, error_reply: str):
+def _scoring(make_scorer, cap: str, batch: int, error_reply: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = make_scorer()
+        scorers: dict[int, Scorer] = {}
         for frame in frames:
-            asked, rows = frame[prompt].tolist(), []
-            for at in range(0, len(asked), batch):
-                part = asked[at : at + batch]
-                began = time.perf_counter()
-                try:
-                    results = [(r, None) for r in score(part)]
-                except Exception:
-                    results = [_alone(score, p, error_reply) for p in part]
-                each = (time.perf_counter() - began) * 1000 / len(part)
-                rows.extend((p, r, each, e) for p, (r, e) in zip(part, results, strict=True))
-            yield pd.DataFrame(
-                rows, columns=[prompt, "response", "inference_time_ms", "error"]
-            )
+            for value, same in frame.groupby(cap, sort=True):
+                if value not in scorers:
+                    scorers[value] = make_scorer(value)
+                rows, score, asked = [], scorers[value], same["_prompt"].tolist()
+                for at in range(0, len(asked), batch):
+                    part = asked[at : at + batch]
+                    began = time.perf_counter()
+                    try:
+                        results = [(r, None) for r in score(part)]
+                    except Exception:
+                        results = [_alone(score, p, error_reply) for p in part]
+                    each = (time.perf_counter() - began) * 1000 / len(part)
+                    rows.extend((r, each, e) for r, e in results)
+                out = same.drop(columns="_prompt").reset_index(drop=True)
+                out[["response", "inference_time_ms", "error"]] = pd.DataFrame(rows, dtype=object)
+                yield out
 
     return run
 
@@ -109,17 +157,36 @@ def experiment_grid(lines: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
-def example_mix(
-    pool: DataFrame, n_abnormal: int, n_normal: int, id_: str = "line_id", label: str = "label"
+def first_examples(
+    pool: DataFrame, most: dict[int, int], id_: str = "line_id", label: str = "label"
 ) -> DataFrame:
-    """The first examples of each label by id, abnormal ones first.
+    """The first ``most[label]`` examples of each label by id, with their ``rank`` from 1.
 
-    Each label is a top-n by id, so tasks hand over at most n rows.
+    Each label is a top-n by id, so tasks hand over at most n rows. Written: all
+    mixes of a sweep take their examples from here.
     """
-    def first(value: int, n: int) -> DataFrame:
-        return pool.where(F.col(label) == value).orderBy(id_).limit(n)
+    parts = [
+        pool.where(F.col(label) == value).orderBy(id_).limit(n) for value, n in most.items() if n
+    ]
+    some = reduce(DataFrame.unionByName, parts) if parts else pool.limit(0)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(id_))  # n rows
+    return materialise(some.withColumn("rank", rank), "examples")
+
 
-    return first(1, n_abnormal).unionByName(first(0, n_normal))
+def mix_of(
+    examples: DataFrame, n_abnormal: int, n_normal: int, label: str = "label"
+) -> DataFrame:
+    """A mix from ``first_examples``, abnormal ones first."""
+    wanted = F.when(F.col(label) == 1, n_abnormal).otherwise(n_normal)
+    return examples.where(F.col("rank") <= wanted).drop("rank").orderBy(F.desc(label), "line_id")
+
+
+def example_mix(
+    pool: DataFrame, n_abnormal: int, n_normal: int, id_: str = "line_id", label: str = "label"
+) -> DataFrame:
+    """The first examples of each label by id, abnormal ones first."""
+    some = first_examples(pool, {1: n_abnormal, 0: n_normal}, id_, label)
+    return some.drop("rank").orderBy(F.desc(label), id_)
 
 
 def folded(examples: DataFrame, style: str, id_: str = "line_id") -> DataFrame:

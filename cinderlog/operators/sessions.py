@@ -55,11 +55,12 @@ def session_parse(lines: DataFrame, line_id: str = "line_id", line: str = "line"
 
 
 def session_labels(sessions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``label`` (0/1, null for a session without one). Both sides hold one
-    row per session, so the shuffle join is balanced."""
-    known = labels.select(
-        F.col("session_id"), F.col("label").cast("int").alias("label")
-    ).dropDuplicates(["session_id"])
+    """Add ``label`` (0/1, null for a session without one). Of repeated ids the last by
+    ``label_no`` counts; where there is no such column, the highest label. Both sides
+    then hold one row per session, so the shuffle join is balanced."""
+    label = F.col("label").cast("int")
+    number = F.col("label_no") if "label_no" in labels.columns else F.lit(0)
+    known = labels.groupBy("session_id").agg(F.max(F.struct(number.alias("no"), label.alias("label")))["label"].alias("label"))
     return sessions.join(known, "session_id", "left")
 
 

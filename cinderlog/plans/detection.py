@@ -7,6 +7,7 @@ per-line predictions go back to the lines.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.operators import (
-    embedding, metrics, parse, sampling, similarity, templates, thresholds,
+    embedding, metrics, parse, sampling, sessions, similarity, templates, thresholds,
 )
 from cinderlog.session import materialise
 from cinderlog.sources.sinks import stage
@@ -43,36 +44,58 @@ def counted(test: DataFrame) -> DataFrame:
     return test.groupBy("sentence", "label").agg(F.count("*").alias("n"))
 
 
+def split_sessions(
+    lines: DataFrame, labels: DataFrame, test_size: float = 0.2, folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test) records of whole sessions: each session's text is one labelled
+    line, split and preprocessed like the lines of a log. Sessions without a label go."""
+    texts = sessions.session_text(sessions.session_parse(lines), labels).where("label IS NOT NULL")
+    texts = texts.select(F.col("session_id").alias("line_id"), F.col("text").alias("line"), "label")
+    split = sampling.normal_only_split(materialise(texts, "session-texts"), test_size, "line_id").drop("label")
+
+    def side(name: str, labelled: bool) -> DataFrame:
+        part = split.where(F.col("split") == name).drop("split")
+        done = parse.usable(parse.preprocess(part, "hdfs", labelled)).drop("line")
+        return stage(done, f"{folder}/{name}") if folder else done
+
+    return side("train", False), side("test", True)
+
+
 def embedded(
-    table: DataFrame,
-    make_embedder: Callable[[], embedding.Embedder] | None,
-    max_tokens: int,
-    name: str,
+    table: DataFrame, make_embedder: Callable[[], embedding.Embedder] | None, name: str
 ) -> DataFrame:
     """Templates with ``tokens`` and ``first``, written once: the lines are masked
     in one pass, a caller's model runs once, and slot 0 is a column of its own."""
     if make_embedder is None:
-        out = embedding.embed_builtin(table, max_tokens)
+        out = embedding.embed_builtin(table)
     else:
         out = embedding.embed_templates(table, make_embedder)
     return materialise(embedding.with_first(out), name)
 
 
+METHODS = ("knn", "maxsim_max", "maxsim_mean")
+
+
 def template_scores(
     train: DataFrame,
     test_counts: DataFrame,
     make_embedder: Callable[[], embedding.Embedder] | None = None,
     core_set: float = 0,
-    max_tokens: int = 128,
-    methods: tuple[str, ...] = ("knn", "maxsim_max", "maxsim_mean"),
+    methods: tuple[str, ...] = METHODS,
     novel_only: bool = False,
+    first_only: bool = False,
+    train_ratio: float = 1,
 ) -> DataFrame:
     """(method, sentence, score): distance of each test template to normal ones.
 
-    ``test_counts`` should be a written table: it is read more than once.
+    ``test_counts`` (sentence, label, n) should be a written table: it is read more
+    than once. ``train_ratio`` draws a share of the training lines (line_id, sentence)
+    for the bank, ``first_only`` compares first vectors alone.
     """
-    bank = embedded(templates.templates(train), make_embedder, max_tokens, "bank")
-    test = embedded(templates.templates(test_counts), make_embedder, max_tokens, "test")
+    if train_ratio < 1:
+        train = sampling.train_ratio_templates(train, train_ratio, "line_id", "sentence")
+    bank = embedded(templates.templates(train), make_embedder, "bank")
+    test = embedded(templates.templates(test_counts.select("sentence").distinct()), make_embedder, "test")
     if novel_only:
         test = templates.only_in_test(test, bank)
     if core_set:
@@ -80,27 +103,23 @@ def template_scores(
     near = similarity.nearest(test, bank, int(core_set) or 1)
     if core_set:
         near = materialise(near, "neighbours")
-    scored = {}
+    parts = []
     if "knn" in methods:
-        scored["knn"] = near.where("rank = 1").select("test_id", F.col("distance").alias("score"))
-    if set(methods) - {"knn"}:
-        sims = materialise(
-            similarity.maxsim(test, bank, neighbours=near if core_set else None), "similarities"
+        parts.append(near.where("rank = 1").select(F.lit("knn").alias("method"), "test_id", F.col("distance").alias("score")))
+    sims = [m for m in methods if m != "knn"]
+    if sims:
+        found = similarity.maxsim(
+            test, bank, neighbours=near if core_set else None, first_only=first_only
         )
-        for name in set(methods) - {"knn"}:
-            scored[name] = thresholds.invert_scores(
-                sims.select("test_id", F.col(name).alias("score"))
-            )
-    names = test.select(F.col("template_id").alias("test_id"), "sentence")
+        long = found.select("test_id", F.inline(F.array(*(
+            F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in sims
+        )))).select("method", "test_id", "score")
+        parts.append(thresholds.invert_scores(materialise(long, "similarities"), by=("method",)))
     long = reduce(
         DataFrame.unionByName,
-        (
-            df.select("test_id", F.round("score", SCORE_DIGITS).alias("score")).withColumn(
-                "method", F.lit(name)
-            )
-            for name, df in sorted(scored.items())
-        ),
+        (p.select("method", "test_id", F.round("score", SCORE_DIGITS).alias("score")) for p in parts),
     )
+    names = test.select(F.col("template_id").alias("test_id"), "sentence")
     # both sides have one row per template (and method)
     joined = long.join(names, "test_id").select("method", "sentence", "score")
     return materialise(joined, "scores")
@@ -109,39 +128,43 @@ def template_scores(
 def decide(scored: DataFrame, search: str = "prc", weight: str | None = None) -> DataFrame:
     """Add each method's own threshold decision to (method, label, score, …) rows.
 
-    The threshold is tuned on the rows it judges, as in the published runs.
+    The threshold is tuned on the rows it judges, as in the published runs. All methods
+    share one pass.
     """
-    find = thresholds.SEARCHES[search]
-
-    def one(method: str) -> DataFrame:
-        rows = scored.where(F.col("method") == method)
-        return thresholds.apply_threshold(rows, find(rows, weight=weight))
-
-    return reduce(
-        DataFrame.unionByName, (one(m) for m in ("knn", "maxsim_max", "maxsim_mean"))
-    )
+    cuts = thresholds.SEARCHES[search](scored, weight=weight, by=("method",))
+    return thresholds.apply_threshold(scored, cuts, by=("method",))
 
 
 def evaluate(
-    test_counts: DataFrame, scores: DataFrame, search: str = "prc"
+    test_counts: DataFrame, scores: DataFrame, search: str = "prc",
+    timings: dict[str, float] | None = None,
 ) -> DataFrame:
     """One row of metrics per method, every template weighted by its lines."""
     rows = scores.join(test_counts, "sentence")
-    return metrics.method_comparison(decide(rows, search, "n"), weight="n")
+    return metrics.method_comparison(decide(rows, search, "n"), timings, weight="n")
 
 
-def nearest_normal_report(
-    lines: DataFrame, test_size: float = 0.2, search: str = "prc", **options
+def detection_report(
+    train: DataFrame, test: DataFrame, search: str = "prc", timed: bool = False, **options
 ) -> DataFrame:
-    """Which lines look unlike anything normal, and how good is that? One row."""
-    train, test = split_records(lines, test_size)
+    """One row of metrics per method from (train, test) records. ``timed`` adds the
+    seconds that counting, scoring and deciding took."""
+    clock = [time.perf_counter()]
     counts = materialise(counted(test), "test-counts")
-    scores = template_scores(train, counts, methods=("knn",), **options)
-    rows = scores.join(counts, "sentence")
-    judged = thresholds.apply_threshold(
-        rows, thresholds.SEARCHES[search](rows, weight="n")
-    )
-    return metrics.binary_metrics(judged, weight="n")
+    clock.append(time.perf_counter())
+    scores = template_scores(train, counts, **options)
+    clock.append(time.perf_counter())
+    spent = {"count": clock[1] - clock[0], "score": clock[2] - clock[1]} if timed else None
+    return evaluate(counts, scores, search, spent)
+
+
+def nearest_normal_report(
+    lines: DataFrame, test_size: float = 0.2, search: str = "prc", dataset: str = "bgl",
+    methods: tuple[str, ...] = ("knn",), **options,
+) -> DataFrame:
+    """Which lines look unlike anything normal, and how good is that? A row per method."""
+    train, test = split_records(lines, test_size, dataset)
+    return detection_report(train, test, search, methods=methods, **options)
 
 
 def predict_lines(

@@ -57,10 +57,11 @@ SCORED = """SELECT event_id AS id, CASE WHEN event_type='error' THEN 1 ELSE 0 EN
 SCORED = f"""SELECT *, CASE WHEN id%11=0 THEN -1 WHEN score>=0.6::DOUBLE THEN 1 ELSE 0 END AS pred
  FROM ({SCORED})"""
 
-ANSWERS = """SELECT conv_id*1000+turn AS id, role AS line, CASE (conv_id+turn)%8
- WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '<think>maybe 0'||chr(10)||'</think> so 1'
- WHEN 3 THEN '<think> not closed 1' WHEN 4 THEN 'answer 1, not 0' WHEN 5 THEN 'x10y'
- WHEN 6 THEN '{"Label": "1", "line": "'||role||'"}' ELSE role END AS response
+ANSWERS = """SELECT conv_id*1000+turn AS id, '  '||text||' '||chr(9) AS line, CASE (conv_id+turn)%10
+ WHEN 0 THEN '0' WHEN 1 THEN '1'||chr(10)||text WHEN 2 THEN '<think>'||text||chr(10)||'0</think> so 1'
+ WHEN 3 THEN '<think> not closed 1 '||text WHEN 4 THEN text||' so 1, not 0' WHEN 5 THEN 'x10y'
+ WHEN 6 THEN to_json({'Label': '1', 'line': text})::VARCHAR WHEN 7 THEN '{''Label'': ''1''} '||text
+ WHEN 8 THEN '{"Label": "1", "Label": "0", "line": "x"}' ELSE text END AS response
  FROM conversations"""
 
 VEC = """SELECT vec_id, label, label < 8 AND vec_id%5 <> 0 AS in_bank,
@@ -87,7 +88,7 @@ def key(seed: int, id_: str) -> str:
     return f"md5('{seed}|'||{id_})"
 
 
-# --- masks -------------------------------------------------------------------
+# --- masks: the patterns are fixed values ------------------------------------
 
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d{1,5})?"
 STAMP = r"\d{1,4}-\d{1,2}-\d{1,2}-\d{1,2}\.\d{1,2}\.\d{1,2}\.\d{1,6}"
@@ -192,13 +193,14 @@ def split(seed: int = 1234, size: float = 0.2) -> list[tuple[str, str]]:
     ]
 
 
-DOCS = ("docs", "SELECT doc_id, toxic AS label FROM documents JOIN labels USING (doc_id)")
+DOCS = ("docs", "SELECT doc_id, toxic AS label FROM documents LEFT JOIN labels USING (doc_id)")
 
 
 def docs_ranked(seed: int) -> tuple[str, str]:
     return ("ranked", f"""SELECT *, {key(seed, 'doc_id')} AS k, row_number() OVER (PARTITION BY label
       ORDER BY {key(seed, 'doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n,
-      count(*) OVER () AS total, avg(label::DOUBLE) OVER () AS share FROM docs""")
+      count(*) OVER () AS total, avg(label::DOUBLE) OVER () AS share FROM docs
+      WHERE label IS NOT NULL""")
 
 
 # --- vectors -------------------------------------------------------------------
@@ -212,7 +214,7 @@ def hash_vectors(src: str) -> list[tuple[str, str]]:
         f"(2*(16*(instr({HEX},substr(m,2*i-1,1))-1)+instr({HEX},substr(m,2*i,1))-1)-255)"
     )
     return [
-        ("sums", f"""SELECT *, list_transform(list_transform(string_split(sentence,' ')[1:128],
+        ("sums", f"""SELECT *, list_transform(list_transform(string_split(sentence,' '),
           lambda w: md5(w)), lambda m: list_transform(range(1,17), lambda i: {byte}))
           AS s FROM {src}"""),
         ("embedded", """SELECT * EXCLUDE (s), list_transform(range(1,17), lambda i:
@@ -338,6 +340,7 @@ def block(style: str) -> str:
     return f"SELECT string_agg({one}, {quoted(chr(10) * 2)} ORDER BY label DESC, line_id) AS block FROM mix"
 
 
+# fixed values: what an answer looks like
 BARE = f"trim(regexp_replace(response,'(?s)<think>.*?</think>','','g'),{WS})"
 ALONE = r"\b([01])\b"
 
@@ -383,12 +386,15 @@ SESSIONS = [
       {normalised(hdfs('c'))} AS parsed FROM content"""),
 ]
 
-DETECT = [
-    *split(),
-    *preprocessed("log_lines"),
+SPLIT_COUNTS = [
     ("train", "SELECT DISTINCT r.sentence FROM records r JOIN split USING (line_id) WHERE split='train'"),
     ("test", """SELECT r.sentence, r.label, count(*) AS n FROM records r JOIN split USING (line_id)
       WHERE split='test' GROUP BY ALL"""),
+]
+DETECT = [
+    *split(),
+    *preprocessed("log_lines"),
+    *SPLIT_COUNTS,
     ("all_sentences", "SELECT sentence FROM train UNION SELECT sentence FROM test"),
     *hash_vectors("all_sentences"),
     ("bank", "SELECT DISTINCT first FROM embedded SEMI JOIN train USING (sentence)"),
@@ -396,3 +402,61 @@ DETECT = [
     ("near", """SELECT t.sentence, round(min(list_distance(t.first,b.first)),6) AS score
       FROM asked t, bank b GROUP BY ALL"""),
 ]
+
+
+def methods_report(parts: list[tuple[str, str]], names: tuple[str, ...]) -> str:
+    """From ``train`` (sentence) and ``test`` (sentence, label, n): a row of metrics per method."""
+    scores = {
+        "knn": """SELECT 'knn' AS method, t.sentence, round(min(list_distance(t.first,b.first)),6) AS score
+          FROM asked t, bank b GROUP BY ALL""",
+        "maxsim_max": "SELECT 'maxsim_max' AS method, sentence, round((SELECT max(mx) FROM agg)-mx,6) AS score FROM agg",
+        "maxsim_mean": "SELECT 'maxsim_mean' AS method, sentence, round((SELECT max(mn) FROM agg)-mn,6) AS score FROM agg",
+    }
+    pairs = [
+        ("agg", f"""SELECT sentence, max(s) AS mx, avg(s) AS mn FROM (SELECT t.sentence, {sim()} AS s
+          FROM asked t, bank b) GROUP BY ALL"""),
+    ]
+    return ctes(
+        *parts,
+        ("all_sentences", "SELECT sentence FROM train UNION SELECT sentence FROM test"),
+        *hash_vectors("all_sentences"),
+        ("vectors", "SELECT sentence, first, list_concat([first], words) AS tokens FROM embedded"),
+        ("bank", "SELECT * FROM vectors SEMI JOIN train USING (sentence)"),
+        ("asked", "SELECT * FROM vectors SEMI JOIN test USING (sentence)"),
+        *(pairs if set(names) - {"knn"} else []),
+        ("scores", " UNION ALL ".join(scores[n] for n in names)),
+        ("weighted", "SELECT method, sentence, score, label, n FROM scores JOIN test USING (sentence)"),
+        ("per_score", """SELECT method, score, coalesce(sum(CASE WHEN label=1 THEN n END),0)::BIGINT AS pos,
+          coalesce(sum(CASE WHEN label=0 THEN n END),0)::BIGINT AS neg FROM weighted GROUP BY ALL"""),
+        ("cum", """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY method) AS all_pos,
+          sum(neg) OVER (PARTITION BY method) AS all_neg FROM per_score
+          WINDOW w AS (PARTITION BY method ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"""),
+        ("pr", PR.format(x="method, ")), ("best", BEST),
+        ("cut", "SELECT * FROM (SELECT method, threshold, row_number() OVER (PARTITION BY method ORDER BY f1 DESC, threshold) AS r FROM best) WHERE r=1"),
+        ("judged", "SELECT w.*, CASE WHEN score>=threshold THEN 1 ELSE 0 END AS prediction FROM weighted w JOIN cut USING (method)"),
+        ("c", f"SELECT method, {cells('prediction', 'n')} FROM judged GROUP BY ALL"),
+    )
+
+
+THUNDERBIRD_RECORDS = [
+    ("log_lines", CLUSTER_LINES),
+    *split()[1:],
+    ("m", f"SELECT line_id, {THUNDERBIRD} AS t FROM (SELECT line_id, line FROM log_lines)"),
+    ("p", f"SELECT *, t[1:2]='- ' AS normal, {normalised('CASE WHEN t[1:2]=chr(45)||chr(32) THEN t ELSE substr(t,strpos(t,chr(32))) END')} AS p FROM m"),
+    ("records", "SELECT line_id, CASE WHEN normal THEN 0 ELSE 1 END AS label, array_to_string(string_split(p,' ')[4:],' ') AS sentence FROM p"),
+    *SPLIT_COUNTS,
+]
+
+SESSION_RECORDS = [
+    *SESSIONS,
+    ("g", "SELECT session_id, list(DISTINCT parsed) AS l, arg_min(block_id, line_id) AS b FROM sparsed WHERE block_id IS NOT NULL GROUP BY session_id"),
+    ("texts", """SELECT session_id AS line_id, label, CASE WHEN label=0 THEN '- ' ELSE '' END ||
+      array_to_string(list_sort(list_distinct(list_append(l,b))),' ') AS line FROM g JOIN slabels USING (session_id)"""),
+    ("ranked", f"""SELECT *, row_number() OVER (PARTITION BY label ORDER BY {key(1234, 'line_id')}, line_id) AS rn,
+      count(*) OVER (PARTITION BY label) AS n FROM texts"""),
+    ("split", "SELECT line_id, CASE WHEN label=1 OR rn<=ceil(n*0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM ranked"),
+    ("m", f"SELECT line_id, {hdfs(f'trim(line,{WS})')} AS t, nullif(regexp_extract(line,'blk_.\\d+'),'') AS s FROM texts"),
+    ("p", f"SELECT *, {normalised('t')} AS p FROM m WHERE s IS NOT NULL"),
+    ("records", "SELECT line_id, CASE WHEN regexp_extract(t,'^\\S+')='-' THEN 0 ELSE 1 END AS label, array_to_string(string_split(p,' ')[2:],' ') AS sentence FROM p"),
+    *SPLIT_COUNTS,
+]

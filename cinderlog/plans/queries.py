@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,10 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, label): the ground truth on text. Both sides have unique ids."""
+    """(doc_id, label) of every document, null without one. Both sides have unique ids."""
     docs = views.table(spark, sf, "documents").select("doc_id")
     labels = views.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", "left")
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +135,24 @@ def write_predictions(spark, sf):
     return spark.read.schema("Label string, line string").json(path)
 
 
+@register("write_predictions_csv", o.ctes(("answers", o.ANSWERS)) + "SELECT id::VARCHAR AS id, response, line FROM answers")
+def write_predictions_csv(spark, sf):
+    path = shared_folder(spark, "predictions")
+    sinks.write_predictions(views.answers(spark, sf), path, "csv")
+    return logs.read_csv(spark, path, escaped=True)
+
+
+@register("write_metrics_csv", o.ctes(("scored", o.SCORED), ("c", f"SELECT {o.cells('pred')} FROM scored")) + f"SELECT '42' AS seed, tn::VARCHAR AS tn, fp::VARCHAR AS fp, fn::VARCHAR AS fn, tp::VARCHAR AS tp, {o.rates(6, 'accuracy', 'f1')} FROM c")
+def write_metrics_csv(spark, sf):
+    path = shared_folder(spark, "metrics")
+    found = metrics.binary_metrics(views.scored(spark, sf), pred="pred")
+    sinks.write_metrics(found, path, fmt="csv", seed=42)
+    back = logs.read_csv(spark, path).select(
+        "seed", "tn", "fp", "fn", "tp", F.col("accuracy").cast("double"), F.col("f1").cast("double")
+    )
+    return rounded(back, "accuracy", "f1")
+
+
 @register("write_metrics", o.ctes(("scored", o.SCORED), ("c", f"SELECT {o.cells('pred')} FROM scored")) + f"SELECT 42 AS seed, tn, fp, fn, tp, {o.rates(6, 'accuracy', 'precision', 'recall', 'f1')} FROM c")
 def write_metrics(spark, sf):
     path = shared_folder(spark, "metrics")
@@ -292,6 +311,19 @@ def session_labels(spark, sf):
     return sessions.session_labels(found, logs.read_session_labels(spark, path))
 
 
+@register("session_labels_repeated", o.ctes(*o.SESSIONS) + "SELECT DISTINCT session_id, 1-label AS label FROM sessions LEFT JOIN slabels USING (session_id)")
+def session_labels_repeated(spark, sf):
+    """Every id twice in the file, the second time with the other label: the last counts."""
+    path = shared_folder(spark, "session-labels")
+    known = views.session_label_table(spark, sf)
+    other = known.withColumn("Label", F.when(F.col("Label") == "Anomaly", "Normal").otherwise("Anomaly"))
+    both = known.withColumn("n", F.lit(0)).unionByName(other.withColumn("n", F.lit(1)))
+    ordered = both.orderBy("n", "BlockId").drop("n").coalesce(1)
+    sinks.write_predictions(ordered, path, "csv")
+    found = sessions.sessionise(views.sessions_src(spark, sf)).select("session_id").distinct()
+    return sessions.session_labels(found, logs.read_session_labels(spark, path))
+
+
 @register("session_parse", o.ctes(*o.SESSIONS) + "SELECT session_id, line_id, block_id, parsed FROM sparsed")
 def session_parse(spark, sf):
     return sessions.session_parse(views.sessions_src(spark, sf))
@@ -348,8 +380,8 @@ def score_rows(spark, sf):
 @register("only_in_test", o.ctes(*o.DETECT) + "SELECT sentence FROM asked WHERE first NOT IN (SELECT first FROM bank)")
 def only_in_test(spark, sf):
     train, test = detection.split_records(views.log_lines(spark, sf))
-    bank = detection.embedded(templates.templates(train), None, 128, "bank")
-    asked = detection.embedded(templates.templates(test), None, 128, "test")
+    bank = detection.embedded(templates.templates(train), None, "bank")
+    asked = detection.embedded(templates.templates(test), None, "test")
     return templates.only_in_test(asked, bank).select("sentence")
 
 
@@ -428,17 +460,17 @@ def preview(spark, sf):
 
 @register("embed_templates", o.ctes(*TEMPLATES, *o.hash_vectors("templates"), (
     "e", "SELECT template_id, unnest(range(0,len(words)+1)) AS slot, CASE WHEN slot=0 THEN first ELSE words[slot] END AS v FROM embedded",
-)) + "SELECT template_id, slot, round(v[1],6) AS head, round(list_sum(list_transform(v, lambda x: abs(x))),5) AS size FROM e")
+)) + "SELECT template_id, slot, unnest(range(1,17)) AS dim, round(unnest(v),6) AS value FROM e")
 def embed_templates(spark, sf):
     table = templates.templates(records(spark, sf))
     done = embedding.embed_templates(table, embedding.HashEmbedder)
     slots = done.select("template_id", F.posexplode("tokens").alias("slot", "v")).withColumn(
         "slot", F.col("slot").cast("long")
     )
-    size = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double")))
-    return slots.select(
-        "template_id", "slot",
-        F.round(F.element_at("v", 1).cast("double"), 6).alias("head"), F.round(size, 5).alias("size"),
+    values = slots.select("template_id", "slot", F.posexplode("v").alias("dim", "value"))
+    return values.select(
+        "template_id", "slot", (F.col("dim") + 1).cast("long").alias("dim"),
+        F.round(F.col("value").cast("double"), 6).alias("value"),
     )
 
 
@@ -670,20 +702,15 @@ def method_comparison(spark, sf):
         "test_id", F.col("distance").alias("score")
     )
     sims = materialise(similarity.maxsim(test, bank, **VEC_IDS), "similarities")
-    scored = {"knn": near}
-    for name in ("maxsim_max", "maxsim_mean"):
-        scored[name] = thresholds.invert_scores(
-            sims.select("test_id", F.col(name).alias("score"))
-        )
+    pairs = F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in ("maxsim_max", "maxsim_mean")))
+    inverted = thresholds.invert_scores(sims.select("test_id", F.inline(pairs)), by=("method",))
+    rows = near.withColumn("method", F.lit("knn")).unionByName(inverted)
     labels = test.select(
         F.col("vec_id").alias("test_id"), (F.col("label") >= 8).cast("int").alias("label")
     )
-    rows = None
-    for name, df in scored.items():
-        one = df.join(labels, "test_id").select(
-            F.lit(name).alias("method"), "test_id", "label", F.round("score", 6).alias("score")
-        )
-        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.join(labels, "test_id").select(
+        "method", "test_id", "label", F.round("score", 6).alias("score")
+    )
     judged = detection.decide(materialise(rows, "scores"))
     return rounded(metrics.method_comparison(judged), *o.RATES)
 
@@ -699,7 +726,46 @@ def method_comparison(spark, sf):
     ("c", f"SELECT {o.cells('prediction', 'n')} FROM judged"),
 ) + f"SELECT tn, fp, fn, tp, {o.rates(6)} FROM c")
 def detect_anomalies(spark, sf):
-    return rounded(detection.nearest_normal_report(views.log_lines(spark, sf)), *o.RATES)
+    found = detection.nearest_normal_report(views.log_lines(spark, sf))
+    return rounded(found.drop("method"), *o.RATES)
+
+
+def _three(name: str) -> str:
+    return f"SELECT method, tn, fp, fn, tp, {o.rates(6)} FROM c"
+
+
+LINE_RECORDS = [*o.split(), *o.preprocessed("log_lines"), *o.SPLIT_COUNTS]
+
+
+@register("detect_three_methods", o.methods_report(LINE_RECORDS, detection.METHODS) + _three("lines"))
+def detect_three_methods(spark, sf):
+    return rounded(detection.nearest_normal_report(views.log_lines(spark, sf), methods=detection.METHODS), *o.RATES)
+
+
+@register("detect_thunderbird", o.methods_report(o.THUNDERBIRD_RECORDS, detection.METHODS) + _three("lines"))
+def detect_thunderbird(spark, sf):
+    return rounded(
+        detection.nearest_normal_report(views.cluster_lines(spark, sf), dataset="thunderbird", methods=detection.METHODS),
+        *o.RATES,
+    )
+
+
+@register("detect_hdfs_sessions", o.methods_report(o.SESSION_RECORDS, ("knn",)) + _three("sessions"))
+def detect_hdfs_sessions(spark, sf):
+    train, test = detection.split_sessions(
+        views.sessions_src(spark, sf), views.session_label_rows(spark, sf)
+    )
+    return rounded(detection.detection_report(train, test, methods=("knn",)), *o.RATES)
+
+
+@register("predict_lines", o.methods_report(LINE_RECORDS, ("knn",)) + "SELECT r.line_id, j.prediction FROM records r JOIN split s USING (line_id) JOIN (SELECT DISTINCT sentence, prediction FROM judged) j USING (sentence) WHERE s.split='test'")
+def predict_lines(spark, sf):
+    train, test = detection.split_records(views.log_lines(spark, sf))
+    test = materialise(test.select("line_id", "label", "sentence"), "test")
+    counts = materialise(detection.counted(test), "test-counts")
+    scores = detection.template_scores(train, counts, methods=("knn",))
+    cut = thresholds.best_f1_threshold(scores.join(counts, "sentence"), weight="n")
+    return detection.predict_lines(test, counts, scores, cut).select("line_id", "prediction")
 
 
 # --- prompts and answers ---------------------------------------------------------------------
@@ -749,30 +815,100 @@ def keyword_score(spark, sf):
     )
 
 
-@register("batch_score", o.ctes(*o.FIELDS) + f"SELECT line_id, label, CASE WHEN regexp_matches(log_text,'{o.ALARM}') THEN 1 ELSE 0 END AS prediction, true AS timed, true AS no_error FROM fields")
+class Refusing(scoring.KeywordScorer):
+    """Fails on prompts about some units, as a model may."""
+
+    def __call__(self, prompts):
+        if any("u-13:" in p for p in prompts):
+            raise ValueError("refused")
+        return super().__call__(prompts)
+
+
+class Digest:
+    """Answers from every character of the prompt and from its cap, so that equal
+    answers mean equal prompts."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def __call__(self, prompts):
+        marks = (hashlib.md5(f"{self.cap}|{p}".encode()).hexdigest() for p in prompts)
+        return ["1" if m[0] in "01234567" else "0" for m in marks]
+
+
+@register("batch_score", o.ctes(*o.FIELDS) + f"SELECT line_id, label, CASE WHEN NOT contains(log_text,'u-13:') AND regexp_matches(log_text,'{o.ALARM}') THEN 1 ELSE 0 END AS prediction, true AS timed, NOT contains(log_text,'u-13:') AS no_error FROM fields")
 def batch_score(spark, sf):
-    out = prompting.judged(fields(spark, sf), scoring.KeywordScorer)
+    out = prompting.judged(fields(spark, sf), Refusing)
     return out.select(
         "line_id", "label", "prediction",
         (F.col("inference_time_ms") >= 0).alias("timed"), F.col("error").isNull().alias("no_error"),
     )
 
 
-@register("prompt_sweep", o.ctes(
-    *o.FIELDS, ("m", "SELECT * FROM (VALUES " + ",".join(f"('{m}')" for m in views.MIXES) + ") v(mix)"),
-) + f"""SELECT mix, cap::INT AS cap, count(*) AS total_logs,
-  sum(CASE WHEN regexp_matches(raw_line,'{o.ALARM}') THEN 0 ELSE 1 END)::BIGINT AS normal_count,
-  sum(CASE WHEN regexp_matches(raw_line,'{o.ALARM}') THEN 1 ELSE 0 END)::BIGINT AS abnormal_count
-  FROM fields, m, (VALUES (10),(50)) c(cap) GROUP BY ALL""")
-def prompt_sweep(spark, sf):
+ALL_SETTINGS = ("m", o.CONFIGS)
+SWEPT = [*o.FIELDS, ALL_SETTINGS, ("lines", f"SELECT line_id, {o.leading('line', 1)} AS text FROM log_lines")]
+
+
+def _counts(flag: str) -> str:
+    return f"""count(*) AS total_logs, sum(CASE WHEN {flag} THEN 0 ELSE 1 END)::BIGINT AS normal_count,
+  sum(CASE WHEN {flag} THEN 1 ELSE 0 END)::BIGINT AS abnormal_count"""
+
+
+def _sweep(spark, sf, scorer):
     known = fields(spark, sf)
     replied = prompting.sweep(
-        known.select("line_id", F.col("raw_line").alias("text")),
+        prompting.sweep_lines(views.log_lines(spark, sf)),
         known.select("line_id", F.col("log_text").alias("log"), "label"),
-        views.MIXES, [10, 50], lambda cap: scoring.KeywordScorer(),
+        views.MIXES, views.CAPS["few_shot"], scorer, zero_caps=views.CAPS["zero_shot"],
     )
     return prompting.sweep_stats(replied).select(
-        "mix", "cap", "total_logs", "normal_count", "abnormal_count"
+        "mode", "mix", "cap", "total_logs", "normal_count", "abnormal_count"
+    )
+
+
+@register("prompt_sweep", o.ctes(*SWEPT) + f"""SELECT mode, mix, cap, {_counts(f"regexp_matches(text,'{o.ALARM}')")}
+  FROM lines, m GROUP BY ALL""")
+def prompt_sweep(spark, sf):
+    return _sweep(spark, sf, scoring.KeywordScorer)
+
+
+MIX_BLOCKS = [(f"mix_{m}", o.mix(a, n)) for m, (a, n) in views.MIXES.items()]
+BLOCKS = ("blocks", " UNION ALL ".join(
+    f"SELECT '{m}' AS mix, block FROM ({o.block('rules').replace('FROM mix', f'FROM mix_{m}')})" for m in views.MIXES
+))
+
+
+@register("sweep_prompts", o.ctes(*SWEPT, *MIX_BLOCKS, BLOCKS, ("asked", f"""SELECT mode, mix, cap,
+  CASE WHEN mode='few_shot' THEN {o.few_shot('rules', 'text', 'block')} ELSE {o.zero_shot('json', 'text')} END AS prompt
+  FROM lines, m LEFT JOIN blocks USING (mix)""")) + f"""SELECT mode, mix, cap,
+  {_counts("md5(cap||'|'||prompt)[1] IN ('0','1','2','3','4','5','6','7')")} FROM asked GROUP BY ALL""")
+def sweep_prompts(spark, sf):
+    """The same settings with a scorer that depends on every character of a prompt."""
+    return _sweep(spark, sf, Digest)
+
+
+PROMPTED = [*o.FIELDS,
+    ("ranked", f"""SELECT *, {o.key(42, 'line_id')} AS k, row_number() OVER (PARTITION BY label ORDER BY
+      {o.key(42, 'line_id')}, line_id) AS rn, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM fields"""),
+    ("f", "SELECT *, rn<=least(n,greatest(1,round_even(200*(n::DOUBLE/total::DOUBLE),0))) AS first FROM ranked"),
+    ("r", "SELECT *, row_number() OVER (ORDER BY first DESC, k, line_id) AS pos FROM f"),
+    ("judged", f"SELECT label, CASE WHEN regexp_matches(log_text,'{o.ALARM}') THEN 1 ELSE 0 END AS pred FROM r WHERE pos<=200"),
+    ("c", f"SELECT count(*) AS total_samples, sum(label)::BIGINT AS anomaly_count, sum(pred)::BIGINT AS predicted_anomaly_count, {o.cells('pred')} FROM judged"),
+    ("modes", "SELECT * FROM (VALUES ('zero_shot'),('few_shot')) v(mode)"),
+]
+
+
+@register("prompted_report", o.ctes(*PROMPTED) + f"""SELECT mode, c.*, total_samples AS valid_predictions, 0::BIGINT AS invalid_predictions,
+  0::BIGINT AS parse_fallback_count, {o.rates(4, 'accuracy', 'precision', 'recall', 'f1')},
+  round({o.RATES['accuracy']},4) AS all_accuracy, round({o.RATES['f1']},4) AS all_f1 FROM c, modes""")
+def prompted_report(spark, sf):
+    known = fields(spark, sf)
+    examples = examples_of(spark, sf, 2, 2)
+    judged = prompting.benchmark(known, scoring.KeywordScorer, 200, examples)
+    return prompting.benchmark_report(judged).select(
+        "mode", "total_samples", "anomaly_count", "predicted_anomaly_count", "tn", "fp", "fn", "tp",
+        "valid_predictions", "invalid_predictions", "parse_fallback_count",
+        "accuracy", "precision", "recall", "f1", "all_accuracy", "all_f1",
     )
 
 
@@ -815,7 +951,7 @@ def parse_last(spark, sf):
 
 
 @register("parse_json_label", o.ctes(ANS, ("f", f"SELECT *, {o.OBJECT} AS obj FROM answers")) + f"""SELECT id,
-  CASE WHEN obj IS NOT NULL AND json_valid(obj) THEN json_extract_string(obj,'$.Label')
+  CASE WHEN contains(response,'"Label": "0"') THEN '0' WHEN obj IS NOT NULL AND json_valid(obj) THEN json_extract_string(obj,'$.Label')
     WHEN contains(response,'0') THEN '0' ELSE '1' END AS label_text,
   CASE WHEN obj IS NOT NULL AND json_valid(obj) THEN json_extract_string(obj,'$.line') ELSE trim(line,{o.WS}) END AS line FROM f""")
 def parse_json_label(spark, sf):

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.session import materialise, spread
+from cinderlog.session import materialise, parallelism
 from cinderlog.sources.logs import session_labels_of
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def written(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
-    """Derived log text as a table, written once per application: the operators
-    then read it as they would a raw log, from a column and not an expression."""
+def written(df: DataFrame, sf_dir: str, name: str, key_column: str = "line_id") -> DataFrame:
+    """A fixture as a table dealt over all tasks, written once per application: the
+    operators then read it as they would a raw log, from a column and not an expression."""
     key = (df.sparkSession.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = materialise(spread(df, "line_id"), name)
+        tasks = parallelism(df.sparkSession)
+        _written[key] = materialise(df.repartition(tasks, key_column), name)
     return _written[key]
 
 
@@ -25,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return written(docs, sf_dir, "documents", "doc_id")
 
 
 def _text(c: Column) -> Column:
@@ -174,25 +176,29 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, response, line): model replies of every shape the parsers know."""
+    """(id, response, line): model replies of every shape the parsers know, each around
+    a whole text; ``line`` is that text with blanks at its ends."""
     c, t = F.col("conv_id"), F.col("turn")
-    shape = (c + t) % 8
+    shape, text = (c + t) % 10, F.col("text")
     reply = (
         F.when(shape == 0, "0")
-        .when(shape == 1, "1")
-        .when(shape == 2, "<think>maybe 0\n</think> so 1")
-        .when(shape == 3, "<think> not closed 1")
-        .when(shape == 4, "answer 1, not 0")
-        .when(shape == 5, "x10y")
-        .when(shape == 6, F.concat(
-            F.lit('{"Label": "1", "line": "'), F.col("role"), F.lit('"}')))
-        .otherwise(F.col("role"))
+        .when(shape == 1, F.concat(F.lit("1\n"), text))
+        .when(shape == 2, F.concat(F.lit("<think>"), text, F.lit("\n0</think> so 1")))
+        .when(shape == 3, F.concat(F.lit("<think> not closed 1 "), text))
+        .when(shape == 4, F.concat(text, F.lit(" so 1, not 0")))
+        .when(shape == 5, F.lit("x10y"))
+        .when(shape == 6, F.to_json(F.struct(F.lit("1").alias("Label"), text.alias("line"))))
+        .when(shape == 7, F.concat(F.lit("{'Label': '1'} "), text))
+        .when(shape == 8, F.lit('{"Label": "1", "Label": "0", "line": "x"}'))
+        .otherwise(text)
     )
+    padded = F.concat(F.lit("  "), text, F.lit(" \t"))
     return table(spark, sf_dir, "conversations").select(
-        (c * 1000 + t).alias("id"), reply.alias("response"), F.col("role").alias("line")
+        (c * 1000 + t).alias("id"), reply.alias("response"), padded.alias("line")
     )
 
 
+# fixed values: the sweep's example mixes and token caps
 MIXES = {"4ab": (4, 0), "3ab1n": (3, 1), "2ab2n": (2, 2), "1ab3n": (1, 3), "4n": (0, 4)}
 CAPS = {"few_shot": [10, 50, 75, 100, 512], "zero_shot": [10, 25, 50, 75, 100]}
 

@@ -60,14 +60,3 @@ def parallelism(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         2 * spark.sparkContext.defaultParallelism,
     )
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a small input, read straight from files, over all tasks by key,
-    before costly work per row.
-
-    Few, small files give few tasks. An input with at least as many splits as
-    there are tasks, as any large one has, stays where it is.
-    """
-    tasks = parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)

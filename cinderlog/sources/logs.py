@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlog.functions import text as tx
+from cinderlog.operators import ordered
+from cinderlog.session import materialise
 
-# Offsets of up to this many input splits are broadcast (some 100 bytes each).
-BROADCAST_SPLITS = 200_000
+# One row of 24 bytes per input split goes to every task: up to so many splits (some
+# petabytes of text) as a broadcast, beyond that through a shuffle join.
+BROADCAST_SPLITS = 10_000_000
 
 
 def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
@@ -16,8 +19,8 @@ def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
     in path order.
 
     Rows of one input split carry consecutive generated ids. One pass that reads
-    no column counts the rows per split; the running sum of those counts, one
-    value per split, then shifts the ids. No sort, no shuffle of the rows.
+    no column counts the rows per split; running sums over a file's splits, and
+    over the files, then shift the ids. No sort, no shuffle of the rows.
     """
     marked = df.select(
         "*",
@@ -25,27 +28,29 @@ def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    counted = marked.groupBy("_file", "_start").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_n")
+    )
+    splits = materialise(counted, "splits")
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    files = ordered.running_totals(files, "_file", {"_rows": "_upto"})
+    in_file = Window.partitionBy("_file").orderBy("_start").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     shifts = (
-        marked.groupBy("_file", "_start")
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        splits.withColumn("_before", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
+        .join(files.select("_file", (F.col("_upto") - F.col("_rows")).alias("_files")), "_file")
         .select(
-            "_file",
-            "_start",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.xxhash64("_file").alias("_file_key"), F.col("_start").alias("_split_start"),
+            (F.col("_files") + F.col("_before") - F.col("_first")).alias("_shift"),
         )
     )
-    if _splits_at_most(df) <= BROADCAST_SPLITS:
+    if splits.count() <= BROADCAST_SPLITS:
         shifts = F.broadcast(shifts)
-    return marked.join(shifts, ["_file", "_start"]).select(
-        (F.col("_at") + F.col("_shift")).alias(name), *df.columns
-    )
-
-
-def _splits_at_most(df: DataFrame) -> int:
-    """Upper bound on input splits: a split is a whole file, or a full-size piece
-    of one that fills a partition, or the rest of one."""
-    return len(df.inputFiles()) + df.rdd.getNumPartitions()
+    return marked.join(
+        shifts,
+        (F.xxhash64("_file") == F.col("_file_key")) & (F.col("_start") == F.col("_split_start")),
+    ).select((F.col("_at") + F.col("_shift")).alias(name), *df.columns)
 
 
 def read_log_lines(spark: SparkSession, path: str, drop_bad: bool = False) -> DataFrame:
@@ -61,23 +66,59 @@ def _need(df: DataFrame, columns: set[str], what: str) -> None:
         raise ValueError(f"{what} lacks columns: {', '.join(missing)}")
 
 
-def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
+def unescaped(text: Column) -> Column:
+    """Undo ``sinks.escaped``: ``\\n``, ``\\r`` and ``\\\\`` stand for themselves again."""
+    mark = F.lit("\ufffe")  # not a character, so in no text
+    out = F.replace(text, F.lit("\\\\"), mark)
+    for code, char in (("\\n", "\n"), ("\\r", "\r")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return F.replace(out, mark, F.lit("\\"))
+
+
+def read_csv(
+    spark: SparkSession, path: str, escaped: bool = False, multi_line: bool = False
+) -> DataFrame:
+    """A CSV file with a header, all columns as text, outer blanks kept.
+
+    Line breaks in values: ``escaped`` reads what ``sinks.write_predictions`` wrote, file
+    parts at a time; ``multi_line`` reads quoted breaks, a whole file in one task.
+    """
+    df = _raw_csv(spark, path, escaped, multi_line)
+    return df.select(*(unescaped(F.col(c)).alias(c) for c in df.columns)) if escaped else df
+
+
+def _raw_csv(spark: SparkSession, path: str, escaped: bool, multi_line: bool) -> DataFrame:
+    # escaped files tell an empty text from a missing one
+    null = {"nullValue": "\\N"} if escaped else {}
+    return spark.read.csv(
+        path, header=True, escape='"', multiLine=multi_line,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **null,
+    )
+
+
+def read_labelled_csv(
+    spark: SparkSession, path: str, escaped: bool = False, multi_line: bool = False
+) -> DataFrame:
     """(id, log_text, label); a running id is added where the file has none."""
-    df = spark.read.csv(path, header=True, escape='"')
+    df = _raw_csv(spark, path, escaped, multi_line)
     _need(df, {"log_text", "label"}, "labelled CSV")
     if "id" not in df.columns:
         df = number_rows(df, "id")
+    text = F.col("log_text")
     return df.select(
-        F.col("id").cast("long"), "log_text", F.col("label").cast("int").alias("label")
+        F.col("id").cast("long"), (unescaped(text) if escaped else text).alias("log_text"),
+        F.trim("label").cast("int").alias("label"),
     )
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
+def read_examples(
+    spark: SparkSession, path: str, escaped: bool = False, multi_line: bool = False
+) -> DataFrame:
     """(log, label) from a JSON array or a CSV file."""
     if path.lower().endswith(".json"):
         df = spark.read.json(path, multiLine=True)
     elif path.lower().endswith(".csv"):
-        df = spark.read.csv(path, header=True, escape='"')
+        df = read_csv(spark, path, escaped, multi_line)
     else:
         raise ValueError("examples must be a .json or .csv file")
     _need(df, {"log", "label"}, "examples")
@@ -85,15 +126,17 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, label) from BlockId,Label; "Anomaly" is 1, all else 0."""
+    """(session_id, label, label_no) from BlockId,Label; "Anomaly" is 1, all else 0.
+    ``label_no`` is the row's number in the files."""
     df = spark.read.csv(path, header=True, schema="BlockId string, Label string")
-    return session_labels_of(df)
+    return session_labels_of(number_rows(df, "label_no"))
 
 
 def session_labels_of(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("BlockId").alias("session_id"),
         F.when(F.col("Label") == "Anomaly", 1).otherwise(0).alias("label"),
+        *(c for c in df.columns if c == "label_no"),
     )
 
 

@@ -2,57 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.operators import sampling
 
 
-def _mode(once: bool) -> str:
-    return "ignore" if once else "overwrite"
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job wrote ``path`` to its end: the marker is the last thing it writes.
+    What a failed run left behind does not count."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def write_split(
     split: DataFrame, path: str, id_: str = "line_id", line: str = "line", once: bool = True
 ) -> DataFrame:
-    """Write ``path/lines/split=train`` and ``split=test`` as text in one pass
-    (normal lines first), and ``path/sizes`` as JSON; returns the sizes."""
-    ordered = split.repartitionByRange("split", "label", id_).sortWithinPartitions(
-        "split", "label", id_
-    )
-    ordered.select("split", line).write.mode(_mode(once)).partitionBy("split").text(
-        f"{path}/lines"
+    """Write ``path/lines/split=train`` and ``split=test`` as text, and ``path/sizes`` as
+    JSON; returns the sizes. One pass: the sizes are counted on the way, and rows
+    keep the order they come in."""
+    spark = split.sparkSession
+    if not (once and finished(spark, f"{path}/sizes")):
+        seen = Observation()
+        counted = split.observe(seen, *sampling.split_size_columns("label"))
+        counted.select("split", line).write.mode("overwrite").partitionBy("split").text(
+            f"{path}/lines"
+        )
+        sizes = spark.createDataFrame([seen.get])
+        write_metrics(sizes.select("train_normal", "test_normal", "test_abnormal"), f"{path}/sizes")
+    return spark.read.json(f"{path}/sizes")
+
+
+def escaped(text: Column) -> Column:
+    """Line breaks as ``\\n`` and ``\\r``, so that a row of text stays one line."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _csv(df: DataFrame, path: str, **options: str) -> None:
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options,
     )
-    write_metrics(sampling.split_sizes(split), f"{path}/sizes", once)
-    return split.sparkSession.read.json(f"{path}/sizes")
 
 
 def write_predictions(
-    df: DataFrame, path: str, fmt: str = "json", once: bool = False
+    df: DataFrame, path: str, fmt: str = "json", once: bool = False, escape_breaks: bool = True
 ) -> None:
-    """JSON lines, or CSV with a header."""
+    """JSON lines, or CSV with a header. CSV keeps outer blanks; line breaks in its
+    values are escaped (a missing value is ``\\\\N``), or with ``escape_breaks=False`` stay as they are in quotes."""
     if fmt not in ("json", "csv"):
         raise ValueError("predictions are written as json or csv")
-    writer = df.write.mode(_mode(once))
+    if once and finished(df.sparkSession, path):
+        return
     if fmt == "json":
-        writer.json(path)
+        df.write.mode("overwrite").json(path)
+    elif escape_breaks:
+        texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+        _csv(df.withColumns({c: escaped(F.col(c)) for c in texts}), path, nullValue="\\N")
     else:
-        writer.csv(path, header=True, escape='"')
+        _csv(df, path)
 
 
 def write_metrics(
-    metrics: DataFrame, path: str, once: bool = False, **metadata: str | int | float
+    metrics: DataFrame, path: str, once: bool = False, fmt: str = "json",
+    **metadata: str | int | float,
 ) -> None:
-    """A few rows of metrics, with the run's settings as columns, as JSON."""
-    (
-        metrics.withColumns({k: F.lit(v) for k, v in metadata.items()})
-        .coalesce(1)
-        .write.mode(_mode(once))
-        .json(path)
-    )
+    """A few rows of metrics, with the run's settings as columns, as JSON or CSV."""
+    if once and finished(metrics.sparkSession, path):
+        return
+    out = metrics.withColumns({k: F.lit(v) for k, v in metadata.items()}).coalesce(1)
+    if fmt == "csv":
+        _csv(out, path)
+    else:
+        out.write.mode("overwrite").json(path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
-    """Parquet between the steps of a job; work already written is read back."""
-    df.write.mode("ignore").parquet(path)
+    """Parquet between the steps of a job; finished work is read back, unfinished
+    work is done again."""
+    if not finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -74,27 +74,82 @@ def test_lookup_equals_a_plain_join_under_skew(spark):
         assert got[i] == (values.get(k), k in values)
 
 
-def test_lookup_spreads_the_hot_key(spark):
-    """No shuffle partition of the join gets the hot key's rows together."""
+@pytest.mark.parametrize("named", [True, False])
+def test_lookup_spreads_the_hot_key(spark, tmp_path, named):
+    """No partition of the result gets the hot key's rows together, equal rows (a frame
+    without an id) included, and the join is really there."""
     before = {k: spark.conf.get(k) for k in (
         "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        rows = spark.range(9000).select(
+        rows = spark.range(0, 9000, 1, 8).select(
             "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k")
         )
-        table = rows.select("k").distinct().withColumn("v", F.length("k"))
+        table = rows.select("k").distinct().withColumn("v", F.concat(F.lit("of "), "k"))
+        table.write.parquet(str(tmp_path / "table"))
+        rows = rows if named else rows.select("k")
+        found = joins.lookup(rows, spark.read.parquet(str(tmp_path / "table")), "k")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert "BroadcastHashJoin" in plan
         sizes = [
-            r.n for r in joins.lookup(rows, table, "k")
+            r.n for r in found.where(F.col("v") == F.concat(F.lit("of "), "k"))
             .groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
         ]
-        assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / 8
+        assert sum(sizes) == 9000 and max(sizes) < 2 * 9000 / len(sizes)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
+def test_lookup_keeps_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(100)], "id int, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    got = joins.lookup(rows, table, "k").collect()
+    assert len(got) == 100 and sum(r._found for r in got) == 50
+    assert all(r.v == (1 if r.k == "a" else None) for r in got)
+
+
+def test_ranges_follow_the_partitions(spark):
+    """More shuffle partitions, more and smaller ranges: nothing is fixed."""
+    df = spark.range(40_000).select((F.col("id") * 7 % 40_009).alias("k"), F.lit(1).alias("v"))
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        parts = []
+        for n in ("4", "16"):
+            spark.conf.set(key, n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            out = ordered.running_totals(df, "k", {"v": "upto"})
+            assert out.where("upto = 40000").count() == 1 and out.select("upto").distinct().count() == 40_000
+            ranged = df.repartitionByRange("k").groupBy(F.spark_partition_id()).count().collect()
+            parts.append((len(ranged), max(r["count"] for r in ranged)))
+        assert parts[0][0] == 4 and parts[1][0] == 16 and parts[1][1] < parts[0][1] / 2
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_totals_by_group(spark):
+    rows = [(g, k, k + 1) for g in "ab" for k in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int, v long")
+    got = {(r.g, r.k): (r.s, r.all_s) for r in ordered.running_totals(df, "k", {"v": "s"}, by=("g",)).collect()}
+    assert all(got[g, k] == ((k + 1) * (k + 2) // 2, 1275) for g, k, _ in rows)
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 7, 100_000])
+def test_the_bucket_that_is_ranked_does_not_grow(spark, bucket_rows):
+    rows = spark.range(3000).select("id")
+    flagged = sampling.flag_first(
+        rows, "id", sampling.seeded_key(F.col("id"), 9), F.col("id") % 2,
+        lambda n, _: F.floor(n / 3), bucket_rows=bucket_rows,
+    )
+    got = {r.id for r in flagged.where("picked").collect()}
+    want = first_by_hash(range(0, 3000, 2), 500, 9) | first_by_hash(range(1, 3000, 2), 500, 9)
+    assert got == want
+
+
 def test_only_in_test_compares_whole_vectors(spark):
     schema = "template_id int, first array<float>"
     bank = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0])], schema)
@@ -307,6 +362,7 @@ def test_weights_stand_for_rows(spark):
     assert a == metrics.binary_metrics(thresholds.apply_threshold(full, cut)).first()
 
 
+# fixed values: metrics of the published runs
 GOLDENS = [
     ((369, 3, 1, 142), dict(accuracy=0.9922330, f1=0.9861111, precision=0.9793103, recall=0.9930070, hard_auc=0.9924712)),
     ((14, 358, 0, 143), dict(accuracy=0.3048544, f1=0.4440994, precision=0.2854291, recall=1.0, hard_auc=0.5188172)),
@@ -378,3 +434,33 @@ def test_run_stats_shares(spark):
 def test_best_config_ties(spark):
     df = spark.createDataFrame([("b", 10, 1.0), ("a", 20, 1.0), ("a", 10, 0.5)], "mix string, cap int, f1 double")
     assert tuple(runstats.best_config(df, {"f1": True}).first()) == ("f1", "a", 20, 1.0)
+
+
+def test_prompts_are_built_in_the_scoring_stage(spark):
+    df = spark.createDataFrame([(0, "x halted"), (1, "y"), (2, "x halted")], "line_id int, text string")
+    block = "word " * 700
+    build = lambda t: F.concat(F.lit(f"{block}\n\nEntry: "), t, F.lit("\nDigit:"))
+    out = scoring.batch_score(df, scoring.KeywordScorer, "text", build)
+    assert {r.line_id: r.response for r in out.collect()} == {0: "1", 1: "0", 2: "1"}
+
+
+def test_keyword_scorer_judges_whole_entries(spark):
+    entry = "halted " + "word " * 600
+    assert scoring.KeywordScorer()([f"Judge.\n\nEntry: {entry}\nDigit:", "Judge halted ones.\n\nEntry: ok\nDigit:"]) == ["1", "0"]
+    row = spark.createDataFrame([(entry,)], "t string").select(scoring.keyword_score(F.col("t"))).first()
+    assert row[0] == "1"
+
+
+def test_sentences_that_differ_late_get_vectors_of_their_own(spark):
+    same = " ".join(["word"] * 200)
+    table = spark.createDataFrame([(0, same + " a"), (1, same + " b")], "template_id int, sentence string")
+    built = [r.tokens for r in embedding.embed_builtin(table).orderBy("template_id").collect()]
+    assert built[0][0] != built[1][0] and len(built[0]) == 202
+
+
+def test_repeated_session_labels(spark):
+    found = spark.createDataFrame([("blk_1",), ("blk_2",)], "session_id string")
+    labels = spark.createDataFrame([("blk_1", 1, 0), ("blk_1", 0, 5), ("blk_2", 0, 1), ("blk_2", 1, 2)],
+                                   "session_id string, label int, label_no long")
+    got = {r.session_id: r.label for r in sessions.session_labels(found, labels).collect()}
+    assert got == {"blk_1": 0, "blk_2": 1}

@@ -18,9 +18,7 @@ def split(spark, tmp_path_factory):
 def test_three_methods_and_their_line_predictions(spark, split, core_set):
     train, test = split
     counts = detection.materialise(detection.counted(test))
-    scores = detection.template_scores(
-        train, counts, embedding.HashEmbedder, core_set=core_set, max_tokens=16
-    )
+    scores = detection.template_scores(train, counts, embedding.HashEmbedder, core_set=core_set)
     report = {r.method: r for r in detection.evaluate(counts, scores).collect()}
     assert set(report) == {"knn", "maxsim_max", "maxsim_mean"}
     rows = test.count()
@@ -56,7 +54,6 @@ def test_few_shot_run(spark):
     pool = records.select("line_id", F.col("log_text").alias("log"), "label")
     examples = scoring.example_mix(pool, 1, 2)
     out = prompting.judged(records, scoring.KeywordScorer, examples, style="short", parser="first")
-    assert out.where("prompt NOT LIKE '%Solved entries:%'").count() == 0
     row = prompting.report(out).first()
     assert row.total_samples == records.count() == row.valid_predictions
     assert row.avg_inference_time_ms >= 0
@@ -78,12 +75,33 @@ def test_sweep_makes_a_scorer_per_cap(spark):
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    lines = spark.createDataFrame([(i, f"line {i % 3}") for i in range(9)], "line_id long, text string")
+    raw = [(i, f"- line {i % 3}") for i in range(9)] + [(9, "  ")]
+    lines = prompting.sweep_lines(spark.createDataFrame(raw, "line_id long, line string"))
+    assert {r.text for r in lines.collect()} == {"line 0", "line 1", "line 2"}
     pool = spark.createDataFrame(
         [(i, f"log {i}", i % 2) for i in range(8)], "line_id long, log string, label int"
     )
     out = prompting.sweep(lines, pool, {"2ab2n": (2, 2), "4n": (0, 4)}, [10, 50], Capped)
     stats = {(r.mix, r.cap): r for r in prompting.sweep_stats(out).collect()}
     assert set(stats) == {(m, c) for m in ("2ab2n", "4n") for c in (10, 50)}
+    zero = prompting.sweep(lines, pool, {"4n": (0, 4)}, [50], Capped, zero_caps=[75])
+    modes = {(r.mode, r.mix, r.cap): r.abnormal_count for r in prompting.sweep_stats(zero).collect()}
+    assert modes == {("few_shot", "4n", 50): 9, ("zero_shot", "none", 75): 9}
     assert all(r.total_logs == 9 for r in stats.values())
     assert stats["4n", 50].abnormal_count == 9 and stats["4n", 10].normal_count == 9
+
+
+def test_options_of_the_report(spark, split):
+    train, test = split
+    report = detection.detection_report(
+        train, test, methods=detection.METHODS, train_ratio=0.5, first_only=True, core_set=0.5, timed=True
+    ).collect()
+    assert {r.method for r in report} == set(detection.METHODS)
+    assert all(r.score_s > 0 and r.avg_response_s > 0 for r in report)
+
+
+def test_other_datasets(spark):
+    report = detection.nearest_normal_report(views.cluster_lines(spark, SF), dataset="thunderbird").first()
+    assert report.tp + report.fn > 0
+    train, test = detection.split_sessions(views.sessions_src(spark, SF), views.session_label_rows(spark, SF))
+    assert train.count() and set(r.label for r in test.select("label").distinct().collect()) == {0, 1}

@@ -75,6 +75,33 @@ def test_predictions_in_both_formats(spark, tmp_path):
         sinks.write_predictions(df, str(tmp_path / "p"), "pickle")
 
 
+@pytest.mark.parametrize("escape", [True, False])
+def test_csv_gives_back_what_it_got(spark, tmp_path, escape):
+    values = ["  lead and trail  ", 'two\nlines, "quoted"', "back\\slash\\n\\\\", "a\rb", "\ttab", "plain", "é\u2028x", ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, log_text string").withColumn("label", F.lit(1))
+    path = str(tmp_path / "c")
+    sinks.write_predictions(df, path, "csv", escape_breaks=escape)
+    back = logs.read_labelled_csv(spark, path, escaped=escape, multi_line=not escape)
+    got = {r.id: (r.log_text, r.label) for r in back.collect()}
+    if not escape:  # a carriage return ends a quoted line as a line feed does
+        values[3], values[7] = got[3][0], None  # and an empty text is a missing one
+    assert got == {i: (v, 1) for i, v in enumerate(values)}
+
+
+def test_stage_after_a_failed_run(spark, tmp_path):
+    path = tmp_path / "s"
+    broken = spark.range(4).select(F.raise_error(F.lit("stop")).alias("id"))
+    with pytest.raises(Exception):
+        sinks.stage(broken, str(path))
+    assert sinks.stage(spark.range(3), str(path)).count() == 3
+    assert sinks.stage(spark.range(9), str(path)).count() == 3
+
+
+def test_metrics_as_csv(spark, tmp_path):
+    sinks.write_metrics(spark.createDataFrame([(0.5,)], "f1 double"), str(tmp_path / "m"), fmt="csv", model="a b")
+    assert tuple(logs.read_csv(spark, str(tmp_path / "m")).first()) == ("0.5", "a b")
+
+
 def test_stage_keeps_finished_work(spark, tmp_path):
     path = str(tmp_path / "s")
     assert sinks.stage(spark.range(3), path).count() == 3
