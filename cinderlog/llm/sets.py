@@ -167,57 +167,69 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 def long_list_links(lists: DataFrame, sets: DataFrame, links: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) that the members of long lists (token, cid, n, pos) need for their
-    components, beside the given ``links``."""
+    """Links (a, b) that connect what the given ``links`` and the members of long lists
+    (token, cid, n, pos) connect: one to each member's component, and the rest."""
     far = (100 - near.percent) / 100
+    # a pair fits when its slacks, places against the room for unshared tokens, add up to 0 at
+    # most; so one of its sets has none above 0, and the other not more than the list allows
+    lists = lists.withColumn("slack", (100 + near.percent) * F.col("pos") - (100 - near.percent) * F.col("n"))
+    least = lists.where("slack <= 0").groupBy("token").agg(F.min("slack").alias("least"))
+    lists = materialise(
+        lists.join(least, "token").where("slack + least <= 0").select("token", "cid", "n", "slack"), "long-lists"
+    )
     rows = lists.count()
-    known = lists.sparkSession.createDataFrame([], "a long, b long, distance double, linked boolean")
+    if not rows:
+        return links
+    found = links
     for turn in range(ROUNDS):
         drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(turn * LEADERS + k)), "cid"))["cid"] for k in range(LEADERS)]
-        leaders = lists.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("leaders"))
-        leaders = materialise(leaders, "leaders")
-        pairs = lists.join(leaders, "token").select(F.explode("leaders").alias("a"), F.col("cid").alias("b"))
-        pairs = pairs.where("a <> b").distinct()
+        leaders = lists.where("slack <= 0").groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("leaders"))
+        led = materialise(lists.join(leaders, "token"), "led")
+        pairs = led.select(F.explode("leaders").alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
         fresh = materialise(verified(pairs, sets, near), "compared")
-        known = known.unionByName(fresh.select("a", "b", "distance", "linked"))
-        found = links.select("a", "b").unionByName(known.where("linked").select("a", "b"))
-        labels = materialise(components(found), "labels")
-        at = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-            "part", F.coalesce("component", "cid")
+        labels = components(found.unionByName(fresh.where("linked").select("a", "b")))
+        labels = materialise(labels, "labels")
+        # from here on a link to its component stands for all links of a member
+        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        to_leader = fresh.select(F.col("a").alias("leader"), F.col("b").alias("cid"), "distance")
+        rest = (
+            led.select("token", "cid", "n", "slack", F.col("leaders")[0].alias("leader"))
+            .join(to_leader, ["leader", "cid"], "left")
+            .join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+            .select(
+                "token", "cid", "n", "slack", F.coalesce("component", "cid").alias("part"),
+                F.coalesce("distance", F.lit(0.0)).alias("distance"),
+            )
         )
-        # how many pairs between components are left, before their distances are used
-        parts = at.groupBy("token", "part").agg(F.count("*").alias("n"))
-        by_token = parts.groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = by_token.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0))).first()[0]
+        # sets whose distances to the leader differ by more than a slot cannot be linked
+        rest = materialise(rest.withColumn("slot", F.floor(F.col("distance") / far).cast("int")), "rest")
+        near_slots = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot")
+        mine = rest.where("slack <= 0")
+        others = rest.select("token", "cid", "n", "slack", "part", "distance", near_slots)
+        left = _product(mine, others, ["token", "slot"]) - _product(mine, others, ["token", "slot", "part"])
         if not left:
-            return known.where("linked").select("a", "b")
+            return found
         if left <= 20 * rows:
             break
-    open_tokens = by_token.where(F.col("all") * F.col("all") > F.col("own")).select("token")
-    # distance of each member to the first leader of its list
-    to_leader = fresh.select(F.col("a").alias("leader"), F.col("b").alias("cid"), "distance")
-    rest = (
-        at.join(open_tokens, "token", "left_semi")
-        .join(leaders.select("token", F.col("leaders")[0].alias("leader")), "token")
-        .join(to_leader, ["leader", "cid"], "left")
-        .withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-        .withColumn("slot", F.floor(F.col("distance") / far).cast("int"))
-    )
-    side = lambda x: [F.col(c).alias(c + x) for c in ("cid", "n", "pos", "part", "distance")]
-    mine = rest.select("token", "slot", *side("_a"), F.col("slot").alias("slot_a"))
-    others = rest.select(
-        "token", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"), *side("_b"), F.col("slot").alias("slot_b")
-    )
+    names = ("cid", "n", "slack", "part", "distance")
+    mine = mine.select("token", "slot", *(F.col(c).alias(f"{c}_a") for c in names))
+    others = others.select("token", "slot", *(F.col(c).alias(f"{c}_b") for c in names))
     pairs = mine.join(others, ["token", "slot"]).where(
-        ((F.col("slot_a") != F.col("slot_b")) | (F.col("cid_a") < F.col("cid_b")))
-        & (F.col("part_a") != F.col("part_b"))
+        (F.col("part_a") != F.col("part_b"))
+        & (F.col("slack_a") + F.col("slack_b") <= 0)
         & near.sizes_fit("n_a", "n_b")
         & (F.abs(F.col("distance_a") - F.col("distance_b")) <= far + 1e-9)
-        & near.apart(F.col("n_a"), F.col("n_b"), F.col("pos_a") + F.col("pos_b"))
     )
     pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
-    last = verified(pairs, sets, near).where("linked").select("a", "b")
-    return known.where("linked").select("a", "b").unionByName(last)
+    return found.unionByName(verified(pairs, sets, near).where("linked").select("a", "b"))
+
+
+def _product(left: DataFrame, right: DataFrame, keys: list[str]) -> int:
+    """How many pairs a join on ``keys`` would make."""
+    counted = left.groupBy(*keys).agg(F.count("*").alias("l")).join(
+        right.groupBy(*keys).agg(F.count("*").alias("r")), keys
+    )
+    return counted.agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0))).first()[0]
 
 
 def long_prefixes(sets: DataFrame, short: DataFrame, frequent: DataFrame, near: Near) -> DataFrame:
@@ -286,7 +298,7 @@ def set_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
         verified(close.unionByName(others).distinct(), sets, near).where("linked").select("a", "b"), "links"
     )
     lists = more.where("long").select("token", "cid", "n", "pos")
-    return rows, links.unionByName(long_list_links(lists, sets, links, near))
+    return rows, long_list_links(lists, sets, links, near)
 
 
 def jaccard_components(docs: DataFrame, near: Near = QUERY) -> DataFrame:
