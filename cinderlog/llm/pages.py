@@ -152,6 +152,9 @@ class Lines(HTMLParser):
 
 def lines_of(html: str) -> list[tuple[str, int, tuple]]:
     parser = Lines()
+    last = html.rfind("<!--")
+    if last >= 0 and "-->" not in html[last:]:
+        html = html[:last]  # an unclosed comment, which the parser would give as text
     parser.feed(html)
     parser.close()
     parser.line_end()
