@@ -22,8 +22,9 @@ are formed. A few leaders of each list are compared with all its members. A memb
 takes over its leader's links: both are in one component then, and pairs inside a
 component need no answer. For the rest the distance to the leader bounds the
 distance to each other (1 - Jaccard is a metric), and only pairs whose distances to
-the leader differ by less than the threshold allows are compared. New leaders are
-drawn while too many such pairs are left.
+the leader differ by less than the threshold allows are compared, and of these only
+pairs whose sketches (token counts by the lowest bits) leave room for the threshold.
+New leaders are drawn as long as they leave clearly fewer such pairs.
 
 Rows: null texts, texts without a word have an empty set, linked with nothing.
 Repeated rows are one document; rows with one id and different texts belong to one
@@ -51,6 +52,7 @@ from cinderlog.session import materialise
 LIST = 32
 LEADERS = 4
 ROUNDS = 6
+SKETCH = 128
 LAST = (1 << 63) - 1
 CHUNK_WORDS = 200_000
 
@@ -95,7 +97,12 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, below: int | None, width: int) -> DataFrame:
-    """(doc_id, cid, n, tokens): class, size and the tokens below ``below`` (None: all)."""
+    """(doc_id, cid, n, tokens, sketch): class, size and the tokens below ``below`` (None: all).
+
+    ``sketch`` counts a whole set's tokens by their lowest bits; two sets have at least as
+    many unshared tokens as their sketches are apart. It comes with whole sets only.
+    """
+    whole = below is None
 
     def chunks(batches: Iterator[pa.RecordBatch]):
         ids, words, ends = [], [], []
@@ -118,24 +125,28 @@ def signed(docs: DataFrame, below: int | None, width: int) -> DataFrame:
                 pd.util.hash_array(np.array(words, dtype=object), categorize=False)
                 if words else np.empty(0, np.uint64)
             )
-            cids, sizes, parts, at = [], [], [], 0
+            cids, sizes, parts, sketches, at = [], [], [], [], 0
             for end in ends:
                 found = shingle_set(hashes[at:end], width)
                 at = end
                 cids.append(xxhash.xxh3_64_intdigest(found.tobytes()) >> 1 if len(found) else None)
                 sizes.append(len(found))
-                parts.append(found if below is None else found[: np.searchsorted(found, below)])
+                parts.append(found if whole else found[: np.searchsorted(found, below)])
+                sketches.append(np.bincount(found % SKETCH, minlength=SKETCH).astype(np.int32) if whole else None)
             offsets = np.cumsum([0, *map(len, parts)])
             tokens = pa.ListArray.from_arrays(
                 pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64())
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), tokens],
-                ["doc_id", "cid", "n", "tokens"],
+                [
+                    pa.array(ids, pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), tokens,
+                    pa.array(sketches, pa.list_(pa.int32())),
+                ],
+                ["doc_id", "cid", "n", "tokens", "sketch"],
             )
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, cid long, n long, tokens array<long>")
+    return rows.mapInArrow(run, "doc_id long, cid long, n long, tokens array<long>, sketch array<int>")
 
 
 def list_pairs(lists: DataFrame, near: Near) -> DataFrame:
@@ -180,9 +191,12 @@ def long_list_links(lists: DataFrame, sets: DataFrame, links: DataFrame, near: N
     rows = lists.count()
     if not rows:
         return links
-    found = links
+    found, before = links, None
     for turn in range(ROUNDS):
-        drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(turn * LEADERS + k)), "cid"))["cid"] for k in range(LEADERS)]
+        # the member with the fewest tokens of its own stands in the middle of a group; the others at random
+        drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(turn * LEADERS + k)), "cid"))["cid"] for k in range(1, LEADERS)]
+        if not turn:
+            drawn.insert(0, F.min(F.struct("slack", F.xxhash64("cid"), "cid"))["cid"])
         leaders = lists.where("slack <= 0").groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("leaders"))
         led = materialise(lists.join(leaders, "token"), "led")
         pairs = led.select(F.explode("leaders").alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
@@ -209,16 +223,21 @@ def long_list_links(lists: DataFrame, sets: DataFrame, links: DataFrame, near: N
         left = _product(mine, others, ["token", "slot"]) - _product(mine, others, ["token", "slot", "part"])
         if not left:
             return found
-        if left <= 20 * rows:
+        if left <= 20 * rows or before is not None and left > 0.8 * before:
             break
-    names = ("cid", "n", "slack", "part", "distance")
-    mine = mine.select("token", "slot", *(F.col(c).alias(f"{c}_a") for c in names))
-    others = others.select("token", "slot", *(F.col(c).alias(f"{c}_b") for c in names))
+        before = left
+    # the sketches' distance is at most the number of unshared tokens
+    sketches = sets.select("cid", "sketch")
+    names = ("cid", "n", "slack", "part", "distance", "sketch")
+    mine = mine.join(sketches, "cid").select("token", "slot", *(F.col(c).alias(f"{c}_a") for c in names))
+    others = others.join(sketches, "cid").select("token", "slot", *(F.col(c).alias(f"{c}_b") for c in names))
+    off = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
     pairs = mine.join(others, ["token", "slot"]).where(
         (F.col("part_a") != F.col("part_b"))
         & (F.col("slack_a") + F.col("slack_b") <= 0)
         & near.sizes_fit("n_a", "n_b")
         & (F.abs(F.col("distance_a") - F.col("distance_b")) <= far + 1e-9)
+        & near.apart(F.col("n_a"), F.col("n_b"), off)
     )
     pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     return found.unionByName(verified(pairs, sets, near).where("linked").select("a", "b"))
@@ -290,7 +309,7 @@ def set_links(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     texts = texts.join(wanted.select("doc_id"), "doc_id", "left_semi")
     whole = signed(texts, None, near.width).join(wanted.select("cid"), "cid", "left_semi")
-    sets = materialise(whole.select("cid", "n", "tokens").dropDuplicates(["cid"]), "sets")
+    sets = materialise(whole.select("cid", "n", "tokens", "sketch").dropDuplicates(["cid"]), "sets")
 
     more = materialise(long_prefixes(sets, short, frequent, near), "prefixes")
     others = list_pairs(more.where("NOT long"), near).select("a", "b")
