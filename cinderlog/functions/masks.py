@@ -1,13 +1,12 @@
 """Masking of the variable parts of log lines.
 
 Text patterns give digits, letters and whitespace their Unicode meaning. On a
-line that is all ASCII the plain classes mean the same and run much faster, so
-every chain exists in both forms and the line picks one.
+line that is all ASCII the plain classes mean the same, so every chain exists in
+both forms and the line picks one.
 
 Whole tokens are matched from their start: where a token fails there, it fails
 at every later position too, and the pattern need not try them. Classes list
-their characters one by one, which the regex engine turns into a bit set;
-several ranges in a class cost ten times as much per character.
+their characters one by one, which the regex engine turns into a bit set.
 """
 
 from __future__ import annotations
