@@ -17,7 +17,9 @@ loses nothing.
 
 Every retrieved pair is verified on word order: the shares of the question's and
 of the answer's runs of three words that occur in the passage must both reach
-``overlap``. An item without an answer column counts its last quarter as answer.
+``OVERLAP``. Items without question and answer columns are verified as a whole, by
+the share of all runs of ``text``, which stands in ``question_overlap``; the other
+share is 1, as for every empty side.
 
 Rows: null and empty texts hold no leak; items without a word are left out. A pair
 of document and item gives one row, that of its best passage (the first of equal
@@ -235,15 +237,11 @@ def search(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, fl
 
 
 def with_answers(items: DataFrame) -> DataFrame:
-    """(item_id, question, answer); without these columns the text is parted in words."""
+    """(item_id, question, answer); without these columns the whole text and no answer."""
     if {"question", "answer"} <= set(items.columns):
         return items.select("item_id", "question", "answer")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    n = F.greatest(F.lit(1), F.size(words) - F.greatest(F.lit(1), (F.size(words) / 4).cast("int")))
     return items.where(F.col("text").isNotNull()).select(
-        "item_id",
-        F.array_join(F.slice(words, 1, n), " ").alias("question"),
-        F.array_join(F.filter(words, lambda w, k: k >= n), " ").alias("answer"),
+        "item_id", F.col("text").alias("question"), F.lit("").alias("answer")
     )
 
 

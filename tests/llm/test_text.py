@@ -175,6 +175,24 @@ def test_leaks_of_odd_rows(spark, make):
     assert {r.item_id for r in leaks.find(docs, texts).collect()} == {7}
 
 
+def test_copies_cut_at_either_end_are_leaks(spark, make):
+    """Items of a text alone: three quarters of one are a leak, whichever end is missing."""
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    (index,) = leaks.indexes(items)
+    copies = []
+    for r in items.where("text IS NOT NULL").collect():
+        words = r.text.split()
+        n = len(words)
+        if n >= 12:
+            copies += [(r.item_id, " ".join(words[a:b])) for a, b in ((0, n * 9 // 10), (0, n * 3 // 4), (n - n * 3 // 4, n))]
+    found = {(k, index.ids[i]) for k, i, *_ in leaks.search(index, [f"before it {t} after it" for _, t in copies])}
+    assert len(copies) > 30 and all((k, item) in found for k, (item, _) in enumerate(copies))
+    text = "one of them began a long and quite unusual walk across seven frozen lakes toward his old home"
+    one = spark.createDataFrame([(1, text)], "item_id long, text string")
+    parts = [text[: text.index(" toward")], text[text.index("a long") :], " ".join(sorted(text.split()))]
+    assert sorted(r.doc_id for r in leaks.find(make(list(enumerate(parts))), one).collect()) == [0, 1]
+
+
 # --- secrets ---------------------------------------------------------------------------
 
 
