@@ -1,11 +1,11 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-1. A document is its lines with a word, each a hash. A gram is a run of up to
-   ``GRAM`` lines. A gram is a fingerprint when it reaches ``HEAVY_WORDS`` words
-   with as few lines as possible, or when its hash is the minimum of a window of
-   ``WINDOW`` neighbouring grams of full length (of equal ones the last). So two
-   places that share a run of GRAM + WINDOW - 1 lines, or one of HEAVY_WORDS words
-   in at most GRAM lines, share a fingerprint.
+1. A document is its lines with a word, each a hash. A gram is a run of lines. It is
+   a fingerprint when it reaches ``HEAVY_WORDS`` words with as few lines as possible,
+   at most ``HEAVY_LINES``, or when it has ``GRAM`` lines and its hash is the minimum
+   of a window of ``WINDOW`` neighbouring ones (of equal ones the last). So two places
+   that share a run of GRAM + WINDOW - 1 lines, or a shorter one of HEAVY_WORDS
+   words, share a fingerprint.
 2. Each fingerprint's places are joined with its first place, in order of
    doc_id, then place in the document. Pairs of later places are never formed.
 3. On every diagonal found (document, first document, shift) the match is extended
@@ -30,6 +30,7 @@ from cinderlog.session import materialise
 GRAM = 3
 WINDOW = 3
 HEAVY_WORDS = 50
+HEAVY_LINES = GRAM + WINDOW - 2  # from one line more on, the windows find a run of any words
 LAST = (1 << 63) - 1
 
 
@@ -73,9 +74,9 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         return F.xxhash64(F.slice("hash", k + 1, size), F.lit(size))
 
     def heavy(k: Column) -> Column:
-        """Fewest lines from ``k`` on that reach the words, up to GRAM; else null."""
+        """Fewest lines from ``k`` on that reach the words, up to HEAVY_LINES; else null."""
         total, found = F.lit(0), F.lit(None).cast("int")
-        for size in range(1, GRAM + 1):
+        for size in range(1, HEAVY_LINES + 1):
             total = total + F.coalesce(F.get("words", k + size - 1), F.lit(0))
             found = F.coalesce(found, F.when((total >= HEAVY_WORDS) & (k + size <= n), size))
         return found

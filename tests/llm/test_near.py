@@ -134,6 +134,19 @@ def test_equal_rows_and_blank_lines(make):
     assert lines.dedup(make([])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(13, 13, 13, 13), (16, 16, 16, 16), (25, 14, 7, 5), (5, 7, 14, 25), (2, 23, 2, 24)])
+def test_four_lines_of_fifty_words_go(make, sizes):
+    """No three of the lines reach HEAVY_WORDS words, and all four are one short of the windows' run."""
+    rows = []
+    for p in range(12):
+        passage = "\n".join(para(f"p{p}l{j}x", n) for j, n in enumerate(sizes))
+        for copy in (p, 100 + p):
+            own = [[f"own {copy} {side} {j}" for j in range(6)] for side in "ab"]
+            rows.append((copy, "\n".join([*own[0], passage, *own[1]])))
+    out = {r.doc_id: r.n_deleted for r in lines.dedup(make(rows)).collect()}
+    assert {out[p] for p in range(12)} == {0} and {out[100 + p] for p in range(12)} == {4}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_guaranteed_runs_never_stay(make, seed):
     """No run of GRAM + WINDOW - 1 lines, nor one of HEAVY_WORDS words in a line, is left twice."""
