@@ -7,15 +7,14 @@
    element, role, or words of class and id.
 2. A line's ratio is its characters per tag. Ratios are smoothed along the page
    with a Gaussian, and lines at or above the mean of the smoothed ratios are cores.
-3. Cores cluster by their containers: the content region is the outermost articles
-   (or the main element) that hold a core, or without such the deepest container
-   with at least ``HOLDS`` of the cores' characters. Every line of the region stays,
-   so short lines are not lost.
+3. Cores cluster by their containers: the content region is all outermost articles
+   (or main elements), or without such the deepest section that holds every core, or
+   the whole page. Every line of the region stays, so short lines are not lost. A
+   block beside that section without a core line is not part of it.
 
 Rows: null and empty html gives an empty text, so does a page without a line.
 Unclosed and stray tags are taken as they come; a comment that never ends hides
 the rest. Repeated rows are extracted each for itself; other columns are ignored.
-Of equal containers the first wins.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from pyspark.sql import DataFrame
 from cinderlog.llm.common import per_batch
 
 SIGMA = 1.5
-HOLDS = 0.7
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -58,6 +56,7 @@ CLOSES = {  # a start tag that ends an open element of these names
     "th": {"td", "th"}, "option": {"option"},
 }
 REGIONS = frozenset(("article", "main"))
+SECTIONS = frozenset("body html div section td main article".split())
 
 
 class Lines(HTMLParser):
@@ -175,31 +174,18 @@ def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
     size = np.array([len(text) for text, *_ in lines], float)
     ratio = smoothed(size / np.maximum(1, [tags for _, tags, _ in lines]))
     core = ratio >= ratio.mean() - 1e-9
-    holders: dict[tuple, float] = {}  # container -> characters of the cores in it
-    depth: dict[tuple, int] = {}
-    for k in np.flatnonzero(core):
-        for d, box in enumerate(lines[k][2]):
-            holders[box] = holders.get(box, 0.0) + size[k]
-            depth[box] = d
-    outer = {next((box for box in path if box[0] in REGIONS), None) for _, _, path in lines} - {None}
-    chosen = {box for box in outer if box in holders}
-    if not chosen and outer:
-        chosen = outer
+    chosen = {next((box for box in path if box[0] in REGIONS), None) for _, _, path in lines} - {None}
     if not chosen:
-        need = HOLDS * size[core].sum()
-        whole = [box for box, held in holders.items() if held >= need]
-        # lines outside any container are a region of their own
-        if not whole:
+        paths = [lines[k][2] for k in np.flatnonzero(core)]
+        shared = 0  # containers that hold all cores
+        while all(len(path) > shared and path[shared] == paths[0][shared] for path in paths):
+            shared += 1
+        # a single long paragraph is not the region, its section is
+        while shared and paths[0][shared - 1][0] not in SECTIONS:
+            shared -= 1
+        if not shared:
             return [text for text, *_ in lines]
-        chosen = {max(whole, key=lambda box: (depth[box], -box[1]))}
-        if next(iter(chosen))[0] not in ("body", "html", "div", "section", "td", "main", "article"):
-            # a single long paragraph is not the region, its parent is
-            box = next(iter(chosen))
-            path = next(p for _, _, p in lines if box in p)
-            at = path.index(box)
-            if not at:
-                return [text for text, *_ in lines]
-            chosen = {path[at - 1]}
+        chosen = {paths[0][shared - 1]}
     return [text for text, _, path in lines if any(box in chosen for box in path)]
 
 

@@ -29,6 +29,19 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+THIRD = "Another sentence of the same article, further down. " * 3
+
+
+@pytest.mark.parametrize("body, parts", [
+    (f"<div id=content><div><p>{LONG}</p><p>{LONG}</p></div><div><p>{THIRD}</p><p>End.</p></div></div>", [LONG, LONG, THIRD, "End."]),
+    (f"<div id=content><div><div><p>{LONG}</p><p>{LONG}</p></div></div><section><ul><li>{THIRD}</li></ul></section></div>", [LONG, LONG, THIRD]),
+    (f"<article><p>{LONG}</p></article><article><p>Short one.</p></article>", [LONG, "Short one."]),
+    (f"<div><article><p>{LONG}</p></article></div><p>Between.</p><article>b</article>", [LONG, "b"]),
+])
+def test_no_part_of_a_split_article_is_lost(body, parts):
+    assert pages.main_text(article(body, NAV, FOOT)) == "\n\n".join(x.strip() for x in parts)
+
+
 def test_extract(spark):
     table = spark.read.parquet(f"{SF}/pages.parquet").withColumnRenamed("url", "url")
     out = pages.extract(table.selectExpr("*", "1 as text")).collect()
