@@ -144,6 +144,11 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """An unclosed comment, which the parser would give as text, ends the page: it is fed whole."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if not self.unseen:
             self.text.append(data)
@@ -151,9 +156,6 @@ class Lines(HTMLParser):
 
 def lines_of(html: str) -> list[tuple[str, int, tuple]]:
     parser = Lines()
-    last = html.rfind("<!--")
-    if last >= 0 and "-->" not in html[last:]:
-        html = html[:last]  # an unclosed comment, which the parser would give as text
     parser.feed(html)
     parser.close()
     parser.line_end()

@@ -42,6 +42,18 @@ def test_no_part_of_a_split_article_is_lost(body, parts):
     assert pages.main_text(article(body, NAV, FOOT)) == "\n\n".join(x.strip() for x in parts)
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<script>var s = '<!--';</script>", ""),
+    ("<style>/* <!-- */</style>", ""),
+    ("<p hidden title='<!--'>no</p>", ""),
+    ("<!-- closed --><nav title='<!--'>no</nav>", "<!-- never closed <p>no</p>"),
+    ("<nav>no<script>s = '<!--'</script></nav>", "<!-- never closed <a href='<!--'> &amp"),
+    ("", "<script>var s = '<!--"),
+])
+def test_comment_marks_that_open_no_comment(before, after):
+    assert pages.main_text(article(f"<article><p>{LONG}</p></article>", before, after)) == LONG.strip()
+
+
 def test_extract(spark):
     table = spark.read.parquet(f"{SF}/pages.parquet").withColumnRenamed("url", "url")
     out = pages.extract(table.selectExpr("*", "1 as text")).collect()
