@@ -1,8 +1,10 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
 A candidate is a run of at least ``SHORTEST`` characters of the alphabets that keys
-are written in, with a digit or of at least ``LONGEST_PLAIN`` characters. Its features
-are
+are written in, with a digit or of at least ``LONGEST_PLAIN`` characters; and any value
+of at least ``SHORTEST_VALUE`` characters of whatever alphabet that is assigned to a
+secret's name: up to its closing quote or, without quotes, to a blank or the next
+``&name=``, less closing signs at its end. Its features are
 
 - length, shares of digits, capitals, small letters and signs, distinct characters,
   and how often the kind of character changes;
@@ -36,12 +38,16 @@ from cinderlog.session import materialise
 
 SHORTEST = 16
 LONGEST_PLAIN = 20
+SHORTEST_VALUE = 6
 PARTS = 20_000
 SAMPLE = 20_000
 TREES, DEPTH = 20, 6
 RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key"
 ASSIGNED = rf"(?i)(?:^|[^a-z])[a-z_-]*(?:{NAMES})[\"']?\s*[:=]\s*[\"']?$"
+# where the value of an assignment begins, in words joined by single blanks
+VALUE = rf"(?i)(?<=(?:{NAMES})[\"']? ?[:=] ?)(?=(\"[^\"\s]+|'[^'\s]+|[^\"'\s]\S*))"
+LAST_VALUE = VALUE + r"(?=\S*$)"  # in the last of the words
 KNOWN = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abpr]-[A-Za-z0-9-]{20,}$|^sk_live_[A-Za-z0-9]{16,}$"
 FEATURES = (
     "length digits capitals small signs distinct changes hex transitions coverage "
@@ -52,29 +58,49 @@ FEATURES = (
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, source, word_no, run_no, candidate, context, after), one row per candidate.
 
-    ``context`` is the two words before and what stands before the run in its word.
+    ``context`` is the two words before and what stands before the candidate in its word.
+    Values that are no runs are numbered after the runs of their word.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    rows = docs.where(F.rlike("text", F.lit(RUN))).select(
+    rows = docs.where(F.rlike("text", F.lit(RUN)) | F.rlike("text", F.lit(rf"(?i)(?:{NAMES})[\"']?\s*[:=]"))).select(
         "doc_id", F.coalesce(source, F.lit("")).alias("source"),
         F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
     )
+    get = lambda k: F.coalesce(F.get("words", k), F.lit(""))
+    # an assignment needs its sign in the word or at the end of what stands before it
+    signed = lambda k: F.rlike(get(k), F.lit("[:=]")) | F.rlike(get(k - 1), F.lit("[:=]$"))
     places = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1),
-        lambda k: (F.length(F.get("words", k)) >= SHORTEST) & F.rlike(F.get("words", k), F.lit(RUN)),
+        lambda k: (F.length(F.get("words", k)) >= SHORTEST) & F.rlike(F.get("words", k), F.lit(RUN))
+        | signed(k) & F.rlike(F.concat_ws(" ", get(k - 2), get(k - 1), get(k)), F.lit(LAST_VALUE)),
     )
     rows = rows.select("doc_id", "source", "words", F.explode(places).alias("word_no"))
-    word = lambda k: F.coalesce(F.get("words", F.col("word_no") + k), F.lit(""))
+    word = lambda k: get(F.col("word_no") + k)
     rows = rows.select(
         "doc_id", "source", "word_no", word(0).alias("word"),
         F.concat_ws(" ", word(-2), word(-1)).alias("before"), word(1).alias("after"),
     )
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)).alias("run_no", "candidate"))
-    kept = F.rlike("candidate", F.lit("[0-9]")) | (F.length("candidate") >= LONGEST_PLAIN)
-    inside = F.substr(F.col("word"), F.lit(1), F.position(F.col("candidate"), F.col("word")) - 1)
-    return rows.where(kept).select(
+    runs = F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)
+    found = F.regexp_extract_all(F.concat_ws(" ", "before", "word"), F.lit(LAST_VALUE), 1)
+    quoted = lambda v: F.rlike(v, F.lit("^[\"']"))
+    ends = F.lit("(?:&[A-Za-z0-9_.-]+=.*|[,;.)}\\]>\"'`]+)$")
+    values = F.transform(found, lambda v: F.when(quoted(v), F.substr(v, F.lit(2))).otherwise(F.regexp_replace(v, ends, F.lit(""))))
+    kept = lambda c: F.rlike(c, F.lit("[0-9]")) | (F.length(c) >= LONGEST_PLAIN)
+    rows = rows.select("*", runs.alias("runs"), values.alias("values"))
+    values = F.filter(
+        "values", lambda v: (F.length(v) >= SHORTEST_VALUE) & ~(F.array_contains("runs", v) & kept(v))
+    )
+    one = lambda c, value: F.struct(c.alias("candidate"), F.lit(value).alias("value"))
+    every = F.concat(F.transform("runs", lambda c: one(c, False)), F.transform(values, lambda c: one(c, True)))
+    rows = rows.select("*", F.posexplode(every).alias("run_no", "found")).select("*", "found.*")
+    # a value stands after its sign, where its name may hold the same characters
+    place = F.position(F.col("candidate"), F.col("word"))
+    for sign in ("=", ":", "=\"", ":\"", "='", ":'"):
+        at = F.position(F.concat(F.lit(sign), F.col("candidate")), F.col("word"))
+        place = F.when(F.col("value") & (at > 0), at + len(sign)).otherwise(place)
+    return rows.where(F.col("value") | kept(F.col("candidate"))).select(
         "doc_id", "source", "word_no", "run_no", "candidate",
-        F.concat_ws(" ", "before", inside).alias("context"), "after",
+        F.concat_ws(" ", "before", F.substr(F.col("word"), F.lit(1), place - 1)).alias("context"), "after",
     )
 
 

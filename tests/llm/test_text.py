@@ -224,6 +224,24 @@ def test_candidates_are_complete(spark, make, corpus):
     assert secrets.candidates(corpus).count() == want
 
 
+def test_assigned_values_of_any_length_and_alphabet(spark, make):
+    texts = {
+        'password = "hunter2024" here': ["hunter2024"], "x pwd=p@ss!w.r$d end": ["p@ss!w.r$d"], "secret: abcdefghijklmnopq": ["abcdefghijklmnopq"],
+        '{"password":"Tr0ub&dor","user":"someone1"}': ["Tr0ub&dor"], "u?token=abc12345&pwd=xyz98765&q=other123": ["abc12345", "xyz98765"],
+        "api_key\n=\nk1k2k3, and": ["k1k2k3"], "auth='short' token=\"abc\" x": [], "secret=secret": ["secret"], "the password hunter2024": [],
+        "token=0123456789abcdef01.": ["0123456789abcdef01"], "user = hunter2024": [], "PASSWORD='12ab' or x": [],
+        "password: pass1234 secret: word9876": ["pass1234", "word9876"],
+    }
+    rows = secrets.candidates(make(list(enumerate(texts)))).collect()
+    got = {k: sorted(r.candidate for r in rows if r.doc_id == k) for k in range(len(texts))}
+    assert got == {k: sorted(v) for k, v in enumerate(texts.values())}
+    assert all(re.search(secrets.ASSIGNED, r.context) for r in rows)
+    assert len({(r.doc_id, r.word_no, r.run_no) for r in rows}) == len(rows)
+    many = [(k, f'login with password = "hunter{k * 7919}!x" and order 4{10**16 + k * 31} too') for k in range(60)]
+    out = secrets.scan(make(many)).collect()
+    assert len(out) == 120 and all(r.is_secret == r.candidate.startswith("hunter") for r in out)
+
+
 def test_secrets_without_labels(spark, make):
     out = secrets.scan(make([(1, "0123456789abcdef")])).collect()
     assert [(r.candidate, r.probability, r.is_secret) for r in out] == [("0123456789abcdef", 1.0, True)]
