@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cinderlog.llm import language, leaks, lines, packing, pages, quality, secrets, sets, tokenfile, urls
+from cinderlog.llm import (
+    divergence, language, leaks, lines, oracles, packing, pages, quality, secrets, sets, tokenfile, urls,
+)
 from cinderlog.llm.common import table
 from cinderlog.session import shared_folder
 
+
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-file")
     tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -65,6 +68,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     f.__name__: (f, None)
     for f in (
@@ -80,4 +87,5 @@ REGISTRY = {
         op10_html_extraction,
     )
 }
+REGISTRY["op13_source_divergence_audit"] = (op13_source_divergence_audit, oracles.SOURCE_DIVERGENCE)
 REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
