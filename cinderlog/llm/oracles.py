@@ -38,3 +38,45 @@ SELECT lang, source, part, item, value,
     row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
 FROM part QUALIFY part = 'pair' OR rank <= 50
 """
+
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+f2 AS (
+    SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f
+    FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w) GROUP BY ALL
+), f3 AS (
+    SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f
+    FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, w1, w2, max(f) AS f FROM (
+        SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3
+    ) GROUP BY ALL
+), cuts AS (
+    SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, a.f AS l, b.f AS r
+    FROM f2 JOIN f1 a ON a.lang = f2.lang AND a.w = f2.w1 JOIN f1 b ON b.lang = f2.lang AND b.w = f2.w2
+    LEFT JOIN longer ON longer.lang = f2.lang AND longer.w1 = f2.w1 AND longer.w2 = f2.w2
+    WHERE f2.f >= 10 AND 100 * coalesce(longer.f, 0) < 50 * f2.f
+    UNION ALL
+    SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, a.f, b.f
+    FROM f3 JOIN f1 a ON a.lang = f3.lang AND a.w = f3.w1
+    JOIN f2 b ON b.lang = f3.lang AND b.w1 = f3.w2 AND b.w2 = f3.w3
+    UNION ALL
+    SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, a.f, b.f
+    FROM f3 JOIN f2 a ON a.lang = f3.lang AND a.w1 = f3.w1 AND a.w2 = f3.w2
+    JOIN f1 b ON b.lang = f3.lang AND b.w = f3.w3
+), best AS (
+    SELECT lang, phrase, a, l, r,
+        (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score
+    FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from cinderlog.llm import (
-    divergence, language, leaks, lines, oracles, packing, pages, quality, secrets, sets, tokenfile, urls,
+    divergence, language, leaks, lines, oracles, packing, pages, phrases, quality, secrets, sets, tokenfile,
+    urls,
 )
 from cinderlog.llm.common import table
 from cinderlog.session import shared_folder
@@ -68,6 +69,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -87,5 +92,6 @@ REGISTRY = {
         op10_html_extraction,
     )
 }
+REGISTRY["op12_phrase_collocation_mining"] = (op12_phrase_collocation_mining, oracles.PHRASES)
 REGISTRY["op13_source_divergence_audit"] = (op13_source_divergence_audit, oracles.SOURCE_DIVERGENCE)
 REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
