@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from cinderlog.llm import (
-    divergence, language, leaks, lines, oracles, packing, pages, phrases, quality, secrets, sets, tokenfile,
-    urls,
+    classifier, divergence, language, leaks, lines, oracles, packing, pages, phrases, quality, secrets,
+    sets, tokenfile, urls,
 )
 from cinderlog.llm.common import table
 from cinderlog.session import shared_folder
@@ -69,6 +69,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ REGISTRY = {
         op8_benchmark_decontamination,
         op9_best_fit_packing,
         op10_html_extraction,
+        op11_quality_classifier,
     )
 }
 REGISTRY["op12_phrase_collocation_mining"] = (op12_phrase_collocation_mining, oracles.PHRASES)
