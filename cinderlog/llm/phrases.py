@@ -52,8 +52,7 @@ TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else ord(END) if b in BREAKS else 0x20 if b == 0x09 else b
     for b in range(256)
 )
-EDGE = "lang string, w1 binary, w2 binary, w3 binary, salt int, n long"
-EDGE_COLUMNS = ["lang", "w1", "w2", "w3", "salt", "n"]
+EDGE = "lang string, gram binary, salt int, n long"
 FLOW = "kind string, lang string, w1 binary, w2 binary, w3 binary, n long"
 
 
@@ -118,16 +117,17 @@ class Held:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([self.lang] * len(part), pa.string()),
-                    *(table.take(pa.array(w)) for w in (w1, w2, w3)),
+                    pc.binary_join_element_wise(*(table.take(pa.array(w)) for w in (w1, w2, w3)), b" "),
                     pa.array(salt), pa.array(n[at : at + OUT_ROWS]),
                 ],
-                EDGE_COLUMNS,
+                ["lang", "gram", "salt", "n"],
             )
         self.empty()
 
 
 def edges(docs: DataFrame, hot: dict[str, set[tuple[bytes, bytes]]]) -> DataFrame:
-    """(lang, w1, w2, w3, salt, n): edges as tasks have combined them."""
+    """(lang, gram, salt, n): edges as tasks have combined them. A gram is three words,
+    the last or the last two of them empty at an end, with a blank between each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Held] = {}
@@ -147,20 +147,41 @@ def edges(docs: DataFrame, hot: dict[str, set[tuple[bytes, bytes]]]) -> DataFram
             if h.n:
                 yield from h.edges()
 
-    return docs.mapInArrow(run, EDGE)
+    return docs.mapInArrow(run, EDGE).withColumn("gram", F.col("gram").cast("string"))
+
+
+def node() -> Column:
+    return F.substring_index("gram", " ", 2)
+
+
+def words_of(grams: pa.Array) -> list[pa.Array]:
+    """First, second and third words: the text between the blanks, without a copy per word."""
+    grams = grams.cast(pa.binary())
+    data = np.frombuffer(grams.buffers()[2], np.uint8) if grams.buffers()[2] else np.empty(0, np.uint8)
+    ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
+    data = data[ends[0] : ends[-1]]
+    blanks = np.flatnonzero(data == 0x20).reshape(-1, 2)
+    # every blank is left out, so what comes after it moves to the front by one
+    stops = np.column_stack([blanks, ends[1:] - ends[0]]).astype(np.int64)
+    stops -= 2 * np.arange(len(grams))[:, None] + np.arange(3)
+    offsets = np.append(0, stops.ravel()).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), 3 * len(grams), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 0x20])]
+    )
+    return [words.take(pa.array(np.arange(k, 3 * len(grams), 3))) for k in range(3)]
 
 
 def hot_nodes(docs: DataFrame) -> dict[str, set[tuple[bytes, bytes]]]:
     """Nodes with more than 1/HOT_PARTS of the edges of a sample: fewer than HOT_PARTS."""
     sample = edges(docs.where(F.rand(7) < SAMPLED), {})
     counts = materialise(
-        sample.groupBy("lang", "w1", "w2").agg(F.count("*").alias("n")), "sampled-nodes"
+        sample.groupBy("lang", node().alias("node")).agg(F.count("*").alias("n")), "sampled-nodes"
     )
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     most = counts.where((F.col("n") * HOT_PARTS > total) & (F.col("n") >= FEW)).collect()
     out: dict[str, set[tuple[bytes, bytes]]] = {}
     for r in most:
-        out.setdefault(r["lang"], set()).add((bytes(r["w1"]), bytes(r["w2"])))
+        out.setdefault(r["lang"], set()).add(tuple(r["node"].encode().split(b" ")))
     return out
 
 
@@ -190,6 +211,13 @@ def flows(parts: DataFrame, min_count: int) -> DataFrame:
             table.schema.get_field_index("n"), "n", pa.array(n)
         )
 
+    def split(table: pa.Table) -> pa.Table:
+        words = words_of(table.column("gram").combine_chunks())
+        return pa.table(
+            [table.column("lang"), *words[:2], table.column("salt"), words[2], table.column("n")],
+            names=[*keys, "n"],
+        )
+
     def rows(kind: str, table: pa.Table, width: int) -> list[pa.RecordBatch]:
         none = pa.nulls(table.num_rows, pa.binary())
         words = [table.column(f"w{k}").combine_chunks() if k <= width else none for k in (1, 2, 3)]
@@ -204,24 +232,33 @@ def flows(parts: DataFrame, min_count: int) -> DataFrame:
         yield from rows("word", summed(done, keys[:2]), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = node = None  # the last ones so far, of one row each
+        edge = last = None  # the last ones so far, of one row each
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).select([*keys, "n"])
-            table = summed(pa.concat_tables([edge, table]) if edge else table, keys)
+            table = split(summed(pa.Table.from_batches([batch]), ["gram", "lang", "salt"]))
+            table = summed(pa.concat_tables([edge, table]), keys) if edge else table
             edge, whole = table.slice(table.num_rows - 1), table.slice(0, table.num_rows - 1)
             if whole.num_rows:
                 yield from rows("edge", whole.filter(pc.greater_equal(whole.column("n"), min_count)), 3)
-                found = summed(pa.concat_tables([node, whole]) if node else whole, keys[:4])
-                node, done = found.slice(found.num_rows - 1), found.slice(0, found.num_rows - 1)
+                found = summed(pa.concat_tables([last, whole]) if last else whole, keys[:4])
+                last, done = found.slice(found.num_rows - 1), found.slice(0, found.num_rows - 1)
                 if done.num_rows:
                     yield from nodes(done)
         if edge:
             yield from rows("edge", edge.filter(pc.greater_equal(edge.column("n"), min_count)), 3)
-            yield from nodes(summed(pa.concat_tables([node, edge]) if node else edge, keys[:4]))
+            yield from nodes(summed(pa.concat_tables([last, edge]) if last else edge, keys[:4]))
 
-    dealt = parts.repartition("lang", "w1", "w2", "salt").sortWithinPartitions(*keys)
+    # by hashes first, of the first word and of the node: most rows differ in these
+    order = F.shiftleft(F.hash("lang", F.substring_index("gram", " ", 1)).cast("long"), 32).bitwiseOR(
+        F.hash(node(), "salt").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    )
+    dealt = (
+        parts.repartition("lang", node(), "salt")
+        .withColumn("_order", order)
+        .sortWithinPartitions("_order", "lang", "salt", "gram")
+        .drop("_order")
+    )
     return dealt.mapInArrow(run, FLOW).withColumns(
         {w: F.col(w).cast("string") for w in ("w1", "w2", "w3")}
     )
