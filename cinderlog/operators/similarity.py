@@ -4,8 +4,9 @@ Test and bank sides are cut into blocks of bounded size. A test block meets a
 bank block in one task, which runs a dense kernel on Arrow data and returns, per
 test template, a partial result: its k nearest in the block, or the
 (max, sum, count) of its similarities. Partials merge by an ordinary aggregate.
-No pair of templates is ever a row, nothing is collected or broadcast, and a
-block is bounded by construction whatever the key distribution.
+No pair of templates is ever a row, and blocks are cut by their measured size
+(``blocks``). The k nearest of a bank of several blocks, and the best match alone, are
+found without a look at every pair (``pruned``).
 """
 
 from __future__ import annotations
@@ -17,29 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlog.operators import blocks, pruned
 from cinderlog.session import parallelism
 
 BLOCK_FLOATS = 8_000_000  # per side and task: 32 MB of float32
-MIN_TEST_ROWS = 16
 
 
 def _width(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, v: acc + F.size(v))
 
 
-def _blocks(side: DataFrame, block_floats: int) -> DataFrame:
-    """One value (by_size, by_rows): blocks needed to keep a block's vectors
-    bounded, and blocks there could be at most for the sake of more tasks."""
-    return side.agg(
-        F.struct(
-            F.greatest(
-                F.ceil(F.coalesce(F.sum("_floats"), F.lit(0)) / F.lit(block_floats)), F.lit(1)
-            ).cast("int").alias("by_size"),
-            F.ceil(F.count("*") / F.lit(MIN_TEST_ROWS)).cast("int").alias("by_rows"),
-        ).alias("blocks")
-    )
-
-
 def _flat(df: DataFrame, id_: str, tokens: Column, prefix: str) -> DataFrame:
     """Token matrices as one flat array, its token lengths apart: the cheapest
     form to hand to Arrow."""
@@ -59,46 +47,34 @@ def _grid(
 ):
     """Place both sides on the grid (test block, bank block).
 
-    With ``wanted`` (test_id, bank_id) a test row goes only to the bank blocks
-    that hold rows it wants, and carries their ids.
+    The bank is copied once per test block, so there are more of those than size asks
+    for only as long as tasks would be idle. With ``wanted`` (test_id, bank_id) a
+    test row goes only to the bank blocks that hold rows it wants, and carries their ids.
     """
-    spark = test.sparkSession
-    tasks = parallelism(spark)
-    bank_size, test_size = _blocks(bank, block_floats), _blocks(test, block_floats)
-
-    def with_counts(df: DataFrame) -> DataFrame:
-        """Add the number of blocks of either side. The bank is copied once per
-        test block, so there are more of those than size asks for only as long
-        as tasks would be idle."""
-        df = df.withColumn("_b", bank_size.scalar()).withColumn("_t", test_size.scalar())
-        nb = F.col("_b.by_size")
-        idle = F.least(F.col("_t.by_rows"), F.ceil(F.lit(tasks) / nb).cast("int"))
-        return df.withColumns({"_nb": nb, "_nt": F.greatest("_t.by_size", idle)})
-
-    def block_of(id_: Column, n: Column) -> Column:
-        return F.pmod(F.xxhash64(id_), n).cast("int")
-
-    test = with_counts(test)
-    test = test.withColumn("test_block", block_of(F.col("test_id"), F.col("_nt")))
+    tasks = parallelism(test.sparkSession)
+    bank, n_bank = blocks.dealt(bank, "bank_id", block_floats)
+    bank = bank.withColumnRenamed("block", "bank_block")
+    test, n_test = blocks.dealt(test, "test_id", block_floats, -(-tasks // n_bank))
+    test = test.withColumnRenamed("block", "test_block")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
     if wanted is None:
-        test = test.withColumn(
-            "bank_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-        ).withColumn("wanted", F.lit(None).cast("array<bigint>"))
+        test = test.withColumn("bank_block", each(n_bank)).withColumn(
+            "wanted", F.lit(None).cast("array<bigint>")
+        )
     else:
         lists = (
-            with_counts(wanted)
-            .withColumn("bank_block", block_of(F.col("bank_id"), F.col("_nb")))
-            .groupBy("test_id", "bank_block")
+            wanted.join(bank.select("bank_id", F.col("bank_block").alias("_in")), "bank_id")
+            .groupBy("test_id", F.col("_in").alias("bank_block"))
             .agg(F.collect_list("bank_id").alias("wanted"))
         )
         test = test.join(lists, "test_id")
-    bank = with_counts(bank)
-    bank = bank.withColumn("bank_block", block_of(F.col("bank_id"), F.col("_nb"))).withColumn(
-        "test_block", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))
-    )
+    bank = bank.withColumn("test_block", each(n_test))
     keys = ["test_block", "bank_block"]
-    left = test.drop("_b", "_t", "_nb", "_nt", "_floats").repartition(tasks, *keys)
-    right = bank.drop("_b", "_t", "_nb", "_nt", "_floats").repartition(tasks, *keys)
+    left = test.drop("_floats").repartition(tasks, *keys)
+    right = bank.drop("_floats").repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
@@ -182,11 +158,13 @@ def nearest(
     block_floats: int = BLOCK_FLOATS,
 ) -> DataFrame:
     """(test_id, rank, bank_id, distance): the k nearest bank vectors, Euclidean,
-    nearest first, ties by bank id. Exact."""
+    nearest first, ties by bank id. Exact. A bank of more than one block is searched
+    by pivots, and blocks that cannot matter are left out."""
     one = F.array(F.col(vector))
-    grid = _grid(
-        _flat(test, test_id, one, "test"), _flat(bank, bank_id, one, "bank"), block_floats
-    )
+    test, bank = _flat(test, test_id, one, "test"), _flat(bank, bank_id, one, "bank")
+    if blocks.sizes(bank, block_floats).floats > block_floats:
+        return pruned.merged(pruned.searched(test, bank, k, block_floats, _nearest), k)
+    grid = _grid(test, bank, block_floats)
     partial = grid.applyInArrow(
         _knn_kernel(k), "test_id long, bank_id long, distance double"
     )
@@ -205,6 +183,26 @@ def nearest(
     )
 
 
+def visits(
+    test: DataFrame,
+    bank: DataFrame,
+    k: int = 1,
+    test_id: str = "template_id",
+    bank_id: str = "template_id",
+    vector: str = "first",
+    block_floats: int = BLOCK_FLOATS,
+) -> DataFrame:
+    """One row (test_blocks, bank_blocks, offered, visited): how many pairs of blocks a
+    pivot search has sent to tasks and looked into, of all pairs on the grid."""
+    one = F.array(F.col(vector))
+    bank = _flat(bank, bank_id, one, "bank")
+    found = pruned.searched(_flat(test, test_id, one, "test"), bank, k, block_floats, _nearest)
+    each = found.groupBy("test_block").agg(F.max("visited").alias("visited"), F.max("offered").alias("offered"))
+    return each.agg(
+        F.count("*").alias("test_blocks"), F.sum("offered").alias("offered"), F.sum("visited").alias("visited")
+    )
+
+
 # --- late interaction --------------------------------------------------------
 
 
@@ -308,3 +306,26 @@ def maxsim(
         F.max("best").alias("maxsim_max"),
         (F.sum("total") / F.sum("n")).alias("maxsim_mean"),
     )
+
+
+def maxsim_best(
+    test: DataFrame,
+    bank: DataFrame,
+    metric: str = "cos",
+    first_only: bool = False,
+    test_id: str = "template_id",
+    bank_id: str = "template_id",
+    tokens: str = "tokens",
+    block_floats: int = BLOCK_FLOATS,
+) -> DataFrame:
+    """(test_id, maxsim_max, pairs, computed): ``maxsim_max`` alone, computed only for
+    pairs whose upper bound beats the best so far; how many pairs a test row's tasks
+    had, and of how many they computed the similarity."""
+    matrix = F.slice(tokens, 1, 1) if first_only else F.col(tokens)
+    found = pruned.matched(
+        _flat(test, test_id, matrix, "test"), _flat(bank, bank_id, matrix, "bank"), block_floats,
+        _unit if metric == "cos" else np.asarray,
+    )
+    return found.groupBy("test_id").agg(
+        F.max("best").alias("maxsim_max"), F.sum("pairs").alias("pairs"), F.sum("computed").alias("computed")
+    )

@@ -108,9 +108,12 @@ def template_scores(
         parts.append(near.where("rank = 1").select(F.lit("knn").alias("method"), "test_id", F.col("distance").alias("score")))
     sims = [m for m in methods if m != "knn"]
     if sims:
-        found = similarity.maxsim(
-            test, bank, neighbours=near if core_set else None, first_only=first_only
-        )
+        if sims == ["maxsim_max"] and not core_set:
+            found = similarity.maxsim_best(test, bank, first_only=first_only)
+        else:
+            found = similarity.maxsim(
+                test, bank, neighbours=near if core_set else None, first_only=first_only
+            )
         long = found.select("test_id", F.inline(F.array(*(
             F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in sims
         )))).select("method", "test_id", "score")

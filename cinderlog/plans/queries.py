@@ -513,6 +513,24 @@ def core_set(spark, sf):
     return rounded(similarity.nearest(test, bank, 5, **VEC_IDS), "distance")
 
 
+SMALL_BLOCK = 512  # floats; so these tables have several blocks
+
+
+@register("nearest_pruned", o.ctes(*o.VEC_SIDES, ("dist", o.distances())) + "SELECT test_id, round(min(d),6) AS distance FROM dist GROUP BY ALL")
+def nearest_pruned(spark, sf):
+    """Blocks that cannot hold the nearest are not read."""
+    test, bank = vec_sides(spark, sf)
+    return similarity.nearest(test, bank, 1, **VEC_IDS, block_floats=SMALL_BLOCK).select(
+        "test_id", F.round("distance", 6).alias("distance")
+    )
+
+
+@register("core_set_pruned", o.ctes(*o.VEC_SIDES, ("dist", o.distances()), o.CORE) + "SELECT test_id, rank::INT AS rank, bank_id, round(d,6) AS distance FROM core")
+def core_set_pruned(spark, sf):
+    test, bank = vec_sides(spark, sf)
+    return rounded(similarity.nearest(test, bank, 5, **VEC_IDS, block_floats=SMALL_BLOCK), "distance")
+
+
 def _sims(spark, sf, name, **kw):
     test, bank = vec_sides(spark, sf)
     return similarity.maxsim(test, bank, **VEC_IDS, **kw).select(
@@ -528,6 +546,29 @@ def maxsim_max(spark, sf):
     return _sims(spark, sf, "maxsim_max")
 
 
+@register("maxsim_best", o.ctes(*o.VEC_SIDES, SIMS) + "SELECT test_id, round(max(s),6) AS score FROM sims GROUP BY ALL")
+def maxsim_best(spark, sf):
+    """Pairs whose upper bound is below the best so far are not compared."""
+    test, bank = vec_sides(spark, sf)
+    return similarity.maxsim_best(test, bank, **VEC_IDS).select("test_id", F.round("maxsim_max", 6).alias("score"))
+
+
+UNEVEN = "list_slice(tokens, 1, 1 + CASE WHEN vec_id%50=0 THEN 7 ELSE vec_id%3 END)"
+
+
+@register("maxsim_uneven", o.ctes(
+    *o.VEC_SIDES[:1], ("uneven", f"SELECT * REPLACE ({UNEVEN} AS tokens) FROM vec"),
+    ("bank", "SELECT * FROM uneven WHERE in_bank"), ("test", "SELECT * FROM uneven WHERE NOT in_bank"), SIMS,
+) + "SELECT test_id, round(max(s),6) AS best, round(avg(s),6) AS mean FROM sims GROUP BY ALL")
+def maxsim_uneven(spark, sf):
+    """Matrices of one to eight tokens, in blocks cut by measured size."""
+    length = F.when(F.col("vec_id") % 50 == 0, 8).otherwise(F.col("vec_id") % 3 + 1).cast("int")
+    vec = views.vec_tokens(spark, sf).withColumn("tokens", F.slice("tokens", F.lit(1), length))
+    return similarity.maxsim(
+        views.test_side(vec), views.bank(vec), **VEC_IDS, block_floats=8 * SMALL_BLOCK
+    ).select("test_id", F.round("maxsim_max", 6).alias("best"), F.round("maxsim_mean", 6).alias("mean"))
+
+
 @register("maxsim_mean", o.ctes(*o.VEC_SIDES, SIMS) + "SELECT test_id, round(avg(s),6) AS score FROM sims GROUP BY ALL")
 def maxsim_mean(spark, sf):
     return _sims(spark, sf, "maxsim_mean")

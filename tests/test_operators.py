@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions import vectors
 from cinderlog.operators import (
-    embedding, joins, metrics, ordered, runstats, sampling, scoring, sessions, similarity,
+    blocks, embedding, joins, metrics, ordered, runstats, sampling, scoring, sessions, similarity,
     templates, thresholds,
 )
 
@@ -292,6 +292,63 @@ def test_similarity_equals_brute_force_for_any_blocks(spark, block_floats):
     assert double[4, 0] == 0.0
 
 
+def clustered(rng, n, dims=6, centres=12):
+    """Vectors near a few centres, some of them equal."""
+    middle = np.random.default_rng(1).normal(scale=20, size=(centres, dims))
+    rows = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, dims))
+    return np.concatenate([rows, rows[: n // 10]]).astype(np.float32)
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_pivot_search_is_exact_and_leaves_blocks_out(spark, k):
+    rng = np.random.default_rng(k)
+    bank, test = clustered(rng, 900), clustered(rng, 150)
+    t, b = (vec_frame(spark, [[row] for row in side]) for side in (test, bank))
+    got = similarity.nearest(t, b, k, block_floats=200).orderBy("test_id", "rank").collect()
+    assert len(got) == k * len(test)
+    x, y = test.astype(float), bank.astype(float)
+    for i in range(len(test)):
+        far = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
+        mine = got[i * k : (i + 1) * k]
+        assert [r.bank_id for r in mine] == np.lexsort((np.arange(len(y)), far))[:k].tolist()
+        assert np.allclose([r.distance for r in mine], np.sort(far)[:k], atol=1e-12)
+    seen = similarity.visits(t, b, k, block_floats=200).first()
+    grid = seen.test_blocks * (len(bank) * 6 // 200)
+    assert seen.visited <= seen.offered < grid / 2
+
+
+def test_best_match_compares_few_pairs(spark):
+    rng = np.random.default_rng(8)
+    made = [clustered(rng, 3, centres=6) for _ in range(300)]
+    test, bank = made[:60], [m[: 1 + i % 3] for i, m in enumerate(made[60:])]
+    t, b = vec_frame(spark, test), vec_frame(spark, bank)
+    for metric in ("cos", "dot"):
+        whole = {r.test_id: r.maxsim_max for r in similarity.maxsim(t, b, metric).collect()}
+        for block_floats in (200, 8_000_000):
+            got = similarity.maxsim_best(t, b, metric, block_floats=block_floats).collect()
+            assert {r.test_id for r in got} == set(whole)
+            assert all(r.maxsim_max == pytest.approx(whole[r.test_id], abs=1e-9) for r in got)
+        assert max(r.computed / r.pairs for r in got) < 0.5
+    assert similarity.maxsim_best(t, b.limit(0)).count() == 0
+
+
+def test_no_block_above_its_bound(spark):
+    draw = np.random.default_rng(3)
+    # a few rows hold most of the floats
+    sizes = np.concatenate([draw.integers(1, 20, 2000), draw.integers(200, 900, 40)]).tolist()
+    side = spark.createDataFrame(list(enumerate(sizes)), "id long, _floats long").repartition(5)
+    placed, n = blocks.dealt(side, "id", 1000)
+    held = {r.block: (r.n, r.s) for r in
+            placed.groupBy("block").agg(F.count("*").alias("n"), F.sum("_floats").alias("s")).collect()}
+    assert set(held) == set(range(n)) and sum(x[0] for x in held.values()) == len(sizes)
+    assert all(s <= 1000 for _, s in held.values())
+    assert n < 2 * sum(sizes) / 1000 + 2
+    # rows beyond the bound are alone
+    alone, n = blocks.dealt(side, "id", 300)
+    for r in alone.groupBy("block").agg(F.count("*").alias("n"), F.sum("_floats").alias("s")).collect():
+        assert r.s <= 300 or r.n == 1
+
+
 def test_k_above_the_bank_gives_the_bank(spark):
     t, b = vec_frame(spark, [[[0, 0]]]), vec_frame(spark, [[[1, 0]], [[0, 2]]])
     got = similarity.nearest(t, b, 99).orderBy("rank").collect()
