@@ -1,7 +1,7 @@
 """Quality of a text: random-indexing word vectors, pooled, and a small network.
 
-Words are runs of letters, digits and underscores, or runs of one kind of sign, in
-their own case. Every word has a sparse index vector, ``NONZERO`` signs at places
+Words are runs of letters, digits and underscores, or runs of signs, in their own
+case. Every word has a sparse index vector, ``NONZERO`` signs at places
 that its hash draws. The vector of a word is the sum of the index vectors of the
 ``WINDOW`` words before and after each of its occurrences in all documents, with
 those before and after at places of their own; words share ``BUCKETS`` rows
@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ THRESHOLD = 0.3
 SLICE = 1 << 17  # words whose vectors are in memory at once
 PARTS = 64  # slices of the table of word vectors, as tasks pass them on
 HELD_NAMES = 500_000
-WORD = re.compile(r"\w+|([^\w\s])\1*")
+WORD = re.compile(r"\w+|[^\w\s]+")
+LONG = 1 << 20  # characters from which a text's words are not listed at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,14 +64,11 @@ class Rows(dict):
 
 def word_rows(text: str | None, rows: Rows) -> Iterator[np.ndarray]:
     """The words of a text as rows, some at a time."""
-    found: list[int] = []
-    for m in WORD.finditer(text or ""):
-        found.append(rows[m[0]])
-        if len(found) == SLICE:
-            yield np.array(found)
-            found = []
-    if found:
-        yield np.array(found)
+    text = text or ""
+    words = WORD.findall(text) if len(text) < LONG else (m[0] for m in WORD.finditer(text))
+    found = map(rows.__getitem__, words)
+    while len(part := np.fromiter(islice(found, SLICE), np.int64)):
+        yield part
 
 
 def index_vectors() -> np.ndarray:
