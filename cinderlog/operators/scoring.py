@@ -109,7 +109,7 @@ def score_settings(
     replies = materialise(replies, "replies").groupBy("_key").agg(
         F.collect_list(F.struct(*names, "response", "inference_time_ms", "error")).alias("_replies")
     )
-    joined = joins.lookup_inner(keyed, replies, "_key", counts=counts)
+    joined = joins.lookup_inner(keyed, replies, "_key", counts=counts, written=True)
     return joined.select(*table.columns, F.inline("_replies"))
 
 

@@ -22,13 +22,18 @@ def templates(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
     )
 
 
-def template_lookup(rows: DataFrame, table: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """Add ``template_id`` to every row."""
+def template_lookup(
+    rows: DataFrame, table: DataFrame, sentence: str = "sentence", **options
+) -> DataFrame:
+    """Add ``template_id`` to every row. ``keep`` names the columns that are asked for; a
+    sentence that is not is neither written nor shuffled. ``written`` rows are read as
+    they are (``joins.lookup``)."""
     return joins.lookup_inner(
         rows,
         table.select(F.col("sentence").alias(sentence), "template_id"),
         sentence,
         counts=table.select(F.col("sentence").alias(sentence), F.col("n").alias("_n")),
+        **options,
     )
 
 
@@ -37,18 +42,20 @@ def score_rows(
     scores: DataFrame,
     key: str = "template_id",
     counts: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Give every row the score of its template. ``counts`` (key, _n) saves a
-    pass over the rows."""
-    return joins.lookup_inner(rows, scores, key, counts=counts)
+    pass over the rows; for ``keep`` and ``written`` see ``template_lookup``."""
+    return joins.lookup_inner(rows, scores, key, counts=counts, **options)
 
 
 def only_in_test(
-    test: DataFrame, bank: DataFrame, vector: str = "first", bank_vector: str = "first"
+    test: DataFrame, bank: DataFrame, vector: str = "first", bank_vector: str = "first",
+    written: bool = False,
 ) -> DataFrame:
     """Test templates whose first-token vector equals no bank vector."""
-    known = bank.select(F.col(bank_vector).alias(vector)).distinct()
-    return joins.lookup_missing(test, known, vector)
+    known = bank.select(F.col(bank_vector).alias(vector))
+    return joins.lookup_missing(test, known, vector, written)
 
 
 def rows_of(
@@ -56,6 +63,7 @@ def rows_of(
     table: DataFrame,
     key: str = "template_id",
     counts: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Rows whose template is in the table."""
-    return joins.lookup_inner(rows, table.select(key).distinct(), key, counts=counts)
+    return joins.lookup_inner(rows, table.select(key).distinct(), key, counts=counts, **options)

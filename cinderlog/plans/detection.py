@@ -97,7 +97,7 @@ def template_scores(
     bank = embedded(templates.templates(train), make_embedder, "bank")
     test = embedded(templates.templates(test_counts.select("sentence").distinct()), make_embedder, "test")
     if novel_only:
-        test = templates.only_in_test(test, bank)
+        test = templates.only_in_test(test, bank, written=True)
     if core_set:
         core_set = similarity.core_set_size(bank.count(), core_set)
     near = similarity.nearest(test, bank, int(core_set) or 1)
@@ -173,9 +173,10 @@ def nearest_normal_report(
 def predict_lines(
     test: DataFrame, test_counts: DataFrame, scores: DataFrame, threshold: DataFrame
 ) -> DataFrame:
-    """Per-line predictions of one method from its template scores."""
+    """Per-line predictions of one method from its template scores. ``test`` should be a
+    written table: it is read more than once."""
     counts = test_counts.groupBy("sentence").agg(F.sum("n").alias("_n"))
     rows = templates.score_rows(
-        test, scores.select("sentence", "score"), "sentence", counts
+        test, scores.select("sentence", "score"), "sentence", counts, written=True
     )
     return thresholds.apply_threshold(rows, threshold)

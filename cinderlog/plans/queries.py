@@ -362,19 +362,22 @@ def templates_of_text(spark, sf):
 
 @register("template_lookup", o.ctes(*TEMPLATES) + "SELECT line_id, template_id FROM records JOIN templates USING (sentence)")
 def template_lookup(spark, sf):
-    rows = records(spark, sf).select("line_id", "sentence")
-    return templates.template_lookup(rows, templates.templates(rows)).select("line_id", "template_id")
+    # masked once, read by both sides
+    rows = materialise(records(spark, sf).select("line_id", "sentence"), "records")
+    table = materialise(templates.templates(rows), "templates")
+    return templates.template_lookup(rows, table, keep=["line_id"], written=True)
 
 
 @register("score_rows", o.ctes(*TEMPLATES) + "SELECT line_id, (template_id*37)%101/100.0::DOUBLE AS score FROM records JOIN templates USING (sentence)")
 def score_rows(spark, sf):
-    rows = records(spark, sf).select("line_id", "sentence")
-    table = templates.templates(rows)
+    # masked once, read by both sides
+    rows = materialise(records(spark, sf).select("line_id", "sentence"), "records")
+    table = materialise(templates.templates(rows), "templates")
     scores = table.select(
         "sentence", ((F.col("template_id") * 37) % 101 / F.lit(100.0)).alias("score")
     )
     counts = table.select("sentence", F.col("n").alias("_n"))
-    return templates.score_rows(rows, scores, "sentence", counts).select("line_id", "score")
+    return templates.score_rows(rows, scores, "sentence", counts, keep=["line_id"], written=True)
 
 
 @register("only_in_test", o.ctes(*o.DETECT) + "SELECT sentence FROM asked WHERE first NOT IN (SELECT first FROM bank)")
@@ -382,7 +385,7 @@ def only_in_test(spark, sf):
     train, test = detection.split_records(views.log_lines(spark, sf))
     bank = detection.embedded(templates.templates(train), None, "bank")
     asked = detection.embedded(templates.templates(test), None, "test")
-    return templates.only_in_test(asked, bank).select("sentence")
+    return templates.only_in_test(asked, bank, written=True).select("sentence")
 
 
 @register("only_in_test_rows", o.ctes(*o.DETECT, ("novel", "SELECT sentence FROM asked WHERE first NOT IN (SELECT first FROM bank)")) + "SELECT r.line_id, r.label FROM records r JOIN split s USING (line_id) SEMI JOIN novel USING (sentence) WHERE s.split='test'")

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import sys
 
 import numpy as np
@@ -13,6 +14,7 @@ from cinderlog.operators import (
     blocks, embedding, joins, metrics, ordered, runstats, sampling, scoring, sessions, similarity,
     templates, thresholds,
 )
+from cinderlog.session import materialise
 
 
 # --- ordered ---------------------------------------------------------------------
@@ -111,6 +113,49 @@ def test_lookup_keeps_rows_without_a_key(spark):
     assert all(r.v == (1 if r.k == "a" else None) for r in got)
 
 
+def exchanged(df):
+    """The columns of every hash exchange, from the formatted plan."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", plan)
+
+
+def test_a_text_that_is_only_a_key_does_not_move(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id") % 900).alias("sentence"))
+        table = materialise(templates.templates(rows))
+        found = templates.template_lookup(rows, table, keep=["id"])
+        assert found.columns == ["id", "template_id"] and found.count() == 3000
+        moved = exchanged(found)
+        assert any("_h1" in x for x in moved) and not any("sentence" in x for x in moved)
+        whole = templates.template_lookup(rows, table).where("sentence = 'text 7'").collect()
+        assert {r.template_id for r in whole} == {table.where("sentence = 'text 7'").first().template_id}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_wide_values_of_hot_keys_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 500)).alias("k"))
+    table = rows.select("k").distinct().withColumn("v", F.repeat("k", 900))
+    got = joins.lookup(rows, table, "k").collect()
+    assert len(got) == 2000
+    assert all(r.v == (r.k * 900 if r.k else None) and r._found == bool(r.k) for r in got)
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_rows_ruled_out_by_bitmaps_are_not_joined(spark, monkeypatch, bits):
+    monkeypatch.setattr(joins, "MOST_BITS", bits)
+    rows = materialise(spark.range(6000).select("id", F.when(F.col("id") % 5 > 0, F.array(F.col("id") * 1.5, F.lit(0.0))).alias("v")))
+    table = rows.where("id % 3 = 0").select("v")
+    got = {r.id for r in joins.lookup_missing(rows, table, "v", written=True).collect()}
+    assert got == {i for i in range(6000) if i % 3 or i % 5 == 0}
+    marked = joins.maybe_in(rows, table, "v").collect()
+    assert all(r._maybe for r in marked if r.id % 3 == 0 and r.v)
+    assert sum(r._maybe and r.id % 3 > 0 for r in marked) < (2500 if bits == 1 << 15 else 200)
+
+
 def test_ranges_follow_the_partitions(spark):
     """More shuffle partitions, more and smaller ranges: nothing is fixed."""
     df = spark.range(40_000).select((F.col("id") * 7 % 40_009).alias("k"), F.lit(1).alias("v"))
