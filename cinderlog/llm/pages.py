@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -49,6 +50,13 @@ NAMES = re.compile(
     r"recommend\w*|related|repl(?:y|ies)|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|"
     r"toolbar|widget"
 )
+# words that say nothing of what a part is for: inside an article a class like related-work
+# names its subject, so there all other words must be of these
+PLAIN = re.compile(
+    r"area|articles?|bar|blocks?|body|bottom|box|buttons?|cards?|container|content|count|entry|feed|group|holder|"
+    r"icons?|inner|items?|left|links?|list|main|module|news|outer|panel|posts?|primary|readers?|right|row|section|"
+    r"site|stories|strip|text|thread|title|top|tools?|unit|users?|wrap(?:per)?|[0-9]+"
+)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSES = {  # a start tag that ends an open element of these names
@@ -59,38 +67,63 @@ REGIONS = frozenset(("article", "main"))
 SECTIONS = frozenset("body html div section td main article".split())
 
 
+class Boxes:
+    """The containers of a page, each with its name and the container around it (-1: none).
+    One that lies in another has the higher number."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.around: list[int] = []
+        self.region: list[int] = []  # the outermost article or main it lies in, or is
+
+    def add(self, name: str, around: int) -> int:
+        box = len(self.names)
+        outer = self.region[around] if around >= 0 else -1
+        self.names.append(name)
+        self.around.append(around)
+        self.region.append(outer if outer >= 0 else box if name in REGIONS else -1)
+        return box
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, path of containers) of each block outside hidden parts."""
+    """Collects (text, tags, container) of each block outside hidden parts.
+
+    Every step takes the same time however many tags are open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, hidden, number
+        self.open: list[tuple[str, bool, int]] = []  # name, hidden, innermost container
+        self.n_open: Counter[str] = Counter()
+        self.regions = 0  # open articles and mains
         self.unseen = 0
-        self.count = 0
+        self.boxes = Boxes()
         self.text: list[str] = []
         self.tags = 0
-        self.path: tuple = ()
-        self.lines: list[tuple[str, int, tuple]] = []
+        self.lines: list[tuple[str, int, int]] = []
+
+    @property
+    def box(self) -> int:
+        return self.open[-1][2] if self.open else -1
 
     def line_end(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.path))
+            self.lines.append((text, self.tags, self.box))
             self.tags = 0
         self.text = []
 
     def hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in HIDDEN:
             return True
-        inside = any(name in REGIONS for name, *_ in self.open)
-        if tag == "header" and not inside:
+        if tag == "header" and not self.regions:
             return True
         if tag in ("body", "html"):
             return False
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                if any(NAMES.fullmatch(w.lower()) for w in PART.findall(value)):
+                if any(self.names_aside(word) for word in value.split()):
                     return True
             elif name == "role":
                 if value.strip().lower() in ROLES:
@@ -101,8 +134,17 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def names_aside(self, word: str) -> bool:
+        """Whether a class or id names a menu, an advert, a notice or the like."""
+        parts = [w.lower() for w in PART.findall(word)]
+        if not any(map(NAMES.fullmatch, parts)):
+            return False
+        return not self.regions or all(NAMES.fullmatch(w) or PLAIN.fullmatch(w) for w in parts)
+
     def pop(self) -> None:
-        _, hidden, _ = self.open.pop()
+        name, hidden, _ = self.open.pop()
+        self.n_open[name] -= 1
+        self.regions -= name in REGIONS
         self.unseen -= hidden
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -119,25 +161,25 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in REGIONS and self.unseen and not self.hides(tag, attrs):
             # an unclosed menu or notice does not swallow the article
-            while self.unseen and not any(x[0] in REGIONS for x in self.open):
+            while self.unseen and not self.regions:
                 self.pop()
         if tag in VOID:
             return
-        self.count += 1
         hidden = self.hides(tag, attrs)
         self.unseen += hidden
-        self.open.append((tag, hidden, self.count))
-        self.path = tuple((name, number) for name, _, number in self.open if name in BLOCKS)
+        box = self.boxes.add(tag, self.box) if tag in BLOCKS else self.box
+        self.open.append((tag, hidden, box))
+        self.n_open[tag] += 1
+        self.regions += tag in REGIONS
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in HIDDEN:
             self.line_end()
         self.tags += 1
-        if any(name == tag for name, *_ in self.open):
+        if self.n_open[tag]:
             while self.open[-1][0] != tag:
                 self.pop()
             self.pop()
-        self.path = tuple((name, number) for name, _, number in self.open if name in BLOCKS)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,12 +196,12 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, tuple]]:
+def lines_of(html: str) -> tuple[list[tuple[str, int, int]], Boxes]:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.line_end()
-    return parser.lines
+    return parser.lines, parser.boxes
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -169,30 +211,44 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
+def content(lines: list[tuple[str, int, int]], boxes: Boxes) -> list[str]:
     """The texts of the content region's lines."""
     if not lines:
         return []
     size = np.array([len(text) for text, *_ in lines], float)
     ratio = smoothed(size / np.maximum(1, [tags for _, tags, _ in lines]))
     core = ratio >= ratio.mean() - 1e-9
-    chosen = {next((box for box in path if box[0] in REGIONS), None) for _, _, path in lines} - {None}
-    if not chosen:
-        paths = [lines[k][2] for k in np.flatnonzero(core)]
-        shared = 0  # containers that hold all cores
-        while all(len(path) > shared and path[shared] == paths[0][shared] for path in paths):
-            shared += 1
-        # a single long paragraph is not the region, its section is
-        while shared and paths[0][shared - 1][0] not in SECTIONS:
-            shared -= 1
-        if not shared:
-            return [text for text, *_ in lines]
-        chosen = {paths[0][shared - 1]}
-    return [text for text, _, path in lines if any(box in chosen for box in path)]
+    region = [boxes.region[box] if box >= 0 else -1 for _, _, box in lines]
+    if max(region) >= 0:
+        return [text for (text, *_), r in zip(lines, region) if r >= 0]
+    shared = holds_all(boxes, [lines[k][2] for k in np.flatnonzero(core)])
+    # a single long paragraph is not the region, its section is
+    while shared >= 0 and boxes.names[shared] not in SECTIONS:
+        shared = boxes.around[shared]
+    if shared < 0:
+        return [text for text, *_ in lines]
+    inside = [False] * len(boxes.names)
+    for box, around in enumerate(boxes.around):
+        inside[box] = box == shared or around >= 0 and inside[around]
+    return [text for text, _, box in lines if box >= 0 and inside[box]]
+
+
+def holds_all(boxes: Boxes, cores: list[int]) -> int:
+    """The innermost container of all the given ones, -1 without one."""
+    held = [0] * len(boxes.names)
+    for box in cores:
+        if box >= 0:
+            held[box] += 1
+    for box in range(len(held) - 1, -1, -1):  # what lies inside comes first
+        if held[box] == len(cores):
+            return box
+        if boxes.around[box] >= 0:
+            held[boxes.around[box]] += held[box]
+    return -1
 
 
 def main_text(html: str | None) -> str:
-    return "\n\n".join(content(lines_of(html))) if html else ""
+    return "\n\n".join(content(*lines_of(html))) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cinderlog.llm import pages, urls
@@ -115,3 +117,20 @@ def test_alike_branches_and_crowds_merge(spark):
 def test_deep_paths(spark):
     out = urls.judge(frame(spark, [(1, "http://h.org/a/b/c/d/e/f"), (2, "http://h.org/2024-01-02/0123456789abcdef/x1y2z3w4v5u6t7")]), []).collect()
     assert {r.page_id: r.template for r in out} == {1: "/a/b/c/d/**", 2: "/*/*/*"}
+
+
+def test_many_open_tags_take_time_in_proportion():
+    began = time.monotonic()
+    for page in ("<div>x" * 50_000, "<b>x" * 50_000 + "</i>" * 50_000, "<p>x<span>" * 50_000 + "</i></p>" * 50_000):
+        assert pages.main_text(page).count("x") == 50_000
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("name, stays", [
+    ("related-work", True), ("share-price", True), ("search-algorithm", True), ("comments", False),
+    ("related-posts", False), ("shareButtons", False), ("comment-list-2", False), ("newsletter_box", False),
+])
+def test_classes_inside_an_article(name, stays):
+    html = f'<body><article><p>Before it.</p><section class="{name}"><p>The part.</p></section><p>After.</p></article></body>'
+    assert ("The part." in pages.main_text(html)) == stays
+    assert "The part." not in pages.main_text(html.replace("article>", "div>").replace(name, "related-work share"))
