@@ -28,8 +28,9 @@ New leaders are drawn as long as they leave clearly fewer such pairs.
 
 Rows: null texts, texts without a word have an empty set, linked with nothing.
 Repeated rows are one document; rows with one id and different texts belong to one
-component. Rows without an id get no component. Other columns are ignored. Empty
-tables give no rows.
+component. Rows without an id get no component; they are a document for each text,
+which may link others. The largest long stands for a missing id. Other columns are
+ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -324,21 +325,25 @@ def jaccard_components(docs: DataFrame, near: Near = QUERY) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
     rows, links = set_links(docs, near)
     rows = materialise(rows, "rows")
-    nodes = rows.where(F.col("cid").isNotNull()).select("cid", "rep").distinct()
-    # from here on a class is its smallest document, so a component's least node is its id
-    edges = links.join(nodes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(
-        nodes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b"
+    # A class is its smallest document, so a component's least node is its id. A class of rows
+    # without an id has a node of its own, beyond all ids.
+    nowhere = F.lit(LAST).cast("decimal(20,0)") + 1
+    node = F.when(F.col("rep") == LAST, nowhere + F.col("cid")).otherwise(F.col("rep")).cast("decimal(20,0)")
+    rows = rows.withColumn("node", F.when(F.col("cid").isNotNull(), node))
+    nodes = rows.where(F.col("cid").isNotNull()).select("cid", "node").distinct()
+    edges = links.join(nodes.select(F.col("cid").alias("a"), F.col("node").alias("ra")), "a").join(
+        nodes.select(F.col("cid").alias("b"), F.col("node").alias("rb")), "b"
     ).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # rows with one id and different texts
     several = (
-        rows.where((F.col("doc_id") != LAST) & F.col("rep").isNotNull())
-        .groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+        rows.where((F.col("doc_id") != LAST) & F.col("node").isNotNull())
+        .groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     )
-    again = rows.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    again = rows.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     edges = edges.unionByName(again.distinct())
-    labels = components(edges).select(F.col("node").alias("rep"), "component")
-    found = rows.join(labels, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    labels = components(edges)
+    found = rows.join(labels, "node", "left")
+    component = F.coalesce("component", "node", "doc_id").cast("long")
     return found.select(
         F.nullif("doc_id", F.lit(LAST)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
