@@ -8,8 +8,11 @@
    words, share a fingerprint.
 2. Each fingerprint's places are joined with its first place, in order of
    doc_id, then place in the document. Pairs of later places are never formed.
-3. On every diagonal found (document, first document, shift) the match is extended
-   both ways over equal lines, and the later lines of the run are deleted.
+3. Each match is extended both ways over equal lines, and the later lines of the run
+   are deleted. A fingerprint carries the ``REACH`` lines on either side of it. That is
+   enough: where more lines are equal, they hold a fingerprint of their own.
+
+All steps take time in proportion to the lines, however often a line repeats.
 
 A single line below HEAVY_WORDS words never goes alone, however often it occurs.
 
@@ -31,6 +34,7 @@ GRAM = 3
 WINDOW = 3
 HEAVY_WORDS = 50
 HEAVY_LINES = GRAM + WINDOW - 2  # from one line more on, the windows find a run of any words
+REACH = GRAM + WINDOW - 2
 LAST = (1 << 63) - 1
 
 
@@ -66,7 +70,8 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, gram, k): selected grams that begin with line ``k``, one row each."""
+    """(key, doc_id, gram, k, size, before, after): selected grams of ``size`` lines that
+    begin with line ``k``, one row each, and the lines around them, the nearest first."""
     n = F.size("hash")
     every = F.sequence(F.lit(0), n - 1)
 
@@ -101,80 +106,86 @@ def fingerprints(rows: DataFrame) -> DataFrame:
             lambda k: F.array_min(F.slice("grams", k + 1, WINDOW)),
         ),
     ).otherwise(F.array().cast("array<struct<gram:bigint,back:int>>"))
-    winnowed = F.transform(minima, lambda x: F.struct(x["gram"].alias("gram"), (-x["back"]).alias("k")))
+    # a column of its own: it is looked into once for each of its elements
+    with_minima = with_grams.select("key", "doc_id", "hash", "sizes", minima.alias("minima"))
+    # neighbouring windows often choose the same gram
+    chosen = F.filter("minima", lambda x, j: (j == 0) | (F.get("minima", j - 1)["back"] != x["back"]))
+    winnowed = F.transform(
+        chosen, lambda x: F.struct(x["gram"].alias("gram"), (-x["back"]).alias("k"), F.lit(GRAM).alias("size"))
+    )
     by_words = F.filter(
         F.transform(
             "sizes",
             lambda size, k: F.struct(
                 F.when(size.isNotNull(), F.xxhash64(F.slice("hash", k + 1, F.coalesce(size, F.lit(1))), size)).alias("gram"),
-                k.alias("k"),
+                k.alias("k"), size.alias("size"),
             ),
         ),
         lambda x: x["gram"].isNotNull(),
     )
-    return with_grams.select(
-        "key", "doc_id", F.explode(F.array_distinct(F.concat(winnowed, by_words))).alias("f")
-    ).select("key", "doc_id", "f.gram", "f.k")
+    each = with_minima.select("key", "doc_id", "hash", F.explode(F.concat(winnowed, by_words)).alias("f"))
+    k = F.col("f.k")
+    return each.select(
+        "key", "doc_id", "f.gram", "f.k", "f.size",
+        F.reverse(F.slice("hash", F.greatest(k - REACH, F.lit(0)) + 1, F.least(k, F.lit(REACH)))).alias("before"),
+        F.slice("hash", k + F.col("f.size") + 1, F.lit(REACH)).alias("after"),
+    )
+
+
+def same_lines(a: str, b: str) -> Column:
+    """How many lines are equal, from the first one on."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(equal, F.lit(False)).cast("int")
+    return F.when(at == 0, F.size(equal)).otherwise(at - 1)
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """(key, first_key, shift, ks): where fingerprints of a document occurred before."""
+    """(key, start, stop): runs of lines of a document that occurred before."""
     found = fingerprints(rows)
+    place = F.struct("doc_id", "key", "k")
     firsts = (
         found.groupBy("gram")
-        .agg(
-            F.min(F.struct("doc_id", "key", "k")).alias("first"), F.max(F.struct("doc_id", "key", "k")).alias("last")
+        .agg(F.min(F.struct("doc_id", "key", "k", "before", "after")).alias("first"), F.max(place).alias("last"))
+        .where(
+            F.struct("first.doc_id", "first.key", "first.k") != F.col("last")
+        )
+        .select(
+            "gram", F.col("first.key").alias("first_key"), F.col("first.k").alias("first_k"),
+            F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"),
         )
-        .where(F.col("first") != F.col("last"))
-        .select("gram", F.col("first.key").alias("first_key"), F.col("first.k").alias("first_k"))
     )
     later = found.join(firsts, "gram").where(
         (F.col("key") != F.col("first_key")) | (F.col("k") != F.col("first_k"))
     )
-    shift = (F.col("k") - F.col("first_k")).alias("shift")
-    return later.select("key", "first_key", shift, "k").groupBy("key", "first_key", "shift").agg(
-        F.collect_set("k").alias("ks")  # places in one document
-    )
-
-
-def extended(rows: DataFrame, diagonals: DataFrame) -> DataFrame:
-    """(key, k): the lines on the runs of equal lines through the matched places.
-
-    A run is written as characters: "0" an unequal line, "1" an equal one, "2" a
-    matched place; twos spread over their run forwards, then backwards.
-    """
-    joined = diagonals.join(rows.select("key", F.col("hash").alias("mine")), "key").join(
-        rows.select(F.col("key").alias("first_key"), F.col("hash").alias("theirs")), "first_key"
-    )
-    other = lambda k: F.when(k >= F.col("shift"), F.get("theirs", k - F.col("shift")))
-    flags = F.array_join(
-        F.transform(
-            "mine",
-            lambda h, k: F.when(F.array_contains("ks", k), "2").when(h == other(k), "1").otherwise("0"),
-        ),
-        "",
-    )
-    ones_after = F.regexp_replace(flags, r"\G(?!^)1|(?<=2)1", "2")
-    both = F.reverse(F.regexp_replace(F.reverse(ones_after), r"\G(?!^)1|(?<=2)1", "2"))
-    return joined.select("key", both.alias("flags"), F.col("mine")).select(
+    return later.select(
         "key",
-        F.explode(
-            F.filter(
-                F.sequence(F.lit(0), F.size("mine") - 1), lambda k: F.substr("flags", k + 1, F.lit(1)) == "2"
-            )
-        ).alias("k"),
+        (F.col("k") - same_lines("before", "first_before")).alias("start"),
+        (F.col("k") + F.col("size") + same_lines("after", "first_after")).alias("stop"),
     )
 
 
 def deletions(rows: DataFrame) -> DataFrame:
-    """(key, ats): numbers of the lines to delete from each document."""
-    lost = extended(rows, repeats(rows)).groupBy("key").agg(F.collect_set("k").alias("ks"))
+    """(key, ats, all): numbers of the lines to delete from each document, ascending."""
+    places = repeats(rows).distinct().select("key", F.explode(F.sequence("start", F.col("stop") - 1)).alias("k"))
+    lost = places.groupBy("key").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # a document's lines
     return lost.join(rows.select("key", "at"), "key").select(
-        "key", F.filter("at", lambda a, k: F.array_contains("ks", k)).alias("ats"),
+        "key", F.transform("ks", lambda k: F.get("at", k)).alias("ats"),
         (F.size("ks") == F.size("at")).alias("all"),
     )
 
 
+def without(lines: Column, ats: Column) -> Column:
+    """The lines but those numbered ``ats``: what lies between each two of them."""
+    n = F.size(ats)
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get(ats, i - 1) + 1)
+    stop = lambda i: F.when(i == n, F.size(lines)).otherwise(F.get(ats, i))
+    between = F.transform(
+        F.sequence(F.lit(0), n), lambda i: F.struct(start(i).alias("start"), (stop(i) - start(i)).alias("n"))
+    )
+    some = F.filter(between, lambda x: x["n"] > 0)
+    return F.flatten(F.transform(some, lambda x: F.slice(lines, x["start"] + 1, x["n"])))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, and how many lines went
     (``n_deleted``)."""
@@ -183,7 +194,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.col("key").alias("_key"), F.col("ats").alias("_ats"), F.col("all").alias("_all")
     )
     marked = docs.withColumn("_row", row_key(docs)).join(lost, F.col("_row") == F.col("_key"), "left")
-    stays = F.filter(lines_of(F.col("text")), lambda x, k: ~F.array_contains("_ats", k))
+    marked = marked.withColumn("_lines", F.when(F.col("_ats").isNotNull(), lines_of(F.col("text"))))
+    stays = without(F.col("_lines"), F.col("_ats"))
     text = (
         F.when(F.col("_ats").isNull(), F.col("text"))
         .when(F.col("_all"), F.lit(""))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -89,6 +90,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_without_an_id_join_nothing(make):
+    """They may link documents, but two of them are not one document."""
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    rows = [(1, text("a")), (2, text("b")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " x")]
+    rows += [(9, text("d")), (None, text("d") + " x"), (8, text("d") + " x y"), ((1 << 63) - 2, text("e")), (None, text("e"))]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in sets.jaccard_components(make(rows)).collect())
+    assert got == [(-1, -1)] * 6 + [(1, 1), (2, 2), (8, 8), (9, 8), ((1 << 63) - 2, (1 << 63) - 2)]
+    kept = sets.first_of_groups(make(rows), sets.QUERY)
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 8, (1 << 63) - 2]
+
+
 # --- lines --------------------------------------------------------------------------
 
 
@@ -170,3 +182,14 @@ def test_guaranteed_runs_never_stay(make, seed):
             run = tuple(kept[a : a + size])
             assert run not in seen
             seen.add(run)
+
+
+def test_many_equal_lines_take_time_in_proportion(make):
+    same, two = "\n".join(["so it is"] * 100_000), "\n".join(["so it is", "and so on"] * 30_000)
+    rows = [(1, same), (2, same + "\nown"), (3, two), (4, "x\nso it is\ny")]
+    began = time.monotonic()
+    got = dedup(make, rows)
+    assert time.monotonic() - began < 90
+    assert got[1, 99_999] == "so it is" and got[2, 100_000] == "own"
+    assert (3, 59_997) in got or (3, 59_998) in got
+    assert got[4, 0] == rows[3][1]
