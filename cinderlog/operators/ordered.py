@@ -8,7 +8,9 @@ Each range is totalled on its own, and the totals of the ranges before it are ad
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.session import materialise
@@ -63,19 +65,76 @@ def running_totals(
     )
 
 
+SKETCH_K = 800  # a quantile sketch of this size is off by far less than RANK_ERROR
+RANK_ERROR = 0.02
+
+
+def _brackets(
+    df: DataFrame, value: str, shares: dict[str, float]
+) -> tuple[int, dict[str, tuple[float | None, float | None]]]:
+    """The number of values, and for each share two of them that should lie around it."""
+    x = F.col(value).cast("double")
+    sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+    ends = {
+        name: (share - RANK_ERROR, share + RANK_ERROR) for name, share in shares.items()
+    }
+    asked = {
+        f"{name}_{k}": F.kll_sketch_get_quantile_double(sketch, F.lit(float(q)))
+        for name, two in ends.items() for k, q in enumerate(two) if 0 < q < 1
+    }
+    some = F.count(value) > 0  # an empty sketch has no quantile
+    row = df.agg(F.count(value).alias("n"), *(F.when(some, c).alias(name) for name, c in asked.items())).first()
+    known = row.asDict()
+    return row["n"], {name: (known.get(f"{name}_0"), known.get(f"{name}_1")) for name in shares}
+
+
 def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row of exact, linearly interpolated percentiles.
 
-    Equal values are counted first, so the work after that grows with the
-    number of distinct values, and no task holds them all.
+    A quantile sketch brackets each one; a second pass counts the values below and
+    inside, and only those inside, equal ones counted first, are put in order. A bracket that
+    misses its percentile, which the counts tell, is opened to all values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranked = running_totals(counts, value, {"_n": "_upto"})
+    rows = df.where(F.col(value).isNotNull())
+    x = F.col(value).cast("double")
+    n, brackets = _brackets(rows, value, shares)
+    at = {name: share * (n - 1) for name, share in shares.items()}
+
+    def below(name: str) -> Column:
+        low = brackets[name][0]
+        return F.lit(False) if low is None else x < low
+
+    def inside(name: str) -> Column:
+        high = brackets[name][1]
+        return ~below(name) & (F.lit(True) if high is None else x <= high)
+
+    def tallied() -> dict[str, int]:
+        return rows.agg(
+            *(F.count_if(below(name)).alias(f"{name}_below") for name in shares),
+            *(F.count_if(inside(name)).alias(f"{name}_inside") for name in shares),
+        ).first().asDict()
+
+    found = tallied() if n else dict.fromkeys([f"{name}_below" for name in shares], 0)
+    lost = [
+        name for name in shares if n
+        and not found[f"{name}_below"] <= math.floor(at[name]) <= math.ceil(at[name])
+        < found[f"{name}_below"] + found[f"{name}_inside"]
+    ]
+    if lost:
+        brackets |= dict.fromkeys(lost, (None, None))
+        found = tallied()
+    own = F.array(*(F.when(inside(name), F.lit(name)) for name in shares))
+    counts = (
+        rows.select(value, F.explode(F.array_compact(own)).alias("_share"))
+        .groupBy("_share", value).agg(F.count("*").alias("_n"))
+    )
+    ranked = running_totals(counts, value, {"_n": "_upto"}, by=("_share",))
     exprs = []
-    for name, share in shares.items():
-        at = F.lit(share) * (F.col("all__upto") - 1)
-        low = F.min(F.when(F.col("_upto") > F.floor(at), F.col(value)))
-        high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value)))
-        weight = F.max(at - F.floor(at))
-        exprs.append((low + (high - low) * weight).alias(name))
+    for name, position in at.items():
+        mine, upto = F.col("_share") == name, F.col("_upto") + found[f"{name}_below"]
+        low, high = (
+            F.min(F.when(mine & (upto > rank), F.col(value)))
+            for rank in (math.floor(position), math.ceil(position))
+        )
+        exprs.append((low + (high - low) * (position - math.floor(position))).alias(name))
     return ranked.agg(*exprs)

@@ -222,9 +222,10 @@ class _Search:
 
 def searched(
     test: DataFrame, bank: DataFrame, k: int, block_floats: int, nearest, n_pivots: int = PIVOTS
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """FOUND rows: the k nearest in each part of the bank that a test block's tasks
-    have read, and how many blocks were offered and looked into there.
+    have read, and how many blocks were offered and looked into there; and the number of
+    parts, which is 1 where there are test blocks enough to keep all tasks busy.
 
     ``nearest`` compares two matrices. ``test`` and ``bank`` are (id, values, _floats).
     """
@@ -278,11 +279,14 @@ def searched(
         if search:
             yield from search.found()
 
-    return stream.mapInArrow(run, FOUND)
+    return stream.mapInArrow(run, FOUND), parts
 
 
-def merged(found: DataFrame, k: int) -> DataFrame:
-    """(test_id, rank, bank_id, distance) from the k best of each part."""
+def merged(found: DataFrame, parts: int, k: int) -> DataFrame:
+    """(test_id, rank, bank_id, distance) from the k best of each part. With one part
+    they are final where they were found, and nothing is shuffled."""
+    if parts == 1:
+        return found.select("test_id", "rank", "bank_id", "distance")
     order = Window.partitionBy("test_id").orderBy("distance", "bank_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -64,6 +64,17 @@ def session_labels(sessions: DataFrame, labels: DataFrame) -> DataFrame:
     return sessions.join(known, "session_id", "left")
 
 
+def session_pieces(parsed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(session_id, label, piece): what a session's text is made of, one row each: its
+    distinct masked lines and its first line's block id. Nothing is gathered."""
+    usable = parsed.where(F.col("block_id").isNotNull())
+    first = usable.groupBy("session_id").agg(F.min(F.struct("line_id", "block_id"))["block_id"].alias("piece"))
+    pieces = usable.select("session_id", F.col("parsed").alias("piece")).unionByName(first).distinct()
+    sessions = session_labels(first.select("session_id"), labels)
+    # one row per session on the right, many on the left
+    return pieces.join(sessions, "session_id").select("session_id", "label", "piece")
+
+
 def session_text(parsed: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, label, text): the session's sorted distinct masked lines and
     its first line's block id, joined; "- " in front when normal.

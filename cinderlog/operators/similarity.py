@@ -163,7 +163,7 @@ def nearest(
     one = F.array(F.col(vector))
     test, bank = _flat(test, test_id, one, "test"), _flat(bank, bank_id, one, "bank")
     if blocks.sizes(bank, block_floats).floats > block_floats:
-        return pruned.merged(pruned.searched(test, bank, k, block_floats, _nearest), k)
+        return pruned.merged(*pruned.searched(test, bank, k, block_floats, _nearest), k)
     grid = _grid(test, bank, block_floats)
     partial = grid.applyInArrow(
         _knn_kernel(k), "test_id long, bank_id long, distance double"
@@ -196,7 +196,7 @@ def visits(
     pivot search has sent to tasks and looked into, of all pairs on the grid."""
     one = F.array(F.col(vector))
     bank = _flat(bank, bank_id, one, "bank")
-    found = pruned.searched(_flat(test, test_id, one, "test"), bank, k, block_floats, _nearest)
+    found, _ = pruned.searched(_flat(test, test_id, one, "test"), bank, k, block_floats, _nearest)
     each = found.groupBy("test_block").agg(F.max("visited").alias("visited"), F.max("offered").alias("offered"))
     return each.agg(
         F.count("*").alias("test_blocks"), F.sum("offered").alias("offered"), F.sum("visited").alias("visited")

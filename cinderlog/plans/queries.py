@@ -14,7 +14,7 @@ from cinderlog.operators import (
     embedding, metrics, parse, runstats, sampling, scoring, sessions, similarity, templates,
     thresholds,
 )
-from cinderlog.plans import detection, prompting, views
+from cinderlog.plans import detection, prompting, streaming, views
 from cinderlog.plans import oracles as o
 from cinderlog.session import materialise, shared_folder
 from cinderlog.sources import logs, sinks
@@ -173,6 +173,20 @@ def stage_store(spark, sf):
     return sinks.stage(done, path).groupBy("sentence", "label").agg(F.count("*").alias("n"))
 
 
+@register("stage_parts", o.ctes(o.LINES, *o.preprocessed("log_lines")) + "SELECT sentence, label, count(*) AS n FROM records GROUP BY ALL")
+def stage_parts(spark, sf):
+    """Files of lines preprocessed part by part; the second run finds all parts."""
+    path = shared_folder(spark, "stage")
+
+    def build(files):
+        return parse.usable(parse.preprocess(spark.read.parquet(*files))).select("line_id", "label", "sentence")
+
+    files = views.log_lines(spark, sf).inputFiles()
+    sinks.stage_parts(spark, files, build, path, {"dataset": "bgl"}, files_per_part=4)
+    done = sinks.stage_parts(spark, files, build, path, {"dataset": "bgl"}, files_per_part=4)
+    return done.groupBy("sentence", "label").agg(F.count("*").alias("n"))
+
+
 # --- parsing, masks, text ---------------------------------------------------------
 
 
@@ -329,16 +343,28 @@ def session_parse(spark, sf):
     return sessions.session_parse(views.sessions_src(spark, sf))
 
 
-@register("session_text", o.ctes(
+TEXTS = o.ctes(
     *o.SESSIONS,
     ("g", "SELECT session_id, list(DISTINCT parsed) AS l, arg_min(block_id, line_id) AS b FROM sparsed WHERE block_id IS NOT NULL GROUP BY session_id"),
 ) + """SELECT session_id, label, CASE WHEN label=0 THEN '- ' ELSE '' END ||
-  array_to_string(list_sort(list_distinct(list_append(l,b))),' ') AS text FROM g LEFT JOIN slabels USING (session_id)""")
+  array_to_string(list_sort(list_distinct(list_append(l,b))),' ') AS text FROM g LEFT JOIN slabels USING (session_id)"""
+
+
+@register("session_text", TEXTS)
 def session_text(spark, sf):
     parsed = sessions.session_parse(views.sessions_src(spark, sf))
     return sessions.session_text(parsed, views.session_label_rows(spark, sf))
 
 
+@register("session_text_streamed", TEXTS)
+def session_text_streamed(spark, sf):
+    """No task holds a session: pieces are sorted and become a text in the file."""
+    parsed = materialise(sessions.session_parse(views.sessions_src(spark, sf)), "session-lines")
+    path = shared_folder(spark, "session-texts")
+    sinks.write_session_texts(sessions.session_pieces(parsed, views.session_label_rows(spark, sf)), path)
+    return sinks.read_session_texts(spark, path)
+
+
 # --- templates and joins ------------------------------------------------------------
 
 TEMPLATES = [
@@ -794,12 +820,12 @@ def detect_thunderbird(spark, sf):
     )
 
 
-@register("detect_hdfs_sessions", o.methods_report(o.SESSION_RECORDS, ("knn",)) + _three("sessions"))
+@register("detect_hdfs_sessions", o.methods_report(o.SESSION_RECORDS, detection.METHODS) + _three("sessions"))
 def detect_hdfs_sessions(spark, sf):
     train, test = detection.split_sessions(
         views.sessions_src(spark, sf), views.session_label_rows(spark, sf)
     )
-    return rounded(detection.detection_report(train, test, methods=("knn",)), *o.RATES)
+    return rounded(detection.detection_report(train, test, methods=detection.METHODS), *o.RATES)
 
 
 @register("predict_lines", o.methods_report(LINE_RECORDS, ("knn",)) + "SELECT r.line_id, j.prediction FROM records r JOIN split s USING (line_id) JOIN (SELECT DISTINCT sentence, prediction FROM judged) j USING (sentence) WHERE s.split='test'")
@@ -812,6 +838,22 @@ def predict_lines(spark, sf):
     return detection.predict_lines(test, counts, scores, cut).select("line_id", "prediction")
 
 
+@register("judge_stream", o.methods_report(LINE_RECORDS, ("knn",)) + "SELECT r.line_id, j.prediction FROM records r JOIN split s USING (line_id) JOIN (SELECT DISTINCT sentence, prediction FROM judged) j USING (sentence) WHERE s.split='test'")
+def judge_stream(spark, sf):
+    """The lines of ``predict_lines``, read as a stream of files."""
+    train, test = detection.split_records(views.log_lines(spark, sf))
+    counts = materialise(detection.counted(test), "test-counts")
+    scores = detection.template_scores(train, counts, methods=("knn",)).select("sentence", "score")
+    cut = thresholds.best_f1_threshold(scores.join(counts, "sentence"), weight="n").first()["threshold"]
+    folder = shared_folder(spark, "stream")
+    asked = sampling.normal_only_split(labelled(spark, sf), 0.2, "line_id").where("split = 'test'")
+    asked.select("line_id", "line").write.parquet(f"{folder}/lines")
+    lines = streaming.line_stream(spark, f"{folder}/lines", files=4)
+    judged = streaming.judge_stream(lines, scores, cut)
+    streaming.run_available(judged, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("line_id", "prediction")
+
+
 # --- prompts and answers ---------------------------------------------------------------------
 
 

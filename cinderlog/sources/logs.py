@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from cinderlog.functions import text as tx
 from cinderlog.operators import ordered
 from cinderlog.session import materialise
+from cinderlog.sources import sinks
 
-# One row of 24 bytes per input split goes to every task: up to so many splits (some
-# petabytes of text) as a broadcast, beyond that through a shuffle join.
-BROADCAST_SPLITS = 10_000_000
+SPLIT_SETTINGS = ("maxPartitionBytes", "openCostInBytes", "minPartitionNum", "maxPartitionNum")
 
 
-def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
-    """Add the physical row number, from 0, to a frame read straight from files
-    in path order.
+def split_index(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """(_file_key, _split_start, _shift): what to add to the generated ids of an input
+    split's rows to get their numbers in the files.
 
-    Rows of one input split carry consecutive generated ids. One pass that reads
-    no column counts the rows per split; running sums over a file's splits, and
-    over the files, then shift the ids. No sort, no shuffle of the rows.
+    One pass that reads no column counts the rows per split; running sums over a file's
+    splits, and over the files, give the shifts. With a ``folder`` the index is kept
+    there, under the state of the files and of the settings that cut them into splits,
+    and read back as long as both are the same.
     """
-    marked = df.select(
-        "*",
+    spark = df.sparkSession
+    path = None
+    if folder:
+        conf = {x: spark.conf.get(f"spark.sql.files.{x}", None) for x in SPLIT_SETTINGS}
+        conf["parallelism"] = spark.sparkContext.defaultParallelism
+        path = f"{folder}/lines-{sinks.fingerprint(spark, df.inputFiles(), conf)}"
+        if sinks.finished(spark, path):
+            return spark.read.parquet(path)
+    counted = df.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
-    )
-    counted = marked.groupBy("_file", "_start").agg(
-        F.min("_at").alias("_first"), F.count("*").alias("_n")
-    )
+    ).groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     splits = materialise(counted, "splits")
     files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
     files = ordered.running_totals(files, "_file", {"_rows": "_upto"})
@@ -45,18 +49,41 @@ def number_rows(df: DataFrame, name: str = "line_id") -> DataFrame:
             (F.col("_files") + F.col("_before") - F.col("_first")).alias("_shift"),
         )
     )
-    if splits.count() <= BROADCAST_SPLITS:
-        shifts = F.broadcast(shifts)
-    return marked.join(
-        shifts,
+    return sinks.stage(shifts, path) if path else shifts
+
+
+def number_rows(df: DataFrame, name: str = "line_id", index: str | None = None) -> DataFrame:
+    """Add the physical row number, from 0, to a frame read straight from files
+    in path order.
+
+    Rows of one input split carry consecutive generated ids, which the ``split_index``
+    shifts. No sort, no shuffle of the rows: each task gets the index, 24 bytes for a
+    split of 128 MB, a five-millionth of the text. A row whose split
+    the index lacks is an error, not a lost row.
+    """
+    shifts = split_index(df, index)
+    marked = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    found = marked.join(
+        F.broadcast(shifts),
         (F.xxhash64("_file") == F.col("_file_key")) & (F.col("_start") == F.col("_split_start")),
-    ).select((F.col("_at") + F.col("_shift")).alias(name), *df.columns)
+        "left",
+    )
+    shift = F.coalesce("_shift", F.raise_error(F.lit("the index lacks a split of the input")).cast("long"))
+    return found.select((F.col("_at") + shift).alias(name), *df.columns)
 
 
-def read_log_lines(spark: SparkSession, path: str, drop_bad: bool = False) -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, path: str, drop_bad: bool = False, index: str | None = None
+) -> DataFrame:
     """(line_id, line): every physical line, blank ones too. Bad bytes become
-    U+FFFD, or are dropped."""
-    numbered = number_rows(spark.read.text(path).withColumnRenamed("value", "line"))
+    U+FFFD, or are dropped. ``index`` names a folder where line offsets are kept, so that
+    the same files are not counted again."""
+    numbered = number_rows(spark.read.text(path).withColumnRenamed("value", "line"), index=index)
     return numbered.withColumn("line", tx.repair_utf8(F.col("line"), drop_bad))
 
 

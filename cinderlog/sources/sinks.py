@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +89,99 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     if not finished(df.sparkSession, path):
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# --- stages of several parts ----------------------------------------------------
+
+
+def _status(spark: SparkSession, files: Sequence[str]) -> list[list]:
+    """Name, size and time of change of each file, as the file system has them."""
+    out = []
+    for name in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append([name, status.getLen(), status.getModificationTime()])
+    return out
+
+
+def fingerprint(spark: SparkSession, files: Sequence[str], settings: dict) -> str:
+    """Stands for the state of input files and a step's settings."""
+    state = json.dumps([_status(spark, files), settings], sort_keys=True, default=str)
+    return hashlib.sha256(state.encode()).hexdigest()[:32]
+
+
+def stage_parts(
+    spark: SparkSession,
+    files: Sequence[str],
+    build: Callable[[list[str]], DataFrame],
+    path: str,
+    settings: dict | None = None,
+    files_per_part: int = 64,
+) -> DataFrame:
+    """A stage that is written part by part and resumed where it stopped.
+
+    A part is what ``build`` makes of ``files_per_part`` input files; its folder is named by
+    the fingerprint of these files and the ``settings``. Finished parts are read back;
+    missing ones, and those whose files or settings have changed, are built. What
+    earlier inputs left behind is not read. ``path/manifest`` has a row (part, fingerprint,
+    files, built) for each part of the latest run.
+    """
+    names, rows = sorted(files), []
+    for k, at in enumerate(range(0, len(names), files_per_part)):
+        own = names[at : at + files_per_part]
+        mark = fingerprint(spark, own, settings or {})
+        built = not finished(spark, f"{path}/part-{mark}")
+        if built:
+            build(own).write.mode("overwrite").parquet(f"{path}/part-{mark}")
+        rows.append((k, mark, own, built))
+    if not rows:
+        raise ValueError("a stage needs input files")
+    manifest = spark.createDataFrame(rows, "part int, fingerprint string, files array<string>, built boolean")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.parquet(*(f"{path}/part-{mark}" for _, mark, *_ in rows))
+
+
+# --- long texts -----------------------------------------------------------------
+
+
+def write_session_texts(pieces: DataFrame, path: str) -> None:
+    """Sessions as lines ``session_id<TAB>label<TAB>text`` from pieces (session_id, label,
+    piece); the text is "- " for a normal session, then its pieces in order, joined.
+
+    Pieces are sorted by session and streamed: each is a row up to the file, where a blank
+    ends it. Only there they become one line, so a session may be larger than a task's memory.
+    """
+    head = F.concat_ws("\t", "session_id", F.coalesce(F.col("label").cast("string"), F.lit("")), F.lit(""))
+    mark = F.when(F.col("label") == 0, "- ").otherwise("")
+    ordered = (
+        pieces.select("session_id", F.concat(head, mark).alias("head"), "piece")
+        .repartition("session_id")
+        .sortWithinPartitions("session_id", "piece")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = waiting = None
+        for batch in batches:
+            out = []
+            for name, head, piece in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if name == session:
+                    out.append(waiting)
+                    waiting = piece
+                else:
+                    waiting = f"{head}{piece}" if session is None else f"{waiting}\n{head}{piece}"
+                    session = name
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if waiting is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{waiting}\n"])], ["value"])
+
+    ordered.mapInArrow(run, "value string").write.mode("overwrite").text(path, lineSep=" ")
+
+
+def read_session_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, label, text) as ``write_session_texts`` left them."""
+    fields = F.split("value", "\t", 3)
+    # the last separator of a file stands on a line of its own
+    return spark.read.text(path, lineSep="\n").where(F.contains("value", F.lit("\t"))).select(
+        fields[0].alias("session_id"), F.nullif(fields[1], F.lit("")).cast("int").alias("label"),
+        fields[2].alias("text"),
+    )

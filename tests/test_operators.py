@@ -144,6 +144,22 @@ def test_wide_values_of_hot_keys_are_not_broadcast(spark, monkeypatch):
     assert all(r.v == (r.k * 900 if r.k else None) and r._found == bool(r.k) for r in got)
 
 
+@pytest.mark.parametrize("error", [0.02, -0.2])
+def test_percentiles_by_sketch_are_exact(spark, monkeypatch, error):
+    """Also where brackets miss (a negative error turns them inside out), with ties and gaps."""
+    monkeypatch.setattr(ordered, "RANK_ERROR", error)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.exponential(9, 30_000).round(2), np.full(9000, 4.25), [1e9, -3.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 5, "v double").repartition(6)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = ordered.percentiles(df, "v", shares).first()
+    for name, share in shares.items():
+        assert got[name] == pytest.approx(np.percentile(values, 100 * share), rel=1e-12)
+    one = ordered.percentiles(df.where("v > 1e8"), "v", {"p50": 0.5}).first()
+    assert one.p50 == 1e9
+    assert ordered.percentiles(df.limit(0), "v", {"p50": 0.5}).first().p50 is None
+
+
 @pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
 def test_rows_ruled_out_by_bitmaps_are_not_joined(spark, monkeypatch, bits):
     monkeypatch.setattr(joins, "MOST_BITS", bits)

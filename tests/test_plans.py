@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.operators import embedding, metrics, scoring, thresholds
-from cinderlog.plans import detection, prompting, views
+from cinderlog.plans import detection, prompting, streaming, views
 from cinderlog.plans.queries import fields
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,30 @@ def test_novel_templates_only(spark, split):
     assert {r.sentence for r in full.where("score > 0").collect()} == set(got)
 
 
+def test_a_stream_equals_the_batch_and_goes_on_where_it_was(spark, split, tmp_path):
+    lines = detection.materialise(views.log_lines(spark, SF))
+    batch = detection.parse.usable(detection.parse.preprocess(lines)).select("line_id", "label", "sentence")
+    sentences = sorted(r.sentence for r in batch.select("sentence").distinct().collect())
+    known = sentences[: len(sentences) // 2]
+    scores = spark.createDataFrame([(x, k / 10) for k, x in enumerate(known)], "sentence string, score double")
+    want = {r.line_id: (known.index(r.sentence) / 10 if r.sentence in known else None) for r in batch.collect()}
+
+    def run(part):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streaming.judge_stream(streaming.line_stream(spark, str(tmp_path / "in"), files=1), scores, 0.35)
+        streaming.run_available(stream, str(tmp_path / "out")).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out" / "rows")).collect()
+
+    first = run(lines.where("line_id % 3 = 0"))
+    assert {r.line_id for r in first} == {i for i in want if i % 3 == 0}
+    both = run(lines.where("line_id % 3 > 0"))
+    assert len(both) == len(want)
+    for r in both:
+        score = want[r.line_id]
+        assert r.score == score and r.novel == (score is None)
+        assert r.prediction == (None if score is None else int(score >= 0.35))
+
+
 def test_roc_search(spark, split):
     train, test = split
     report = detection.nearest_normal_report(views.log_lines(spark, SF), search="roc").first()

@@ -106,3 +106,67 @@ def test_stage_keeps_finished_work(spark, tmp_path):
     path = str(tmp_path / "s")
     assert sinks.stage(spark.range(3), path).count() == 3
     assert sinks.stage(spark.range(9), path).count() == 3
+
+
+def test_the_line_index_is_kept_and_follows_the_files(spark, tmp_path):
+    logs_dir, kept = tmp_path / "logs", str(tmp_path / "index")
+    logs_dir.mkdir()
+    for name, n in (("a", 5000), ("b", 1), ("c", 3000)):
+        (logs_dir / name).write_text("".join(f"{name} {k}\n" for k in range(n)))
+    read = lambda: [r.line for r in logs.read_log_lines(spark, str(logs_dir), index=kept).orderBy("line_id").collect()]
+    want = [f"a {k}" for k in range(5000)] + ["b 0"] + [f"c {k}" for k in range(3000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert read() == want and read() == want
+        assert len(list((tmp_path / "index").iterdir())) == 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # other splits, another index
+        assert read() == want and len(list((tmp_path / "index").iterdir())) == 2
+        (logs_dir / "b").write_text("b 0\nb 1\n")
+        assert read() == [*want[:5001], "b 1", *want[5001:]]
+        assert len(list((tmp_path / "index").iterdir())) == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stages_redo_missing_and_changed_parts_only(spark, tmp_path):
+    files = []
+    for k in range(5):
+        files.append(str(tmp_path / f"in{k}.txt"))
+        (tmp_path / f"in{k}.txt").write_text(f"{k}\n")
+    asked = []
+
+    def build(own):
+        asked.append([f[-5] for f in own])
+        if "boom" in (tmp_path / "in4.txt").read_text() and files[4] in own:
+            raise RuntimeError
+        return spark.read.text(own)
+
+    def run(settings=None):
+        asked.clear()
+        out = sinks.stage_parts(spark, files, build, str(tmp_path / "stage"), settings, files_per_part=2)
+        return sorted(r.value for r in out.collect()), list(asked)
+
+    (tmp_path / "in4.txt").write_text("boom\n")
+    with pytest.raises(RuntimeError):
+        run()
+    (tmp_path / "in4.txt").write_text("4\n")
+    assert run() == (["0", "1", "2", "3", "4"], [["4"]])  # the parts before the failure stand
+    assert run() == (["0", "1", "2", "3", "4"], [])
+    (tmp_path / "in2.txt").write_text("two\n")
+    assert run() == (["0", "1", "3", "4", "two"], [["2", "3"]])
+    assert run({"mask": "other"})[1] == [["0", "1"], ["2", "3"], ["4"]]
+    rows = spark.read.json(str(tmp_path / "stage" / "manifest")).collect()
+    assert sorted((r.part, r.built) for r in rows) == [(0, True), (1, True), (2, True)]
+
+
+def test_session_texts_are_streamed_to_the_file(spark, tmp_path):
+    pieces = [("s1", 0, f"line {k:06d}") for k in range(30_000)] + [("s2", 1, "only one "), ("s0", None, " b "), ("s0", None, "é ")]
+    df = spark.createDataFrame(pieces, "session_id string, label int, piece string").repartition(7)
+    sinks.write_session_texts(df, str(tmp_path / "texts"))
+    got = {r.session_id: (r.label, r.text) for r in sinks.read_session_texts(spark, str(tmp_path / "texts")).collect()}
+    assert got == {
+        "s1": (0, "- " + " ".join(f"line {k:06d}" for k in range(30_000))), "s2": (1, "only one "), "s0": (None, " b  é "),
+    }
+    sinks.write_session_texts(df.limit(0), str(tmp_path / "none"))
+    assert sinks.read_session_texts(spark, str(tmp_path / "none")).count() == 0
