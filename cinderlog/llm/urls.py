@@ -12,10 +12,15 @@ The tree is built level by level on counts, not on pages.
 3. Labelled sibling branches whose block share does not differ from that of their
    other siblings by a two-proportion test (|z| < ``ALIKE``) become one branch ``*``;
    branches without enough labels (``EVIDENCE``) are not known to be alike and stay.
-A template is rejected when its labelled purity, smoothed towards one half with the
-weight of ``PRIOR`` pages, reaches ``REJECT``. So without evidence pages are allowed.
+A template is rejected when its labelled purity reaches ``REJECT``. Purity is the block
+share of its labelled pages, smoothed with the weight of ``PRIOR`` pages towards that of
+its host; a host's, in which pages without a label count as half, towards that of its
+domain (the last two names), and a domain's towards one half. So a host most of whose
+pages are known to be bad is rejected where nothing is known too, and without any
+evidence pages are allowed.
 
-Segments beyond ``DEPTH`` count as one, ``**``. Only DataFrame functions are used.
+The tree is followed as deep as two paths of a host go the same way. Only DataFrame
+functions are used.
 
 Rows: a null url, or one without "://", has empty host and path and is judged like
 any other. Repeated rows are judged each for itself, other columns are ignored; an
@@ -24,12 +29,13 @@ empty table gives no rows. Of rules of one length the first listed wins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.session import materialise
 
-DEPTH = 4
 FAN = 20
 RARE = 0.02
 ALIKE = 1.96
@@ -67,7 +73,7 @@ def fitting(host: Column, path: Column, rules: list[str]) -> tuple[Column, Colum
 
 
 def segments(path: Column) -> Column:
-    """The path's segments by shape, at most DEPTH and ``**`` for the rest."""
+    """The path's segments by shape."""
 
     def shape(s: Column) -> Column:
         ending = F.regexp_extract(s, r"(\.[A-Za-z]{2,5})$", 1)
@@ -79,43 +85,68 @@ def segments(path: Column) -> Column:
         )
         return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(s)
 
-    every = F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), shape)
-    return F.when(F.size(every) > DEPTH, F.concat(F.slice(every, 1, DEPTH), F.array(F.lit("**")))).otherwise(every)
+    return F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), shape)
 
 
 def tree(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) from counts (host, shape, pages, labelled, blocked)."""
-    leaves = shapes.withColumn("template", F.col("shape"))
-    for level in range(DEPTH):
-        node = ["host", "prefix"]
-        # levels above are generalised already, so equal branches have met
-        at = leaves.withColumn("prefix", F.slice("template", 1, level)).withColumn("child", F.get("template", F.lit(level)))
-        branch = at.where(F.col("child").isNotNull()).groupBy(*node, "child").agg(
-            *(F.sum(c).alias(c) for c in ("pages", "labelled", "blocked"))
-        )
-        enough = F.col("labelled") >= EVIDENCE
-        whole = branch.groupBy(*node).agg(
-            F.count("*").alias("fan"), F.sum("pages").alias("all_pages"),
-            F.sum(F.when(enough, F.col("labelled")).otherwise(0)).alias("all_labelled"),
-            F.sum(F.when(enough, F.col("blocked")).otherwise(0)).alias("all_blocked"),
-        )
-        others = F.col("all_labelled") - F.col("labelled")
-        p, q = F.col("blocked") / F.col("labelled"), (F.col("all_blocked") - F.col("blocked")) / others
-        pooled = F.col("all_blocked") / F.col("all_labelled")
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / others))
-        alike = enough & (others > 0) & (F.abs(p - q) <= ALIKE * spread)
-        crowd = (F.col("fan") > FAN) & (F.col("pages") < RARE * F.col("all_pages"))
-        merged = branch.join(whole, node).where((F.col("child") != "*") & (F.coalesce(alike, F.lit(False)) | crowd))
-        merged = merged.select(*node, "child", F.lit(True).alias("merged"))
-        leaves = at.join(merged, [*node, "child"], "left").withColumn(
-            "template",
-            F.when(
-                F.col("merged"),
-                F.concat("prefix", F.array(F.lit("*")), F.slice("template", level + 2, F.size("template"))),
-            ).otherwise(F.col("template")),
-        ).select(shapes.columns + ["template"])
-        leaves = materialise(leaves, "templates")
-    return leaves
+    leaves, ready, level = shapes.withColumn("template", F.col("shape")), [], 0
+    while True:
+        # a path that shares its node with no other has no siblings from here on
+        at = leaves.withColumn("prefix", F.slice("template", 1, level))
+        shared = at.groupBy("host", "prefix").agg(F.count("*").alias("_leaves")).where("_leaves > 1")
+        at = materialise(at.join(shared, ["host", "prefix"], "left"), "nodes")
+        alone = F.col("_leaves").isNull() | (F.size("template") <= level)
+        ready.append(at.where(alone).select(leaves.columns))
+        going = at.where(~alone)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, ready)
+        leaves, level = materialise(merged_at(going, level), "templates"), level + 1
+
+
+def merged_at(leaves: DataFrame, level: int) -> DataFrame:
+    """The leaves, branches at ``level`` that are alike or rare as ``*``."""
+    node = ["host", "prefix"]
+    # levels above are generalised already, so equal branches have met
+    at = leaves.withColumn("child", F.get("template", F.lit(level)))
+    branch = at.groupBy(*node, "child").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")))
+    enough = F.col("labelled") >= EVIDENCE
+    whole = branch.groupBy(*node).agg(
+        F.count("*").alias("fan"), F.sum("pages").alias("all_pages"),
+        F.sum(F.when(enough, F.col("labelled")).otherwise(0)).alias("all_labelled"),
+        F.sum(F.when(enough, F.col("blocked")).otherwise(0)).alias("all_blocked"),
+    )
+    others = F.col("all_labelled") - F.col("labelled")
+    p, q = F.col("blocked") / F.col("labelled"), (F.col("all_blocked") - F.col("blocked")) / others
+    pooled = F.col("all_blocked") / F.col("all_labelled")
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / others))
+    alike = enough & (others > 0) & (F.abs(p - q) <= ALIKE * spread)
+    crowd = (F.col("fan") > FAN) & (F.col("pages") < RARE * F.col("all_pages"))
+    merged = branch.join(whole, node).where((F.col("child") != "*") & (F.coalesce(alike, F.lit(False)) | crowd))
+    merged = merged.select(*node, "child", F.lit(True).alias("merged"))
+    return at.join(merged, [*node, "child"], "left").withColumn(
+        "template",
+        F.when(
+            F.col("merged"),
+            F.concat("prefix", F.array(F.lit("*")), F.slice("template", level + 2, F.size("template"))),
+        ).otherwise(F.col("template")),
+    ).select("host", "shape", "pages", "labelled", "blocked", "template")
+
+
+def purities(leaves: DataFrame) -> DataFrame:
+    """(host, template, purity), each level smoothed towards the one above."""
+    domain = F.substring_index("host", ".", -2).alias("domain")
+    sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
+    hosts = leaves.groupBy("host").agg(*sums).select("*", domain)
+    known = F.col("blocked") + (F.col("pages") - F.col("labelled")) / 2
+    of_domain = (F.sum(known) + PRIOR / 2) / (F.sum("pages") + PRIOR)
+    domains = hosts.groupBy("domain").agg(of_domain.alias("above"))
+    of_host = (known + PRIOR * F.col("above")) / (F.col("pages") + PRIOR)
+    hosts = hosts.join(domains, "domain").select("host", of_host.alias("above"))
+    purity = (F.col("blocked") + PRIOR * F.col("above")) / (F.col("labelled") + PRIOR)
+    return leaves.groupBy("host", "template").agg(*sums).join(hosts, "host").select(
+        "host", "template", purity.alias("purity")
+    )
 
 
 def judge(pages: DataFrame, rules: list[str], labels: DataFrame | None = None) -> DataFrame:
@@ -136,9 +167,7 @@ def judge(pages: DataFrame, rules: list[str], labels: DataFrame | None = None) -
         F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"),
     )
     leaves = tree(materialise(counts, "shapes"))
-    purity = (F.sum("blocked") + PRIOR / 2) / (F.sum("labelled") + PRIOR)
-    templates = leaves.groupBy("host", "template").agg(purity.alias("purity"))
-    known = leaves.select("host", "shape", "template").join(templates, ["host", "template"])
+    known = leaves.select("host", "shape", "template").join(purities(leaves), ["host", "template"])
     judged = rows.join(known, ["host", "shape"], "left")
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return judged.select(

@@ -115,8 +115,37 @@ def test_alike_branches_and_crowds_merge(spark):
 
 
 def test_deep_paths(spark):
-    out = urls.judge(frame(spark, [(1, "http://h.org/a/b/c/d/e/f"), (2, "http://h.org/2024-01-02/0123456789abcdef/x1y2z3w4v5u6t7")]), []).collect()
-    assert {r.page_id: r.template for r in out} == {1: "/a/b/c/d/**", 2: "/*/*/*"}
+    deep = "/".join("abcdefg")
+    rows = [(1, f"http://h.org/{deep}"), (2, "http://h.org/2024-01-02/0123456789abcdef/x1y2z3w4v5u6t7")]
+    rows += [(100 + k, f"http://s.org/{deep}/spam/{k}") for k in range(40)]
+    rows += [(200 + k, f"http://s.org/{deep}/news/{k}") for k in range(60)]
+    labels = spark.createDataFrame(
+        [(100 + k, True) for k in range(0, 40, 2)] + [(200 + k, False) for k in range(0, 60, 2)], "page_id long, blocked boolean"
+    )
+    out = {r.page_id: (r.template, r.verdict) for r in urls.judge(frame(spark, rows), [], labels).collect()}
+    assert out[1][0] == f"/{deep}" and out[2][0] == "/*/*/*"
+    assert {out[100 + k] for k in range(40)} == {(f"/{deep}/spam/*", "block")}
+    assert {out[200 + k] for k in range(60)} == {(f"/{deep}/news/*", "allow")}
+
+
+def test_a_bad_host_is_rejected_where_nothing_is_known(spark):
+    rows = [(k, f"http://bad.net/es/{k}") for k in range(50)] + [(100 + k, f"http://bad.net/about/{k}") for k in range(5)]
+    rows += [(200 + k, f"http://fair.net/es/{k}") for k in range(5)] + [(300 + k, f"http://fair.net/about/{k}") for k in range(50)]
+    rows += [(400 + k, f"http://new.org/about/{k}") for k in range(5)]
+    out = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame(spark, rows), URL_RULES).collect()}
+    assert {out[100 + k] for k in range(5)} == {(None, "block")}
+    assert {out[300 + k] for k in range(50)} == {(None, "allow")}
+    assert {out[400 + k] for k in range(5)} == {(None, "allow")}
+
+
+def test_the_query_judges_pages_without_a_rule(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = urls.judge(table, URL_RULES)
+    open_pages = found.where("rule IS NULL")
+    assert open_pages.where("verdict <> CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END").isEmpty()
+    # what the rules say of a host's pages weighs on its others
+    assert open_pages.select("purity").distinct().count() > 10
+    assert open_pages.where("host LIKE '%.org' AND purity <> 0.5").isEmpty()
 
 
 def test_many_open_tags_take_time_in_proportion():
