@@ -80,3 +80,50 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
     phrase, a, l, r, n, score
 FROM best JOIN n USING (lang) QUALIFY rank <= 2000
 """
+
+JACCARD_COMPONENTS = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT row, doc_id, list_distinct(CASE
+        WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingles
+    FROM d
+), x AS (SELECT row, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (
+    SELECT a.row AS a, b.row AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.row <> b.row
+    GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(row, other) AS (
+    SELECT row, row FROM s UNION SELECT reach.row, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.row = s.row JOIN s o ON o.row = reach.other
+GROUP BY s.row, s.doc_id, len(s.shingles)
+"""
+
+QUALITY_COUNTS = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), dup AS (
+    SELECT row, count(*) - count(DISTINCT line) AS n
+    FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row
+), windows AS (
+    SELECT row, i, count(*) OVER (PARTITION BY row, w[i:i + 4]) AS found
+    FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), again AS (
+    SELECT row, count(DISTINCT place) AS n
+    FROM (SELECT row, unnest(range(i, i + 5)) AS place FROM windows WHERE found > 1) GROUP BY row
+), c AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN dup USING (row) LEFT JOIN again USING (row)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""

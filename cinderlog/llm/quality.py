@@ -7,8 +7,10 @@ decoding finds the best sequence. A document stays when content lines hold enoug
 of its word characters and the plain rules do not reject it.
 
 The field is fitted on a bounded sample of labelled documents (``sample`` for
-each class, ``train_lines`` lines of each) that the plain rules do not reject: lines
-of good documents count as content, lines of bad ones as boilerplate. Judging reads
+each class, ``train_lines`` successive lines of each) that the plain rules do not
+reject. Labels are of documents, so lines are learned in turns: first each line takes
+its document's label and stands alone, then the documents are decoded and the field
+is fitted to the decoded lines (hard expectation maximisation). Judging reads
 all lines of all documents.
 
 Rows: null and empty texts have no words and fail the plain rules. Repeated rows
@@ -31,6 +33,7 @@ from cinderlog.llm.common import per_batch, window_hashes, words_of
 
 SAMPLE = 1000
 TRAIN_LINES = 200
+ROUNDS = 2  # of decoding and fitting in turn
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 CONTENT_SHARE = 0.5
@@ -153,13 +156,37 @@ def everything_content() -> Field:
     return Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.ones(FEATURES))
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 250, ridge: float = 1.0) -> Field:
+def alternate(sequences: list[tuple[np.ndarray, np.ndarray]], chars: list[np.ndarray]) -> Field:
+    """Learn lines from labels of documents: hard expectation maximisation.
+
+    The first field has no moves and takes all lines of a document to be of its label. Then
+    decoding the documents and fitting their decoded lines take turns. A document that
+    decoding would put on the wrong side keeps its own label for all lines.
+    """
+    if len({int(y[0]) for _, y in sequences}) < 2:
+        return everything_content()
+    field = fit(sequences, chained=False)
+    for _ in range(ROUNDS):
+        decoded = []
+        for (x, y), n in zip(sequences, chars):
+            labels = field.decode(x)
+            right = (n[labels].sum() >= CONTENT_SHARE * n.sum()) == bool(y[0])
+            decoded.append((x, labels.astype(int) if right else y))
+        field = fit(decoded, good=[bool(y[0]) for _, y in sequences])
+    return field
+
+
+def fit(
+    sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 250, ridge: float = 1.0,
+    good: list[bool] | None = None, chained: bool = True,
+) -> Field:
     """Maximum likelihood with a ridge penalty, by gradient steps with momentum (Adam).
 
     All sequences advance together, one line at a time, through the forward and
-    backward sums. Documents of the two classes weigh the same in total.
+    backward sums. Documents of the two classes (``good`` or not; by default those of mostly
+    content) weigh the same in total. Without ``chained`` lines stand alone: all moves weigh 0.
     """
-    if len({int(y[0]) for _, y in sequences}) < 2:
+    if len({int(label) for _, y in sequences for label in y}) < 2:
         return everything_content()
     every = np.concatenate([x for x, _ in sequences])
     mean, scale = every.mean(axis=0), every.std(axis=0)
@@ -171,7 +198,7 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 250, ridge:
     for k, (features, labels) in enumerate(sequences):
         n = len(labels)
         x[:n, k], y[:n, k], there[:n, k] = (features - mean) / scale, labels, 1
-    good = np.array([labels.mean() > 0.5 for _, labels in sequences])
+    good = np.array([labels.mean() > 0.5 for _, labels in sequences] if good is None else good)
     weight = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
     weight = weight / there.sum(axis=0) * rows
     theta = np.zeros(FEATURES + 4)
@@ -204,6 +231,8 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 250, ridge:
                 joint = ahead[:-1, :, a] + moves[a, b] + score[1:, :, b] + behind[1:, :, b] - total
                 expected = (np.exp(np.minimum(joint, 0)) * pairs * weight).sum()
                 grad[FEATURES + 2 * a + b] = seen[a, b] - expected
+        if not chained:
+            grad[FEATURES:] = 0
         grad = grad / rows - ridge * theta / rows
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -213,7 +242,8 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 250, ridge:
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_lines: int = TRAIN_LINES
 ) -> Field:
-    """Fit on at most ``sample`` documents of each quality, drawn by a hash of the id."""
+    """Fit on at most ``sample`` documents of each quality, drawn by a hash of the id, and of
+    each at most ``train_lines`` successive lines, from a place that the id draws."""
     labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = None
@@ -224,27 +254,34 @@ def train(
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, quality, values = [], [], []
+        ids, quality, values, chars = [], [], [], []
         for doc_id, text, q in zip(*(c.to_pylist() for c in batch.columns)):
-            stats, features, _ = measure(text)
+            stats, features, n = measure(text)
             if not base_failed(stats):
+                # of a long document one run of lines, drawn by its id
+                at = doc_id % (len(n) - train_lines + 1) if len(n) > train_lines else 0
                 ids.append(doc_id)
                 quality.append(q)
-                values.append(features[:train_lines].ravel())
+                values.append(features[at : at + train_lines].ravel())
+                chars.append(n[at : at + train_lines])
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array(values, pa.list_(pa.float64()))],
-            ["doc_id", "quality", "features"],
+            [
+                pa.array(ids, pa.int64()), pa.array(quality, pa.int32()),
+                pa.array(values, pa.list_(pa.float64())), pa.array(chars, pa.list_(pa.int64())),
+            ],
+            ["doc_id", "quality", "features", "chars"],
         )
 
     found = per_batch(
         rows.select("doc_id", "text", F.col("quality").cast("int")), step,
-        "doc_id long, quality int, features array<double>",
+        "doc_id long, quality int, features array<double>, chars array<long>",
     ).toPandas()
-    sequences = []
-    for _, quality, values in sorted(found.itertuples(index=False), key=lambda r: (r[0], r[1], len(r[2]))):
+    sequences, chars = [], []
+    for _, quality, values, n in sorted(found.itertuples(index=False), key=lambda r: (r[0], r[1], len(r[2]))):
         features = np.asarray(values).reshape(-1, FEATURES)
         sequences.append((features, np.full(len(features), int(quality))))
-    return fit(sequences) if sequences else everything_content()
+        chars.append(np.asarray(n))
+    return alternate(sequences, chars) if sequences else everything_content()
 
 
 def base_failed(stats: tuple[int, ...]) -> bool:

@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express."""
+    return quality.judge(table(spark, sf_dir, "documents"), quality.everything_content()).drop("kept", "content_share")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,8 @@ REGISTRY = {
         op11_quality_classifier,
     )
 }
+REGISTRY["op2_ngram_jaccard_join"] = (op2_ngram_jaccard_join, oracles.JACCARD_COMPONENTS)
+REGISTRY["quality_counts"] = (quality_counts, oracles.QUALITY_COUNTS)
 REGISTRY["op12_phrase_collocation_mining"] = (op12_phrase_collocation_mining, oracles.PHRASES)
 REGISTRY["op13_source_divergence_audit"] = (op13_source_divergence_audit, oracles.SOURCE_DIVERGENCE)
 REGISTRY["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

@@ -6,10 +6,26 @@ import zlib
 from collections import Counter
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 
+import check
 from cinderlog.llm import classifier, divergence, phrases
+from cinderlog.llm.queries import REGISTRY
+from tests.llm.conftest import SF
+
+def test_queries_equal_their_sql(spark):
+    """On whole tables, as the driver compares them."""
+    con = duckdb.connect()
+    for t in check.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    compared = {name: both for name, both in REGISTRY.items() if both[1]}
+    assert len(compared) == 4
+    for name, (query, sql) in compared.items():
+        _, verdict = check.compare(spark, con, SF, name, query, sql)
+        assert verdict.startswith("ok") and "types" not in verdict, (name, verdict)
+
 
 # --- op11 ---------------------------------------------------------------------
 

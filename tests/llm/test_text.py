@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -66,6 +67,28 @@ def test_quality_rules_against_labels(spark, corpus):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_lines_of_one_document_are_told_apart(spark):
+    """Labels are of documents; lines within one are still learned."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(rng.randint(8, 20))) + "."
+    bad = lambda: " ".join(f"{word().upper()} |" for _ in range(rng.randint(4, 12)))
+    rows, labels = [], []
+    for i in range(300):
+        junk = i % 3 == 0
+        parts = [good() if rng.random() < (0.2 if junk else 0.9) else bad() for _ in range(rng.randint(6, 12))]
+        rows.append((i, "\n".join(parts)))
+        labels.append((i, int(not junk)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    # blocks of either kind in one text come out as such
+    text = [good() for _ in range(5)] + [bad() for _ in range(5)] + [good() for _ in range(4)]
+    assert field.decode(quality.measure("\n".join(text))[1]).tolist() == [True] * 5 + [False] * 5 + [True] * 4
+    out = {r.doc_id: r for r in quality.judge(docs, field).collect()}
+    assert sum(0 < r.content_share < 1 for r in out.values()) > 150
+    assert sum(out[i].kept == bool(q) for i, q in labels) > 285
+
+
 def test_quality_of_odd_rows(spark, make):
     docs = make([(k, t) for k, t in enumerate(ODD)] + [(1, ""), (None, "w " * 9)])
     labels = spark.createDataFrame([(0, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
