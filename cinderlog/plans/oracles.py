@@ -404,8 +404,13 @@ DETECT = [
 ]
 
 
-def methods_report(parts: list[tuple[str, str]], names: tuple[str, ...]) -> str:
-    """From ``train`` (sentence) and ``test`` (sentence, label, n): a row of metrics per method."""
+def methods_report(
+    parts: list[tuple[str, str]], names: tuple[str, ...], search: str = "prc", core: float = 0,
+    novel: bool = False, first_only: bool = False,
+) -> str:
+    """From ``train`` (sentence) and ``test`` (sentence, label, n): a row of metrics per method.
+    ``core`` compares with that share of the bank, the nearest; ``novel`` keeps templates
+    whose first vector is not in the bank."""
     scores = {
         "knn": """SELECT 'knn' AS method, t.sentence, round(min(list_distance(t.first,b.first)),6) AS score
           FROM asked t, bank b GROUP BY ALL""",
@@ -413,16 +418,32 @@ def methods_report(parts: list[tuple[str, str]], names: tuple[str, ...]) -> str:
         "maxsim_mean": "SELECT 'maxsim_mean' AS method, sentence, round((SELECT max(mn) FROM agg)-mn,6) AS score FROM agg",
     }
     pairs = [
-        ("agg", f"""SELECT sentence, max(s) AS mx, avg(s) AS mn FROM (SELECT t.sentence, {sim()} AS s
-          FROM asked t, bank b) GROUP BY ALL"""),
+        ("agg", f"""SELECT sentence, max(s) AS mx, avg(s) AS mn FROM (SELECT t.sentence, {sim(only_first=first_only)} AS s
+          FROM asked t, bank b {"SEMI JOIN core c ON c.sentence = t.sentence AND c.other = b.sentence" if core else ""}) GROUP BY ALL"""),
     ]
+    if core:
+        pairs.insert(0, ("core", f"""SELECT t.sentence, b.sentence AS other FROM asked t, bank b QUALIFY row_number() OVER (
+          PARTITION BY t.sentence ORDER BY list_distance(t.first,b.first), b.sentence)
+          <= greatest(1, floor((SELECT count(*) FROM bank)*{core}::DOUBLE))"""))
+    found = "first NOT IN (SELECT first FROM bank)" if novel else "true"
+    cut = {
+        "prc": [
+            ("pr", PR.format(x="method, ")), ("best", BEST),
+            ("cut", "SELECT * FROM (SELECT method, threshold, row_number() OVER (PARTITION BY method ORDER BY f1 DESC, threshold) AS r FROM best) WHERE r=1"),
+        ],
+        "roc": [
+            ("points", """SELECT method, score AS threshold, tp::DOUBLE/all_pos::DOUBLE - fp::DOUBLE/all_neg::DOUBLE AS j FROM cum
+              UNION ALL SELECT DISTINCT method, 'inf'::DOUBLE, 0.0::DOUBLE FROM cum"""),
+            ("cut", "SELECT * FROM (SELECT method, threshold, row_number() OVER (PARTITION BY method ORDER BY j DESC, threshold DESC) AS r FROM points) WHERE r=1"),
+        ],
+    }[search]
     return ctes(
         *parts,
         ("all_sentences", "SELECT sentence FROM train UNION SELECT sentence FROM test"),
         *hash_vectors("all_sentences"),
         ("vectors", "SELECT sentence, first, list_concat([first], words) AS tokens FROM embedded"),
         ("bank", "SELECT * FROM vectors SEMI JOIN train USING (sentence)"),
-        ("asked", "SELECT * FROM vectors SEMI JOIN test USING (sentence)"),
+        ("asked", f"SELECT * FROM vectors SEMI JOIN test USING (sentence) WHERE {found}"),
         *(pairs if set(names) - {"knn"} else []),
         ("scores", " UNION ALL ".join(scores[n] for n in names)),
         ("weighted", "SELECT method, sentence, score, label, n FROM scores JOIN test USING (sentence)"),
@@ -431,8 +452,7 @@ def methods_report(parts: list[tuple[str, str]], names: tuple[str, ...]) -> str:
         ("cum", """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY method) AS all_pos,
           sum(neg) OVER (PARTITION BY method) AS all_neg FROM per_score
           WINDOW w AS (PARTITION BY method ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"""),
-        ("pr", PR.format(x="method, ")), ("best", BEST),
-        ("cut", "SELECT * FROM (SELECT method, threshold, row_number() OVER (PARTITION BY method ORDER BY f1 DESC, threshold) AS r FROM best) WHERE r=1"),
+        *cut,
         ("judged", "SELECT w.*, CASE WHEN score>=threshold THEN 1 ELSE 0 END AS prediction FROM weighted w JOIN cut USING (method)"),
         ("c", f"SELECT method, {cells('prediction', 'n')} FROM judged GROUP BY ALL"),
     )

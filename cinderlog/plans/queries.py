@@ -91,12 +91,16 @@ def read_examples(spark, sf):
     return logs.read_examples(spark, path)
 
 
-@register("read_run_stats", o.ctes(*o.RUN_CTES) + "SELECT mix, cap, total_logs, normal_count, abnormal_count, round(time_taken_seconds,6) AS time_taken_seconds FROM stats")
+@register("read_run_stats", o.ctes(*o.RUN_CTES) + "SELECT mix, cap, total_logs, normal_count, abnormal_count, round(time_taken_seconds,6) AS time_taken_seconds FROM stats UNION ALL SELECT 'zero', cap, sum(total_logs)::BIGINT, sum(normal_count)::BIGINT, sum(abnormal_count)::BIGINT, round(sum(time_taken_seconds),6) FROM stats GROUP BY cap")
 def read_run_stats(spark, sf):
     path = shared_folder(spark, "runs")
     stats = runstats.run_stats(views.runs(spark, sf), ms="ms", by=("mix", "cap"))
     name = F.format_string("few_%smt%d_stats", "mix", "cap")
     stats.withColumn("run", name).drop("mix", "cap").write.partitionBy("run").json(path)
+    # runs without examples are named by their cap alone
+    zero = stats.groupBy("cap").agg(*(F.sum(c).alias(c) for c in ("total_logs", "normal_count", "abnormal_count", "time_taken_seconds")))
+    name = F.format_string("zero_prompt_maxToken%d_stats", "cap")
+    zero.withColumn("run", name).drop("cap").write.mode("append").partitionBy("run").json(path)
     back = logs.read_run_stats(spark, path)
     return rounded(
         back.select("mix", "cap", "total_logs", "normal_count", "abnormal_count", "time_taken_seconds"),
@@ -812,6 +816,41 @@ def detect_three_methods(spark, sf):
     return rounded(detection.nearest_normal_report(views.log_lines(spark, sf), methods=detection.METHODS), *o.RATES)
 
 
+def _detected(spark, sf, **options):
+    found = detection.nearest_normal_report(views.log_lines(spark, sf), methods=detection.METHODS, **options)
+    return rounded(found, *o.RATES)
+
+
+@register("detect_roc", o.methods_report(LINE_RECORDS, detection.METHODS, search="roc") + _three("lines"))
+def detect_roc(spark, sf):
+    return _detected(spark, sf, search="roc")
+
+
+@register("detect_core_set", o.methods_report(LINE_RECORDS, detection.METHODS, core=0.3) + _three("lines"))
+def detect_core_set(spark, sf):
+    return _detected(spark, sf, core_set=0.3)
+
+
+@register("detect_first_token", o.methods_report(LINE_RECORDS, detection.METHODS, first_only=True) + _three("lines"))
+def detect_first_token(spark, sf):
+    return _detected(spark, sf, first_only=True)
+
+
+@register("detect_novel_only", o.methods_report(LINE_RECORDS, detection.METHODS, novel=True) + _three("lines"))
+def detect_novel_only(spark, sf):
+    return _detected(spark, sf, novel_only=True)
+
+
+RATIO_RECORDS = [*LINE_RECORDS, ("all_train", f"""SELECT sentence, row_number() OVER (ORDER BY {o.key(1234, 'line_id')}, line_id) AS rn,
+  count(*) OVER () AS n FROM records JOIN split USING (line_id) WHERE split='train'"""),
+    ("few", "SELECT DISTINCT sentence FROM all_train WHERE rn<=floor(n*0.01::DOUBLE)")]
+
+
+@register("detect_train_ratio", o.methods_report(RATIO_RECORDS, detection.METHODS).replace("SEMI JOIN train USING", "SEMI JOIN few USING") + _three("lines"))
+def detect_train_ratio(spark, sf):
+    return _detected(spark, sf, train_ratio=0.01)
+
+
 @register("detect_thunderbird", o.methods_report(o.THUNDERBIRD_RECORDS, detection.METHODS) + _three("lines"))
 def detect_thunderbird(spark, sf):
     return rounded(
