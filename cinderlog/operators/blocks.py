@@ -1,6 +1,7 @@
 """Rows with vectors dealt into blocks of bounded size.
 
-A block's vectors must fit a task. What a block holds is measured in floats: rows are
+A block's vectors must fit a task. What a block holds is measured in floats. Rows go
+to blocks by a hash of their id where the blocks, measured, keep the bound. Else they are
 put one after the other by running totals, which no single task computes, and cut
 where half of the bound is full. A row of more than half the bound is a block of
 its own, so the others never overrun: a block has at most half a bound before its
@@ -71,6 +72,12 @@ def dealt(side: DataFrame, id_: str, bound: int, least: int = 1) -> tuple[DataFr
     size = sizes(side, bound)
     if size.floats <= bound:  # any share of the rows fits
         return side.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(max(1, least)))), max(1, least)
+    # rows of like size spread evenly by their hash: no need to put them in order
+    n = max(least, -(-3 * size.floats // (2 * bound)))
+    hashed = side.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(n)))
+    largest = hashed.groupBy("block").agg(F.sum(FLOATS).alias("n")).agg(F.max("n")).first()[0]
+    if largest <= bound:
+        return hashed, n
     if size.blocks < least:
         bound = max(1, 2 * size.floats // least)
         size = sizes(side, bound)

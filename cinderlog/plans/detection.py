@@ -27,14 +27,16 @@ def split_records(
     lines: DataFrame, test_size: float = 0.2, dataset: str = "bgl", folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) records: split on the raw label, then mask. With a folder
-    both are kept there, so that later steps do not mask the lines again."""
+    both are kept there, so that later steps do not mask the lines again, as long as the
+    files of ``lines`` and the settings stay the same."""
     split = sampling.normal_only_split(parse.label_lines(lines), test_size, "line_id")
     split = split.drop("label")
 
     def side(name: str, labelled: bool) -> DataFrame:
         part = split.where(F.col("split") == name).drop("split")
         done = parse.usable(parse.preprocess(part, dataset, labelled)).drop("line")
-        return stage(done, f"{folder}/{name}") if folder else done
+        settings = {"test": test_size, "dataset": dataset}
+        return stage(done, f"{folder}/{name}", settings, lines.inputFiles()) if folder else done
 
     return side("train", False), side("test", True)
 
@@ -56,7 +58,8 @@ def split_sessions(
     def side(name: str, labelled: bool) -> DataFrame:
         part = split.where(F.col("split") == name).drop("split")
         done = parse.usable(parse.preprocess(part, "hdfs", labelled)).drop("line")
-        return stage(done, f"{folder}/{name}") if folder else done
+        files = [*lines.inputFiles(), *labels.inputFiles()]
+        return stage(done, f"{folder}/{name}", {"test": test_size}, files) if folder else done
 
     return side("train", False), side("test", True)
 

@@ -83,9 +83,16 @@ def write_metrics(
         out.write.mode("overwrite").json(path)
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
+def stage(
+    df: DataFrame, path: str, settings: dict | None = None, files: Sequence[str] | None = None
+) -> DataFrame:
     """Parquet between the steps of a job; finished work is read back, unfinished
-    work is done again."""
+    work is done again. With ``settings`` the folder is named by them and by the state of
+    the ``files`` it comes from (by default those that ``df`` reads), so that changed
+    inputs or settings are new work."""
+    if settings is not None:
+        files = df.inputFiles() if files is None else files
+        path = f"{path}/{fingerprint(df.sparkSession, files, settings)}"
     if not finished(df.sparkSession, path):
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -170,3 +170,13 @@ def test_session_texts_are_streamed_to_the_file(spark, tmp_path):
     }
     sinks.write_session_texts(df.limit(0), str(tmp_path / "none"))
     assert sinks.read_session_texts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_stage_with_settings_follows_its_inputs(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("a\n")
+    path = str(tmp_path / "kept")
+    run = lambda **settings: [r.value for r in sinks.stage(spark.read.text(str(tmp_path / "in.txt")), path, settings).collect()]
+    assert run(test=0.2) == ["a"] and run(test=0.2) == ["a"] and len(list((tmp_path / "kept").iterdir())) == 1
+    assert run(test=0.3) == ["a"] and len(list((tmp_path / "kept").iterdir())) == 2
+    (tmp_path / "in.txt").write_text("bc\n")
+    assert run(test=0.2) == ["bc"]
