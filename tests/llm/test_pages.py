@@ -163,3 +163,13 @@ def test_classes_inside_an_article(name, stays):
     html = f'<body><article><p>Before it.</p><section class="{name}"><p>The part.</p></section><p>After.</p></article></body>'
     assert ("The part." in pages.main_text(html)) == stays
     assert "The part." not in pages.main_text(html.replace("article>", "div>").replace(name, "related-work share"))
+
+
+def test_ratios_choose_the_region_of_a_page_without_article(monkeypatch):
+    links = "".join(f"<li><a href=/{k}><b>{w}</b></a></li>" for k, w in enumerate("home about shop work team jobs maps help".split()))
+    body = "".join(f"<p>{'A sentence of the text, long enough to be one. ' * 4}</p>" for _ in range(6))
+    html = f"<body><div><ul>{links}</ul></div><div id=x><h2>Head</h2>{body}<p>Short end.</p></div><div><ul>{links}</ul></div></body>"
+    text = pages.main_text(html)
+    assert text.startswith("Head\n\nA sentence") and text.endswith("Short end.") and "jobs" not in text
+    monkeypatch.setattr(pages, "smoothed", lambda values, sigma=1.5: 1.0 * (values < values.mean()))
+    assert "jobs" in pages.main_text(html)
