@@ -3,6 +3,12 @@
 Every stage reads what the one before it kept. The first four return the columns of
 ``documents``; the last one returns packed pieces. Between stages the documents are
 written to the shared folder and read again, so a lost executor costs one stage.
+
+Rows: null, empty and wordless texts fail the quality rules. Rows without an id are
+documents of their own; near copies of other documents among them stay, as no id says
+which one they are. Rows of one id stand or fall together in the join; repeated rows stay
+repeated. Other columns are carried along to the last stage. An empty table gives
+empty tables.
 """
 
 from __future__ import annotations
