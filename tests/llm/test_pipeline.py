@@ -9,7 +9,7 @@ from tests.llm.test_near import brute
 
 def test_registered_once_per_operator():
     names = [n for n in contract.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_stages_against_plain_versions(spark, tmp_path):
@@ -37,3 +37,26 @@ def test_stages_against_plain_versions(spark, tmp_path):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     good = [i for i in rows[0] if i in labels and labels[i].quality == 1 and len((rows[0][i].text or "").split()) >= 10]
     assert np.mean([i in rows[1] for i in good]) > 0.95
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated rows, columns with clashing names, no rows."""
+    text = "\n".join(" ".join(f"word{k}x{j}" for j in range(12)) + "." for k in range(9))
+    rows = [
+        (1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text + " more", None, None, None), (None, text + " other", "en", "s", 1),
+        (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, " \n\n", "en", "s", 3),
+        (6, "long " * 100_000, "en", "s", 500_000), (7, "\n".join(["so it is"] * 20_000), "en", "s", 1),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS n", "'x' AS key", "2.0 AS score", "array(1) AS tokens", "3 AS hash")
+    for name, docs in (("odd", full), ("none", full.limit(0))):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{k}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert k == 4 or docs.columns == columns
+            if k == 3:
+                kept = sorted(r.doc_id or 0 for r in docs.collect())
+        # the first copy stays, repeated as it was; of the others the lines that differ
+        assert kept == ([] if name == "none" else [0, 1, 1, 2])
