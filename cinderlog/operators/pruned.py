@@ -1,20 +1,15 @@
-"""Nearest neighbours and best matches without a look at every pair.
+"""Nearest neighbours without a look at every pair.
 
-Nearest neighbours: a few pivots lie far apart in the bank. Bank and test rows go to
+A few pivots lie far apart in the bank. Bank and test rows go to
 their nearest pivot, and blocks are cut along the distance to it, so a block is
 a ring with known nearest and farthest distances to every pivot. By the triangle
 inequality these bound the distance of a test block to a bank block from both sides.
 The upper bounds of the nearest blocks that hold k rows together limit what a
 test block can need; blocks beyond that are not even sent to it. The rest arrive
-nearest first, and the k-th best so far, handed from block to block, leaves out
-more of them, row by row. A task holds one test block and its k best.
+nearest first, in pieces, and the k-th best so far leaves out more of them, row by row. A
+task holds one test block and its k best.
 
-Best match of token matrices: token vectors are near one of some centroids. A bank
-row keeps which centroids it uses and how far its tokens are from them at most; with
-the products of test tokens and centroids this bounds a pair's similarity from above.
-Only pairs whose bound beats the best so far are computed.
-
-Both are exact; bounds allow for rounding.
+Exact; bounds allow for rounding.
 """
 
 from __future__ import annotations
@@ -23,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlog.operators import blocks
-from cinderlog.session import parallelism
+from cinderlog.operators import blocks, streams
 
-PIVOTS, CENTROIDS = 16, 64
-SAMPLE = 1024  # bank rows that pivots and centroids are chosen from
-MIN_TEST_ROWS = 16
+PIVOTS = 16
+SAMPLE = 1024  # bank rows that pivots are chosen from
+BANK_BLOCKS = 1024  # sent as a whole, looked into by pieces
+TEST_FLOATS = 8_000_000  # that a task holds
+TILE_BANK, TILE_PAIRS = 1024, 1_000_000
+ROWS_OUT = 100_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -116,12 +113,6 @@ class Ranges:
         gap = np.maximum(self.near - far, near - self.far).max(axis=1)
         return np.maximum(gap - _slack(self.far.max(axis=1)), 0)
 
-    def least_of(self, block: int, dist: np.ndarray) -> np.ndarray:
-        """The same for single rows and one block."""
-        i = self.at[block]
-        gap = np.maximum(self.near[i] - dist, dist - self.far[i]).max(axis=1)
-        return np.maximum(gap - _slack(self.far[i].max()), 0)
-
     def needed(self, near: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Blocks that may hold one of the k nearest, and the bound of each."""
         most = (self.far + far).min(axis=1)
@@ -138,148 +129,180 @@ def _slack(size):
     return 1e-9 * (1.0 + size)
 
 
-def _candidates(test_ranges: DataFrame, ranges: Ranges, k: int) -> DataFrame:
-    """(test_block, bank_block, least)."""
-    names = np.array(list(ranges.at), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, near, far in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found, least = ranges.needed(np.array(near), np.array(far), k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(found), pa.int64()), pa.array(names[found]), pa.array(least)],
-                    ["test_block", "bank_block", "least"],
-                )
-
-    return test_ranges.select("block", "near", "far").mapInArrow(
-        run, "test_block long, bank_block long, least double"
-    )
+class Nearest:
+    """The k nearest so far of the test vectors that a task holds, ties by id."""
+
+    SCHEMA = "test_id long, bank_id long, distance double"
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int):
+        self.ids = np.concatenate([p.column("id").to_numpy() for p in parts])
+        self.rows = np.concatenate([matrix(p.column("values")) for p in parts])
+        self.squares = (self.rows * self.rows).sum(axis=1)
+        self.k = k
+        self.best = np.full((len(self.rows), k), np.inf)
+        self.who = np.zeros((len(self.rows), k), np.int64)
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        self.compare(np.arange(len(self.rows)), part.column("id").to_numpy(), matrix(part.column("values")))
+
+    def compare(self, todo: np.ndarray, ids: np.ndarray, bank: np.ndarray) -> None:
+        """Some of the test rows with some bank rows, tile by tile."""
+        width = max(TILE_BANK, 4 * self.k)
+        height = max(1, TILE_PAIRS // min(width, len(ids)))
+        for at in range(0, len(ids), width):
+            some, own = bank[at : at + width], ids[at : at + width]
+            squares = (some * some).sum(axis=1)
+            for first in range(0, len(todo), height):
+                self._tile(todo[first : first + height], own, some, squares)
+
+    def _tile(self, todo: np.ndarray, ids: np.ndarray, bank: np.ndarray, squares: np.ndarray) -> None:
+        """The product form of the distance picks candidates with a margin for its
+        rounding; the distances themselves come from differences."""
+        mine = self.squares[todo]
+        margin = 1e-9 * (mine + squares.max() + 1.0)
+        rough = squares[None, :] - 2.0 * (self.rows[todo] @ bank.T)
+        limit = self.best[todo, -1] ** 2 - mine + margin
+        if self.k == 1:
+            limit = np.minimum(limit, rough.min(axis=1) + margin)
+        else:
+            many = np.flatnonzero((rough <= limit[:, None]).sum(axis=1) > 2 * self.k)
+            if len(many):
+                kth = np.partition(rough[many], self.k - 1, axis=1)[:, self.k - 1]
+                limit[many] = np.minimum(limit[many], kth + margin[many])
+        i, j = np.nonzero(rough <= limit[:, None])
+        for at in range(0, len(i), TILE_PAIRS):
+            self._take(todo[i[at : at + TILE_PAIRS]], ids, bank, j[at : at + TILE_PAIRS])
+
+    def _take(self, at: np.ndarray, ids: np.ndarray, bank: np.ndarray, j: np.ndarray) -> None:
+        """Merge pairs, in order of their test row, into the k best."""
+        step = max(1, 8 * TILE_PAIRS // bank.shape[1])
+        far = np.concatenate([
+            np.sqrt(((bank[j[a : a + step]] - self.rows[at[a : a + step]]) ** 2).sum(axis=1))
+            for a in range(0, len(at), step)
+        ])
+        rows = at[np.flatnonzero(np.diff(at, prepend=-1))]
+        every = np.concatenate([np.repeat(rows, self.k), at])
+        far = np.concatenate([self.best[rows].ravel(), far])
+        who = np.concatenate([self.who[rows].ravel(), ids[j]])
+        order = np.lexsort((who, far, every))
+        starts = np.flatnonzero(np.diff(every[order], prepend=-1))
+        first = order[starts[:, None] + np.arange(self.k)]
+        target = every[order[starts]][:, None], np.arange(self.k)[None, :]
+        self.best[target], self.who[target] = far[first], who[first]
 
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for row, rank in self.filled():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (self.ids[row], self.who[row, rank], self.best[row, rank])],
+                ["test_id", "bank_id", "distance"],
+            )
 
-def _runs(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[int, int]]:
-    """Where rows with equal values begin and end."""
-    n = batch.num_rows
-    change = np.zeros(n, bool)
-    change[:1] = True
-    for name in names:
-        column = batch.column(name).to_numpy(zero_copy_only=False)
-        change[1:] |= column[1:] != column[:-1]
-    starts = np.flatnonzero(change)
-    yield from zip(starts.tolist(), np.append(starts[1:], n).tolist())
+    def filled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place among its k best) of what was found, some at a time."""
+        step = max(1, ROWS_OUT // self.k)
+        for first in range(0, len(self.ids), step):
+            row, rank = np.nonzero(np.isfinite(self.best[first : first + step]))
+            if len(row):
+                yield row + first, rank
 
 
 FOUND = "test_block long, test_id long, rank int, bank_id long, distance double, visited int, offered int"
 
 
-class _Search:
-    """One test block on its way past bank blocks."""
-
-    def __init__(self, block: int, k: int, ranges: Ranges, pivots: np.ndarray, nearest):
-        self.block, self.k, self.ranges, self.pivots, self.nearest = block, k, ranges, pivots, nearest
-        self.ids, self.parts = [], []
-        self.rows = None
-        self.visited, self.offered = set(), set()
+class Search(Nearest):
+    """``Nearest`` that leaves out what the pivots rule out.
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids.append(ids)
-        self.parts.append(rows)
+    A bank block comes in pieces of ``floats`` at most; of each the distances to the
+    pivots tell which test rows may have something near in it.
+    """
 
-    def start(self) -> None:
-        self.ids, self.rows = np.concatenate(self.ids), np.concatenate(self.parts)
-        self.dist = to_pivots(self.rows, self.pivots)
-        self.best = np.full((len(self.rows), self.k), np.inf)
-        self.who = np.zeros((len(self.rows), self.k), np.int64)
+    def __init__(self, parts: list[pa.RecordBatch], k: int, pivots: np.ndarray, floats: int):
+        super().__init__(parts, k)
+        self.block = parts[0].column("block")[0].as_py()
+        self.pivots, self.step = pivots, max(1, floats // self.rows.shape[1])
+        self.dist = to_pivots(self.rows, pivots)
+        self.visited, self.offered = set(), set()
 
-    def meet(self, block: int, ids: np.ndarray, values) -> None:
-        if self.rows is None:
-            self.start()
+    def meet(self, part: pa.RecordBatch) -> None:
+        block = part.column("block")[0].as_py()
         self.offered.add(block)
-        todo = np.flatnonzero(self.ranges.least_of(block, self.dist) <= self.best[:, -1])
-        if not len(todo):
-            return
-        self.visited.add(block)
-        for i, (who, far) in zip(todo.tolist(), self.nearest(self.rows[todo], matrix(values), ids, self.k)):
-            who, far = np.append(self.who[i], who), np.append(self.best[i], far)
-            order = np.lexsort((who, far))[: self.k]
-            self.who[i], self.best[i] = who[order], far[order]
+        ids, bank = part.column("id").to_numpy(), matrix(part.column("values"))
+        dist = to_pivots(bank, self.pivots)
+        for at in range(0, len(ids), self.step):
+            piece = slice(at, at + self.step)
+            near, far = dist[piece].min(axis=0), dist[piece].max(axis=0)
+            gap = np.maximum(near - self.dist, self.dist - far).max(axis=1) - _slack(far.max())
+            todo = np.flatnonzero(gap <= self.best[:, -1])
+            if len(todo):
+                self.visited.add(block)
+                self.compare(todo, ids[piece], bank[piece])
 
     def found(self) -> Iterator[pa.RecordBatch]:
-        if self.rows is None:  # nothing was offered
-            return
-        row, rank = np.nonzero(np.isfinite(self.best))
-        for at in range(0, len(row), 100_000):
-            r, c = row[at : at + 100_000], rank[at : at + 100_000]
-            counts = (np.full(len(r), len(x), np.int32) for x in (self.visited, self.offered))
+        for row, rank in self.filled():
+            counts = (np.full(len(row), len(x), np.int32) for x in (self.visited, self.offered))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(r), self.block)), pa.array(self.ids[r]),
-                    pa.array((c + 1).astype(np.int32)), pa.array(self.who[r, c]),
-                    pa.array(self.best[r, c]), *(pa.array(x) for x in counts),
+                    pa.array(np.full(len(row), self.block)), pa.array(self.ids[row]),
+                    pa.array((rank + 1).astype(np.int32)), pa.array(self.who[row, rank]),
+                    pa.array(self.best[row, rank]), *(pa.array(x) for x in counts),
                 ],
                 ["test_block", "test_id", "rank", "bank_id", "distance", "visited", "offered"],
             )
 
 
+def _routes(spark: SparkSession, test: pa.Table, ranges: Ranges, k: int, parts: int) -> DataFrame:
+    """(bank_block, _to): the places that need a bank block, and its bound for each. Test
+    blocks are as many as tasks, bank blocks at most some ``BANK_BLOCKS``."""
+    names = np.array(list(ranges.at), np.int64)
+    near, far = (matrix(test.column(c).combine_chunks()) for c in ("near", "far"))
+    found = [ranges.needed(near[i], far[i], k) for i in range(test.num_rows)]
+    rows = pa.table({
+        "test_block": np.repeat(np.arange(test.num_rows), [len(at) for at, _ in found]),
+        "bank_block": names[np.concatenate([at for at, _ in found])],
+        "least": np.concatenate([least for _, least in found]),
+    })
+    part = F.pmod(F.xxhash64("bank_block"), F.lit(parts))
+    return spark.createDataFrame(rows).groupBy("bank_block").agg(
+        F.collect_list(F.struct((F.col("test_block") * parts + part).alias("place"), "least")).alias("_to")
+    )
+
+
 def searched(
-    test: DataFrame, bank: DataFrame, k: int, block_floats: int, nearest, n_pivots: int = PIVOTS
+    test: DataFrame, bank: DataFrame, k: int, block_floats: int, n_pivots: int = PIVOTS
 ) -> tuple[DataFrame, int]:
     """FOUND rows: the k nearest in each part of the bank that a test block's tasks
     have read, and how many blocks were offered and looked into there; and the number of
     parts, which is 1 where there are test blocks enough to keep all tasks busy.
 
-    ``nearest`` compares two matrices. ``test`` and ``bank`` are (id, values, _floats).
+    ``test`` and ``bank`` are (id, values, _floats). A bank block is sent to all test blocks
+    that may need it, so both are few: a test block is what a task holds, a bank
+    block at least ``block_floats``, the size of the pieces looked into.
     """
     spark = test.sparkSession
-    tasks = parallelism(spark)
     pivots = far_apart(matrix(sampled(bank, "bank_values").column(0).combine_chunks()), n_pivots)
-    rings = _rings(_placed(bank, "bank", pivots, 0), block_floats)
+    whole = bank.agg(F.sum("_floats")).first()[0] or 0
+    rings = _rings(_placed(bank, "bank", pivots, 0), max(block_floats, 2 * whole // BANK_BLOCKS))
     ranges = Ranges(_ranges(rings, len(pivots)).toArrow())
-    # a test row's k best take room too
-    size = test.agg(F.count("*"), F.coalesce(F.sum(F.col("_floats") + 2 * k), F.lit(0))).first()
-    wanted = min(-(-size[0] // MIN_TEST_ROWS), tasks)
-    bound = max(1, min(block_floats, 2 * size[1] // max(1, wanted)))
-    test_rings = _rings(_placed(test, "test", pivots, 2 * k), bound)
-    pairs = _candidates(_ranges(test_rings, len(pivots)), ranges, k)
-    # few test blocks: several tasks share the bank blocks of each
-    parts = max(1, tasks // max(1, wanted))
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("bank_block"), F.lit(parts)).cast("int"))
-    by_block = pairs.groupBy("bank_block").agg(
-        F.collect_list(F.struct("test_block", "part", "least")).alias("_to")
-    )
-    right = rings.withColumnRenamed("block", "bank_block").join(by_block, "bank_block").select(
-        F.inline("_to"), "bank_block", "id", "values"
-    )
-    left = test_rings.select(
-        F.col("block").alias("test_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        F.lit(-1.0).alias("least"), F.lit(-1).cast("long").alias("bank_block"), "id", "values",
+    # a test row's distances to the pivots and its k best take room too
+    extra = len(pivots) + 2 * k
+    size = test.agg(F.count("*"), F.coalesce(F.sum(F.col("_floats") + extra), F.lit(0))).first()
+    wanted, parts = streams.cut(spark, size[0])
+    test_rings = _rings(_placed(test, "test", pivots, extra), max(1, min(TEST_FLOATS, 2 * size[1] // wanted)))
+    test_ranges = _ranges(test_rings, len(pivots)).toArrow()
+    if not test_ranges.num_rows:
+        return spark.createDataFrame([], FOUND), 1
+    numbers = spark.createDataFrame(pa.table({"block": test_ranges.column("block"), "_n": np.arange(test_ranges.num_rows)}))
+    left = test_rings.join(F.broadcast(numbers), "block").select(
+        F.explode(F.transform(streams.upto(parts), lambda p: p + F.col("_n") * parts)).alias("place"),
+        F.lit(streams.TEST).alias("side"), F.lit(-1.0).alias("least"), "block", "own", "id", "values",
     )
-    stream = (
-        left.unionByName(right)
-        .repartition(tasks, "test_block", "part")
-        .sortWithinPartitions("test_block", "part", "least", "bank_block")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, search = None, None
-        for batch in batches:
-            for start, stop in _runs(batch, ("test_block", "part", "bank_block")):
-                part = batch.slice(start, stop - start)
-                key = part.column("test_block")[0].as_py(), part.column("part")[0].as_py()
-                if key != now:
-                    if search:
-                        yield from search.found()
-                    now, search = key, _Search(key[0], k, ranges, pivots, nearest)
-                block = part.column("bank_block")[0].as_py()
-                ids, values = part.column("id").to_numpy(), part.column("values")
-                if block < 0:
-                    search.add(ids, matrix(values))
-                else:
-                    search.meet(block, ids, values)
-        if search:
-            yield from search.found()
-
-    return stream.mapInArrow(run, FOUND), parts
+    routes = _routes(spark, test_ranges, ranges, k, parts)
+    right = rings.join(F.broadcast(routes.withColumnRenamed("bank_block", "block")), "block").select(
+        F.inline("_to"), F.lit(streams.BANK).alias("side"), "block", "own", "id", "values"
+    ).select("place", "side", "least", "block", "own", "id", "values")
+    stream = streams.streamed(left.unionByName(right), test_ranges.num_rows * parts, "least", "block", "own")
+    make = streams.walked(lambda held: Search(held, k, pivots, block_floats), ("block",))
+    return stream.drop("least", "own").mapInArrow(make, FOUND), parts
 
 
 def merged(found: DataFrame, parts: int, k: int) -> DataFrame:
@@ -287,140 +310,13 @@ def merged(found: DataFrame, parts: int, k: int) -> DataFrame:
     they are final where they were found, and nothing is shuffled."""
     if parts == 1:
         return found.select("test_id", "rank", "bank_id", "distance")
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(test_id, rank, bank_id, distance): the k nearest of each test row, ties by bank id."""
     order = Window.partitionBy("test_id").orderBy("distance", "bank_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("test_id", "rank", "bank_id", "distance")
     )
-
-
-# --- best match of token matrices -----------------------------------------------
-
-
-def centroids_of(tokens: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
-    """Some steps of k-means, from tokens that lie far apart."""
-    centres = far_apart(tokens, n)
-    for _ in range(rounds):
-        own = nearest_centre(tokens, centres)[0]
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, tokens)
-        n_own = np.bincount(own, minlength=len(centres))[:, None]
-        centres = np.where(n_own > 0, sums / np.maximum(n_own, 1), centres)
-    return centres
-
-
-def nearest_centre(tokens: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The centroid of each token, and the distance to it."""
-    rough = (centres * centres).sum(axis=1) - 2 * tokens @ centres.T
-    own = rough.argmin(axis=1)
-    return own, np.linalg.norm(tokens - centres[own], axis=1)
-
-
-class Matches:
-    """The best match so far of every template of one test block."""
-
-    def __init__(self, ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray, centres: np.ndarray):
-        self.ids, self.tokens, self.starts, self.centres = ids, tokens, starts, centres
-        self.products = tokens @ centres.T
-        self.norms = np.linalg.norm(tokens, axis=1)[:, None]
-        self.best = np.full(len(ids), -np.inf)
-        self.pairs = self.computed = 0
-
-    def bounds(self, bank: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """[bank row, test row]: no similarity is above this."""
-        own, far = nearest_centre(bank, self.centres)
-        out = np.empty((len(starts) - 1, len(self.ids)))
-        for j, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-            used = np.unique(own[a:b])
-            reach = np.array([far[a:b][own[a:b] == c].max() for c in used])
-            top = (self.products[:, used] + self.norms * reach).max(axis=1)
-            out[j] = np.add.reduceat(top, self.starts[:-1])
-        return out + 1e-9 * (1 + np.abs(out))
-
-    def meet(self, bank: np.ndarray, starts: np.ndarray) -> None:
-        bounds = self.bounds(bank, starts)
-        self.pairs += bounds.size
-        # rows with the highest bounds first: they raise the best soon
-        for j in np.argsort(-bounds.max(axis=1), kind="stable"):
-            todo = np.flatnonzero(bounds[j] >= self.best)
-            self.computed += len(todo)
-            rows = bank[starts[j] : starts[j + 1]].T
-            for i in todo:
-                sims = self.tokens[self.starts[i] : self.starts[i + 1]] @ rows
-                self.best[i] = max(self.best[i], sims.max(axis=1).sum())
-
-
-MATCHED = "test_id long, best double, pairs long, computed long"
-
-
-def matched(test: DataFrame, bank: DataFrame, block_floats: int, unit, n_centroids: int = CENTROIDS) -> DataFrame:
-    """MATCHED rows: a test row's best match in each part of the bank, and of how many
-    pairs of its block and part the similarity was computed.
-
-    Both sides are (id, values, tokens, _floats); ``unit`` scales token vectors.
-    """
-    spark = test.sparkSession
-    tasks = parallelism(spark)
-    sample = bank.orderBy(F.xxhash64("bank_id"), "bank_id").limit(SAMPLE)
-    picked = sample.select("bank_values", "bank_tokens").toArrow().combine_chunks()
-    counts = picked.column("bank_tokens").to_numpy()
-    flat = picked.column("bank_values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    if not len(flat):
-        return spark.createDataFrame([], MATCHED)
-    centres = centroids_of(unit(flat.astype(np.float64).reshape(int(counts.sum()), -1)), n_centroids)
-    n_test = test.count()
-    test, n = blocks.dealt(test, "test_id", block_floats, min(-(-n_test // MIN_TEST_ROWS), tasks) or 1)
-    parts = max(1, tasks // n)
-    left = test.select(
-        F.col("block").alias("test_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        F.lit(0).alias("side"), F.col("test_id").alias("id"), F.col("test_values").alias("values"),
-        F.col("test_tokens").alias("tokens"),
-    )
-    right = bank.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("test_block"),
-        F.pmod(F.xxhash64("bank_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("side"),
-        F.col("bank_id").alias("id"), F.col("bank_values").alias("values"), F.col("bank_tokens").alias("tokens"),
-    )
-    stream = (
-        left.unionByName(right)
-        .repartition(tasks, "test_block", "part")
-        .sortWithinPartitions("test_block", "part", "side")
-    )
-
-    def tokens_of(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.concatenate([p.column("tokens").to_numpy() for p in parts])
-        flat = np.concatenate(
-            [p.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64) for p in parts]
-        )
-        return unit(flat.reshape(int(counts.sum()), -1)), np.concatenate([[0], np.cumsum(counts)])
-
-    def done(matches: Matches | None) -> Iterator[pa.RecordBatch]:
-        if matches:
-            n = len(matches.ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(matches.ids), pa.array(matches.best),
-                    pa.array(np.full(n, matches.pairs)), pa.array(np.full(n, matches.computed)),
-                ],
-                ["test_id", "best", "pairs", "computed"],
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting, matches = None, [], None
-        for batch in batches:
-            for start, stop in _runs(batch, ("test_block", "part", "side")):
-                part = batch.slice(start, stop - start)
-                key = part.column("test_block")[0].as_py(), part.column("part")[0].as_py()
-                if key != now:
-                    yield from done(matches)
-                    now, waiting, matches = key, [], None
-                if not part.column("side")[0].as_py():
-                    waiting.append(part)
-                elif waiting or matches:
-                    if matches is None:
-                        ids = np.concatenate([p.column("id").to_numpy() for p in waiting])
-                        matches, waiting = Matches(ids, *tokens_of(waiting), centres), []
-                    matches.meet(*tokens_of([part]))
-        yield from done(matches)
-
-    return stream.mapInArrow(run, MATCHED)

@@ -1,27 +1,23 @@
 """Distance of test templates to a bank of normal ones.
 
-Test and bank sides are cut into blocks of bounded size. A test block meets a
-bank block in one task, which runs a dense kernel on Arrow data and returns, per
-test template, a partial result: its k nearest in the block, or the
-(max, sum, count) of its similarities. Partials merge by an ordinary aggregate.
-No pair of templates is ever a row, and blocks are cut by their measured size
-(``blocks``). The k nearest of a bank of several blocks, and the best match alone, are
-found without a look at every pair (``pruned``).
+Test rows are cut into blocks of bounded size (``blocks``). A task holds one of them while
+the bank streams past (``streams``), and a dense kernel keeps, per test template, a
+partial result: its k nearest (``pruned``), or the (max, sum, count) of its
+similarities (``late``). Partials merge by an ordinary aggregate. No pair of templates is
+ever a row. The k nearest of a bank of several blocks are found without a look at every
+pair (``pruned``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.operators import blocks, pruned
-from cinderlog.session import parallelism
+from cinderlog.operators import blocks, late, pruned, streams
 
-BLOCK_FLOATS = 8_000_000  # per side and task: 32 MB of float32
+BLOCK_FLOATS = 8_000_000  # of a block: 32 MB of float32
+ROW = ["side", "id", "values", "tokens"]
 
 
 def _width(tokens: Column) -> Column:
@@ -39,108 +35,52 @@ def _flat(df: DataFrame, id_: str, tokens: Column, prefix: str) -> DataFrame:
     )
 
 
-def _grid(
-    test: DataFrame,
-    bank: DataFrame,
-    block_floats: int,
-    wanted: DataFrame | None = None,
-):
-    """Place both sides on the grid (test block, bank block).
-
-    The bank is copied once per test block, so there are more of those than size asks
-    for only as long as tasks would be idle. With ``wanted`` (test_id, bank_id) a
-    test row goes only to the bank blocks that hold rows it wants, and carries their ids.
-    """
-    tasks = parallelism(test.sparkSession)
-    bank, n_bank = blocks.dealt(bank, "bank_id", block_floats)
-    bank = bank.withColumnRenamed("block", "bank_block")
-    test, n_test = blocks.dealt(test, "test_id", block_floats, -(-tasks // n_bank))
-    test = test.withColumnRenamed("block", "test_block")
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    if wanted is None:
-        test = test.withColumn("bank_block", each(n_bank)).withColumn(
-            "wanted", F.lit(None).cast("array<bigint>")
-        )
-    else:
-        lists = (
-            wanted.join(bank.select("bank_id", F.col("bank_block").alias("_in")), "bank_id")
-            .groupBy("test_id", F.col("_in").alias("bank_block"))
-            .agg(F.collect_list("bank_id").alias("wanted"))
-        )
-        test = test.join(lists, "test_id")
-    bank = bank.withColumn("test_block", each(n_test))
-    keys = ["test_block", "bank_block"]
-    left = test.drop("_floats").repartition(tasks, *keys)
-    right = bank.drop("_floats").repartition(tasks, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+def _sides(
+    test: DataFrame, bank: DataFrame, block_floats: int, *columns: str
+) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """Both sides as (id, values, tokens), the test side with its place, and how many
+    blocks, parts and places there are."""
+    n, parts = streams.cut(test.sparkSession, test.count())
+    test, n = blocks.dealt(test, "test_id", block_floats, n)
+    parts = min(parts, max(1, streams.slots(test.sparkSession) // n))
+    left = test.select(
+        F.col("block").alias("_block"), F.lit(streams.TEST).alias("side"), F.col("test_id").alias("id"),
+        F.col("test_values").alias("values"), F.col("test_tokens").alias("tokens"),
+    )
+    right = bank.select(
+        F.pmod(F.xxhash64("bank_id"), F.lit(parts)).alias("_part"), F.lit(streams.BANK).alias("side"),
+        F.col("bank_id").alias("id"), F.col("bank_values").alias("values"), F.col("bank_tokens").alias("tokens"),
+    )
+    return left, right, n, parts, n * parts
 
 
-def _values(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _met(test: DataFrame, bank: DataFrame, block_floats: int) -> DataFrame:
+    """Every test block beside the whole bank, as a stream (``streams``)."""
+    left, right, n, parts, places = _sides(test, bank, block_floats)
+    left = left.withColumn("_part", F.explode(streams.upto(parts)))
+    right = right.withColumn("_block", F.explode(streams.upto(n)))
+    place = (F.col("_block") * parts + F.col("_part")).alias("place")
+    both = left.select(place, *ROW).unionByName(right.select(place, *ROW))
+    return streams.streamed(both, places)
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    """Vectors of equal width as one matrix."""
-    return _values(table, name).reshape(table.num_rows, -1)
+def _met_wanted(test: DataFrame, bank: DataFrame, block_floats: int, wanted: DataFrame) -> DataFrame:
+    """As ``_met``, but a bank row goes only to the blocks that hold test rows which want it
+    (test_id, bank_id), with their ids."""
+    left, right, n, parts, places = _sides(test, bank, block_floats)
+    left = left.withColumn("wanting", F.lit(None).cast("array<bigint>"))
+    in_block = left.select(F.col("id").alias("test_id"), "_block").distinct()
+    lists = wanted.join(in_block, "test_id").groupBy("_block", "bank_id").agg(F.collect_list("test_id").alias("wanting"))
+    right = right.join(lists.withColumnRenamed("bank_id", "id"), "id")
+    left = left.withColumn("_part", F.explode(streams.upto(parts)))
+    place = (F.col("_block") * parts + F.col("_part")).alias("place")
+    both = left.select(place, *ROW, "wanting").unionByName(right.select(place, *ROW, "wanting"))
+    return streams.streamed(both, places)
 
 
 # --- nearest neighbours ------------------------------------------------------
 
 
-def _nearest(t: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """For every test vector its k nearest (id, distance), ties by id.
-
-    The product form of the distance picks candidates with a margin for its
-    rounding; the distances themselves come from differences.
-    """
-    t2, b2 = (t * t).sum(axis=1), (b * b).sum(axis=1)
-    margin = 1e-9 * (t2 + b2.max() + 1.0)
-    k = min(k, len(ids))
-    rows = max(1, 4_000_000 // len(ids))
-    for start in range(0, len(t), rows):
-        part = slice(start, start + rows)
-        rough = t2[part, None] + b2[None, :] - 2.0 * (t[part] @ b.T)
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        for i, row in enumerate(rough):
-            near = np.flatnonzero(row <= kth[i] + margin[start + i])
-            diff = b[near] - t[start + i]
-            exact = np.sqrt((diff * diff).sum(axis=1))
-            order = np.lexsort((ids[near], exact))[:k]
-            yield ids[near][order], exact[order]
-
-
-def _knn_kernel(k: int):
-    schema = pa.schema(
-        [("test_id", pa.int64()), ("bank_id", pa.int64()), ("distance", pa.float64())]
-    )
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        bank_ids = right.column("bank_id").to_numpy()
-        test_ids = left.column("test_id").to_numpy()
-        found = list(
-            _nearest(_matrix(left, "test_values"), _matrix(right, "bank_values"), bank_ids, k)
-        )
-        sizes = [len(ids) for ids, _ in found]
-        return pa.table(
-            [
-                pa.array(np.repeat(test_ids, sizes)),
-                pa.array(np.concatenate([ids for ids, _ in found])),
-                pa.array(np.concatenate([d for _, d in found])),
-            ],
-            schema=schema,
-        )
-
-    return run
-
-
 def core_set_size(bank_size: int, core_set: float) -> int:
     """0: no core set. A share: at least one. Above the bank: the bank."""
     if 0 < core_set < 1:
@@ -163,10 +103,11 @@ def nearest(
     one = F.array(F.col(vector))
     test, bank = _flat(test, test_id, one, "test"), _flat(bank, bank_id, one, "bank")
     if blocks.sizes(bank, block_floats).floats > block_floats:
-        return pruned.merged(*pruned.searched(test, bank, k, block_floats, _nearest), k)
-    grid = _grid(test, bank, block_floats)
-    partial = grid.applyInArrow(
-        _knn_kernel(k), "test_id long, bank_id long, distance double"
+        return pruned.merged(*pruned.searched(test, bank, k, block_floats), k)
+    # a test row's k best take room too
+    held = test.withColumn("_floats", F.col("_floats") + 2 * k)
+    partial = _met(held, bank, block_floats).mapInArrow(
+        streams.walked(lambda parts: pruned.Nearest(parts, k)), pruned.Nearest.SCHEMA
     )
     if k == 1:
         return partial.groupBy("test_id").agg(
@@ -175,12 +116,7 @@ def nearest(
             "test_id", F.lit(1).alias("rank"), F.col("_m.bank_id").alias("bank_id"),
             F.col("_m.distance").alias("distance"),
         )
-    order = Window.partitionBy("test_id").orderBy("distance", "bank_id")
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("test_id", "rank", "bank_id", "distance")
-    )
+    return pruned.ranked(partial, k)
 
 
 def visits(
@@ -196,7 +132,7 @@ def visits(
     pivot search has sent to tasks and looked into, of all pairs on the grid."""
     one = F.array(F.col(vector))
     bank = _flat(bank, bank_id, one, "bank")
-    found, _ = pruned.searched(_flat(test, test_id, one, "test"), bank, k, block_floats, _nearest)
+    found, _ = pruned.searched(_flat(test, test_id, one, "test"), bank, k, block_floats)
     each = found.groupBy("test_block").agg(F.max("visited").alias("visited"), F.max("offered").alias("offered"))
     return each.agg(
         F.count("*").alias("test_blocks"), F.sum("offered").alias("offered"), F.sum("visited").alias("visited")
@@ -212,66 +148,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
 
-def _tokens_of(table: pa.Table, prefix: str, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """All token vectors of a block, and where each template starts."""
-    counts = table.column(f"{prefix}_tokens").to_numpy()
-    flat = _values(table, f"{prefix}_values").reshape(int(counts.sum()), -1)
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    return (_unit(flat) if metric == "cos" else flat), starts
-
-
-def _maxsim_kernel(metric: str):
-    schema = pa.schema(
-        [
-            ("test_id", pa.int64()),
-            ("best", pa.float64()),
-            ("total", pa.float64()),
-            ("n", pa.int64()),
-        ]
-    )
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        t, t_starts = _tokens_of(left, "test", metric)
-        b, b_starts = _tokens_of(right, "bank", metric)
-        wanted = left.column("wanted")
-        bank_ids = right.column("bank_id").to_numpy()
-        order = np.argsort(bank_ids)
-        test_ids = left.column("test_id").to_numpy()
-        best, total, n = [], [], []
-        chunk = max(1, 4_000_000 // max(1, int(np.diff(t_starts).max())))
-        for i in range(left.num_rows):
-            mine = t[t_starts[i] : t_starts[i + 1]]
-            ids = wanted[i].as_py()
-            if ids is None:
-                parts = _sims(mine, b, b_starts, chunk)
-            else:
-                at = order[np.searchsorted(bank_ids, ids, sorter=order)]
-                parts = (
-                    (mine @ b[b_starts[j] : b_starts[j + 1]].T).max(axis=1).sum(keepdims=True)
-                    for j in np.sort(at)
-                )
-            sims = np.concatenate(list(parts))
-            best.append(sims.max())
-            total.append(sims.sum())
-            n.append(len(sims))
-        return pa.table([test_ids, best, total, n], schema=schema)
-
-    return run
-
-
-def _sims(
-    mine: np.ndarray, b: np.ndarray, starts: np.ndarray, chunk: int
-) -> Iterator[np.ndarray]:
-    """Similarity of one test template to every bank template, some tokens at a time."""
-    first = 0
-    while first < len(starts) - 1:
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + chunk, "right")) - 1)
-        last = min(last, len(starts) - 1)
-        sims = mine @ b[starts[first] : starts[last]].T
-        yield np.maximum.reduceat(sims, starts[first:last] - starts[first], axis=1).sum(axis=0)
-        first = last
+UNITS = {"cos": _unit, "dot": np.asarray}
 
 
 def maxsim(
@@ -284,28 +161,28 @@ def maxsim(
     bank_id: str = "template_id",
     tokens: str = "tokens",
     block_floats: int = BLOCK_FLOATS,
+    mean: bool = True,
 ) -> DataFrame:
     """(test_id, maxsim_max, maxsim_mean): per pair, the sum over test tokens of
     the best similarity to any bank token; then the largest and the mean over
     the bank, or over the test row's ``neighbours`` (test_id, bank_id).
 
-    A zero vector has similarity 0. ``first_only`` keeps slot 0 of both sides.
+    A zero vector has similarity 0. ``first_only`` keeps slot 0 of both sides. Without
+    ``mean`` the largest alone is found, which takes less than half the time.
     """
     matrix = F.slice(tokens, 1, 1) if first_only else F.col(tokens)
-    wanted = None if neighbours is None else neighbours.select(
-        F.col("test_id").cast("long"), F.col("bank_id").cast("long")
-    )
-    grid = _grid(
-        _flat(test, test_id, matrix, "test"), _flat(bank, bank_id, matrix, "bank"),
-        block_floats, wanted,
-    )
-    partial = grid.applyInArrow(
-        _maxsim_kernel(metric), "test_id long, best double, total double, n long"
-    )
-    return partial.groupBy("test_id").agg(
-        F.max("best").alias("maxsim_max"),
-        (F.sum("total") / F.sum("n")).alias("maxsim_mean"),
-    )
+    left, right = _flat(test, test_id, matrix, "test"), _flat(bank, bank_id, matrix, "bank")
+    unit = UNITS[metric]
+    if neighbours is not None:
+        wanted = neighbours.select(F.col("test_id").cast("long"), F.col("bank_id").cast("long"))
+        met, kernel = _met_wanted(left, right, block_floats, wanted), late.Chosen
+    else:
+        met, kernel = _met(left, right, block_floats), late.All if mean else late.Best
+    partial = met.mapInArrow(streams.walked(lambda parts: kernel(parts, unit)), kernel.SCHEMA)
+    largest = F.max("best").alias("maxsim_max")
+    if not mean:
+        return partial.groupBy("test_id").agg(largest)
+    return partial.groupBy("test_id").agg(largest, (F.sum("total") / F.sum("n")).alias("maxsim_mean"))
 
 
 def maxsim_best(
@@ -319,13 +196,12 @@ def maxsim_best(
     block_floats: int = BLOCK_FLOATS,
 ) -> DataFrame:
     """(test_id, maxsim_max, pairs, computed): ``maxsim_max`` alone, computed only for
-    pairs whose upper bound beats the best so far; how many pairs a test row's tasks
-    had, and of how many they computed the similarity."""
+    pairs whose upper bound, from single precision, may beat the best so far; how many
+    pairs a test row had, and of how many the similarity was computed."""
     matrix = F.slice(tokens, 1, 1) if first_only else F.col(tokens)
-    found = pruned.matched(
-        _flat(test, test_id, matrix, "test"), _flat(bank, bank_id, matrix, "bank"), block_floats,
-        _unit if metric == "cos" else np.asarray,
-    )
+    met = _met(_flat(test, test_id, matrix, "test"), _flat(bank, bank_id, matrix, "bank"), block_floats)
+    unit = UNITS[metric]
+    found = met.mapInArrow(streams.walked(lambda parts: late.Best(parts, unit)), late.Best.SCHEMA)
     return found.groupBy("test_id").agg(
         F.max("best").alias("maxsim_max"), F.sum("pairs").alias("pairs"), F.sum("computed").alias("computed")
     )

@@ -5,14 +5,15 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cinderlog.functions import vectors
 from cinderlog.operators import (
-    blocks, embedding, joins, metrics, ordered, runstats, sampling, scoring, sessions, similarity,
-    templates, thresholds,
+    blocks, embedding, joins, late, metrics, ordered, pruned, runstats, sampling, scoring, sessions,
+    similarity, streams, templates, thresholds,
 )
 from cinderlog.session import materialise
 
@@ -393,6 +394,62 @@ def test_best_match_compares_few_pairs(spark):
     assert similarity.maxsim_best(t, b.limit(0)).count() == 0
 
 
+def test_pivot_search_has_no_more_test_blocks_than_tasks(spark):
+    rng = np.random.default_rng(5)
+    t, b = (vec_frame(spark, [[row] for row in rng.normal(size=(n, 4))]) for n in (3000, 400))
+    seen = similarity.visits(t, b, 2, block_floats=16).first()
+    assert seen.test_blocks <= 2 * streams.slots(spark) + 2 * pruned.PIVOTS
+    assert seen.offered <= seen.test_blocks * 400
+
+
+def test_kernels_equal_brute_force_for_any_shape(spark):
+    rng = np.random.default_rng(6)
+
+    def part(n, dims, size):
+        mats = [rng.normal(scale=size, size=(rng.integers(1, 9), dims)).astype(np.float32) for _ in range(n)]
+        values = pa.array([m.ravel() for m in mats], pa.list_(pa.float32()))
+        tokens = pa.array([len(m) for m in mats], pa.int32())
+        return [m.astype(float) for m in mats], pa.RecordBatch.from_arrays(
+            [pa.array(range(n)), values, tokens], ["id", "values", "tokens"])
+
+    # the last size is beyond what single precision holds
+    for dims, size in ((3, 1), (40, 1), (5, 1e17)):
+        (test, mine), (bank, theirs) = part(70, dims, size), part(600, dims, size)
+        whole = np.array([[(x @ y.T).max(axis=1).sum() for y in bank] for x in test])
+        every, best = late.All([mine], np.asarray), late.Best([mine.slice(0, 30), mine.slice(30)], np.asarray)
+        for at in range(0, 600, 250):
+            every.meet(theirs.slice(at, 250))
+            best.meet(theirs.slice(at, 250))
+        (e,), (m,) = every.found(), best.found()
+        at = e.column("test_id").to_numpy()
+        assert np.allclose(e.column("best"), whole.max(axis=1)[at], rtol=1e-12)
+        assert np.allclose(e.column("total"), whole.sum(axis=1)[at], rtol=1e-9)
+        assert np.allclose(m.column("best"), whole.max(axis=1)[m.column("test_id").to_numpy()], rtol=1e-12)
+
+
+def test_best_match_computes_few_pairs_of_unlike_rows(spark):
+    rng = np.random.default_rng(9)
+    t, b = (vec_frame(spark, rng.normal(size=(n, 8, 8))) for n in (40, 500))
+    whole = {r.test_id: r.maxsim_max for r in similarity.maxsim(t, b).collect()}
+    got = similarity.maxsim_best(t, b).collect()
+    assert all(r.maxsim_max == pytest.approx(whole[r.test_id], abs=1e-12) for r in got)
+    assert sum(r.computed for r in got) < 0.1 * sum(r.pairs for r in got)
+    alone = similarity.maxsim(t, b, mean=False)
+    assert alone.columns == ["test_id", "maxsim_max"]
+    assert {r.test_id: r.maxsim_max for r in alone.collect()} == pytest.approx(whole, abs=1e-12)
+
+
+def test_no_task_holds_a_block_of_the_bank(spark):
+    t, b = vec_frame(spark, [[[0, 0]]]), vec_frame(spark, [[[1, 0]], [[0, 2]]])
+    near = similarity.nearest(t, b, 2)
+    for df in (near, similarity.maxsim(t, b, neighbours=near)):
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "CoGroup" not in plan
+    # repeated ids and repeated neighbours count as often as they occur
+    twice = similarity.maxsim(t.unionByName(t), b, neighbours=near.unionByName(near)).collect()
+    assert [(r.maxsim_max, r.maxsim_mean) for r in twice] == [(0, 0)]
+
+
 def test_no_block_above_its_bound(spark):
     draw = np.random.default_rng(3)
     # a few rows hold most of the floats
