@@ -576,7 +576,7 @@ SIMS = ("sims", o.sims())
 
 @register("maxsim_max", o.ctes(*o.VEC_SIDES, SIMS) + "SELECT test_id, round(max(s),6) AS score FROM sims GROUP BY ALL")
 def maxsim_max(spark, sf):
-    return _sims(spark, sf, "maxsim_max")
+    return _sims(spark, sf, "maxsim_max", mean=False)
 
 
 @register("maxsim_best", o.ctes(*o.VEC_SIDES, SIMS) + "SELECT test_id, round(max(s),6) AS score FROM sims GROUP BY ALL")
@@ -609,12 +609,12 @@ def maxsim_mean(spark, sf):
 
 @register("maxsim_dot", o.ctes(*o.VEC_SIDES, ("sims", o.sims(metric="dot"))) + "SELECT test_id, round(max(s),6) AS score FROM sims GROUP BY ALL")
 def maxsim_dot(spark, sf):
-    return _sims(spark, sf, "maxsim_max", metric="dot")
+    return _sims(spark, sf, "maxsim_max", metric="dot", mean=False)
 
 
 @register("maxsim_cls", o.ctes(*o.VEC_SIDES, ("sims", o.sims(only_first=True))) + "SELECT test_id, round(max(s),6) AS score FROM sims GROUP BY ALL")
 def maxsim_cls(spark, sf):
-    return _sims(spark, sf, "maxsim_max", first_only=True)
+    return _sims(spark, sf, "maxsim_max", first_only=True, mean=False)
 
 
 @register("maxsim_core_set", o.ctes(*o.VEC_SIDES, ("dist", o.distances()), o.CORE, (
@@ -631,7 +631,7 @@ def maxsim_core_set(spark, sf):
 @register("invert_scores", o.ctes(*o.VEC_SIDES, SIMS, ("m", "SELECT test_id, max(s) AS s FROM sims GROUP BY ALL")) + "SELECT test_id, round((SELECT max(s) FROM m)-s,6) AS score FROM m")
 def invert_scores(spark, sf):
     test, bank = vec_sides(spark, sf)
-    sims = materialise(similarity.maxsim(test, bank, **VEC_IDS), "similarities")
+    sims = materialise(similarity.maxsim(test, bank, **VEC_IDS, mean=False), "similarities")
     return rounded(
         thresholds.invert_scores(sims, "maxsim_max").select(
             "test_id", F.col("maxsim_max").alias("score")
