@@ -50,7 +50,8 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-REPLY = "response string, inference_time_ms double, error string"
+# a text's replies: arrays, one entry for each setting
+REPLIES = {"_setting": "int", "response": "string", "inference_time_ms": "double", "error": "string"}
 
 
 def batch_score(
@@ -87,52 +88,92 @@ def score_settings(
     batch: int = 8,
     tasks: int | None = None,
     error_reply: str = "0",
+    prompt_by: list[str] | None = None,
 ) -> DataFrame:
     """Every row of ``table`` under every setting, with response, time and error.
 
     ``settings`` is a short list that the caller wrote; ``build`` makes the prompt from
-    the text's column and the settings' columns, ``cap`` names the column that a
+    the text's column and the settings' columns, or those in ``prompt_by`` alone: then
+    settings that differ in others share a prompt. ``cap`` names the column that a
     scorer is made for. A distinct text goes to one task, once, whatever the number
     of settings; a row meets the replies to its text in one join on the text's key.
+    Replies carry the number of their setting, not its values.
     """
     names = settings.columns
+    prompt_by = prompt_by or names
+    numbered = settings.withColumns({
+        "_setting": F.row_number().over(Window.orderBy(*names)),  # a short list
+        "_form": F.dense_rank().over(Window.orderBy(*prompt_by)),
+    })
+    asks: dict[int, list[tuple[int, int]]] = {}
+    for row in numbered.select("_form", "_setting", cap).collect():
+        asks.setdefault(row["_form"], []).append((row["_setting"], row[cap]))
+    forms = numbered.select("_form", *prompt_by).distinct()
     keyed = materialise(table.withColumn("_key", text_key(F.col(text))), "asked")
     counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     texts = keyed.select("_key", F.col(text).alias("_text")).distinct()
     texts = texts.repartition(tasks or parallelism(table.sparkSession), "_key")
-    asked = experiment_grid(texts, settings).select("_key", *names, build(F.col("_text")).alias("_prompt"))
-    kinds = [f"`{c}` {settings.schema[c].dataType.simpleString()}" for c in names]
-    replies = asked.select("_key", *names, "_prompt").mapInPandas(
-        _scoring(make_scorer, cap, batch, error_reply), ", ".join(["_key string", *kinds, REPLY])
-    )
-    # written once: the model is costly; a text's replies, one for each setting, stay together
-    replies = materialise(replies, "replies").groupBy("_key").agg(
-        F.collect_list(F.struct(*names, "response", "inference_time_ms", "error")).alias("_replies")
+    # a text's prompts stay together: the grid unfolds in place
+    asked = experiment_grid(texts, forms).select("_key", "_form", build(F.col("_text")).alias("_prompt"))
+    kinds = ", ".join(f"{c} array<{kind}>" for c, kind in REPLIES.items())
+    replies = asked.mapInPandas(_scoring(make_scorer, asks, batch, error_reply), f"_key string, {kinds}")
+    # written once: the model is costly
+    replies = materialise(replies, "replies").select(
+        "_key", F.arrays_zip(*REPLIES).alias("_replies")
     )
     joined = joins.lookup_inner(keyed, replies, "_key", counts=counts, written=True)
-    return joined.select(*table.columns, F.inline("_replies"))
+    rows = joined.select(*table.columns, F.inline("_replies"))
+    return rows.join(F.broadcast(numbered.drop("_form")), "_setting").select(
+        *table.columns, *names, *(c for c in REPLIES if c != "_setting")
+    )
+
 
+def _scoring(make_scorer, asks: dict[int, list[tuple[int, int]]], batch: int, error_reply: str):
+    """``asks`` tells for each form of prompt the settings (number, cap) that share it."""
+    by_cap: dict[int, dict[int, list[int]]] = {}
+    for form, pairs in asks.items():
+        for setting, value in pairs:
+            if value is None:  # no scorer for it
+                continue
+            by_cap.setdefault(value, {}).setdefault(form, []).append(setting)
+
+    def scored(score: Scorer, asked: list[str]) -> Iterator[tuple[str, float, str | None]]:
+        for at in range(0, len(asked), batch):
+            part = asked[at : at + batch]
+            began = time.perf_counter()
+            try:
+                results = [(r, None) for r in score(part)]
+            except Exception:
+                results = [_alone(score, p, error_reply) for p in part]
+            each = (time.perf_counter() - began) * 1000 / len(part)
+            for reply, error in results:
+                yield reply, each, error
 
-def _scoring(make_scorer, cap: str, batch: int, error_reply: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers: dict[int, Scorer] = {}
+        # the last text of a frame may have prompts in the next
+        key, mine = None, []
         for frame in frames:
-            for value, same in frame.groupby(cap, sort=True):
+            prompts, forms = frame["_prompt"].tolist(), frame["_form"].tolist()
+            replies = [[] for _ in prompts]
+            for value in sorted(by_cap):
                 if value not in scorers:
                     scorers[value] = make_scorer(value)
-                rows, score, asked = [], scorers[value], same["_prompt"].tolist()
-                for at in range(0, len(asked), batch):
-                    part = asked[at : at + batch]
-                    began = time.perf_counter()
-                    try:
-                        results = [(r, None) for r in score(part)]
-                    except Exception:
-                        results = [_alone(score, p, error_reply) for p in part]
-                    each = (time.perf_counter() - began) * 1000 / len(part)
-                    rows.extend((r, each, e) for r, e in results)
-                out = same.drop(columns="_prompt").reset_index(drop=True)
-                out[["response", "inference_time_ms", "error"]] = pd.DataFrame(rows, dtype=object)
-                yield out
+                places = [(i, s) for i, form in enumerate(forms) for s in by_cap[value].get(form, ())]
+                found = scored(scorers[value], [prompts[i] for i, _ in places])
+                for (i, setting), reply in zip(places, found, strict=True):
+                    replies[i].append((setting, *reply))
+            done = []
+            for name, some in zip(frame["_key"].tolist(), replies):
+                if name != key:
+                    if mine:
+                        done.append((key, *map(list, zip(*mine))))
+                    key, mine = name, []
+                mine.extend(some)
+            if done:
+                yield pd.DataFrame(done, columns=["_key", *REPLIES])
+        if mine:
+            yield pd.DataFrame([(key, *map(list, zip(*mine)))], columns=["_key", *REPLIES])
 
     return run
 

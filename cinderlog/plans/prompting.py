@@ -127,7 +127,9 @@ def sweep(
         return F.when(F.col("mode") == "few_shot", few).otherwise(prompts.zero_shot_prompt(text, zero_style))
 
     slim = lines.select("line_id", "text")
-    replied = scoring.score_settings(slim, settings, make_scorer, build, "text", "cap").drop("block")
+    replied = scoring.score_settings(
+        slim, settings, make_scorer, build, "text", "cap", prompt_by=["mode", "block"]
+    ).drop("block")
     label = F.when(F.col("mode") == "few_shot", answers.parse_last(F.col("response"))).otherwise(
         answers.json_label(F.col("response"))
     )

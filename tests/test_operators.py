@@ -592,6 +592,32 @@ class Fussy:
         return ["1"] * len(prompts)
 
 
+def test_replies_carry_numbers_and_prompts_are_shared(spark, monkeypatch):
+    written = {}
+
+    def keep(df, name="step"):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(scoring, "materialise", keep)
+    lines = spark.createDataFrame([(i, f"line {i % 40} lost" if i % 3 else "line") for i in range(200)], "line_id long, text string")
+    settings = spark.createDataFrame(
+        [(b * 300, c) for b in "xyz" for c in (5, 1)] + [("x" * 300, 5)], "block string, cap int"
+    )
+    out = scoring.score_settings(
+        lines, settings, scoring.KeywordScorer, lambda t: F.concat("block", F.lit("\n\n"), t, F.lit("\n?")),
+        "text", "cap", prompt_by=["block"],
+    )
+    assert out.columns == ["line_id", "text", "block", "cap", "response", "inference_time_ms", "error"]
+    rows = out.collect()
+    assert len(rows) == 200 * 7 and all(r.error is None for r in rows)
+    assert all(r.response == str(int("lost" in r.text)) for r in rows)
+    assert sum(r.block[0] == "x" and r.cap == 5 for r in rows) == 400
+    # a row for each text, without the settings' texts
+    replies = written["replies"]
+    assert "block" not in replies.columns and replies.count() == lines.select("text").distinct().count()
+
+
 def test_batch_score_keeps_failing_rows_and_scores_copies_once(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "bad", "a", "b"])], "line_id int, prompt string")
     got = {r.line_id: (r.response, r.error) for r in scoring.batch_score(df, Fussy, batch=4, tasks=1).collect()}
