@@ -137,18 +137,6 @@ def _scoring(make_scorer, asks: dict[int, list[tuple[int, int]]], batch: int, er
                 continue
             by_cap.setdefault(value, {}).setdefault(form, []).append(setting)
 
-    def scored(score: Scorer, asked: list[str]) -> Iterator[tuple[str, float, str | None]]:
-        for at in range(0, len(asked), batch):
-            part = asked[at : at + batch]
-            began = time.perf_counter()
-            try:
-                results = [(r, None) for r in score(part)]
-            except Exception:
-                results = [_alone(score, p, error_reply) for p in part]
-            each = (time.perf_counter() - began) * 1000 / len(part)
-            for reply, error in results:
-                yield reply, each, error
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers: dict[int, Scorer] = {}
         # the last text of a frame may have prompts in the next
@@ -160,9 +148,18 @@ def _scoring(make_scorer, asks: dict[int, list[tuple[int, int]]], batch: int, er
                 if value not in scorers:
                     scorers[value] = make_scorer(value)
                 places = [(i, s) for i, form in enumerate(forms) for s in by_cap[value].get(form, ())]
-                found = scored(scorers[value], [prompts[i] for i, _ in places])
-                for (i, setting), reply in zip(places, found, strict=True):
-                    replies[i].append((setting, *reply))
+                score = scorers[value]
+                for at in range(0, len(places), batch):
+                    part = places[at : at + batch]
+                    asked = [prompts[i] for i, _ in part]
+                    began = time.perf_counter()
+                    try:
+                        results = [(r, None) for r in score(asked)]
+                    except Exception:
+                        results = [_alone(score, p, error_reply) for p in asked]
+                    each = (time.perf_counter() - began) * 1000 / len(part)
+                    for (i, setting), (reply, error) in zip(part, results, strict=True):
+                        replies[i].append((setting, reply, each, error))
             done = []
             for name, some in zip(frame["_key"].tolist(), replies):
                 if name != key:

@@ -130,8 +130,12 @@ def sweep(
     replied = scoring.score_settings(
         slim, settings, make_scorer, build, "text", "cap", prompt_by=["mode", "block"]
     ).drop("block")
-    label = F.when(F.col("mode") == "few_shot", answers.parse_last(F.col("response"))).otherwise(
-        answers.json_label(F.col("response"))
+    reply = F.col("response")
+    # both parsers read a reply that is just the digit as that digit: no pattern is tried
+    label = (
+        F.when(reply.isin("0", "1"), reply)
+        .when(F.col("mode") == "few_shot", answers.parse_last(reply))
+        .otherwise(answers.json_label(reply))
     )
     return replied.withColumn("label_text", label).drop("text")
 

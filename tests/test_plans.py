@@ -115,6 +115,30 @@ def test_sweep_makes_a_scorer_per_cap(spark):
     assert stats["4n", 50].abnormal_count == 9 and stats["4n", 10].normal_count == 9
 
 
+class Wordy(Capped):
+    """Answers of several shapes."""
+
+    def __call__(self, prompts):
+        return ["1" if self.cap > 20 else ' {"Label": "0", "line": "1"} so 1' for _ in prompts]
+
+
+def test_sweep_reads_a_digit_as_it_is_and_parses_the_rest(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(5)], "line_id long, text string")
+    pool = spark.createDataFrame([(i, f"log {i}", i % 2) for i in range(4)], "line_id long, log string, label int")
+    out = prompting.sweep(lines, pool, {"1ab1n": (1, 1)}, [10, 50], Wordy, zero_caps=[10, 50])
+    found = {(r.mode, r.cap, r.response, r.label_text) for r in out.collect()}
+    wordy = ' {"Label": "0", "line": "1"} so 1'
+    assert found == {
+        ("few_shot", 10, wordy, "1"), ("few_shot", 50, "1", "1"),
+        ("zero_shot", 10, wordy, "0"), ("zero_shot", 50, "1", "1"),
+    }
+
+
 def test_options_of_the_report(spark, split):
     train, test = split
     report = detection.detection_report(
