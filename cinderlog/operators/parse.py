@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ MIN_TOKENS = 10
 NORMAL_TAG = rf"^-(?:{tx.ANY_SPACE}|\z)"
 ALERT_TAG = rf"^(?!-(?:{tx.ANY_SPACE}|\z)){tx.ANY_SPACE.replace('[', '[^', 1)}+"
 LEADING_TOKENS = {"bgl": 3, "thunderbird": 3, "hdfs": 1}
+# digits that a shape shows as 1; with a mark of hexadecimal numbers, which a mask looks
+# for, all but the 0 of the mark
+LIKE_ONE, HEX_MARKS = "023456789", ("0x", "0X")
+LIKE_ONE_BUT_MARKS = "0(?![xX])|[2-9]"
 
 
 def label_from_first_token(line: Column) -> Column:
@@ -126,6 +132,31 @@ def usable(records: DataFrame) -> DataFrame:
     return records.where(F.col("reject").isNull()).drop("reject")
 
 
+def line_shape(line: Column) -> Column:
+    """The line with its ASCII digits as 1, but for the 0 of 0x.
+
+    Masks know digits as a class only, and sentences have none, so lines of one shape have
+    one sentence, one label and one mask at each place. Whether a time stamp is a date is
+    the line's own.
+    """
+    marked = reduce(Column.__or__, (F.contains(line, F.lit(m)) for m in HEX_MARKS))
+    return F.when(marked, F.regexp_replace(line, LIKE_ONE_BUT_MARKS, "1")).otherwise(
+        F.translate(line, LIKE_ONE, "1" * len(LIKE_ONE))
+    )
+
+
+def shape_counts(
+    lines: DataFrame, dataset: str = "bgl", by: tuple[str, ...] = (), line: str = "line"
+) -> DataFrame:
+    """(by, line, n): the usable lines, those of one shape merged into it on the map side.
+
+    ``preprocess`` gives a shape the label and sentence of its lines; its ``ts``,
+    ``session_id`` and ``reject`` mean nothing.
+    """
+    ready = usable(preprocess(lines, dataset, labelled=False, line=line))
+    return ready.groupBy(*by, line_shape(F.col(line)).alias(line)).agg(F.count("*").alias("n"))
+
+
 def rejected(records: DataFrame) -> DataFrame:
     return records.where(F.col("reject").isNotNull())
 

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from cinderlog.operators import joins, ordered
 
 
-def count_templates(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """(sentence, n): combined on the map side, so a frequent template is cheap."""
-    return rows.groupBy(sentence).agg(F.count("*").alias("n"))
+def count_templates(
+    rows: DataFrame, sentence: str = "sentence", weight: str | None = None
+) -> DataFrame:
+    """(sentence, n): combined on the map side, so a frequent template is cheap. Rows
+    may stand for ``weight`` lines each."""
+    n = F.sum(weight) if weight else F.count("*")
+    return rows.groupBy(sentence).agg(n.alias("n"))
 
 
-def templates(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
+def templates(
+    rows: DataFrame, sentence: str = "sentence", weight: str | None = None
+) -> DataFrame:
     """(template_id, sentence, n): id is the rank from 0 in code-point order."""
-    counted = count_templates(rows, sentence).withColumn("_one", F.lit(1).cast("long"))
+    counted = count_templates(rows, sentence, weight).withColumn("_one", F.lit(1).cast("long"))
     ranked = ordered.running_totals(counted, sentence, {"_one": "_rank"})
     return ranked.select(
         (F.col("_rank") - 1).alias("template_id"), F.col(sentence).alias("sentence"), "n"

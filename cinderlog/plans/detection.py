@@ -1,8 +1,8 @@
 """Nearest-normal detection: lines to templates, vectors, scores, decisions.
 
-Lines are read to count their templates per label; scores, thresholds and
-metrics then work on templates, each standing for its number of lines. Only
-per-line predictions go back to the lines.
+Lines are read to count their shapes (the line without its digits' values); masks,
+scores, thresholds and metrics then work on shapes and templates, each standing for
+its number of lines. Only per-line predictions go back to the lines.
 """
 
 from __future__ import annotations
@@ -17,20 +17,25 @@ from pyspark.sql import functions as F
 from cinderlog.operators import (
     embedding, metrics, parse, sampling, sessions, similarity, templates, thresholds,
 )
-from cinderlog.session import materialise
+from cinderlog.session import materialise, parallelism
 from cinderlog.sources.sinks import stage
 
 SCORE_DIGITS = 6
 
 
+def split_lines(lines: DataFrame, test_size: float = 0.2) -> DataFrame:
+    """Lines with their ``split``, which follows the raw label."""
+    split = sampling.normal_only_split(parse.label_lines(lines), test_size, "line_id")
+    return split.drop("label")
+
+
 def split_records(
     lines: DataFrame, test_size: float = 0.2, dataset: str = "bgl", folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) records: split on the raw label, then mask. With a folder
     both are kept there, so that later steps do not mask the lines again, as long as the
     files of ``lines`` and the settings stay the same."""
-    split = sampling.normal_only_split(parse.label_lines(lines), test_size, "line_id")
-    split = split.drop("label")
+    split = split_lines(lines, test_size)
 
     def side(name: str, labelled: bool) -> DataFrame:
         part = split.where(F.col("split") == name).drop("split")
@@ -41,9 +46,24 @@ def split_records(
     return side("train", False), side("test", True)
 
 
-def counted(test: DataFrame) -> DataFrame:
+def merged_records(split: DataFrame, dataset: str = "bgl") -> tuple[DataFrame, DataFrame]:
+    """(train, test) records of split lines, the lines of one shape as one record that
+    stands for ``n``: the lines are read once, and only their shapes are masked. The
+    shapes are written, dealt over all tasks for the case that they are many."""
+    shapes = parse.shape_counts(split, dataset, ("split",))
+    shapes = materialise(shapes.repartition(parallelism(split.sparkSession), "line"), "shapes")
+
+    def side(name: str, labelled: bool) -> DataFrame:
+        part = shapes.where(F.col("split") == name).drop("split")
+        return parse.preprocess(part, dataset, labelled).drop("line", "ts", "session_id", "reject")
+
+    return side("train", False), side("test", True)
+
+
+def counted(test: DataFrame, weight: str | None = None) -> DataFrame:
     """(sentence, label, n): the test lines, merged on the map side."""
-    return test.groupBy("sentence", "label").agg(F.count("*").alias("n"))
+    n = F.sum(weight) if weight else F.count("*")
+    return test.groupBy("sentence", "label").agg(n.alias("n"))
 
 
 def split_sessions(
@@ -88,16 +108,20 @@ def template_scores(
     novel_only: bool = False,
     first_only: bool = False,
     train_ratio: float = 1,
+    weight: str | None = None,
 ) -> DataFrame:
     """(method, sentence, score): distance of each test template to normal ones.
 
     ``test_counts`` (sentence, label, n) should be a written table: it is read more
     than once. ``train_ratio`` draws a share of the training lines (line_id, sentence)
-    for the bank, ``first_only`` compares first vectors alone.
+    for the bank, ``first_only`` compares first vectors alone. Training records may stand
+    for ``weight`` lines each, but not where lines are drawn.
     """
     if train_ratio < 1:
+        if weight:
+            raise ValueError("a share of the training lines is drawn from lines, not from merged records")
         train = sampling.train_ratio_templates(train, train_ratio, "line_id", "sentence")
-    bank = embedded(templates.templates(train), make_embedder, "bank")
+    bank = embedded(templates.templates(train, weight=weight), make_embedder, "bank")
     test = embedded(templates.templates(test_counts.select("sentence").distinct()), make_embedder, "test")
     if novel_only:
         test = templates.only_in_test(test, bank, written=True)
@@ -151,14 +175,16 @@ def evaluate(
 
 
 def detection_report(
-    train: DataFrame, test: DataFrame, search: str = "prc", timed: bool = False, **options
+    train: DataFrame, test: DataFrame, search: str = "prc", timed: bool = False,
+    weight: str | None = None, **options
 ) -> DataFrame:
-    """One row of metrics per method from (train, test) records. ``timed`` adds the
-    seconds that counting, scoring and deciding took."""
+    """One row of metrics per method from (train, test) records, which may stand for
+    ``weight`` lines each. ``timed`` adds the seconds that counting, scoring and deciding
+    took."""
     clock = [time.perf_counter()]
-    counts = materialise(counted(test), "test-counts")
+    counts = materialise(counted(test, weight), "test-counts")
     clock.append(time.perf_counter())
-    scores = template_scores(train, counts, **options)
+    scores = template_scores(train, counts, weight=weight, **options)
     clock.append(time.perf_counter())
     spent = {"count": clock[1] - clock[0], "score": clock[2] - clock[1]} if timed else None
     return evaluate(counts, scores, search, spent)
@@ -168,9 +194,18 @@ def nearest_normal_report(
     lines: DataFrame, test_size: float = 0.2, search: str = "prc", dataset: str = "bgl",
     methods: tuple[str, ...] = ("knn",), **options,
 ) -> DataFrame:
-    """Which lines look unlike anything normal, and how good is that? A row per method."""
-    train, test = split_records(lines, test_size, dataset)
-    return detection_report(train, test, search, methods=methods, **options)
+    """Which lines look unlike anything normal, and how good is that? A row per method.
+
+    Lines of one shape are masked once, unless ``train_ratio`` draws the bank from lines;
+    with ``timed`` the seconds of splitting and merging them are not in the report.
+    """
+    weight = None
+    if options.get("train_ratio", 1) < 1:
+        train, test = split_records(lines, test_size, dataset)
+    else:
+        train, test = merged_records(split_lines(lines, test_size), dataset)
+        weight = "n"
+    return detection_report(train, test, search, methods=methods, weight=weight, **options)
 
 
 def predict_lines(

@@ -153,3 +153,47 @@ def test_other_datasets(spark):
     assert report.tp + report.fn > 0
     train, test = detection.split_sessions(views.sessions_src(spark, SF), views.session_label_rows(spark, SF))
     assert train.count() and set(r.label for r in test.select("label").distinct().collect()) == {0, 1}
+
+
+def test_lines_of_one_shape_are_masked_once(spark):
+    """Digits alone never decide a sentence or a label, but the 0 of 0x and real dates do."""
+    stamp = "2024-01-05-17.11.13.310352"
+    bodies = [
+        "addr 0x2603ab", "addr 1x2603ab", "addr 0X9f 0x", "00x17g", "10x1z", "blk_12", "blk_-7 of 10.0.4.120:52", "at u-7: 1",
+        "a/b 7/x /1/y", "A" * 20 + "12345678", "a" * 47 + "0", "a" * 47 + "7", "12345678 1234567 ab012345", "é٣ 4:x u٤-5b", "x 5:b",
+        "<7> ΑΣ1 ΑΣ9", "Jan 5 17:11:13 u7@host-3 crond[55]: x", "7.1.2 2024.1.2 99.99.9", "- 0 -", "",
+    ]
+    lines = [f"{tag} 17044{k}4673 2024.01.0{k} R7{k}-M1 {stamp} R{k} {b}" for tag in ("-", "EVT0", "-1") for k in (0, 4) for b in bodies]
+    lines += [f"- 1 2 3 {t} x" for t in ("2024-13-05-17.11.13.3", "2024-12-05-17.11.13.3", "24-1-5-1.1.1.1", "")]
+    lines += [detection.parse.masks.HEADER_LINE.title(), " \t", "- x", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    split = rows.withColumn("split", F.when(F.col("line_id") % 5 == 0, "train").otherwise("test"))
+    for dataset in ("bgl", "thunderbird", "hdfs"):
+        train, test = detection.merged_records(split, dataset)
+        plain = [
+            detection.parse.usable(detection.parse.preprocess(split.where(F.col("split") == name), dataset, labelled))
+            for name, labelled in (("train", False), ("test", True))
+        ]
+        want = {tuple(r) for r in detection.counted(plain[1]).collect()}
+        assert len(want) > 1 and {tuple(r) for r in detection.counted(test, "n").collect()} == want
+        bank, known = (
+            {(r.sentence, r.n) for r in x.collect()}
+            for x in (detection.templates.count_templates(train, weight="n"), detection.templates.count_templates(plain[0]))
+        )
+        assert bank == known
+    assert test.count() < plain[1].count()
+
+
+def test_a_report_masks_shapes_and_not_lines(spark, monkeypatch):
+    """Ten copies of the lines with other digits cost no more masked rows than one."""
+    masked = []
+    whole = detection.merged_records
+    monkeypatch.setattr(detection, "merged_records", lambda *a: [masked.append(x.count()) or x for x in whole(*a)])
+    lines = views.log_lines(spark, SF)
+    copies = lines.select("line_id", "line", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    more = copies.select((F.col("line_id") + F.col("k") * 1_000_000).alias("line_id"), F.replace("line", F.lit("2024"), F.col("k") + F.lit(2010)).alias("line"))
+    one, ten = (detection.nearest_normal_report(x).first() for x in (lines, more))
+    assert ten.tp + ten.fn == 10 * (one.tp + one.fn)
+    assert masked[3] <= masked[1] * 2 and masked[1] < (one.tn + one.fp + one.fn + one.tp) / 2
+    drawn = detection.nearest_normal_report(lines, train_ratio=0.5).first()
+    assert len(masked) == 4 and drawn.tp + drawn.fn == one.tp + one.fn
