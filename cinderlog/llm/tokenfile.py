@@ -4,14 +4,18 @@ Model. The ids that last followed the two previous ids (order 2) and the previou
 (order 1) are candidates, each with a confidence. Whether the candidate comes is
 one binary decision; its probability mixes, in the logistic domain with weights
 learned on the way, the hit rates of order 0 (all decisions), of order 1 and of
-order 2 under their confidences. Other ids are coded with adaptive order-0
-frequencies, the high byte and then the low byte given it. A range coder with a
-48-bit interval turns the decisions into 16-bit words.
+order 2 under their confidences. There are 128 cases of confidences, so the mixture is
+worked out for each case, at the steps ``MIX``, not for each id. Other ids are coded with
+adaptive order-0 frequencies: the counts in the block so far, brought up to date at the
+steps ``COUNT``, or an escape, the number of bits of the id and these bits. A range coder
+with a 48-bit interval turns the decisions into 16-bit words.
 
 Blocks. Every ``BLOCK`` ids begin anew with an empty model, so blocks are read alone
 and in any order. A block is a mark, the number of ids, the checksums of ids and
-code, and the code; a false checksum raises an error. Many blocks advance together,
-one id at a time, as lanes of arrays.
+of code (begun from the number), and the code; a false checksum raises an error. The ids of a block are cut into
+runs of at least ``RUN`` ids, its lanes, which share its model, have a range coder each and
+advance together, one id at a time, as arrays; so do the lanes of ``GROUP`` blocks. The
+code is the number of words of each lane, then the words of one lane after the other.
 
 Table. A row per block (part, block, first, payload, docs) in Parquet, so the format
 works on every file system that Spark writes to and a lost task leaves nothing
@@ -38,265 +42,380 @@ from pyspark.sql import functions as F
 from cinderlog.llm.tokens import encoder
 
 BLOCK = 8192
-LANES = 1024
-MARK = b"CMR1"
+GROUP = 128  # blocks that advance together
+RUN = 64  # ids of a lane at least
+MOST = 1 << 15  # ids of a block, for the precision of their shares
+MARK = b"CMR2"
 HEAD = "<4sIII"
 HEAD_SIZE = struct.calcsize(HEAD)
-SLOTS = 4096  # of a lane's table of candidates
-ROWS = 32  # high bytes below have low-byte frequencies of their own
-SCALE = 15  # bits of cumulative frequencies
-REFRESH_HIGH = frozenset(range(128, BLOCK, 256))
-REFRESH_LOW = frozenset((128, 512, 1536, 3584))
-FULL, LEAST, LOW_MASK = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+SLOTS = 4096  # of a block's table of candidates
+CASES = 128  # confidence of order 2, of order 1, whether both name one id
+SIZES = 17  # bits of an id that escapes
+MIX = frozenset((1, 2, 3, 4, 6, 8, 12, *range(16, 2 * RUN, 16)))  # steps
+COUNT = frozenset((1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96))
+FULL, LEAST, LOW_MASK = 1 << 48, 1 << 32, (1 << 32) - 1
 DOCS = "docs array<struct<k: long, doc_id: long, at: long, n: int>>"
 TABLE = f"part int, block int, first long, n_tokens int, payload binary, {DOCS}"
 
 _x = np.arange(4096)
-STRETCH = np.rint(256 * np.log((_x + 0.5) / (4095.5 - _x))).astype(np.int32)
-SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(_x - 2048) / 256))), 32, 4064).astype(np.int32)
+STRETCH = np.rint(256 * np.log((_x + 0.5) / (4095.5 - _x))).astype(np.int64)
+SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(_x - 2048) / 256))), 32, 4064).astype(np.int64)
+
+
+class Lanes:
+    """Runs of the blocks' ids, longest first. ``alive[k]`` lanes have more than ``k`` ids."""
+
+    def __init__(self, sizes: list[int]):
+        n = np.array(sizes, np.int64)
+        self.of_block = np.maximum(n // RUN, 1)  # lanes
+        block = np.repeat(np.arange(len(n)), self.of_block)
+        place = np.arange(len(block)) - np.repeat(np.cumsum(self.of_block) - self.of_block, self.of_block)
+        short, longer = np.divmod(n, self.of_block)
+        begin = place * short[block] + np.minimum(place, longer[block]) + (np.cumsum(n) - n)[block]
+        length = short[block] + (place < longer[block])
+        self.order = np.argsort(-length, kind="stable")
+        self.n, self.blocks, self.longest = len(block), len(n), int(length.max())
+        self.block, self.begin, self.length = block[self.order], begin[self.order], length[self.order]
+        self.alive = np.searchsorted(-self.length, -np.arange(self.longest), side="left").tolist()
+
+    def present(self, x: np.ndarray, a: int, b: int) -> np.ndarray:
+        """What the lanes have in ``x`` from step ``a`` to before ``b``."""
+        if self.alive[b - 1] == self.n:
+            return x[a:b].reshape(-1)
+        return x[a:b][np.arange(a, b)[:, None] < self.length]
+
+    def sums(self, steps: int) -> np.ndarray:
+        """Ids of each block before a step."""
+        return np.bincount(self.block, np.minimum(self.length, steps), self.blocks).astype(np.int64)
 
 
 class Model:
-    """What each lane has learned. ``m`` lanes are still running.
+    """What each block has learned. ``m`` lanes are still running.
 
     A slot holds a candidate id and, above its 16 bits, its confidence from 0 to 7.
     """
 
-    def __init__(self, n: int):
-        self.m = n
-        lane = np.arange(n, dtype=np.int64)
-        self.slot_base = lane * SLOTS
-        self.low_base = lane * (ROWS + 1) * 257
-        self.high_base = lane * 257
-        self.p_base = lane * 64
-        self.slots1, self.slots2 = (np.zeros(n * SLOTS, np.int32) for _ in range(2))
-        self.prob = np.full(n * 64, 1 << 14, np.int32)  # order 2 at 0, order 1 at 8, order 0 at 63
-        self.weight = [np.full(n, 22_000, np.int32) for _ in range(3)]
-        self.n_high = np.ones((n, 256), np.uint32)
-        self.n_low = np.ones((n, ROWS, 256), np.uint16)
-        even = np.arange(257, dtype=np.uint16) << (SCALE - 8)
-        self.high = np.tile(even, n)
-        self.low = np.tile(even, n * (ROWS + 1))
+    def __init__(self, lanes: Lanes):
+        self.m, self.blocks, self.block = lanes.n, lanes.blocks, lanes.block
+        self.slot_base, self.case_base = ((lanes.block * n).astype(np.int32) for n in (SLOTS, CASES))
+        self.slots1, self.slots2 = (np.zeros(lanes.blocks * SLOTS, np.int32) for _ in range(2))
+        self.hits = np.zeros((2, lanes.blocks, 8, 8, 2), np.int64)  # of each case: all decisions, hits
+        self.weight = np.full((3, lanes.blocks, 1, 1, 1), 22_000, np.int64)
+        self.cases: list[np.ndarray] = []  # since the last mixing, those of hits in a second half
+        self.sizes = np.ones((lanes.blocks, SIZES), np.int64)
+        self._mixture()
+        self.count(np.zeros(lanes.blocks, np.int64), np.zeros(lanes.blocks, np.int64))
 
     def shrink(self, m: int) -> None:
         self.m = m
-        self.weight = [w[:m] for w in self.weight]
+        for name in ("block", "slot_base", "case_base", "known", "total", "before"):
+            setattr(self, name, getattr(self, name)[:m])
 
     def look(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         """The candidate and its probability of coming, in 4096ths."""
-        m = self.m
-        key = prev1 * 40503
-        self.at1 = (key >> 4 & (SLOTS - 1)) + self.slot_base[:m]
-        self.at2 = (key + prev2 * 30011 >> 5 & (SLOTS - 1)) + self.slot_base[:m]
+        key = prev1 * np.int32(40503)  # 32 bits suffice: only low ones count
+        self.at1 = ((key >> 4 & (SLOTS - 1)) + self.slot_base).astype(np.int64)
+        self.at2 = ((key + prev2 * np.int32(30011) >> 5 & (SLOTS - 1)) + self.slot_base).astype(np.int64)
         self.s1, self.s2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
-        self.i1, self.i2 = self.s1 & 0xFFFF, self.s2 & 0xFFFF
-        self.c1, self.c2 = self.s1 >> 16, self.s2 >> 16
-        self.candidate = np.where(self.c2 > 0, self.i2, self.i1)
-        base = self.p_base[:m]
-        self.where = (base + 63, base + (self.c1 * 2 + (self.i1 == self.candidate) + 8), base + self.c2)
-        self.ps = [self.prob.take(w) for w in self.where]
-        self.ss = [STRETCH.take(p >> 4) for p in self.ps]
-        (w0, w1, w2), (s0, s1, s2) = self.weight, self.ss
-        self.p = SQUASH.take((w0 * s0 + w1 * s1 + w2 * s2 >> 16) + 2048, mode="clip")
+        c1, c2 = self.s1 >> 16, self.s2 >> 16
+        self.candidate = np.where(c2 > 0, self.s2, self.s1) & 0xFFFF
+        same = (self.s1 ^ self.s2) & 0xFFFF == 0
+        self.case = (c2 << 4 | c1 << 1 | same) + self.case_base
+        self.p = self.mixed.take(self.case)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        err = ((hit.astype(np.int32) << 12) - self.p) * 6
-        target = hit * np.int32(65_535)
-        for k, (w, p, s) in enumerate(zip(self.where, self.ps, self.ss)):
-            self.weight[k] += s * err >> 10
-            self.prob[w] = p + (target - p >> (6 if k == 0 else 5))
-        fresh = ids.astype(np.int32) | 1 << 16
-        for at, own, i, conf, slots in (
-            (self.at1, self.s1, self.i1, self.c1, self.slots1),
-            (self.at2, self.s2, self.i2, self.c2, self.slots2),
-        ):
-            more = own + ((conf < 7) & (conf > 0)).astype(np.int32) * (1 << 16)
-            other = np.where(conf > 1, i | (conf >> 1) << 16, fresh)
-            slots[at] = np.where((i == ids) & (conf > 0), more, other)
-
-    def count(self, lanes: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        """Notes ids coded by order 0; the frequencies change at the next refresh."""
-        self.n_high.reshape(-1)[lanes * 256 + high] += np.uint32(24)  # a lane stands here once
-        own = np.flatnonzero(high < ROWS)
-        self.n_low.reshape(-1)[(lanes[own] * ROWS + high[own]) * 256 + low[own]] += np.uint16(4)
-
-    def refresh(self, step: int) -> None:
-        if step in REFRESH_HIGH:
-            self._cumulate(self.n_high[: self.m], self.high.reshape(-1, 257)[: self.m])
-        if step in REFRESH_LOW:
-            table = self.low.reshape(-1, ROWS + 1, 257)
-            for a in range(0, self.m, 64):  # in slices, to stay in the cache
-                b = min(a + 64, self.m)
-                self._cumulate(self.n_low[a:b], table[a:b, :ROWS])
-
-    @staticmethod
-    def _cumulate(n: np.ndarray, table: np.ndarray) -> None:
-        """Cumulative shares in 2 ** SCALE parts; every symbol keeps one part."""
-        total = np.cumsum(n, axis=-1, dtype=np.uint32)
-        scale = ((1 << SCALE) - 256) / total[..., -1:]
-        table[..., 1:] = np.minimum((total * scale).astype(np.uint16), (1 << SCALE) - 256) + np.arange(1, 257, dtype=np.uint16)
-        table[..., 256] = 1 << SCALE
+        """A slot that several lanes of a block write keeps what the last of them wrote."""
+        self.cases.append(self.case + hit * np.int32(self.blocks * CASES))
+        fresh = ids | 1 << 16
+        for at, own, slots in ((self.at1, self.s1, self.slots1), (self.at2, self.s2, self.slots2)):
+            more = np.minimum(own + (1 << 16), own | 7 << 16)
+            conf = own >> 16
+            less = np.where(conf > 1, own - (conf + 1 >> 1 << 16), fresh)
+            slots[at] = np.where((own ^ ids) & 0xFFFF == 0, more, less)
+
+    def mix(self) -> None:
+        """Brings hit rates, weights and the mixture up to date."""
+        found = np.bincount(np.concatenate(self.cases), minlength=2 * self.blocks * CASES)
+        self.cases = []
+        found = found.reshape(2, self.blocks, 8, 8, 2)
+        n = found[0] + found[1]
+        err = (found[1] << 12) - n * self.mixed.reshape(n.shape)
+        for k, s in enumerate(self.stretched):
+            step = (err * s).sum(axis=(1, 2, 3), keepdims=True) >> 10
+            self.weight[k] += np.clip(step, -3000, 3000)
+        self.hits[0] += n
+        self.hits[1] += found[1]
+        self._mixture()
+
+    def _mixture(self) -> None:
+        self.stretched = []
+        for over in ((2, 3, 4), (2,), (3, 4)):  # order 0, order 1, order 2
+            n, hits = self.hits.sum(axis=over, keepdims=True)
+            self.stretched.append(STRETCH.take(4096 * (2 * hits + 1) // (2 * n + 4)))
+        (w0, w1, w2), (s0, s1, s2) = self.weight, self.stretched
+        self.mixed = SQUASH.take((w0 * s0 + w1 * s1 + w2 * s2 >> 16) + 2048, mode="clip").reshape(-1)
+
+    def note(self, blocks: np.ndarray, bits: np.ndarray) -> None:
+        """Notes ids that escaped; the frequencies change at the next count."""
+        self.sizes += np.bincount(blocks * SIZES + bits, minlength=self.sizes.size).reshape(self.sizes.shape)
+
+    def count(self, n: np.ndarray, distinct: np.ndarray) -> None:
+        """``n`` ids of each block are counted now, ``distinct`` ones among them."""
+        self.known, self.before = n[self.block], (np.cumsum(n) - n)[self.block]
+        self.total = self.known + np.maximum(distinct, 1)[self.block]  # the rest is the escape's
+        self.size_of = self.sizes.copy()
+        self.size_end = np.cumsum(self.size_of, axis=1)
+        self._size_ends = (self.size_end + np.arange(self.blocks)[:, None] * 2 * MOST).reshape(-1)
+
+    def size_at(self, blocks: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place, in all blocks' frequencies of sizes, whose share holds ``value``."""
+        return np.searchsorted(self._size_ends, value + blocks * 2 * MOST, side="right")
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b below 2 ** 48, where a quotient of floats cannot be rounded up to the next integer."""
+    return (a / b).astype(np.int64)
 
 
 class Writer:
     """Range coder of all lanes: carries stay in the words and are resolved at the end."""
 
     def __init__(self, n: int, length: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, FULL, np.uint64)
-        self.width = 3 * length + 8
-        self.words = np.zeros(n * self.width, np.uint32)
-        self.at = np.arange(n) * self.width
-
-    def shift(self, due: np.ndarray) -> None:
-        """Put out a word of each lane that is due, those with a short interval."""
+        self.n = n
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, FULL, np.int64)
+        self.words = np.empty((4 * length + 1) * n, np.uint32)  # a row for each place
+        self.at = np.arange(n)
+
+    def shift(self, m: int) -> None:
+        """Put out a word of each of the first lanes that is due, those with a short interval."""
+        low, span, at = self.low[:m], self.range[:m], self.at[:m]
+        due = span < LEAST
+        self.words[at] = (low >> 32).astype(np.uint32)  # stays only if due
+        at += due * self.n
+        low[:] = np.where(due, (low & LOW_MASK) << 16, low)
+        span[:] = np.where(due, span << 16, span)
+        self.shift_some(np.flatnonzero(span < LEAST))
+
+    def shift_some(self, due: np.ndarray) -> None:
         if len(due):
             low, at = self.low.take(due), self.at.take(due)
-            self.words[at] = low >> np.uint64(32)
-            self.at[due] = at + 1
-            self.low[due] = (low & LOW_MASK) << np.uint64(16)
-            self.range[due] <<= np.uint64(16)
-
-    def finish(self) -> list[bytes]:
-        n = len(self.low)
-        for _ in range(3):
-            self.words[self.at] = self.low >> np.uint64(32)
-            self.at += 1
-            self.low = (self.low & LOW_MASK) << np.uint64(16)
-        used = self.at - np.arange(n) * self.width
-        words = self.words.reshape(n, self.width)[:, : int(used.max())].T.copy()
+            self.words[at] = low >> 32
+            self.at[due] = at + self.n
+            self.low[due] = (low & LOW_MASK) << 16
+            self.range[due] <<= 16
+
+    def narrow(self, lanes: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """From ``begin``, ``size`` parts of ``total``."""
+        part = _quotient(self.range.take(lanes), total)
+        span = part * size
+        self.low[lanes] += part * begin
+        self.range[lanes] = span
+        self.shift_some(lanes[span < LEAST])
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words (a row per lane) and how many each lane has."""
+        self.words[self.at] = self.low + LOW_MASK >> 32
+        used = self.at // self.n + 1
+        words = self.words.reshape(-1, self.n)[: int(used.max())]
+        words *= np.arange(len(words))[:, None] < used
         for j in range(len(words) - 1, 0, -1):
             words[j - 1] += words[j] >> 16
-        words = words.T.astype("<u2")  # without the carries
-        return [words[k, : used[k]].tobytes() for k in range(n)]
+        return words.T.astype("<u2"), used  # without the carries
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The code of each block of ids; blocks are independent of each other."""
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    sizes = np.array([len(blocks[k]) for k in order])
-    n, longest = len(order), int(sizes[0])
-    ids = np.zeros((longest, n), np.int64)
-    for lane, k in enumerate(order):
-        ids[: sizes[lane], lane] = blocks[k]
-    model, out = Model(n), Writer(n, longest)
-    prev1, prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
-    for step in range(longest):
-        m = int(alive[step])
+    return [code for a in range(0, len(blocks), GROUP) for code in _encode_group(blocks[a : a + GROUP])]
+
+
+def _encode_group(blocks: list[np.ndarray]) -> list[bytes]:
+    lanes = Lanes([len(b) for b in blocks])
+    if max(map(len, blocks)) > MOST:
+        raise ValueError(f"blocks of more than {MOST} ids do not fit the format")
+    flat = np.concatenate(blocks).astype(np.int32)
+    place = np.minimum(lanes.begin + np.arange(lanes.longest)[:, None], len(flat) - 1)
+    ids = flat.take(place)
+    # ranks of the ids among the distinct ones of all blocks
+    width = int(flat.max()) + 1
+    there = np.zeros(len(blocks) * width, bool)
+    there[np.repeat(np.arange(len(blocks)) * width, [len(b) for b in blocks]) + flat] = True
+    distinct = np.flatnonzero(there)
+    rank = np.empty(len(there), np.int32)
+    rank[distinct] = np.arange(len(distinct), dtype=np.int32)
+    ranks = rank.take(ids + lanes.block * width, mode="clip")
+    first = np.searchsorted(distinct, np.arange(len(blocks)) * width)  # rank of each block's first
+    counts = np.zeros(len(distinct), np.int64)
+
+    model, out = Model(lanes), Writer(lanes.n, lanes.longest)
+    prev1 = prev2 = np.zeros(lanes.n, np.int32)
+    counted, shares = 0, counts  # of each rank, its first place and its count
+    for step in range(lanes.longest):
+        m = lanes.alive[step]
         if m < model.m:
             model.shrink(m)
             prev1, prev2 = prev1[:m], prev2[:m]
+        if step in MIX:
+            model.mix()
+        if step in COUNT:
+            counts += np.bincount(lanes.present(ranks, counted, step), minlength=len(counts))
+            model.count(lanes.sums(step), np.add.reduceat(counts > 0, first, dtype=np.int64))
+            begins = np.cumsum(counts) - counts
+            begins -= np.repeat(begins.take(first), np.diff(first, append=len(counts)))
+            counted, shares = step, begins << 32 | counts
+        own = shares.take(ranks[step, :m])
+        size = own & LOW_MASK
+        new = size == 0
+        begin = np.where(new, model.known, own >> 32)
+        size = np.where(new, model.total - model.known, size)
         now = ids[step, :m]
         model.look(prev1, prev2)
         hit = now == model.candidate
         span = out.range[:m]
-        bound = (span >> np.uint64(12)) * model.p.astype(np.uint64)
-        out.low[:m] += bound * ~hit
-        out.range[:m] = np.where(hit, bound, span - bound)
-        out.shift(np.flatnonzero(out.range[:m] < LEAST))
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            rest = now[miss]
-            high, low = rest >> 8, rest & 255
-            for table, at in (
-                (model.high, model.high_base[miss] + high),
-                (model.low, model.low_base[miss] + np.minimum(high, ROWS) * 257 + low),
-            ):
-                begin, end = table.take(at).astype(np.uint64), table.take(at + 1).astype(np.uint64)
-                part = out.range.take(miss) >> np.uint64(SCALE)
-                out.low[miss] += part * begin
-                span = part * (end - begin)
-                out.range[miss] = span
-                out.shift(miss[span < LEAST])
-            model.count(miss, high, low)
+        bound = (span >> 12) * model.p
+        part = _quotient(span - bound, model.total)
+        out.low[:m] += np.where(hit, 0, bound + part * begin)
+        out.range[:m] = np.where(hit, bound, part * size)
+        out.shift(m)
+        new = np.flatnonzero(new & ~hit)
+        if len(new):
+            rest, block = now.take(new), model.block.take(new)
+            bits = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
+            at = block * SIZES + bits
+            size = model.size_of.take(at)
+            out.narrow(new, model.size_end.take(at) - size, size, model.size_end[:, -1].take(block))
+            some = np.int64(1) << np.maximum(bits - 1, 0)
+            out.narrow(new, rest & some - 1, np.ones_like(some), some)
+            model.note(block, bits)
         model.learn(now, hit)
         prev1, prev2 = now, prev1
-        model.refresh(step)
-    codes = out.finish()
-    found: list[bytes] = [b""] * n
-    for lane, k in enumerate(order):
-        raw = blocks[k].astype("<u2").tobytes()
-        found[k] = struct.pack(HEAD, MARK, len(blocks[k]), zlib.crc32(raw), zlib.crc32(codes[lane])) + codes[lane]
+    words, used = out.finish()
+    back = np.argsort(lanes.order)
+    words, used = words[back], used[back]
+    last = np.cumsum(lanes.of_block)
+    written = np.arange(words.shape[1]) < used[:, None]
+    found = []
+    for b, a, z in zip(blocks, (last - lanes.of_block).tolist(), last.tolist()):
+        code = used[a:z].astype("<u2").tobytes() + words[a:z][written[a:z]].tobytes()
+        found.append(struct.pack(HEAD, MARK, len(b), zlib.crc32(b.astype("<u2").tobytes()), zlib.crc32(code, len(b))) + code)
     return found
 
 
-def _symbol(table: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The symbol whose cumulative interval holds ``value``, by halving."""
-    at = base
-    for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-        at = at + (table.take(at + bit) <= value) * bit
-    return at - base
+class Reader:
+    """Range decoder of all lanes."""
+
+    def __init__(self, codes: list[np.ndarray], lanes: Lanes):
+        self.n = lanes.n
+        each = lanes.of_block.tolist()
+        used = np.concatenate([c[:k] for c, k in zip(codes, each)]).astype(np.int64)
+        stream = np.concatenate([c[k:] for c, k in zip(codes, each)])
+        back = np.argsort(lanes.order)
+        self.words = np.zeros((int(used.max()) + 4) * self.n, np.uint16)  # a row for each place
+        place = np.arange(len(stream)) - np.repeat(np.cumsum(used) - used, used)
+        self.words[place * self.n + np.repeat(back, used)] = stream
+        self.at = np.arange(self.n)
+        self.code, self.range = np.zeros(self.n, np.int64), np.full(self.n, FULL, np.int64)
+        for _ in range(3):
+            self.code = self.code << 16 | self.words.take(self.at)
+            self.at += self.n
+
+    def shift(self, m: int) -> None:
+        """Take in a word for each of the first lanes that is due."""
+        code, span, at = self.code[:m], self.range[:m], self.at[:m]
+        due = span < LEAST
+        code[:] = np.where(due, code << 16 | self.words.take(at), code)
+        span[:] = np.where(due, span << 16, span)
+        at += due * self.n
+        self.shift_some(np.flatnonzero(span < LEAST))
+
+    def shift_some(self, due: np.ndarray) -> None:
+        if len(due):
+            at = self.at.take(due)
+            self.code[due] = self.code.take(due) << 16 | self.words.take(at)
+            self.at[due] = at + self.n
+            self.range[due] <<= 16
+
+    def value(self, lanes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A part of ``total``, and which one comes."""
+        part = _quotient(self.range.take(lanes), total)
+        return part, np.minimum(_quotient(self.code.take(lanes), part), total - 1)
+
+    def narrow(self, lanes: np.ndarray, part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        span = part * size
+        self.code[lanes] -= part * begin
+        self.range[lanes] = span
+        self.shift_some(lanes[span < LEAST])
 
 
 def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of each block."""
+    return [ids for a in range(0, len(payloads), GROUP) for ids in _decode_group(payloads[a : a + GROUP])]
+
+
+def _decode_group(payloads: list[bytes]) -> list[np.ndarray]:
     heads = [struct.unpack_from(HEAD, p) for p in payloads]
-    for payload, (mark, _, _, check) in zip(payloads, heads):
-        if mark != MARK or zlib.crc32(payload[HEAD_SIZE :]) != check:
+    for payload, (mark, n, _, check) in zip(payloads, heads):
+        if mark != MARK or zlib.crc32(payload[HEAD_SIZE:], n) != check:
             raise ValueError("damaged block: its code does not fit its checksum")
-    order = sorted(range(len(payloads)), key=lambda k: -heads[k][1])
-    sizes = np.array([heads[k][1] for k in order])
-    n, longest = len(order), int(sizes[0])
-    width = max(len(p) for p in payloads) // 2 + 4
-    words = np.zeros((n, width), np.uint64)
-    for lane, k in enumerate(order):
-        own = np.frombuffer(payloads[k], "<u2", offset=HEAD_SIZE)
-        words[lane, : len(own)] = own
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
-    flat, next_word = words.reshape(-1), np.arange(n) * width + 3
-    spans = np.full(n, FULL, np.uint64)
-    ids = np.zeros((longest, n), np.uint16)
-    model = Model(n)
-    prev1, prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
-
-    def shift(due: np.ndarray) -> None:
-        if len(due):
-            at = next_word.take(due)
-            code[due] = (code.take(due) << np.uint64(16)) | flat.take(at)
-            next_word[due] = at + 1
-            spans[due] <<= np.uint64(16)
-
-    for step in range(longest):
-        m = int(alive[step])
+    lanes = Lanes([h[1] for h in heads])
+    code = Reader([np.frombuffer(p, "<u2", offset=HEAD_SIZE) for p in payloads], lanes)
+    ids = np.zeros((lanes.longest, lanes.n), np.int32)
+    model = Model(lanes)
+    prev1 = prev2 = np.zeros(lanes.n, np.int32)
+    above = (lanes.block << 16).astype(np.int32)
+    table = np.zeros(1, np.int64)  # the counted ids in order, each with its count and its first place
+    for step in range(lanes.longest):
+        m = lanes.alive[step]
         if m < model.m:
             model.shrink(m)
             prev1, prev2 = prev1[:m], prev2[:m]
+        if step in MIX:
+            model.mix()
+        if step in COUNT:
+            keys = np.sort(lanes.present(above | ids[:step], 0, step))
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, keys = np.diff(starts, append=len(keys)), keys.take(starts).astype(np.int64)
+            known = lanes.sums(step)
+            model.count(known, np.bincount(keys >> 16, minlength=lanes.blocks))
+            starts -= (np.cumsum(known) - known).take(keys >> 16)
+            table = np.repeat(starts << 32 | counts << 16 | keys & 0xFFFF, counts)
         model.look(prev1, prev2)
-        span = spans[:m]
-        bound = (span >> np.uint64(12)) * model.p.astype(np.uint64)
-        hit = code[:m] < bound
-        code[:m] -= bound * ~hit
-        spans[:m] = np.where(hit, bound, span - bound)
-        shift(np.flatnonzero(spans[:m] < LEAST))
-        now = model.candidate.astype(np.int64)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            high = None
-            for table in (model.high, model.low):
-                base = model.high_base[miss] if high is None else model.low_base[miss] + np.minimum(high, ROWS) * 257
-                part = spans.take(miss) >> np.uint64(SCALE)
-                value = np.minimum(code.take(miss) // part, np.uint64((1 << SCALE) - 1)).astype(np.uint16)
-                symbol = _symbol(table, base, value)
-                at = base + symbol
-                begin, end = table.take(at).astype(np.uint64), table.take(at + 1).astype(np.uint64)
-                code[miss] -= part * begin
-                span = part * (end - begin)
-                spans[miss] = span
-                shift(miss[span < LEAST])
-                high, low = (symbol, None) if high is None else (high, symbol)
-            now[miss] = (high << 8) | low
-            model.count(miss, high, low)
+        span = code.range[:m]
+        bound = (span >> 12) * model.p
+        rest = code.code[:m] - bound
+        hit = rest < 0
+        part = _quotient(span - bound, model.total)
+        value = np.minimum(_quotient(np.maximum(rest, 0), part), model.total - 1)
+        new = value >= model.known
+        own = table.take(model.before + np.minimum(value, model.known - 1))
+        begin = np.where(new, model.known, own >> 32)
+        size = np.where(new, model.total - model.known, own >> 16 & 0xFFFF)
+        code.code[:m] = np.where(hit, code.code[:m], rest - part * begin)
+        code.range[:m] = np.where(hit, bound, part * size)
+        code.shift(m)
+        now = np.where(hit, model.candidate, own & 0xFFFF).astype(np.int32)
+        new = np.flatnonzero(new & ~hit)
+        if len(new):
+            block = model.block.take(new)
+            part, value = code.value(new, model.size_end[:, -1].take(block))
+            at = model.size_at(block, value)
+            bits = at - block * SIZES
+            size = model.size_of.take(at)
+            code.narrow(new, part, model.size_end.take(at) - size, size)
+            some = np.int64(1) << np.maximum(bits - 1, 0)
+            part, value = code.value(new, some)
+            code.narrow(new, part, value, np.ones_like(value))
+            now[new] = value + np.where(bits > 0, some, 0)
+            model.note(block, bits)
         ids[step, :m] = now
         model.learn(now, hit)
         prev1, prev2 = now, prev1
-        model.refresh(step)
-    found: list[np.ndarray] = [np.empty(0, np.uint16)] * n
-    for lane, k in enumerate(order):
-        own = np.ascontiguousarray(ids[: sizes[lane], lane])
-        if zlib.crc32(own.astype("<u2").tobytes()) != heads[k][2]:
+    flat = np.empty(int(lanes.length.sum()), np.uint16)
+    place = lanes.begin + np.arange(lanes.longest)[:, None]
+    flat[lanes.present(place, 0, lanes.longest)] = lanes.present(ids, 0, lanes.longest)
+    found = np.split(flat, np.cumsum([h[1] for h in heads])[:-1])
+    for own, head in zip(found, heads):
+        if zlib.crc32(own.astype("<u2").tobytes()) != head[2]:
             raise ValueError("damaged block: its ids do not fit their checksum")
-        found[k] = own
     return found
 
 
@@ -346,7 +465,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2) -> Non
                 places.append([k, doc_id, 0, len(ids)])
                 k += 1
                 held += len(ids)
-                if held >= LANES * BLOCK:
+                if held >= GROUP * BLOCK:
                     yield from flush(False)
         if held:
             yield from flush(True)
@@ -363,8 +482,8 @@ def read_ids(spark, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, LANES):
-                some = batch.slice(a, LANES)
+            for a in range(0, batch.num_rows, GROUP):
+                some = batch.slice(a, GROUP)
                 blocks = decode_blocks(some.column("payload").to_pylist())
                 rows = []
                 for ids, part, first, places in zip(
@@ -398,8 +517,8 @@ def digest(spark, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, LANES):
-                some = batch.slice(a, LANES)
+            for a in range(0, batch.num_rows, GROUP):
+                some = batch.slice(a, GROUP)
                 blocks = decode_blocks(some.column("payload").to_pylist())
                 rows = []
                 for ids, part, first, places in zip(

@@ -41,6 +41,30 @@ def test_damage_is_noticed():
             tokenfile.decode_blocks([code[:at] + bytes([code[at] ^ 1]) + code[at + 1 :]])
 
 
+def test_a_block_advances_in_lanes(monkeypatch):
+    """Steps of arrays, not ids, are what a block costs; it used to take one for each id."""
+    rng, steps, look = np.random.default_rng(5), [], tokenfile.Model.look
+    monkeypatch.setattr(tokenfile.Model, "look", lambda *a: steps.append(1) or look(*a))
+    blocks = [(rng.zipf(1.3, tokenfile.BLOCK) % 50_000).astype(np.uint16) for _ in range(3)]
+    coded = tokenfile.encode_blocks(blocks)
+    assert len(steps) * 50 < tokenfile.BLOCK
+    found = tokenfile.decode_blocks(coded)
+    assert len(steps) * 25 < tokenfile.BLOCK and all(np.array_equal(a, b) for a, b in zip(found, blocks))
+
+
+def test_blocks_of_any_length_round_trip(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [1, 3, 63, 64, 65, 127, 128, 129, 200, 1000, tokenfile.BLOCK - 1, tokenfile.BLOCK, tokenfile.BLOCK + 1, tokenfile.MOST]
+    blocks = [(rng.zipf(1.2, n) % 65536).astype(np.uint16) for n in sizes]
+    blocks += [np.zeros(n, np.uint16) for n in (1, 70, 5000)] + [np.full(300, 65535, np.uint16)]
+    whole = tokenfile.encode_blocks(blocks)
+    monkeypatch.setattr(tokenfile, "GROUP", 3)
+    assert tokenfile.encode_blocks(blocks) == whole  # whatever blocks advance together
+    assert all(np.array_equal(a, b) for a, b in zip(tokenfile.decode_blocks(whole[::-1]), blocks[::-1]))
+    with pytest.raises(ValueError):
+        tokenfile.encode_blocks([np.zeros(tokenfile.MOST + 1, np.uint16)])
+
+
 def expected(rows, path, end):
     plain, start, out = Tokenizer.from_file(path), 0, []
     for doc_id, text in rows:
