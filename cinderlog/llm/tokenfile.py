@@ -48,11 +48,11 @@ MOST = 1 << 15  # ids of a block, for the precision of their shares
 MARK = b"CMR2"
 HEAD = "<4sIII"
 HEAD_SIZE = struct.calcsize(HEAD)
-SLOTS = 4096  # of a block's table of candidates
+SLOTS = 2048  # of a block's table of candidates
 CASES = 128  # confidence of order 2, of order 1, whether both name one id
 SIZES = 17  # bits of an id that escapes
 MIX = frozenset((1, 2, 3, 4, 6, 8, 12, *range(16, 2 * RUN, 16)))  # steps
-COUNT = frozenset((1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96))
+COUNT = frozenset((1, 2, 4, 8, 16, 32, 48, 64, 96))
 FULL, LEAST, LOW_MASK = 1 << 48, 1 << 32, (1 << 32) - 1
 DOCS = "docs array<struct<k: long, doc_id: long, at: long, n: int>>"
 TABLE = f"part int, block int, first long, n_tokens int, payload binary, {DOCS}"

@@ -4,8 +4,8 @@ The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 Both vocabularies split a text into pieces that are encoded on their own, so a
 piece met before need not be encoded again. That holds for texts of common
 Latin characters, single blanks and line breaks; any other text goes through the
-tokenizer as a whole. The cache is emptied when it is full, which costs time
-only.
+tokenizer as a whole. The cache has two halves: when the newer one is full it takes the
+place of the older one, whose pieces come back when they are met again.
 """
 
 from __future__ import annotations
@@ -52,12 +52,16 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.names = _byte_names()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        found = self.older.get(piece)
+        if found is None:
+            shown = piece.encode().decode("latin-1").translate(self.names)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= CACHE_PIECES // 2:
+            self.older = dict(self)
             self.clear()
-        shown = piece.encode().decode("latin-1").translate(self.names)
-        found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self[piece] = found
         return found
 
@@ -86,7 +90,7 @@ class SpacedBytes(Encoder):
     """Byte-level vocabulary: a blank belongs to the word after it."""
 
     split = re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s"
+        rf" [{LETTER}]++|[{LETTER}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTER}0-9]++|\s"
     ).findall
 
 

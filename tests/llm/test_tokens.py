@@ -1,12 +1,13 @@
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cinderlog.llm import packing, tokenfile
+from cinderlog.llm import packing, tokenfile, tokens
 from cinderlog.llm.tokens import encoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +24,20 @@ def test_cached_ids_are_the_tokenizers_ids(corpus, kind, path):
             assert np.frombuffer(mine.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kind, path", [("lower", WORDS), ("spaced", BYTES)])
+def test_a_full_cache_keeps_the_pieces_met_lately(monkeypatch, kind, path):
+    """It used to be emptied, so that every piece had to be encoded again."""
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    plain, mine, asked = Tokenizer.from_file(path), {"lower": tokens.LowerWords, "spaced": tokens.SpacedBytes}[kind](path), []
+    model = mine.model
+    mine.model = SimpleNamespace(tokenize=lambda shown: asked.append(shown) or model.tokenize(shown))
+    for k in range(100):
+        text = f"w{'abcdefghij'[k % 10]}{'xyzuvwrstq'[k // 10]} often, 'tis!"
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(mine) + len(mine.older) <= 20
+    assert sum("often" in shown for shown in asked) == 1
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(3)
     blocks = [rng.integers(0, 65536, n).astype(np.uint16) for n in (1, 2, 900, 37)]
